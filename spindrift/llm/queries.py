@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from spindrift.llm.jaccard_join import op2_ngram_jaccard_join
 from spindrift.llm.langid import op10_language_id
 from spindrift.llm.media import op5_media_columns
 from spindrift.llm.mixing import op8_source_mixing
 from spindrift.llm.quality import op6_quality_classifier
+from spindrift.llm.suffix_dedup import op1_suffix_array_dedup
 
-QUERIES = {f.__name__: f for f in (op5_media_columns, op6_quality_classifier, op8_source_mixing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_ngram_jaccard_join, op5_media_columns, op6_quality_classifier, op8_source_mixing, op10_language_id)}
 
 ORACLES: dict[str, str] = {}
