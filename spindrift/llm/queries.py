@@ -8,7 +8,8 @@ from spindrift.llm.media import op5_media_columns
 from spindrift.llm.mixing import op8_source_mixing
 from spindrift.llm.quality import op6_quality_classifier
 from spindrift.llm.suffix_dedup import op1_suffix_array_dedup
+from spindrift.llm.token_store import op3_token_store
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_ngram_jaccard_join, op5_media_columns, op6_quality_classifier, op8_source_mixing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_ngram_jaccard_join, op3_token_store, op5_media_columns, op6_quality_classifier, op8_source_mixing, op10_language_id)}
 
 ORACLES: dict[str, str] = {}
