@@ -1,32 +1,57 @@
-"""The corpus pipeline: stages over documents, each an operator of the llm subpackage."""
+"""The corpus pipeline: stages over documents, each an operator of the llm subpackage.
+
+Each stage takes what its predecessor kept and returns rows with the columns of documents; the last returns the facts of
+the token store. Rows that repeat a doc_id are one document to the join, of which one row stays.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import langid, mixing
-from spindrift.llm.common import crc32_text, documents, staged
-
-
-def columns_of(docs: DataFrame, like: DataFrame) -> DataFrame:
-    return docs.select(*[F.col(f"`{c}`") for c in like.columns])
+from spindrift.llm import decontam, langid, mixing
+from spindrift.llm.common import crc32_text, documents, staged, table
+from spindrift.llm.jaccard_join import Join, filter_by_ids
+from spindrift.llm.token_store import Store
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the classifier accepts; null and letterless texts go."""
     held = crc32_text(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
-    model = langid.fit(docs, ~held)
-    return langid.keep_accepted(docs, model)
+    return langid.keep_accepted(docs, langid.fit(docs, ~held))
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones, that of the least doc_id; documents with a null doc_id stay."""
+    found = staged(spark, Join(docs).components(), "components")
+    kept = filter_by_ids(docs, staged(spark, found.where("component <> id").select("id").distinct(), "dropped"), "doc_id", "left_anti")
+    repeated = not found.where("id is not null").groupBy("id").count().where("count > 1").isEmpty()
+    if not repeated:
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    found = decontam.find(docs, table(spark, sf_dir, "benchmark"))
+    return filter_by_ids(docs, staged(spark, found.select(F.col("doc_id").alias("id")).distinct(), "leaks"), "doc_id", "left_anti")
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, those of down-weighted sources' peers up to twice."""
-    return columns_of(mixing.mix_sources(docs), docs)
+    """Every document at least once; those of sources below the largest up to twice."""
+    return mixing.mix_sources(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def token_store(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids written to the store and read back."""
+    import public_tokenizers
+
+    return Store.write(docs, public_tokenizers.path("word_bpe_49k.json")).facts()
 
 
-STAGES = [("language_id", language_id), ("source_mixing", source_mixing)]
+STAGES = [("language_id", language_id), ("jaccard_join", jaccard_join), ("decontamination", decontamination), ("source_mixing", source_mixing), ("token_store", token_store)]
 
+#: Hashes, learned centroids and a tokenizer's merges: SQL can't express the stages.
 ORACLE_SQL = None
 
 
