@@ -13,6 +13,7 @@ from urllib.parse import unquote, urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SPLIT = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
@@ -116,7 +117,7 @@ def resolve_plain(link: Column, source: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def merge_reference(links: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """RFC 3986 section 5.2 for the few links that resolve_plain leaves."""
     for link, source in links:
@@ -154,7 +155,7 @@ def decoded(text: Column) -> Column:
     return F.when(~text.contains("%"), text).otherwise(F.coalesce(F.when(~text.rlike(r"%(?![0-9A-Fa-f]{2})"), plain), unquoted(text)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unquoted(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unquote(x))
 

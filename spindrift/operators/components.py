@@ -107,5 +107,8 @@ def structures(crawl: DataFrame, n: int = 20) -> DataFrame:
 def embedded(crawl: DataFrame) -> DataFrame:
     """Counts of UUIDs, of three forms of dates, each tried on its own, and of numbers of six digits or more in paths."""
     kinds = {"uuid": r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "date": r"\d{4}-\d{2}-\d{2}", "date_path": r"\d{4}/\d{2}/\d{2}", "date_reversed": r"\d{2}-\d{2}-\d{4}", "id": r"\b\d{6,}\b"}
-    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all(U.path(u()), F.lit(rx), F.lit(0)), lambda v, k=k: F.struct(F.lit(k).alias("kind"), v.alias("value"))) for k, rx in kinds.items()]))
+    def of(kind: str, rx: str) -> Column:
+        return F.transform(F.regexp_extract_all(U.path(u()), F.lit(rx), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    found = F.flatten(F.array(*[of(k, rx) for k, rx in kinds.items()]))
     return crawl.select(F.explode(found).alias("x")).groupBy("x.kind").agg(F.count("*").alias("count"), F.countDistinct("x.value").alias("unique_values"))

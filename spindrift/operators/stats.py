@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from spindrift.functions import urls as U
 
@@ -87,7 +88,7 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
     return front * h / a
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_value(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p of a correlation by Student's t with n - 2 degrees of freedom: the beta tail of 1 - r squared."""
     return pd.Series([None if x is None or np.isnan(x) or k < 3 else incomplete_beta((k - 2) / 2, 0.5, max(0.0, 1 - x * x)) for x, k in zip(r, n, strict=True)])

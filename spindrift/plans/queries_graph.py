@@ -1,0 +1,202 @@
+"""Queries over the link graph and the navigation tree of the shop pages, and over the crawl's links by domain."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spindrift.operators import domains, graph
+from spindrift.plans.registry import query, rounded
+from spindrift.plans.views import oracle, view
+
+
+class Site:
+    """The shop's pages, links, edges and degrees over one folder."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.pages, self.links = view(spark, sf_dir, "site"), view(spark, sf_dir, "site_links")
+        self.edges = graph.edges(self.links)
+
+    @property
+    def degrees(self) -> DataFrame:
+        return graph.degrees(self.pages, self.edges)
+
+    @property
+    def full(self) -> DataFrame:
+        return graph.with_children(self.degrees, self.pages)
+
+
+@query(oracle("SELECT src, dst FROM edges", "edges"))
+def nw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Site(spark, sf_dir).edges
+
+
+@query(oracle("""SELECT nodes, avg_out_degree, max_out_degree, avg_in_degree, max_in_degree, edges, mutual, ROUND(edges::DOUBLE / (nodes * (nodes - 1)), 6) AS density, ROUND(mutual::DOUBLE / edges, 6) AS reciprocity FROM
+  (SELECT COUNT(*) AS nodes, ROUND(AVG(out_degree), 6) AS avg_out_degree, MAX(out_degree) AS max_out_degree, ROUND(AVG(in_degree), 6) AS avg_in_degree, MAX(in_degree) AS max_in_degree FROM degrees) a,
+  (SELECT COUNT(*) AS edges FROM edges) b, (SELECT COUNT(*) AS mutual FROM edges x WHERE EXISTS (SELECT 1 FROM edges y WHERE y.src = x.dst AND y.dst = x.src)) c""", "degrees"))
+def nw_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Site(spark, sf_dir)
+    return rounded(graph.network_metrics(s.pages, s.edges), "avg_out_degree", "avg_in_degree", "density", "reciprocity")
+
+
+TOP = "SELECT * FROM (SELECT '{0}' AS measure, url, ROUND(({1})::DOUBLE, 6) AS value, ordinal FROM degrees ORDER BY ({1})::DOUBLE DESC, ordinal LIMIT 20) t"
+
+
+@query(oracle(" UNION ALL ".join(TOP.format(k, v) for k, v in {"degree": "in_degree + out_degree", "in_degree": "in_degree", "out_degree": "out_degree", "betweenness": "1 / (1 + ABS(depth - 3.0))"}.items()), "degrees"))
+def nw_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(graph.centrality(Site(spark, sf_dir).degrees), "value")
+
+
+@query(oracle("""SELECT s.ordinal, s.url, ROUND(COALESCE(c.n::DOUBLE / (k.k * (k.k - 1)), 0), 6) AS coefficient FROM site s LEFT JOIN (SELECT src, COUNT(*) AS k FROM edges GROUP BY src HAVING COUNT(*) >= 2) k ON k.src = s.url
+  LEFT JOIN (SELECT u.src, COUNT(*) AS n FROM edges u JOIN edges e ON e.src = u.dst JOIN edges v ON v.src = u.src AND v.dst = e.dst WHERE e.src <> e.dst GROUP BY u.src) c ON c.src = k.src""", "site", "edges"))
+def nw_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Site(spark, sf_dir)
+    return rounded(graph.clustering(s.pages, s.edges), "coefficient")
+
+
+@query(oracle("""SELECT COUNT(CASE WHEN link LIKE '#%' OR dst = src THEN 1 END) AS self_links, COUNT(CASE WHEN link LIKE '#%' THEN 1 END) AS fragment_links, COUNT(CASE WHEN dst NOT LIKE 'https://shop.example.com/%' THEN 1 END) AS external_links,
+  COUNT(CASE WHEN dst LIKE 'https://shop.example.com/%' AND dst <> src AND d1 = d2 THEN 1 END) AS sibling_links, COUNT(CASE WHEN dst LIKE 'https://shop.example.com/%' AND dst <> src AND d1 <> d2 THEN 1 END) AS cross_depth_links
+  FROM (SELECT l.*, a.depth AS d1, b.depth AS d2 FROM (SELECT src, link, CASE WHEN link LIKE '#%' THEN NULL WHEN link LIKE '//%' THEN concat('https:', link) WHEN link LIKE '/%' THEN concat('https://shop.example.com', link) ELSE link END AS dst FROM site_links) l
+    JOIN site a ON a.url = l.src LEFT JOIN site b ON b.url = l.dst) x""", "site", "site_links"))
+def nw_link_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Site(spark, sf_dir)
+    return graph.link_patterns(s.pages, s.links)
+
+
+@query(oracle("SELECT regexp_extract(link, '^[a-z]+://([^/?#]*)', 1) AS domain, COUNT(*) AS count FROM site_links WHERE link LIKE 'http%' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20", "site_links"))
+def nw_linked_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.linked_domains(Site(spark, sf_dir).links)
+
+
+@query(oracle("""SELECT a.ordinal, a.url, ROUND(a.authority, 6) AS authority, ROUND(COALESCE(h.h / (SELECT MAX(h) FROM hubs), 0), 6) AS hub FROM auth a LEFT JOIN hubs h ON h.src = a.url""", "degrees").replace(
+    "\nSELECT a.ordinal", ",\nauth AS (SELECT ordinal, url, in_degree::DOUBLE / (SELECT MAX(in_degree) FROM degrees) AS authority FROM degrees),\nhubs AS (SELECT e.src, SUM(a.authority) AS h FROM edges e JOIN auth a ON a.url = e.dst GROUP BY e.src)\nSELECT a.ordinal", 1))
+def nw_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Site(spark, sf_dir)
+    return rounded(graph.hits(s.degrees, s.edges), "authority", "hub")
+
+
+@query(oracle("""SELECT community, COUNT(*) AS pages, ROUND(COUNT(*) * 100.0 / SUM(COUNT(*)) OVER (), 6)::DOUBLE AS percentage FROM (SELECT COALESCE(NULLIF(split_part(url, '/', 4), ''), 'root') AS community FROM site) x GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""", "site"))
+def nw_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(graph.communities(Site(spark, sf_dir).pages), "percentage")
+
+
+@query(oracle("SELECT url, out_degree, ordinal FROM degrees WHERE in_degree = 1 AND out_degree > 5 ORDER BY out_degree DESC, ordinal LIMIT 20", "degrees"))
+def nw_bottlenecks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.bottlenecks(Site(spark, sf_dir).degrees)
+
+
+@query(oracle("""SELECT pages, max_depth, ROUND(a, 6) AS avg_children, parents, orphans, CASE WHEN max_depth <= 3 AND a > 10 THEN 'flat' WHEN max_depth > 5 AND a < 5 THEN 'deep' WHEN a > 7 THEN 'wide' ELSE 'balanced' END AS type FROM
+  (SELECT COUNT(*) AS pages, GREATEST(0, MAX(depth)) AS max_depth FROM site) x, (SELECT COALESCE(AVG(n), 0) AS a, COUNT(*) AS parents FROM children) y,
+  (SELECT COUNT(*) AS orphans FROM site s WHERE (parent_url IS NULL OR parent_url = '' OR parent_url = url) AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.dst = s.url)) z""", "site", "edges", "children"))
+def pm_architecture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Site(spark, sf_dir)
+    return rounded(graph.architecture(s.pages, s.edges), "avg_children")
+
+
+FULL = "(SELECT d.*, COALESCE(c.n, 0) AS children FROM degrees d LEFT JOIN children c ON c.url = d.url) f"
+
+
+@query(oracle(f"SELECT url, depth, children, out_degree, children + out_degree AS score, ordinal FROM {FULL} WHERE depth <= 2 ORDER BY 5 DESC, 6 LIMIT 20", "degrees", "children"))
+def pm_entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.entry_points(Site(spark, sf_dir).full)
+
+
+@query(oracle("SELECT url, in_degree, out_degree, in_degree + out_degree AS score, ordinal FROM degrees WHERE out_degree > 20 OR in_degree > 10 ORDER BY 4 DESC, 5 LIMIT 20", "degrees"))
+def pm_navigation_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.navigation_hubs(Site(spark, sf_dir).degrees)
+
+
+@query(oracle("SELECT ordinal, url, depth FROM degrees WHERE out_degree = 0", "degrees"))
+def pm_dead_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Site(spark, sf_dir)
+    return graph.dead_ends(s.pages, s.edges)
+
+
+# Parents are at most two steps up here, so the oracle joins twice.
+CHAINS = """chains AS (SELECT s.ordinal, s.url, s.depth, CASE WHEN p.url IS NULL AND s.parent_url IS NULL THEN [s.url] WHEN p.parent_url IS NULL THEN [s.parent_url, s.url] ELSE [p.parent_url, s.parent_url, s.url] END AS chain FROM site s LEFT JOIN site p ON p.url = s.parent_url)"""
+
+
+def over_chains(sql: str) -> str:
+    return f"{oracle('', 'site').rstrip()},\n{CHAINS}\n{sql}"
+
+
+@query(over_chains("SELECT ordinal, url, len(chain)::INT AS length, chain[1] AS root FROM chains"))
+def pm_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.parent_chains(Site(spark, sf_dir).pages).select("ordinal", "url", F.size("chain").alias("length"), F.col("chain")[0].alias("root"))
+
+
+@query(over_chains("SELECT array_to_string(list_transform(chain, lambda x: regexp_extract(x, '://[^/]*/(.*)$', 1)), ' -> ') AS pathway, COUNT(*) AS count FROM chains WHERE len(chain) > 1 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30"))
+def pm_pathways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.pathways(graph.parent_chains(Site(spark, sf_dir).pages))
+
+
+@query(over_chains("SELECT COUNT(*) AS pages, COUNT(CASE WHEN len(chain) - 1 = depth THEN 1 END) AS matching, ROUND(AVG(len(chain)), 6) AS avg_length FROM chains"))
+def pm_breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(graph.breadcrumbs(graph.parent_chains(Site(spark, sf_dir).pages)), "avg_length")
+
+
+@query(oracle(f"SELECT depth, COUNT(*) AS pages, ROUND(AVG(children), 6) AS avg_children, MAX(children) AS max_children, SUM(children)::BIGINT AS total_children, ROUND(AVG(out_degree), 6) AS avg_links FROM {FULL} GROUP BY depth", "degrees", "children"))
+def pm_depth_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(graph.depth_flow(Site(spark, sf_dir).full), "avg_children", "avg_links")
+
+
+@query(oracle(f"SELECT url, (10 * GREATEST(0, 10 - depth) + 2 * LEAST(out_degree, 50) + 5 * LEAST(in_degree, 20) + 3 * LEAST(children, 30))::BIGINT AS importance, ordinal FROM {FULL} ORDER BY 2 DESC, 3 LIMIT 30", "degrees", "children"))
+def pm_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.page_importance(Site(spark, sf_dir).full)
+
+
+@query()
+def pm_connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Site(spark, sf_dir)
+    return graph.reach_components(s.pages, s.edges).groupBy("component").agg(F.count("*").alias("pages"))
+
+
+# --- absolute links by domain --------------------------------------------------------------------------------------
+def absolute_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The site's links and, as absolute links, the parents of its pages."""
+    s = Site(spark, sf_dir)
+    return s.links.select("src", "link").unionByName(graph.parent_pairs(s.pages).select(F.col("child").alias("src"), F.col("parent").alias("link")))
+
+
+TARGETS = """targets AS (SELECT 'example.com' AS domain, regexp_extract(link, '^[a-z]+://([^/?#]*)', 1) AS target FROM (SELECT src, link FROM site_links UNION ALL SELECT url, parent_url FROM site WHERE parent_url IS NOT NULL) l WHERE link LIKE 'http%')"""
+FACTS = """facts AS (SELECT domain, urls, subdomains, avg_depth, i AS internal_links, e AS external_links, e::DOUBLE / (i + e) AS external_ratio FROM
+  (SELECT 'example.com' AS domain, COUNT(DISTINCT url) AS urls, COUNT(DISTINCT split_part(url, '.', 1)) AS subdomains, AVG(depth) AS avg_depth FROM site) a,
+  (SELECT COUNT(CASE WHEN target = 'shop.example.com' THEN 1 END) AS i, COUNT(CASE WHEN target <> 'shop.example.com' THEN 1 END) AS e FROM targets) b)"""
+
+
+def over_targets(sql: str) -> str:
+    return f"{oracle('', 'site', 'site_links').rstrip()},\n{TARGETS},\n{FACTS}\n{sql}"
+
+
+def site_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return domains.facts(Site(spark, sf_dir).pages, absolute_links(spark, sf_dir))
+
+
+@query(over_targets("SELECT domain, urls, subdomains, ROUND(avg_depth, 6) AS avg_depth, internal_links, external_links, ROUND(external_ratio, 6) AS external_ratio FROM facts"))
+def sd_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(site_facts(spark, sf_dir), "avg_depth", "external_ratio")
+
+
+@query(over_targets("SELECT domain, target, CASE WHEN target LIKE '%.com' THEN 'same_tld' WHEN target LIKE '%example.%' THEN 'same_org_different_tld' ELSE 'different_tld' END AS relation, COUNT(*) AS links FROM targets WHERE target <> 'shop.example.com' GROUP BY ALL ORDER BY 4 DESC, 1, 2 LIMIT 20"))
+def sd_cross_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return domains.cross_domain(absolute_links(spark, sf_dir))
+
+
+@query(over_targets("SELECT domain, CASE WHEN urls < 10 THEN 'tiny' WHEN urls < 100 THEN 'small' WHEN urls < 1000 THEN 'medium' ELSE 'large' END AS size, CASE WHEN subdomains = 1 THEN 'simple' WHEN subdomains < 5 THEN 'moderate' ELSE 'complex' END AS complexity, CASE WHEN external_ratio < 0.2 THEN 'mostly_internal' WHEN external_ratio < 0.5 THEN 'balanced' ELSE 'mostly_external' END AS link_balance FROM facts"))
+def sd_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return domains.clusters(site_facts(spark, sf_dir))
+
+
+@query(over_targets("SELECT target, CASE WHEN regexp_matches(target, 'cloudflare|akamai|fastly|cloudfront') THEN 'cdn' WHEN regexp_matches(target, 'google-analytics|ga|analytics|mixpanel') THEN 'analytics' ELSE 'other' END AS category, COUNT(*) AS links, CASE WHEN COUNT(*) > 100 THEN 'high' WHEN COUNT(*) > 20 THEN 'medium' ELSE 'low' END AS criticality FROM targets WHERE target <> 'shop.example.com' GROUP BY target"))
+def sd_external_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return domains.external_dependencies(absolute_links(spark, sf_dir))
+
+
+@query(over_targets("SELECT domain, ROUND(LEAST(LEAST(urls / 10, 50) + LEAST(internal_links::DOUBLE / urls * 10, 30) + LEAST(subdomains * 2, 10) + CASE WHEN avg_depth BETWEEN 2 AND 4 THEN 10 ELSE 0 END, 100), 6)::DOUBLE AS authority, urls, internal_links, subdomains FROM facts"))
+def sd_authority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(domains.authority(site_facts(spark, sf_dir)), "authority")
+
+
+@query(over_targets("SELECT domain, GREATEST(100 - (external_ratio > 0.7)::INT * 20 - (internal_links::DOUBLE / urls < 1)::INT * 15 - (subdomains > 10)::INT * 10, 0)::INT AS health_score, urls, ((external_ratio > 0.7)::INT + (internal_links::DOUBLE / urls < 1)::INT + (subdomains > 10)::INT)::INT AS issues FROM facts"))
+def sd_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return domains.health(site_facts(spark, sf_dir))

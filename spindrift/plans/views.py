@@ -105,7 +105,7 @@ PARTS = f"""
 SELECT c.*, lower(regexp_extract(url, '{SPLIT}', 1)) AS scheme, regexp_extract(url, '{SPLIT}', 2) AS netloc, regexp_replace(regexp_extract(url, '{SPLIT}', 3), ';[^/]*$', '') AS path,
   regexp_extract(url, '{SPLIT}', 4) AS query, regexp_extract(url, '{SPLIT}', 5) AS fragment FROM crawl c"""
 
-LINKS = """SELECT ordinal, url AS src, generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) - 1 AS at, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM crawl"""
+LINKS = """SELECT ordinal, url AS src, generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) - 1 AS pos, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM crawl"""
 
 EDGES = """
 SELECT DISTINCT src, dst FROM (SELECT src, CASE WHEN link LIKE '#%' THEN NULL WHEN link LIKE '//%' THEN concat('https:', link) WHEN link LIKE '/%' THEN concat('https://shop.example.com', link) ELSE link END AS dst FROM site_links) l
@@ -118,9 +118,9 @@ LEFT JOIN (SELECT src, COUNT(*) AS n FROM edges GROUP BY src) o ON o.src = s.url
 CHILDREN = """SELECT parent_url AS url, COUNT(*) AS n FROM site WHERE parent_url IS NOT NULL AND parent_url <> '' AND parent_url <> url GROUP BY parent_url"""
 
 TOKENS = """
-SELECT ordinal, url, generate_subscripts(tokens, 1) AS at, unnest(tokens) AS token FROM (
-  SELECT ordinal, url, list_filter(flatten(list_transform(list_filter(regexp_split_to_array(lower(path), '[-/_.]'), t -> t <> '' AND length(t) > 1 AND NOT list_contains(stop, t)),
-    t -> CASE WHEN regexp_matches(t, '[a-z]') THEN regexp_extract_all(t, '([a-z]+)', 1) ELSE [t] END)), t -> NOT list_contains(stop, t)) AS tokens
+SELECT ordinal, url, generate_subscripts(tokens, 1) AS pos, unnest(tokens) AS token FROM (
+  SELECT ordinal, url, list_filter(flatten(list_transform(list_filter(regexp_split_to_array(lower(path), '[-/_.]'), lambda t: t <> '' AND length(t) > 1 AND NOT regexp_full_match(t, '[0-9]+') AND NOT list_contains(stop, t)),
+    lambda t: CASE WHEN regexp_matches(t, '[a-z]') THEN regexp_extract_all(t, '([a-z]+)', 1) ELSE [t] END)), lambda t: NOT list_contains(stop, t)) AS tokens
   FROM parts, (SELECT ['a','an','and','are','as','at','be','by','for','from','has','he','in','is','it','its','of','on','that','the','to','was','will','with','www','com','org','net','html','htm','php','aspx','jsp','default','index','home','main','page','pages','site','sites','web'] AS stop) s) t"""
 
 NEEDS = {"parts": (PARTS, ["crawl"]), "links": (LINKS, ["crawl"]), "edges": (EDGES, ["site_links"]), "degrees": (DEGREES, ["site", "edges"]), "children": (CHILDREN, ["site"]), "tokens": (TOKENS, ["parts"])}
