@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; a longer single text is a step of its own.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 19
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
 MIXERS = np.array([pow(0xD1342543DE82EF95, k + 1, 1 << 64) | 1 for k in range(8)], np.uint64)

@@ -6,10 +6,11 @@ all sets follow; here frequent tokens come last, so prefixes are rare tokens.
 
 1. One pass over the text: sets' sizes, keys (equal sets, equal keys), bit signatures, and locally frequent tokens.
 2. Second pass: prefix tokens, shuffled by token in packed blocks. Tokens that one set alone has end here.
-3. Groups: each set is compared with the pivot of its size band in each of its rows; linked sets form groups.
-4. The token-group matrix has the union of each group's prefix tokens and its range of sizes. Two groups
-   qualify if they have a row in common and their sizes allow the overlap; only those are opened, and their
-   members compared. Signatures bound a pair's overlap from above before texts are fetched and compared.
+3. Groups: each set is compared with the pivot of its size band in each of its rows; a group is a set and those linked to it.
+4. The token-group matrix has the union of each group's prefix tokens and its range of sizes. Two groups that no links
+   connect yet qualify if they have a row in common, their sizes allow the overlap and their centers' signatures, which
+   bound overlap from above, leave their members within reach; only those are opened, and their members compared,
+   by signatures first and then by their texts.
 5. Components of the links found in 3 and 4.
 
 A frequent token's row is split over salted blocks, each with pivots of its own, which are compared in turn.
@@ -36,9 +37,9 @@ WORDS, PERCENT = 5, 80
 #: A token that this many sets have goes to the end of the order; at most FREQUENT_KEPT such tokens, the most
 #: frequent, are sent to all executors. Any order is right; this one keeps rows of the matrix short.
 FREQUENT, FREQUENT_KEPT = 64, 1 << 18
-LOCAL_REPORT, LOCAL_BLOCK = 3, 1 << 22
+LOCAL_REPORT, LOCAL_BLOCK = 3, 1 << 20
 #: Prefix tokens that a task packs before it passes them on, and tokens that a bucket shall have.
-FLUSH, BUCKET = 1 << 20, 200_000
+FLUSH, BUCKET = 1 << 19, 200_000
 #: Sets in a salted block of a frequent token's row.
 BLOCK = 20_000
 #: Ids that are broadcast to filter the text; beyond it the text is shuffled.
@@ -57,8 +58,8 @@ def sets_of(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> list[np.nd
 
 
 def signature(tokens: np.ndarray) -> bytes:
-    """Parities of the tokens' counts in as many bits as the set has tokens, rounded up to a power of two."""
-    m = 1 << max(6, int(len(tokens) - 1).bit_length()) if len(tokens) else 64
+    """Parities of the tokens' counts in twice as many bits as the set has tokens, rounded up to a power of two."""
+    m = 1 << max(6, int(2 * len(tokens) - 1).bit_length()) if len(tokens) else 64
     return np.packbits((np.bincount((mix(tokens.copy()) & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8)).tobytes()
 
 
@@ -249,22 +250,51 @@ class Join:
         named = lambda c, to: rep.select(F.col("id").alias(c), F.col("rep").alias(to))
         tried = staged(self.spark, stars.join(named("x", "p"), "x").join(named("y", "q"), "y").where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "stars")
         found = self.linked(tried, "stars")
-        groups = connected(self.spark, found, "groups")
+        labels = connected(self.spark, found, "groups")
+        groups = staged(self.spark, self._centers(found).join(labels, "id"), "centers")
         # the token-group matrix: each group's union of tokens and its range of sizes
-        placed = rows.select("token", "id", "n").join(rep, "id").join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("token", "n", F.coalesce("component", "rep").alias("g"))
-        union = placed.groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+        placed = rows.select("token", "id", "n").join(rep, "id").join(groups.select(F.col("id").alias("rep"), "center", "component"), "rep", "left").select("token", "n", F.coalesce("center", "rep").alias("g"), F.coalesce("component", "rep").alias("whole"))
+        union = placed.groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("whole").alias("whole"))
         several = union.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
         union = staged(self.spark, union.join(several, "token", "left_semi"), "token-groups")
-        one, two = (union.select("token", *(F.col(c).alias(f"{c}{i}") for c in ("g", "low", "high"))) for i in (1, 2))
-        fits = F.expr(f"g1 < g2 and 100 * high1 >= {self.percent} * low2 and 100 * high2 >= {self.percent} * low1")
-        open_ = one.join(two, "token").where(fits).select("g1", "g2").distinct()
+        one, two = (union.select("token", *(F.col(c).alias(f"{c}{i}") for c in ("g", "low", "high", "whole"))) for i in (1, 2))
+        fits = F.expr(f"g1 < g2 and whole1 <> whole2 and 100 * high1 >= {self.percent} * low2 and 100 * high2 >= {self.percent} * low1")
+        pairs = one.join(two, "token").where(fits).select("g1", "g2").distinct()
         # two single sets that were compared already needn't be opened again
-        open_ = staged(self.spark, open_.join(tried.select(F.col("a").alias("g1"), F.col("b").alias("g2"), F.lit(True).alias("seen")).join(groups.select(F.col("id").alias("g1"), F.lit(1).alias("m1")), "g1", "left").join(groups.select(F.col("id").alias("g2"), F.lit(1).alias("m2")), "g2", "left").where("m1 is null and m2 is null").select("g1", "g2"), ["g1", "g2"], "left_anti"), "open")
-        inside = self.sets.select("id", "n").join(groups, "id", "left").select(F.coalesce("component", "id").alias("g"), "id", "n")
+        grouped = [groups.select(F.col("center").alias(f"g{i}"), F.lit(1).alias(f"m{i}")).distinct() for i in (1, 2)]
+        seen = tried.select(F.col("a").alias("g1"), F.col("b").alias("g2")).join(grouped[0], "g1", "left_anti").join(grouped[1], "g2", "left_anti")
+        pairs = pairs.join(seen, ["g1", "g2"], "left_anti").join(grouped[0], "g1", "left").join(grouped[1], "g2", "left")
+        open_ = staged(self.spark, self._in_reach(pairs), "open")
+        inside = self.sets.select("id", "n").join(groups.select("id", "center"), "id", "left").select(F.coalesce("center", "id").alias("g"), "id", "n")
         both = open_.join(inside.select(F.col("g").alias("g1"), F.col("id").alias("x"), F.col("n").alias("nx")), "g1").join(inside.select(F.col("g").alias("g2"), F.col("id").alias("y"), F.col("n").alias("ny")), "g2")
         opened = both.where(F.expr(f"100 * least(nx, ny) >= {self.percent} * greatest(nx, ny)")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         return found.union(self.linked(staged(self.spark, opened, "opened"), "opened")), rows
 
+    def _centers(self, found: DataFrame) -> DataFrame:
+        """(id, center): for each linked set the one of most links among itself and the sets it links to, so members link to their center."""
+        ways = found.select("a", "b").union(found.select("b", "a")).distinct()
+        degree = ways.groupBy(F.col("b").alias("b")).agg(F.count(F.lit(1)).alias("links"))
+        near = ways.union(ways.select("a", "a").distinct()).join(degree, "b")
+        return near.groupBy(F.col("a").alias("id")).agg(F.max(F.struct("links", (-F.col("b")).alias("b"))).alias("top")).select("id", (-F.col("top.b")).alias("center"))
+
+    def _in_reach(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (g1, g2, m1, m2) those that may have linked members. Jaccard distance is a metric and members are within a
+        link's distance of their center, so centers are within one, two or three links' distance; signatures bound theirs from below."""
+        percent = self.percent
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                na, nb, x, y, links = (batch.column(i).to_pylist() for i in (2, 3, 4, 5, 6))
+                keep = []
+                for p, q, s, t, k in zip(na, nb, x, y, links, strict=True):
+                    common = (p + q - least_difference(s, t)) // 2
+                    keep.append(100 * common >= (100 - k * (100 - percent)) * (p + q - common))
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["g1", "g2"]).filter(pa.array(keep, pa.bool_()))
+
+        side = lambda i: self.sets.select(F.col("id").alias(f"g{i}"), F.col("n").alias(f"n{i}"), F.col("bits").alias(f"bits{i}"))
+        links = F.lit(1) + F.coalesce("m1", F.lit(0)) + F.coalesce("m2", F.lit(0))
+        return pairs.join(side(1), "g1").join(side(2), "g2").select("g1", "g2", "n1", "n2", "bits1", "bits2", links.alias("links")).mapInArrow(near, "g1 long, g2 long")
+
     def components(self) -> DataFrame:
         """(id, n, rep, component) of each row of docs."""
         labels = connected(self.spark, self.links()[0], "components").select(F.col("id").alias("rep"), "component")
