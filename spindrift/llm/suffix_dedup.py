@@ -26,16 +26,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm.common import documents, mix, powers, steps, text_bytes
 
-LENGTH, K = 50, 24
+LENGTH, K = 50, 32
 #: Bytes of text a shard and of pieces a bucket is meant to have, and bytes of a block with one suffix array.
-SHARD, BUCKET, BLOCK = 8 << 20, 1 << 21, 1 << 21
+SHARD, BUCKET, BLOCK = 4 << 20, 1 << 21, 1 << 20
+#: Bytes of text that anchors are taken of at a time, so that the arrays stay in the cache.
+STEP = 1 << 18
 #: An anchor in more shards than this has its strings dealt one by one.
-HOT_SHARDS = 64
+HOT_SHARDS = 128
 LOW40 = np.uint64((1 << 40) - 1)
 
 
@@ -72,7 +75,7 @@ class Runs:
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
         self.anchor, self.total = anchors(data)
         m = len(self.anchor)
-        owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        owner = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
         valid = (owner[:m] == owner[LENGTH - 1 : LENGTH - 1 + m]) if m else np.zeros(0, bool)
         if m:
             fresh = np.ones(m, bool)
@@ -84,7 +87,7 @@ class Runs:
             self.first, self.last = np.flatnonzero(fresh), np.flatnonzero(ends)
         else:
             self.first = self.last = np.zeros(0, np.int64)
-        self.row = owner[self.first] if m else np.zeros(0, np.int64)
+        self.row = owner[self.first].astype(np.int64) if m else np.zeros(0, np.int64)
         self.value = self.anchor[self.first] if m else np.zeros(0, np.uint64)
 
     def pieces(self, repeated: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -270,7 +273,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
     def send_anchors(table: pa.Table) -> pa.Table:
         _, ids, known, data, offsets = ids_and_text(table)
         values, owners = [], []
-        for i, j in steps(offsets):
+        for i, j in steps(offsets, STEP):
             o = offsets[i : j + 1]
             runs = Runs(data[o[0] : o[-1]], o - o[0])
             ok = known[i:j][runs.row]
@@ -295,14 +298,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
         several = np.zeros(len(value), bool)
         np.logical_or.at(several, of, flags)
         repeated, hot = (several | (count > 1))[of], (count > HOT_SHARDS)[of]
-        top = np.uint64(table.column("bucket")[0].as_py()) << shift
+        bucket = [int(table.column("bucket")[0].as_py()).to_bytes(8, "little")] * len(blobs)
         one, two, at = [], [], 0
         for blob in blobs:
             r, t = repeated[at : at + len(blob)], hot[at : at + len(blob)]
-            one.append((blob[r] | top).tobytes())
-            two.append((blob[t] | top).tobytes())
+            one.append(pack40(blob[r]))
+            two.append(pack40(blob[t]))
             at += len(blob)
-        return pa.table({"shard": pa.array(shard, pa.int64()), "kind": pa.array([0] * len(shard), pa.int64()), "one": pa.array(one, pa.binary()), "two": pa.array(two, pa.binary()), "three": pa.nulls(len(shard), pa.binary())})
+        return pa.table({"shard": pa.array(shard, pa.int64()), "kind": pa.array([0] * len(shard), pa.int64()), "one": pa.array(one, pa.binary()), "two": pa.array(two, pa.binary()), "three": pa.array(bucket, pa.binary())})
 
     # anchors are told apart by their bucket and low 40 bits: a chance agreement only adds a piece to compare
     mask = LOW40 | (np.uint64((1 << bits) - 1) << shift)
@@ -310,7 +313,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
     def told(right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         kind = np.asarray(right.column("kind").combine_chunks()) == 0 if right.num_rows else np.zeros(0, bool)
         part = right.filter(pa.array(kind, pa.bool_()))
-        return tuple(np.sort(np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint64)) for c in ("one", "two"))
+        top = [np.uint64(int.from_bytes(b, "little")) << shift for b in part.column("three").to_pylist()]
+        return tuple(np.sort(np.concatenate([np.zeros(0, np.uint64), *(unpack40(x) | t for x, t in zip(part.column(c).to_pylist(), top, strict=True))])) for c in ("one", "two"))
 
     def cut_pieces(data: np.ndarray, o: np.ndarray, repeated: np.ndarray, hot: np.ndarray) -> tuple:
         runs = Runs(data[o[0] : o[-1]], o - o[0])
@@ -322,7 +326,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
         _, ids, known, data, offsets = ids_and_text(left)
         repeated, hot = told(right)
         found = []
-        for i, j in steps(offsets):
+        for i, j in steps(offsets, STEP):
             first, last, row, h, bucket = cut_pieces(data, offsets[i : j + 1], repeated, hot)
             ok = known[i:j][row]
             found.append(((first + offsets[i])[ok], (last + offsets[i])[ok], (row + i)[ok], h[ok], bucket[ok]))
@@ -333,22 +337,28 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
         return ids, known, data, offsets, (first, last, row, h, doc), order[head], bucket
 
     def send_pieces(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["shard", "bucket", "hash", "size", "doc", "bytes"]
+        names = ["shard", "bucket", "size", "doc", "bytes"]
         if not left.num_rows or not right.num_rows:
             return pa.table({n: pa.array([], pa.int64() if i < 2 else pa.binary()) for i, n in enumerate(names)})
-        _, _, data, _, (first, last, _, h, doc), pick, bucket = shard_pieces(left, right)
+        _, _, data, _, (first, last, _, _, doc), pick, bucket = shard_pieces(left, right)
         order, cut, end = by_bucket((bucket[pick] >> shift).astype(np.int64))
         pick = pick[order]
         where, owner = ragged(first[pick], last[pick] + LENGTH)
-        raw = data[where].tobytes()
+        raw, press = data[where].tobytes(), zstandard.ZstdCompressor(level=3)
         size = (last[pick] + LENGTH - first[pick]).astype(np.int32)
         upto = np.concatenate([[0], np.cumsum(size)])
-        return pa.table({"shard": pa.array(np.full(len(cut), left.column("shard")[0].as_py()), pa.int64()), "bucket": pa.array((bucket[pick][cut] >> shift).astype(np.int64)), **{n: pa.array([x[a:b].tobytes() for a, b in zip(cut, end, strict=True)], pa.binary()) for n, x in (("hash", h[pick]), ("size", size), ("doc", doc[pick]))}, "bytes": pa.array([raw[upto[a] : upto[b]] for a, b in zip(cut, end, strict=True)], pa.binary())})
+        return pa.table({"shard": pa.array(np.full(len(cut), left.column("shard")[0].as_py()), pa.int64()), "bucket": pa.array((bucket[pick][cut] >> shift).astype(np.int64)), **{n: pa.array([press.compress(x[a:b].tobytes()) for a, b in zip(cut, end, strict=True)], pa.binary()) for n, x in (("size", size), ("doc", doc[pick]))}, "bytes": pa.array([press.compress(raw[upto[a] : upto[b]]) for a, b in zip(cut, end, strict=True)], pa.binary())})
 
     def meet_pieces(table: pa.Table) -> pa.Table:
-        get = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
-        shard, count = table.column("shard").to_pylist(), [len(x) // 8 for x in table.column("hash").to_pylist()]
-        h, size, doc, raw = get("hash", np.uint64), get("size", np.int32).astype(np.int64), get("doc", np.int64), get("bytes", np.uint8)
+        unpress = zstandard.ZstdDecompressor()
+        get = lambda c, kind: [np.frombuffer(unpress.decompress(x), kind) for x in table.column(c).to_pylist()]
+        shard, sizes, docs_, raws = table.column("shard").to_pylist(), get("size", np.int32), get("doc", np.int64), get("bytes", np.uint8)
+        hashes = []
+        for size, raw in zip(sizes, raws, strict=True):
+            end = np.cumsum(size.astype(np.int64))
+            hashes.append(span_hashes(prefix_sums(raw), end - size, end))
+        count = [len(x) for x in sizes]
+        h, size, doc, raw = np.concatenate(hashes), np.concatenate(sizes).astype(np.int64), np.concatenate(docs_), np.concatenate(raws)
         order = np.lexsort((doc, h))
         head = np.concatenate([[True], h[order][1:] != h[order][:-1]])
         number = np.empty(len(h), np.int64)
@@ -359,19 +369,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
         least = earliest_documents(raw[where], size[pick], doc[pick])
         width = size[pick] - LENGTH + 1
         base = np.cumsum(width) - width
-        one, two, three, at = [], [], [], 0
-        for n in count:
+        bits_, at = [], 0
+        for n in count:  # a bit a string of each piece, in the order in which the shard sent them
             mine_ = slice(at, at + n)
-            w = width[number[mine_]]
-            strings, owner = ragged(base[number[mine_]], base[number[mine_]] + w)
-            earlier = least[strings] < doc[mine_][owner]
-            any_ = np.zeros(n, bool)
-            any_[owner[earlier]] = True
-            one.append(h[mine_][any_].tobytes())
-            two.append(w[any_].astype(np.int32).tobytes())
-            three.append(np.packbits(earlier[any_[owner]]).tobytes())
+            strings, owner = ragged(base[number[mine_]], (base + width)[number[mine_]])
+            bits_.append(np.packbits(least[strings] < doc[mine_][owner]).tobytes())
             at += n
-        return pa.table({"shard": pa.array(shard, pa.int64()), "kind": pa.array([1] * len(shard), pa.int64()), "one": pa.array(one, pa.binary()), "two": pa.array(two, pa.binary()), "three": pa.array(three, pa.binary())})
+        bucket = [int(table.column("bucket")[0].as_py()).to_bytes(8, "little")] * len(shard)
+        none = pa.nulls(len(shard), pa.binary())
+        return pa.table({"shard": pa.array(shard, pa.int64()), "kind": pa.array([1] * len(shard), pa.int64()), "one": pa.array(bits_, pa.binary()), "two": none, "three": pa.array(bucket, pa.binary())})
 
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "spans"] if with_text else [])]
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -380,28 +386,28 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
     def mark(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names=names)
-        ids, _, data, offsets, (first, last, row, h, doc), pick, _ = shard_pieces(left, right)
-        least = np.zeros(len(h), np.int64)
-        if len(h):
-            known_h = h[pick]  # ascending, as pick is in order of hash
-            least = doc[pick][np.searchsorted(known_h, h)]
+        _, _, data, offsets, (first, last, _, h, doc), pick, bucket = shard_pieces(left, right)
         covered = np.zeros(len(data) + 1, np.int32)
-        later = doc > least
-        np.add.at(covered, first[later], 1)
-        np.add.at(covered, last[later] + LENGTH, -1)
         part = right.filter(pa.array(np.asarray(right.column("kind").combine_chunks()) == 1 if right.num_rows else np.zeros(0, bool), pa.bool_()))
-        if part.num_rows and len(h):
-            rh = np.frombuffer(b"".join(part.column("one").to_pylist()), np.uint64)
-            width = np.frombuffer(b"".join(part.column("two").to_pylist()), np.int32).astype(np.int64)
-            bits_ = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=int(np.frombuffer(w, np.int32).sum())) for b, w in zip(part.column("three").to_pylist(), part.column("two").to_pylist(), strict=True)])
-            order = np.argsort(rh, kind="stable")
-            at = np.cumsum(width) - width
-            rh, at, width = rh[order], at[order], width[order]
-            hit = np.flatnonzero(inside(rh, h) & ~later)
-            slot = np.searchsorted(rh, h[hit])
-            strings, owner = ragged(at[slot], at[slot] + width[slot])
-            on = bits_[strings] == 1
-            start = (strings - at[slot][owner] + first[hit][owner])[on]
+        if len(h):
+            number = np.searchsorted(h[pick], h)  # pick is in order of hash
+            later = doc > doc[pick][number]
+            order, cut, end = by_bucket((bucket[pick] >> shift).astype(np.int64))
+            width = (last - first + 1)[pick][order]
+            upto = np.concatenate([[0], np.cumsum(width)])
+            earlier = np.zeros(upto[-1], np.uint8)
+            group = {int(b): (upto[a], upto[e]) for b, a, e in zip((bucket[pick][order] >> shift)[cut], cut, end, strict=True)}
+            for packed, name in zip(part.column("one").to_pylist(), part.column("three").to_pylist(), strict=True):
+                a, e = group[int.from_bytes(name, "little")]
+                earlier[a:e] = np.unpackbits(np.frombuffer(packed, np.uint8), count=int(e - a))
+            np.add.at(covered, first[later], 1)
+            np.add.at(covered, last[later] + LENGTH, -1)
+            slot = np.empty(len(pick), np.int64)
+            slot[order] = np.arange(len(pick))
+            rest = np.flatnonzero(~later)
+            at = upto[slot[number[rest]]]
+            strings, owner = ragged(at, at + width[slot[number[rest]]])
+            start = (strings - at[owner] + first[rest][owner])[earlier[strings] == 1]
             np.add.at(covered, start, 1)
             np.add.at(covered, start + LENGTH, -1)
         gone = np.cumsum(covered[:-1]) > 0
@@ -415,11 +421,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
                 values += [kept, [{"start": int(s), "end": int(e)} for s, e in edge.reshape(-1, 2)]]
             for column, v in zip(out, values, strict=True):
                 column.append(v)
-        return pa.table([ids, *(pa.array(x, k) for x, k in zip(out, kinds[1:], strict=True))], names=names)
+        return pa.table([left.column("id"), *(pa.array(x, k) for x, k in zip(out, kinds[1:], strict=True))], names=names)
 
     sent = mine.groupBy("shard").applyInArrow(send_anchors, "shard long, bucket long, anchor binary, several binary")
     repeated = sent.groupBy("bucket").applyInArrow(meet_anchors, RIGHT)
-    pieces = mine.groupBy("shard").cogroup(repeated.groupBy("shard")).applyInArrow(send_pieces, "shard long, bucket long, hash binary, size binary, doc binary, bytes binary")
+    pieces = mine.groupBy("shard").cogroup(repeated.groupBy("shard")).applyInArrow(send_pieces, "shard long, bucket long, size binary, doc binary, bytes binary")
     answers = pieces.groupBy("bucket").applyInArrow(meet_pieces, RIGHT)
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<start:long,end:long>>" * with_text
     return mine.groupBy("shard").cogroup(repeated.unionByName(answers).groupBy("shard")).applyInArrow(mark, schema).withColumnRenamed("id", key)
