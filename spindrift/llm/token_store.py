@@ -62,26 +62,32 @@ class Encoder:
     def forget(self) -> None:
         self.known, self.at, self.n, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def look_up(self, found: list[bytes]) -> list[list[int]]:
-        """The ids of each word."""
-        text = [w.decode("utf-8", "replace") for w in found]
-        many = [i for i, w in enumerate(text) if self.mark is not None and MARK not in w]
-        out: list[list[int]] = [[] for _ in text]
+    def look_up(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the words, and where in them each word starts and how many it has."""
+        mark = MARK.encode()
+        many = [i for i, w in enumerate(found) if self.mark is not None and mark not in w]
+        alone = sorted(set(range(len(found))) - set(many))
+        text = lambda i: found[i].decode("utf-8", "replace")
         groups = [many[i : i + 256] for i in range(0, len(many), 256)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([f" {MARK} ".join(text[i] for i in g) for g in groups], add_special_tokens=False), strict=True):
+        between = b" " + mark + b" "
+        flat, n = [], np.zeros(len(found), np.int64)
+        order: list[int] = []
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([between.join([found[i] for i in g]).decode("utf-8", "replace") for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.uint32)
-            parts = np.split(ids, np.flatnonzero(ids == self.mark))
-            if len(parts) != len(group):  # a word gave the mark's id by itself
-                out_of = self.tokenizer.encode_batch_fast([text[i] for i in group], add_special_tokens=False)
-                for i, one in zip(group, out_of, strict=True):
-                    out[i] = one.ids
+            at = np.flatnonzero(ids == self.mark)
+            if len(at) != len(group) - 1:  # a word gave the mark's id by itself
+                alone += group
                 continue
-            for k, (i, part) in enumerate(zip(group, parts, strict=True)):
-                out[i] = part[k > 0 :]
-        rest = sorted(set(range(len(text))) - set(many))
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([text[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = e.ids
-        return out
+            flat.append(np.delete(ids, at))
+            n[group] = np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1
+            order += group
+        for i, e in zip(alone, self.tokenizer.encode_batch_fast([text(i) for i in alone], add_special_tokens=False), strict=True):
+            flat.append(np.array(e.ids, np.uint32))
+            n[i] = len(e.ids)
+        order += alone
+        start = np.zeros(len(found), np.int64)
+        start[order] = np.cumsum(n[order]) - n[order]
+        return np.concatenate(flat), start, n
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in data, each ended by end_id, and where each text starts in them."""
@@ -93,10 +99,9 @@ class Encoder:
             if len(self.known) > MEMO:
                 self.forget()
                 new[:] = True
-            got = self.look_up([data[start[i] : end[i]].tobytes() for i in first[new]])
-            n = np.array([len(g) for g in got], np.int64)
-            at = len(self.ids) + np.cumsum(n) - n
-            self.ids = np.concatenate([self.ids, *(np.asarray(g, np.uint32) for g in got)])
+            ids, at, n = self.look_up([data[start[i] : end[i]].tobytes() for i in first[new]])
+            at = at + len(self.ids)
+            self.ids = np.concatenate([self.ids, ids])
             known = np.concatenate([self.known, value[new]])
             order = np.argsort(known, kind="stable")
             self.known, self.at, self.n = known[order], np.concatenate([self.at, at])[order], np.concatenate([self.n, n])[order]
@@ -124,7 +129,7 @@ def cuts(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     n = len(ids)
     power = np.uint64(0x5851F42D4C957F2D)
     h = np.zeros(n, np.uint64)
-    for j in range(WINDOW):  # the hash of the last WINDOW ids; those of an earlier document count as none
+    for j in range(min(WINDOW, n)):  # the hash of the last WINDOW ids; those of an earlier document count as none
         h[j:] += (ids[: n - j].astype(np.uint64) + np.uint64(1)) * np.uint64(pow(int(power), j, 1 << 64))
     own = np.arange(n) - np.repeat(starts[:-1], np.diff(starts)) >= WINDOW - 1
     at = np.flatnonzero(own & ((mix(h) & np.uint64((1 << CUT_BITS) - 1)) == 0)) + 1
