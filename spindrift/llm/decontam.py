@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm.common import LOWER, SPACE, documents, mix, steps, table, text_bytes, word_hashes, words
+from spindrift.llm.suffix_dedup import inside
 
 LIMIT, AIM, RECALL = 0.2, 0.1, 0.95
 ANCHOR, STEPS, SAMPLED = 6, 32, 12
@@ -56,16 +57,16 @@ def normal(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, np.searchsorted(place, offsets), place
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and document of each word that is the least of some span words in a row of its text."""
+def anchors(data: np.ndarray, offsets: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, document and hash of each word that is the least of some span words in a row of its text."""
     start, end, doc = words(data, offsets)
     if len(start) < span:
-        return start[:0], doc[:0]
+        return start[:0], doc[:0], np.zeros(0, np.uint64)
     h = word_hashes(data, start, end)
     n = len(start) - span + 1
     low = np.lib.stride_tricks.sliding_window_view(h, span)[:n].argmin(axis=1) + np.arange(n)
     low = np.unique(low[doc[:n] == doc[span - 1 :]])
-    return start[low], doc[low]
+    return start[low], doc[low], h[low]
 
 
 @dataclass
@@ -74,6 +75,7 @@ class Index:
     texts: list[bytes]
     span: int
     steps: int
+    words: np.ndarray  # hashes of the items' anchor words, ascending: a window at another word has no item's anchor
     walks: np.ndarray  # (repeats, steps, 256) bits
     samples: np.ndarray  # (repeats, steps) whether sampled
     keys: list[np.ndarray]  # by repeat, ascending
@@ -81,17 +83,31 @@ class Index:
     places: list[np.ndarray]  # offset in it of each key
 
 
-def keys_at(data: np.ndarray, at: np.ndarray, end: np.ndarray, walk: np.ndarray, sample: np.ndarray) -> np.ndarray:
-    """The key of one walk from each place; past its text's end the walk puts out 0."""
-    at = at.copy()
-    key = np.zeros(len(at), np.uint64)
-    padded = np.append(data, 0)
-    for bits, sampled in zip(walk, sample, strict=True):
-        c = np.where(at < end, padded[np.minimum(at, end)], 0)
-        if sampled:
-            key = key * MULTIPLIER + c.astype(np.uint64) + np.uint64(1)
-        at += bits[c]
-    return mix(key)
+def windows_at(data: np.ndarray, at: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """The n bytes from each place, 0 past its text's end; a walk of n steps sees no more."""
+    view = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(n, np.uint8)]), n)
+    out = view[at]
+    short = np.flatnonzero(end - at < n)
+    out[short] *= np.arange(n) < (end - at)[short, None]
+    return out
+
+
+def keys_of(windows: np.ndarray, walk: np.ndarray, sample: np.ndarray) -> np.ndarray:
+    """The key of one walk over each window; windows are taken in blocks that fit the cache."""
+    n = windows.shape[1]
+    out = np.empty(len(windows), np.uint64)
+    last = int(np.flatnonzero(sample).max()) + 1
+    for i in range(0, len(windows), 1 << 13):
+        flat = windows[i : i + (1 << 13)].ravel()
+        at = np.arange(0, len(flat), n, dtype=np.int32)
+        key = np.zeros(len(at), np.uint64)
+        for bits, sampled in zip(walk[:last], sample[:last], strict=True):
+            c = flat.take(at)
+            if sampled:
+                key = key * MULTIPLIER + c + np.uint64(1)
+            at += bits.take(c)
+        out[i : i + len(at)] = mix(key)
+    return out
 
 
 def walks_of(repeats: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,14 +122,14 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def item_places(texts: list[bytes], span: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The items' bytes, and item, place and end of each of their anchors that has half a walk of bytes after it."""
+    """Item, place in the items' bytes, word and window of each of their anchors that has half a walk of bytes after it."""
     data, offsets = joined(texts)
-    at, item = anchors(data, offsets, span)
+    at, item, word = anchors(data, offsets, span)
     end = offsets[1:][item]
     room = end - at >= n // 2 + 4
     first = np.concatenate([[True], item[1:] != item[:-1]]) if len(item) else np.zeros(0, bool)
     room |= first  # a short item has at least its first anchor
-    return data, item[room], at[room], end[room]
+    return item[room], at[room], word[room], windows_at(data, at[room], end[room], n)
 
 
 def edited(text: bytes, edits: int, rng: np.random.Generator) -> bytes:
@@ -137,13 +153,16 @@ def needed_repeats(texts: list[bytes], span: int, n: int) -> int:
         return LEAST_REPEATS
     changed = [edited(t, round(AIM * len(t)), rng) for t in some]
     walks, samples = walks_of(MOST_REPEATS, n)
-    data, item, at, end = item_places(some, span, n)
+    item, _, word, windows = item_places(some, span, n)
     other, offsets = joined(changed)
-    at2, item2 = anchors(other, offsets, span)
+    at2, item2, word2 = anchors(other, offsets, span)
+    known = inside(np.unique(word), word2)
+    at2, item2 = at2[known], item2[known]
+    windows2 = windows_at(other, at2, offsets[1:][item2], n)
     found = np.zeros(len(some), bool)
     for r in range(MOST_REPEATS):
-        a = set(zip(item.tolist(), keys_at(data, at, end, walks[r], samples[r]).tolist(), strict=True))
-        b = zip(item2.tolist(), keys_at(other, at2, offsets[1:][item2], walks[r], samples[r]).tolist(), strict=True)
+        a = set(zip(item.tolist(), keys_of(windows, walks[r], samples[r]).tolist(), strict=True))
+        b = zip(item2.tolist(), keys_of(windows2, walks[r], samples[r]).tolist(), strict=True)
         found[[i for i, k in b if (i, k) in a]] = True
         if r + 1 >= LEAST_REPEATS and found.mean() >= RECALL:
             return r + 1
@@ -158,15 +177,15 @@ def build(ids: list, texts: list[bytes]) -> Index:
     n = int(max(4, min(STEPS, 1.5 * min(lengths)))) if lengths else STEPS
     repeats = needed_repeats(texts, span, n)
     walks, samples = walks_of(repeats, n)
-    data, item, at, end = item_places(texts, span, n)
+    item, at, word, windows = item_places(texts, span, n)
     keys, items, places = [], [], []
     for r in range(repeats):
-        k = keys_at(data, at, end, walks[r], samples[r])
+        k = keys_of(windows, walks[r], samples[r])
         order = np.argsort(k, kind="stable")
         keys.append(k[order])
         items.append(item[order])
         places.append((at - offsets[item])[order])
-    return Index(ids, texts, span, n, walks, samples, keys, items, places)
+    return Index(ids, texts, span, n, np.unique(word), walks, samples, keys, items, places)
 
 
 def best_place(item: bytes, text: bytes, limit: int) -> tuple[int, int, int] | None:
@@ -191,6 +210,8 @@ def best_place(item: bytes, text: bytes, limit: int) -> tuple[int, int, int] | N
             pv, mv = ((mh << 1) | (full & ~(xv | ph))) & full, ph & xv & full
             if score < best:
                 best, where = score, j
+            if score - len(t) + j > limit and best > limit:  # each byte lowers the score by one at most
+                break
         return best, where
 
     at = text.find(item)
@@ -246,28 +267,32 @@ def _find(spark: SparkSession, docs: DataFrame, key: str, text: str, items: Data
 def matches(x: Index, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(text, item, distance, start, end) of the texts in data."""
     plain, at_doc, place = normal(data, offsets)
-    at, doc = anchors(plain, at_doc, x.span)
+    at, doc, word = anchors(plain, at_doc, x.span)
+    known = inside(x.words, word)
+    at, doc = at[known], doc[known]
     if not len(at):
         return []
-    candidates = set()
+    windows = windows_at(plain, at, at_doc[1:][doc], x.steps)
+    candidates: dict[tuple[int, int, int], list[int]] = {}
     for r in range(len(x.keys)):
         if not len(x.keys[r]):
             continue
-        k = keys_at(plain, at, at_doc[1:][doc], x.walks[r], x.samples[r])
-        low, high = np.searchsorted(x.keys[r], k, "left"), np.searchsorted(x.keys[r], k, "right")
-        for w in np.flatnonzero(high > low):
-            for e in range(low[w], high[w]):
+        k = keys_of(windows, x.walks[r], x.samples[r])
+        hits = np.flatnonzero(inside(x.keys[r], k))
+        low, high = np.searchsorted(x.keys[r], k[hits], "left"), np.searchsorted(x.keys[r], k[hits], "right")
+        for w, first, last in zip(hits, low, high, strict=True):
+            for e in range(first, last):
                 item = int(x.items[r][e])
                 slack = max(1, int(LIMIT * len(x.texts[item])))
                 begin = int(at[w] - x.places[r][e] - at_doc[doc[w]])
-                candidates.add((int(doc[w]), item, begin // slack))
+                candidates.setdefault((int(doc[w]), item, begin // slack), []).append(begin)
     best: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    for d, item, cell in sorted(candidates):
+    for (d, item, _), begins in sorted(candidates.items()):
         t = x.texts[item]
         slack = max(1, int(LIMIT * len(t)))
         base, stop = int(at_doc[d]), int(at_doc[d + 1])
-        low = max(base, base + cell * slack - slack)
-        high = min(stop, base + (cell + 1) * slack + len(t) + slack)
+        low = max(base, base + min(begins) - slack)
+        high = min(stop, base + max(begins) + len(t) + slack)
         got = best_place(t, plain[low:high].tobytes(), int(LIMIT * len(t)))
         if got:
             best.setdefault((d, item), []).append((got[0], low + got[1], low + got[2]))
