@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-SPLIT = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+SCHEME = r"[a-zA-Z][a-zA-Z0-9+.\-]*"
 
 # Query parameters that tracking adds.
 TRACKING = [
@@ -26,15 +26,13 @@ TRACKING = [
 
 
 def cleaned(url: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.coalesce(url, F.lit("")), r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
-
-
-def _group(url: Column, n: int) -> Column:
-    return F.regexp_extract(cleaned(url), SPLIT, n)
+    """url without blanks before it and tabs and line breaks in it; most URLs have none and pass after one look."""
+    some = F.coalesce(url, F.lit(""))
+    return F.when(some.rlike(r"[\x00-\x20]"), F.regexp_replace(F.regexp_replace(some, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")).otherwise(some)
 
 
 def netloc(url: Column) -> Column:
-    return _group(url, 2)
+    return F.regexp_extract(cleaned(url), rf"^(?:{SCHEME}:)?//([^/?#]*)", 1)
 
 
 def hostport(url: Column) -> Column:
@@ -49,7 +47,7 @@ def valid(url: Column) -> Column:
     """Whether the URL can be split: a port of digits up to 65535 and closed brackets."""
     p, h = port_text(url), hostport(url)
     good_port = (p == "") | (p.rlike(r"^[0-9]{1,9}$") & (F.coalesce(p.try_cast("int"), F.lit(0)) <= 65535))
-    return good_port & (h.contains("[") == h.contains("]"))
+    return F.when(~netloc(url).rlike(r"[:\[\]]"), True).otherwise(good_port & (h.contains("[") == h.contains("]")))
 
 
 def _if_valid(url: Column, value: Column) -> Column:
@@ -57,19 +55,20 @@ def _if_valid(url: Column, value: Column) -> Column:
 
 
 def scheme(url: Column) -> Column:
-    return _if_valid(url, F.lower(_group(url, 1)))
+    return _if_valid(url, F.lower(F.regexp_extract(cleaned(url), rf"^({SCHEME}):", 1)))
 
 
 def path(url: Column) -> Column:
-    return _if_valid(url, F.regexp_replace(_group(url, 3), r";[^/]*$", ""))
+    whole = F.regexp_extract(cleaned(url), rf"(?s)^(?:{SCHEME}:)?(?://[^/?#]*)?([^?#]*)", 1)
+    return _if_valid(url, F.when(cleaned(url).contains(";"), F.regexp_replace(whole, r";[^/]*$", "")).otherwise(whole))
 
 
 def query(url: Column) -> Column:
-    return _if_valid(url, _group(url, 4))
+    return _if_valid(url, F.when(cleaned(url).contains("?"), F.regexp_extract(cleaned(url), r"(?s)^[^?#]*\?([^#]*)", 1)).otherwise(""))
 
 
 def fragment(url: Column) -> Column:
-    return _if_valid(url, _group(url, 5))
+    return _if_valid(url, F.when(cleaned(url).contains("#"), F.regexp_extract(cleaned(url), r"(?s)^[^#]*#(.*)$", 1)).otherwise(""))
 
 
 def host(url: Column) -> Column:

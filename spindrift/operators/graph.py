@@ -21,11 +21,10 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 
 def resolved(links: DataFrame) -> DataFrame:
-    """links(src, link, ...) with dst; only links that need merging with their source, once each, go through Python."""
+    """links(src, link, ...) with dst; only links that need merging with their source go through Python."""
     s, x = F.col("src"), F.col("link")
-    plain = links.withColumn("dst", U.resolve_plain(x, s))
-    odd = links.where(U.is_relative(x)).select("src", "link").distinct().withColumn("merged", U.merge_reference(x, s))
-    return plain.join(odd, ["src", "link"], "left").withColumn("dst", F.coalesce("dst", "merged")).drop("merged")
+    plain = links.where(~U.is_relative(x)).withColumn("dst", U.resolve_plain(x, s))
+    return plain.unionByName(links.where(U.is_relative(x)).withColumn("dst", U.merge_reference(x, s)))
 
 
 def edges(links: DataFrame) -> DataFrame:
