@@ -259,12 +259,19 @@ class Join:
         union = staged(self.spark, union.join(several, "token", "left_semi"), "token-groups")
         one, two = (union.select("token", *(F.col(c).alias(f"{c}{i}") for c in ("g", "low", "high", "whole"))) for i in (1, 2))
         fits = F.expr(f"g1 < g2 and whole1 <> whole2 and 100 * high1 >= {self.percent} * low2 and 100 * high2 >= {self.percent} * low1")
-        pairs = one.join(two, "token").where(fits).select("g1", "g2").distinct()
+        shared = one.join(two, "token").where(fits).groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("c"), *(F.min(f"low{i}").alias(f"low{i}") for i in (1, 2)), *(F.max(f"high{i}").alias(f"high{i}") for i in (1, 2)))
+        pairs = shared.where(enough_common(self.percent)).select("g1", "g2")
         # two single sets that were compared already needn't be opened again
         grouped = [groups.select(F.col("center").alias(f"g{i}"), F.lit(1).alias(f"m{i}")).distinct() for i in (1, 2)]
         seen = tried.select(F.col("a").alias("g1"), F.col("b").alias("g2")).join(grouped[0], "g1", "left_anti").join(grouped[1], "g2", "left_anti")
         pairs = pairs.join(seen, ["g1", "g2"], "left_anti").join(grouped[0], "g1", "left").join(grouped[1], "g2", "left")
         open_ = staged(self.spark, self._in_reach(pairs), "open")
+        # centers first: groups that their links connect needn't be opened
+        found = staged(self.spark, found.union(self.linked(open_.select(F.col("g1").alias("a"), F.col("g2").alias("b")), "centers")), "found")
+        labels = connected(self.spark, found, "joined")
+        whole = [labels.select(F.col("id").alias(f"g{i}"), F.col("component").alias(f"whole{i}")) for i in (1, 2)]
+        apart = open_.join(whole[0], "g1", "left").join(whole[1], "g2", "left").where("whole1 is null or whole2 is null or whole1 <> whole2")
+        open_ = staged(self.spark, apart.select("g1", "g2"), "apart")
         inside = self.sets.select("id", "n").join(groups.select("id", "center"), "id", "left").select(F.coalesce("center", "id").alias("g"), "id", "n")
         both = open_.join(inside.select(F.col("g").alias("g1"), F.col("id").alias("x"), F.col("n").alias("nx")), "g1").join(inside.select(F.col("g").alias("g2"), F.col("id").alias("y"), F.col("n").alias("ny")), "g2")
         opened = both.where(F.expr(f"100 * least(nx, ny) >= {self.percent} * greatest(nx, ny)")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -306,6 +313,14 @@ def prefix_size_column(percent: int) -> F.Column:
     return F.expr(f"n - ceil({percent} * n / 100) + 1")
 
 
+def enough_common(percent: int) -> F.Column:
+    """Whether groups with c tokens in common can have linked members. Of linked sets of nx <= ny tokens the overlap is t (nx + ny) / (1 + t)
+    or more, and at most t ny of it lies outside the prefix that ends first; the rest is common to both prefixes."""
+    t = percent / 100
+    a, b = t / (1 + t), t / (1 + t) - t
+    return F.expr(f"c + 1e-6D >= least({a!r}D * low1 + ({b!r}D) * high2, {a!r}D * low2 + ({b!r}D) * high1)")
+
+
 def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     common = len(np.intersect1d(a, b, assume_unique=True))
     return bool(common) and 100 * common >= percent * (len(a) + len(b) - common)
