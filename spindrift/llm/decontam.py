@@ -1,12 +1,16 @@
 """Benchmark decontamination by the CGK embedding and bit-sampling LSH, with exact edit-distance verification.
 
-Item-sized windows of the documents start at anchors: words whose hash is the least of some ANCHOR words in a row, so a
-copied passage has the anchors of its item. Each window and each item anchor takes a CGK random walk: at each step
-the walk's character is put out and a random bit of that character decides whether to go on, so near texts soon walk
-in step and edit distance becomes Hamming distance. Each repeat has its own walk and samples SAMPLED of its STEPS
-outputs as a key; equal keys are candidates, verified by the edit distance of the whole item to its best place in the
-window. The number of repeats is set by simulation on the items, so that edits at AIM of an item's length are found
-with the target recall.
+A CGK random walk starts at every byte of documents and items: at each step the walk's character is put out and a random
+bit of that character decides whether to go on, so near texts soon walk in step and edit distance becomes Hamming
+distance. Each repeat has its own walk and samples SAMPLED of its STEPS outputs as a key, so a walk reads some STEPS / 2
+bytes: shorter than an item, because within a whole item at LIMIT hardly any walk stays in step. Equal keys are hits. Where
+hits of one item add up to SHARE of its length within its slack, the place is a candidate, verified by the edit distance
+of the whole item. Of a pool of walks those come first that hit edited copies often and other items rarely; the number of
+repeats is set by simulation on every item, so that LIMIT of an item's length in edits, random or evenly spaced, is
+found with the target recall.
+
+Items below LONG bytes, and all items of a block whose simulated recall stays below the target, are found without
+loss: of k + 1 pieces of an item at most k are edited, so one stands in the place as it is; any such hit is a candidate.
 
 Texts are compared with A-Z lowered and white space runs as one blank. A place matches if its edit distance is at most
 LIMIT of the item's length.
@@ -17,7 +21,7 @@ match; an empty table on either side gives an empty table; other columns are ign
 
 from __future__ import annotations
 
-import math
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,14 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import LOWER, SPACE, documents, mix, steps, table, text_bytes, word_hashes, words
-from spindrift.llm.suffix_dedup import inside
+from spindrift.llm.common import LOWER, SPACE, documents, mix, steps, table, text_bytes
 
-LIMIT, AIM, RECALL = 0.2, 0.1, 0.95
-ANCHOR, STEPS, SAMPLED = 6, 32, 12
-LEAST_REPEATS, MOST_REPEATS, SEED = 3, 12, 5
+LIMIT, RECALL = 0.2, 0.98
+STEPS, SAMPLED, POOL, MOST_REPEATS, SEED = 24, 11, 32, 12, 5
+#: Hits of a candidate as a share of its item's bytes, at least LEAST_HITS; items of fewer than LONG bytes take pieces.
+SHARE, LEAST_HITS, LONG = 0.03, 2, 64
+#: Pairs of equal keys that are held at once, and items that walks are ranked on.
+PAIRS_AT_ONCE, RANKED_ON = 1 << 22, 1000
 #: Bytes of benchmark text that is sent to all executors at a time; a larger benchmark is taken in blocks.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,79 +63,123 @@ def normal(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, np.searchsorted(place, offsets), place
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, document and hash of each word that is the least of some span words in a row of its text."""
-    start, end, doc = words(data, offsets)
-    if len(start) < span:
-        return start[:0], doc[:0], np.zeros(0, np.uint64)
-    h = word_hashes(data, start, end)
-    n = len(start) - span + 1
-    low = np.lib.stride_tricks.sliding_window_view(h, span)[:n].argmin(axis=1) + np.arange(n)
-    low = np.unique(low[doc[:n] == doc[span - 1 :]])
-    return start[low], doc[low], h[low]
+@dataclass
+class Repeat:
+    bits: np.ndarray  # (steps, 256) whether the walk goes on
+    sample: np.ndarray  # (steps,) whether sampled
+    keys: np.ndarray  # of the items, ascending
+    items: np.ndarray  # item and
+    places: np.ndarray  # offset in it of each key
+    table: np.ndarray  # whether a key has these leading bits; it rules most keys out
+    shift: np.uint64  # to the leading bits
+
+
+@dataclass
+class Seeds:
+    """Repeats whose hits are counted together."""
+
+    repeats: list[Repeat]
+    need: np.ndarray  # hits of a candidate, by item
 
 
 @dataclass
 class Index:
     ids: list
     texts: list[bytes]
-    span: int
-    steps: int
-    words: np.ndarray  # hashes of the items' anchor words, ascending: a window at another word has no item's anchor
-    walks: np.ndarray  # (repeats, steps, 256) bits
-    samples: np.ndarray  # (repeats, steps) whether sampled
-    keys: list[np.ndarray]  # by repeat, ascending
-    items: list[np.ndarray]  # item and
-    places: list[np.ndarray]  # offset in it of each key
-
-
-def windows_at(data: np.ndarray, at: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
-    """The n bytes from each place, 0 past its text's end; a walk of n steps sees no more."""
-    view = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(n, np.uint8)]), n)
-    out = view[at]
-    short = np.flatnonzero(end - at < n)
-    out[short] *= np.arange(n) < (end - at)[short, None]
-    return out
+    lengths: np.ndarray
+    seeds: list[Seeds]
 
 
-def keys_of(windows: np.ndarray, walk: np.ndarray, sample: np.ndarray) -> np.ndarray:
-    """The key of one walk over each window; windows are taken in blocks that fit the cache."""
-    n = windows.shape[1]
-    out = np.empty(len(windows), np.uint64)
+def spread(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts with n zeros after each, so that no walk of n steps sees another text; each byte's new place and text."""
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    at = np.arange(len(data)) + doc * n
+    out = np.zeros(len(data) + (len(offsets) - 1) * n, np.uint8)
+    out[at] = data
+    return out, at, doc
+
+
+def keys_of(data: np.ndarray, starts: np.ndarray, bits: np.ndarray, sample: np.ndarray) -> np.ndarray:
+    """The key of one walk from each start; starts are taken in blocks that fit the cache."""
+    out = np.empty(len(starts), np.uint64)
     last = int(np.flatnonzero(sample).max()) + 1
-    for i in range(0, len(windows), 1 << 13):
-        flat = windows[i : i + (1 << 13)].ravel()
-        at = np.arange(0, len(flat), n, dtype=np.int32)
+    for i in range(0, len(starts), 1 << 14):
+        at = starts[i : i + (1 << 14)].copy()
         key = np.zeros(len(at), np.uint64)
-        for bits, sampled in zip(walk[:last], sample[:last], strict=True):
-            c = flat.take(at)
+        for go, sampled in zip(bits[:last], sample[:last], strict=True):
+            c = data.take(at)
             if sampled:
-                key = key * MULTIPLIER + c + np.uint64(1)
-            at += bits.take(c)
+                key *= MULTIPLIER
+                key += c + np.uint64(1)
+            at += go.take(c)
         out[i : i + len(at)] = mix(key)
     return out
 
 
-def walks_of(repeats: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def walks_of(repeats: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
-    walks = rng.integers(0, 2, (repeats, n, 256), dtype=np.uint8)
+    walks = rng.integers(0, 2, (repeats, STEPS, 256), dtype=np.uint8)
     walks[:, :, 0] = 0
-    return walks, np.stack([np.isin(np.arange(n), rng.choice(n, min(SAMPLED, n), replace=False)) for _ in range(repeats)])
+    return walks, np.stack([np.isin(np.arange(STEPS), rng.choice(STEPS, SAMPLED, replace=False)) for _ in range(repeats)])
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
 
-def item_places(texts: list[bytes], span: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Item, place in the items' bytes, word and window of each of their anchors that has half a walk of bytes after it."""
+def allowed(lengths: np.ndarray) -> np.ndarray:
+    return (LIMIT * lengths).astype(np.int64)
+
+
+def repeat_of(data: np.ndarray, starts: np.ndarray, item: np.ndarray, place: np.ndarray, bits: np.ndarray, sample: np.ndarray) -> Repeat:
+    keys = keys_of(data, starts, bits, sample)
+    order = np.argsort(keys, kind="stable")
+    leading = max(20, len(keys).bit_length() + 3)
+    known, shift = np.zeros(1 << leading, bool), np.uint64(64 - leading)
+    known[keys >> shift] = True
+    return Repeat(bits, sample, keys[order], item[order].astype(np.int32), place[order].astype(np.int32), known, shift)
+
+
+def pieces(texts: list[bytes], which: np.ndarray) -> list[Seeds]:
+    """Seeds that find the given items without loss, by length of piece: walks that always go on and sample each step."""
     data, offsets = joined(texts)
-    at, item, word = anchors(data, offsets, span)
-    end = offsets[1:][item]
-    room = end - at >= n // 2 + 4
-    first = np.concatenate([[True], item[1:] != item[:-1]]) if len(item) else np.zeros(0, bool)
-    room |= first  # a short item has at least its first anchor
-    return item[room], at[room], word[room], windows_at(data, at[room], end[room], n)
+    lengths = np.diff(offsets)
+    count = allowed(lengths) + 1
+    size = lengths // count
+    out = []
+    for q in np.unique(size[which]):
+        some = which[size[which] == q]
+        item = np.repeat(some, count[some])
+        place = (np.arange(len(item)) - np.repeat(np.cumsum(count[some]) - count[some], count[some])) * q
+        go = np.ones((q, 256), np.uint8)
+        wide, at, _ = spread(data, offsets, int(q))
+        out.append(Seeds([repeat_of(wide, at[offsets[item] + place], item, place, go, np.ones(q, bool))], np.ones(len(texts), np.int64)))
+    return out
+
+
+def walked(texts: list[bytes], which: np.ndarray, bits: np.ndarray, sample: np.ndarray) -> Repeat:
+    """A walk from every byte of the given items that has half a walk of bytes after it."""
+    data, offsets = joined(texts)
+    wide, at, item = spread(data, offsets, STEPS)
+    chosen = np.isin(item, which) & (offsets[1:][item] - np.arange(len(data)) >= STEPS // 2)
+    return repeat_of(wide, at[chosen], item[chosen], (np.arange(len(data)) - offsets[item])[chosen], bits, sample)
+
+
+def ranked(texts: list[bytes], which: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The pool's walks and samples, those first with many places of edited copies in their item for few pairs by chance."""
+    some = [texts[i] for i in which[:: max(1, len(which) // RANKED_ON)]]
+    rng = np.random.default_rng(SEED + 1)
+    data, offsets = joined([spaced(t, int(LIMIT * len(t)), rng) for t in some])
+    wide, starts, doc = spread(data, offsets, STEPS)
+    rank = []
+    for bits, sample in zip(*walks_of(POOL), strict=True):
+        r = walked(some, np.arange(len(some)), bits, sample)
+        same = np.unique(r.keys, return_counts=True)[1]
+        chance = int((same * same).sum()) - len(r.keys)
+        # a key and its item as one number, so that a place counts if its own item has its key
+        own = np.isin(mix(keys_of(wide, starts, bits, sample) + doc.astype(np.uint64)), mix(r.keys + r.items.astype(np.uint64))).sum()
+        rank.append((-own / (chance + len(r.keys) / 16), len(rank), bits, sample))
+    return [x[2:] for x in sorted(rank, key=lambda x: x[:2])]
 
 
 def edited(text: bytes, edits: int, rng: np.random.Generator) -> bytes:
@@ -145,47 +195,94 @@ def edited(text: bytes, edits: int, rng: np.random.Generator) -> bytes:
     return bytes(out)
 
 
-def needed_repeats(texts: list[bytes], span: int, n: int) -> int:
-    """Repeats that find an item with AIM of its length in edits with probability RECALL, by simulation on up to 100 items."""
+def spaced(text: bytes, edits: int, rng: np.random.Generator) -> bytes:
+    """The text with that many bytes changed at even distances."""
+    out = bytearray(text)
+    for i in (np.arange(edits) * len(out) / max(1, edits) + rng.random() * len(out) / max(1, edits)).astype(int):
+        out[i] = 97 + (out[i] - 97 + int(rng.integers(1, 26))) % 26
+    return bytes(out)
+
+
+def recall(texts: list[bytes], which: np.ndarray, seeds: list[Seeds], rate: float, even: bool) -> float:
+    """Share of the given items that are candidates in copies with that rate of edits."""
     rng = np.random.default_rng(SEED)
-    some = [t for t in texts if len(t) > 20][:: max(1, len(texts) // 100)][:100]
-    if not some:
-        return LEAST_REPEATS
-    changed = [edited(t, round(AIM * len(t)), rng) for t in some]
-    walks, samples = walks_of(MOST_REPEATS, n)
-    item, _, word, windows = item_places(some, span, n)
-    other, offsets = joined(changed)
-    at2, item2, word2 = anchors(other, offsets, span)
-    known = inside(np.unique(word), word2)
-    at2, item2 = at2[known], item2[known]
-    windows2 = windows_at(other, at2, offsets[1:][item2], n)
-    found = np.zeros(len(some), bool)
-    for r in range(MOST_REPEATS):
-        a = set(zip(item.tolist(), keys_of(windows, walks[r], samples[r]).tolist(), strict=True))
-        b = zip(item2.tolist(), keys_of(windows2, walks[r], samples[r]).tolist(), strict=True)
-        found[[i for i, k in b if (i, k) in a]] = True
-        if r + 1 >= LEAST_REPEATS and found.mean() >= RECALL:
-            return r + 1
-    return MOST_REPEATS
+    data, offsets = joined([(spaced if even else edited)(texts[i], int(rate * len(texts[i])), rng) for i in which])
+    lengths = np.array([len(t) for t in texts])
+    found = np.zeros(len(which), bool)
+    for i, j in steps(offsets):
+        o = offsets[i : j + 1]
+        for s in seeds:
+            doc, item, _, _ = candidates(s, lengths, data[o[0] : o[-1]], o - o[0])
+            found[i + doc[which[i + doc] == item]] = True
+    return float(found.mean())
+
+
+def seeds_of(texts: list[bytes]) -> list[Seeds]:
+    """Pieces for short items; for the others the fewest repeats that reach RECALL at LIMIT, or pieces where none do."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    short, long = np.flatnonzero((lengths > 0) & (lengths < LONG)), np.flatnonzero(lengths >= LONG)
+    if len(long):
+        need = np.maximum(LEAST_HITS, np.ceil(SHARE * lengths).astype(np.int64))
+        repeats = []
+        for bits, sample in ranked(texts, long)[:MOST_REPEATS]:
+            repeats.append(walked(texts, long, bits, sample))
+            seeds = Seeds(repeats, need)
+            if min(recall(texts, long, [seeds], LIMIT, even) for even in (False, True)) >= RECALL:
+                return [seeds, *pieces(texts, short)]
+        logging.getLogger(__name__).warning("%d repeats don't reach a recall of %s at %s edits a byte: items are found by pieces", MOST_REPEATS, RECALL, LIMIT)
+    return pieces(texts, np.flatnonzero(lengths > 0))
 
 
 def build(ids: list, texts: list[bytes]) -> Index:
-    data, offsets = joined(texts)
-    counts = np.bincount(words(data, offsets)[2], minlength=len(texts)) if len(data) else np.zeros(len(texts), int)
-    lengths = [len(t) for t in texts if t]
-    span = int(max(1, min(ANCHOR, counts[counts > 0].min()))) if (counts > 0).any() else ANCHOR
-    n = int(max(4, min(STEPS, 1.5 * min(lengths)))) if lengths else STEPS
-    repeats = needed_repeats(texts, span, n)
-    walks, samples = walks_of(repeats, n)
-    item, at, word, windows = item_places(texts, span, n)
-    keys, items, places = [], [], []
-    for r in range(repeats):
-        k = keys_of(windows, walks[r], samples[r])
-        order = np.argsort(k, kind="stable")
-        keys.append(k[order])
-        items.append(item[order])
-        places.append((at - offsets[item])[order])
-    return Index(ids, texts, span, n, np.unique(word), walks, samples, keys, items, places)
+    return Index(ids, texts, np.array([len(t) for t in texts], np.int64), seeds_of(texts))
+
+
+def grouped(key: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By key: sum of n, least low, greatest high."""
+    if not len(key):
+        return key, n, low, high
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(n[order], first), np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
+
+
+def candidates(seeds: Seeds, lengths: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, item, least and greatest begin of the places with enough hits. Begins of one place differ by the item's slack at
+    most, so one of two bands of twice the slack, half a band apart, has all its hits."""
+    n_steps = max((len(r.sample) for r in seeds.repeats), default=0)
+    wide, starts, doc = spread(data, offsets, n_steps)
+    local = np.arange(len(data)) - offsets[doc]
+    slack = np.maximum(1, allowed(lengths))
+    bands = int((np.diff(offsets).max(initial=0) + lengths.max(initial=0)) // 2 + 3)
+    tallies: list[list[tuple]] = [[], []]
+    for r in seeds.repeats:
+        key = keys_of(wide, starts, r.bits, r.sample)
+        hits = np.flatnonzero(r.table[key >> r.shift])
+        first, count = np.searchsorted(r.keys, key[hits], "left"), np.searchsorted(r.keys, key[hits], "right")
+        count -= first
+        hits, first, count = hits[count > 0], first[count > 0], count[count > 0]
+        upto = np.cumsum(count)
+        i = 0
+        while i < len(hits):
+            before = upto[i - 1] if i else 0
+            j = max(i + 1, int(np.searchsorted(upto, before + PAIRS_AT_ONCE, "right")))
+            entry = np.arange(upto[j - 1] - before) + np.repeat(first[i:j] - (upto[i:j] - count[i:j] - before), count[i:j])
+            at, item = np.repeat(hits[i:j], count[i:j]), r.items[entry].astype(np.int64)
+            begin = local[at] - r.places[entry]
+            for half in (0, 1):
+                band = (begin + lengths[item] + half * slack[item]) // (2 * slack[item])
+                tallies[half].append(grouped((doc[at] * len(lengths) + item) * bands + band, np.ones(len(at), np.int64), begin, begin))
+            i = j
+    found = []
+    for parts in tallies:
+        if parts:
+            key, n, low, high = grouped(*[np.concatenate(x) for x in zip(*parts, strict=True)])
+            item = key // bands % len(lengths)
+            enough = n >= seeds.need[item]
+            found.append((key[enough] // bands // len(lengths), item[enough], low[enough], high[enough]))
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none, none, none)
 
 
 def best_place(item: bytes, text: bytes, limit: int) -> tuple[int, int, int] | None:
@@ -224,6 +321,15 @@ def best_place(item: bytes, text: bytes, limit: int) -> tuple[int, int, int] | N
     return distance, end - back, end
 
 
+def all_places(item: bytes, text: bytes, limit: int, base: int = 0) -> Iterator[tuple[int, int, int]]:
+    """The best place, and those beside it."""
+    got = best_place(item, text, limit) if len(text) >= len(item) - limit else None
+    if got and got[2] > got[1]:
+        yield got[0], base + got[1], base + got[2]
+        yield from all_places(item, text[: got[1]], limit, base)
+        yield from all_places(item, text[got[2] :], limit, base + got[2])
+
+
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item, distance, start, end): each place (bytes of the text) where a document has an item, the best of places that overlap."""
     spark = docs.sparkSession
@@ -267,35 +373,16 @@ def _find(spark: SparkSession, docs: DataFrame, key: str, text: str, items: Data
 def matches(x: Index, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(text, item, distance, start, end) of the texts in data."""
     plain, at_doc, place = normal(data, offsets)
-    at, doc, word = anchors(plain, at_doc, x.span)
-    known = inside(x.words, word)
-    at, doc = at[known], doc[known]
-    if not len(at):
-        return []
-    windows = windows_at(plain, at, at_doc[1:][doc], x.steps)
-    candidates: dict[tuple[int, int, int], list[int]] = {}
-    for r in range(len(x.keys)):
-        if not len(x.keys[r]):
-            continue
-        k = keys_of(windows, x.walks[r], x.samples[r])
-        hits = np.flatnonzero(inside(x.keys[r], k))
-        low, high = np.searchsorted(x.keys[r], k[hits], "left"), np.searchsorted(x.keys[r], k[hits], "right")
-        for w, first, last in zip(hits, low, high, strict=True):
-            for e in range(first, last):
-                item = int(x.items[r][e])
-                slack = max(1, int(LIMIT * len(x.texts[item])))
-                begin = int(at[w] - x.places[r][e] - at_doc[doc[w]])
-                candidates.setdefault((int(doc[w]), item, begin // slack), []).append(begin)
-    best: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    for (d, item, _), begins in sorted(candidates.items()):
-        t = x.texts[item]
-        slack = max(1, int(LIMIT * len(t)))
-        base, stop = int(at_doc[d]), int(at_doc[d + 1])
-        low = max(base, base + min(begins) - slack)
-        high = min(stop, base + max(begins) + len(t) + slack)
-        got = best_place(t, plain[low:high].tobytes(), int(LIMIT * len(t)))
-        if got:
-            best.setdefault((d, item), []).append((got[0], low + got[1], low + got[2]))
+    best: dict[tuple[int, int], set[tuple[int, int, int]]] = {}
+    for seeds in x.seeds:
+        for d, item, low, high in sorted(set(zip(*[c.tolist() for c in candidates(seeds, x.lengths, plain, at_doc)], strict=True))):
+            t = x.texts[item]
+            slack = max(1, int(LIMIT * len(t)))
+            base, stop = int(at_doc[d]), int(at_doc[d + 1])
+            low, high = max(base, base + low - slack), min(stop, base + high + len(t) + slack)
+            found = list(all_places(t, plain[low:high].tobytes(), int(LIMIT * len(t)), low))
+            if found:
+                best.setdefault((d, item), set()).update(found)
     out = []
     for (d, item), places in best.items():
         kept: list[tuple[int, int, int]] = []

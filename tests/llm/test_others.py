@@ -254,6 +254,29 @@ def test_leaks_are_found(spark):
     assert decontam.find(df, bench.limit(0)).count() == decontam.find(df.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.2])
+@pytest.mark.parametrize("kind", ["random", "even", "blanks"])
+def test_recall_at_each_rate(share, kind):
+    """All edits that verification accepts are found: anywhere, at even distances (in every word), and in place of blanks."""
+    rng, edits = random.Random(4), np.random.default_rng(8)
+    word = lambda: "".join(rng.choice("aeinorst") for _ in range(rng.randint(2, 9)))
+    texts = [" ".join(word() for _ in range(n)).encode() for n in rng.choices(range(3, 60), k=80)]
+    index = decontam.build(list(range(80)), texts)
+    change = {"random": decontam.edited, "even": decontam.spaced, "blanks": lambda t, k, _: t.replace(b" ", b"_", k)}[kind]
+    copies = [b" ".join([word().encode(), change(t, int(share * len(t)), edits), word().encode()]) for t in texts]
+    found = {(d, i) for d, i, *_ in decontam.matches(index, *decontam.joined(copies))}
+    assert sum((i, i) in found for i in range(80)) >= 0.95 * 80
+
+
+def test_short_items_lose_nothing():
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.integers(97, 123, n, np.uint8)) for n in range(1, decontam.LONG)]
+    index = decontam.build(list(range(len(texts))), texts)
+    copies = [decontam.spaced(t, int(decontam.LIMIT * len(t)), rng) for t in texts]
+    found = {(d, i) for d, i, *_ in decontam.matches(index, *decontam.joined(copies))}
+    assert all((i, i) in found for i in range(len(texts)))
+
+
 def test_best_place_equals_table():
     rng = random.Random(3)
     for _ in range(60):
