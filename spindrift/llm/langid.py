@@ -3,7 +3,8 @@
 A document is the TF-IDF vector of its hashed byte 1- to 3-grams (letters lowered, other characters
 ignored), length-normalised. Document frequencies come from every training row. Per language a bounded
 sample of training vectors is clustered by spherical k-means into several centroids. A document takes the
-language of its nearest centroid by cosine; one farther from it than the language's radius is rejected.
+language of its nearest centroid by cosine; one farther from it than the language's radius is rejected. Radii go by length: few
+letters are far from any centroid, so each class of lengths has the radius of pieces of that length of the language's sample.
 
 Defined cases: null text, or text without a letter, is language "und" with score 0, rejected; null languages
 are not learned; repeated rows count each time; with no training rows every document is "und"; ties go to the
@@ -29,8 +30,12 @@ ORDERS = ((1, 256), (2, 1024), (3, 2816))
 DIM = sum(n for _, n in ORDERS)
 #: Training vectors a language that centroids are fitted on (those of least hash), and centroids a language.
 SAMPLE, CENTROIDS, ROUNDS = 500, 4, 12
-#: A document is rejected beyond this share of the cosine that all but a hundredth of its language's sample reaches.
-RADIUS = 0.05
+#: A document is rejected beyond this share of the cosine that all but a hundredth of its language's pieces of its length reach.
+RADIUS = 0.5
+#: Texts a language needs for that; centroids of fewer are the texts themselves, whose own cosines say nothing of others, and take LOOSE of the cosine.
+LEAST_TEXTS, LOOSE = 20, 0.05
+#: Classes of lengths (powers of two of letters), bytes of a sample's text that pieces are taken from, and pieces a class needs.
+LENGTHS, PIECES_FROM, LEAST_PIECES = 10, 4096, 3
 #: ASCII letters lowered, bytes of other characters as they are, all else 0.
 LETTER = np.zeros(256, np.uint8)
 LETTER[65:91] = np.arange(97, 123)
@@ -43,7 +48,7 @@ class Model:
     langs: list[str]
     idf: np.ndarray
     centroids: np.ndarray  # (languages * CENTROIDS, DIM)
-    radius: np.ndarray  # by centroid
+    radius: np.ndarray  # by centroid and class of lengths
 
 
 def has_letter(text: Column) -> Column:
@@ -79,6 +84,36 @@ def vectors(data: np.ndarray, offsets: np.ndarray, idf: np.ndarray) -> np.ndarra
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
 
+def length_class(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The power of two of each text's letters."""
+    upto = np.concatenate([[0], np.cumsum(LETTER[data] != 0)])
+    return np.clip(np.log2(np.maximum(upto[offsets[1:]] - upto[offsets[:-1]], 1)).astype(np.int64), 0, LENGTHS - 1)
+
+
+def radii(texts: list[bytes], idf: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Radius of each class of lengths: of pieces of so many letters from the start and the middle of the texts."""
+    out = np.zeros(LENGTHS)
+    for k in range(LENGTHS):
+        parts = []
+        for t in texts:
+            at = np.flatnonzero(LETTER[np.frombuffer(t, np.uint8)])
+            parts += [t[at[i] : at[i + 2**k - 1] + 1] for i in {0, len(at) // 2} if i + 2**k <= len(at)]
+        if len(parts) < LEAST_PIECES and k:
+            out[k] = out[k - 1]  # no text is so long: the looser radius of shorter ones
+        elif parts:
+            near = (vectors(np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0] + [len(p) for p in parts]), idf) @ c.T).max(axis=1)
+            out[k] = np.quantile(near, 0.01) * RADIUS
+    return out
+
+
+def nearest_of(m: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nearest centroid of each text, the cosine to it, and whether that is beyond the radius."""
+    cosine = vectors(data, offsets, m.idf) @ m.centroids.T
+    best = cosine.argmax(axis=1)
+    score = np.clip(cosine[np.arange(len(best)), best].astype(float), 0, 1)
+    return best, score, score < m.radius[best, length_class(data, offsets)]
+
+
 def document_frequencies(train: DataFrame) -> np.ndarray:
     """Of all training rows: how many texts hold each bucket; the last entry is the number of texts. One small row a partition."""
 
@@ -130,18 +165,21 @@ def fit(docs: DataFrame, train: Column) -> Model | None:
             for i, j in steps(offsets, 1 << 20):
                 o = offsets[i : j + 1]
                 v = vectors(data[o[0] : o[-1]], o - o[0], idf)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([x.tobytes() for x in v], pa.binary())], ["lang", "doc_id", "v"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([x.tobytes() for x in v], pa.binary()), pa.array([data[a : min(a + PIECES_FROM, b)].tobytes() for a, b in zip(o[:-1], o[1:], strict=True)], pa.binary())], ["lang", "doc_id", "v", "head"])
 
     def centroids(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("doc_id").head(SAMPLE)
         v = np.stack([np.frombuffer(x, np.float32) for x in group["v"]])
         c = cluster(v, min(CENTROIDS, len(v)))
-        near = (v @ c.T).max(axis=1)
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "c": [x.tobytes() for x in c.astype(np.float32)], "radius": float(np.quantile(near, 0.01)) * RADIUS})
+        if len(v) < LEAST_TEXTS:
+            radius = np.full(LENGTHS, np.quantile((v @ c.T).max(axis=1), 0.01) * LOOSE)
+        else:
+            radius = radii(group["head"].tolist(), idf, c)
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "c": [x.tobytes() for x in c.astype(np.float32)], "radius": [radius.tolist()] * len(c)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     # a language's group is SAMPLE rows at most (more only if ids repeat, and then cut again)
-    found = sample.mapInArrow(vectorise, f"lang string, doc_id {kind}, v binary").groupBy("lang").applyInPandas(centroids, "lang string, c binary, radius double").collect()
+    found = sample.mapInArrow(vectorise, f"lang string, doc_id {kind}, v binary, head binary").groupBy("lang").applyInPandas(centroids, "lang string, c binary, radius array<double>").collect()
     found = sorted(found, key=lambda r: (r["lang"], r["c"]))
     return Model([r["lang"] for r in found], idf, np.stack([np.frombuffer(r["c"], np.float32) for r in found]), np.array([r["radius"] for r in found]))
 
@@ -162,10 +200,7 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
                 best, score, far = np.zeros(n, np.int64), np.zeros(n), np.ones(n, bool)
                 if m is not None:
                     o = offsets[i : j + 1]
-                    cosine = vectors(data[o[0] : o[-1]], o - o[0], m.idf) @ m.centroids.T
-                    best = cosine.argmax(axis=1)
-                    score = np.clip(cosine[np.arange(n), best].astype(float), 0, 1)
-                    far = score < m.radius[best]
+                    best, score, far = nearest_of(m, data[o[0] : o[-1]], o - o[0])
                 ok = known[i:j] & (m is not None)
                 langs = [m.langs[b] if k else "und" for b, k in zip(best, ok, strict=True)] if m is not None else ["und"] * n
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(langs, pa.string()), pa.array(np.where(ok, score, 0.0)), pa.array(far | ~ok)], ["key", "lang_pred", "score", "rejected"])
@@ -187,8 +222,7 @@ def keep_accepted(docs: DataFrame, model: Model | None, text: str = "text") -> D
                 keep = np.zeros(j - i, bool)
                 if m is not None:
                     o = offsets[i : j + 1]
-                    cosine = vectors(data[o[0] : o[-1]], o - o[0], m.idf) @ m.centroids.T
-                    keep = (cosine.max(axis=1) >= m.radius[cosine.argmax(axis=1)]) & flag[i:j]
+                    keep = ~nearest_of(m, data[o[0] : o[-1]], o - o[0])[2] & flag[i:j]
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(part.columns[:-1], names=part.schema.names[:-1]).filter(pa.array(keep))
 

@@ -141,6 +141,20 @@ def test_language_defined_cases(odd, empty):
     assert langid.predict(empty, model).count() == 0
 
 
+def test_foreign_scripts_and_junk_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs, crc32_text(F.col("doc_id")) % 4 != 2)
+    rng = random.Random(5)
+    letters = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(60))
+    base64 = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(400))
+    junk = [letters, base64, "это обычный русский текст о погоде и природе, который никто не ждал " * 3, "这是一个关于天气和自然的普通中文文本没有人期待它" * 4]
+    clean = [" ".join(r["text"].split()[:n]) for r in docs.where("lang = 'en' and length(text) > 400").orderBy("doc_id").limit(40).collect() for n in (3, 10, 40)]
+    df = spark.createDataFrame(list(enumerate(junk + clean)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in langid.keep_accepted(df, model).collect()}
+    assert not kept & set(range(len(junk)))
+    assert len(kept) >= 0.98 * len(clean)
+
+
 # --- chat
 def cheapest(roles):
     """Least cost over all repairs, by exhaustive search."""
