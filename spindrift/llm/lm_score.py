@@ -5,7 +5,8 @@ the REACH tokens on each side of a masked position: their embeddings, each scale
 tanh layer, and a softmax predicts the token's class; a token's probability within its class is its share of the class's
 corpus count. A document's score is the sum of the log-probabilities of all its tokens.
 
-Training masks every MASK-th position of every document (by hash), so examples grow with the corpus. It runs in rounds: each
+Each round of training masks one in MASK positions of the documents, by hash, other ones each round, and one of each document at
+least, so examples grow with the corpus. In a round each
 partition of examples makes one pass of mini-batch steps from the round's parameters, and the results are averaged by
 examples in a tree of grouped jobs, so the driver gets a few parameter sets at most.
 
@@ -29,7 +30,7 @@ from spindrift.llm.common import LOWER, documents, mix, staged, steps, text_byte
 BUCKETS, CLASSES, INPUTS = 1 << 16, 128, 1 << 12
 REACH, WIDTH = 3, 24
 OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
-MASK, ROUNDS, BATCH, RATE, SEED = 32, 3, 64, 2.0, 3
+MASK, ROUNDS, BATCH, RATE, SEED = 16, 3, 64, 2.0, 3
 #: Partitions whose parameters one group averages.
 FAN_IN = 16
 SHAPES = {"embed": (INPUTS + 1, WIDTH), "gate": (len(OFFSETS), WIDTH), "bias": (WIDTH,), "out": (WIDTH, CLASSES), "out_bias": (CLASSES,)}
@@ -152,8 +153,24 @@ def count_tokens(docs: DataFrame) -> np.ndarray:
     return counts
 
 
-def examples(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(context, klass) blobs of the masked positions of all rows, a row a step of texts."""
+def masked_at(bucket: np.ndarray, doc: np.ndarray, n: int, round_: int) -> np.ndarray:
+    """The positions that a round masks in n texts: other ones each round, and one of each text with tokens at least."""
+    if not len(doc):
+        return doc
+    first = np.searchsorted(doc, np.arange(n + 1))
+    place = np.arange(len(doc)) - first[doc]
+    # by place, and by the sum of the text's buckets, so that texts don't mask the same places
+    own = np.bincount(doc, weights=bucket, minlength=n).astype(np.uint64)[doc]
+    h = mix((place.astype(np.uint64) << np.uint64(40)) + own)
+    some = np.flatnonzero(np.diff(first))
+    turn = mix(h + np.uint64(round_))
+    least = np.zeros(n, np.uint64)
+    least[some] = np.minimum.reduceat(turn, first[some])
+    return np.flatnonzero((h % np.uint64(MASK) == round_ % MASK) | (turn == least[doc]))
+
+
+def examples(docs: DataFrame, vocabulary: Vocabulary, round_: int) -> DataFrame:
+    """(context, klass) blobs of the positions of all rows that a round masks, a row a step of texts."""
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,11 +180,7 @@ def examples(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             for i, j in steps(offsets):
                 o = offsets[i : j + 1]
                 bucket, doc = tokens(data[o[0] : o[-1]], o - o[0])
-                first = np.searchsorted(doc, np.arange(j - i + 1))
-                place = np.arange(len(doc)) - first[doc] if len(doc) else doc
-                # by place, and by the sum of the text's buckets, so that texts don't mask the same places
-                own = np.bincount(doc, weights=bucket, minlength=j - i).astype(np.uint64)[doc] if len(doc) else doc.astype(np.uint64)
-                masked = np.flatnonzero(mix((place.astype(np.uint64) << np.uint64(40)) + own) % np.uint64(MASK) == 0)
+                masked = masked_at(bucket, doc, j - i, round_)
                 c = contexts(v.row[bucket], doc, masked).astype(np.int16)
                 yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()), pa.array([v.klass[bucket[masked]].astype(np.int16).tobytes()], pa.binary())], ["context", "klass"])
 
@@ -178,9 +191,9 @@ def fit(docs: DataFrame) -> tuple[Vocabulary, np.ndarray]:
     """docs(text): counts and network of the whole corpus."""
     spark = docs.sparkSession
     vocabulary = Vocabulary.of(count_tokens(docs))
-    data = staged(spark, examples(docs, vocabulary), "masked")
     vector = initial()
     for round_ in range(ROUNDS):
+        data = staged(spark, examples(docs, vocabulary, round_), "masked")
         sent, rate = spark.sparkContext.broadcast(vector), RATE / (1 + round_)
 
         def each(batches: Iterator[pa.RecordBatch], sent=sent, rate=rate) -> Iterator[pa.RecordBatch]:  # noqa: ANN001

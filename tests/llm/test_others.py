@@ -339,6 +339,17 @@ def test_lm_scores_equal_plain_softmax():
         assert got[t] == pytest.approx(want, abs=1e-4)
 
 
+def test_rounds_mask_other_positions_of_every_text():
+    rng = np.random.default_rng(6)
+    doc = np.repeat(np.arange(40), rng.integers(0, 80, 40))
+    bucket = rng.integers(0, lm_score.BUCKETS, len(doc))
+    rounds = [lm_score.masked_at(bucket, doc, 40, r) for r in range(lm_score.ROUNDS)]
+    for at in rounds:
+        assert set(doc[at]) == set(doc)
+        assert len(at) >= len(doc) / 20
+    assert len(set(np.concatenate(rounds))) > 2 * max(len(at) for at in rounds)
+
+
 # --- pipeline
 def test_pipeline_stages_keep_columns(spark, odd):
     import corpus_pipeline
