@@ -4,8 +4,9 @@ A CGK random walk starts at every byte of documents and items: at each step the
 bit of that character decides whether to go on, so near texts soon walk in step and edit distance becomes Hamming
 distance. Each repeat has its own walk and samples SAMPLED of its STEPS outputs as a key, so a walk reads some STEPS / 2
 bytes: shorter than an item, because within a whole item at LIMIT hardly any walk stays in step. Equal keys are hits. Where
-hits of one item add up to SHARE of its length within its slack, the place is a candidate, verified by the edit distance
-of the whole item. Of a pool of walks those come first that hit edited copies often and other items rarely; the number of
+hits of one item add up to SHARE of its length in a window of the item's size, the place is a candidate. A candidate is first
+bounded from below: an item's pieces of up to 64 bytes each lie near their place, and the sum of their least edit
+distances there is at most that of the item. What remains is verified by the edit distance of the whole item. Of a pool of walks those come first that hit edited copies often and other items rarely; the number of
 repeats is set by simulation on every item, so that LIMIT of an item's length in edits, random or evenly spaced, is
 found with the target recall.
 
@@ -33,11 +34,14 @@ from pyspark.sql import functions as F
 from spindrift.llm.common import LOWER, SPACE, documents, mix, steps, table, text_bytes
 
 LIMIT, RECALL = 0.2, 0.98
+#: A walk's decisions and its byte share 32 bits, so STEPS is at most 24.
 STEPS, SAMPLED, POOL, MOST_REPEATS, SEED = 24, 11, 32, 12, 5
 #: Hits of a candidate as a share of its item's bytes, at least LEAST_HITS; items of fewer than LONG bytes take pieces.
-SHARE, LEAST_HITS, LONG = 0.03, 2, 64
-#: Pairs of equal keys that are held at once, and items that walks are ranked on.
-PAIRS_AT_ONCE, RANKED_ON = 1 << 22, 1000
+SHARE, LEAST_HITS, LONG = 0.01, 2, 64
+#: Pairs of equal keys and candidates that are held at once, and items that walks are ranked on.
+PAIRS_AT_ONCE, BOUNDED_AT_ONCE, RANKED_ON = 1 << 22, 1 << 12, 1000
+#: Classes of bytes that the lower bound tells apart; bytes of one class count as equal, so the bound holds.
+CLASSES = 32
 #: Bytes of benchmark text that is sent to all executors at a time; a larger benchmark is taken in blocks.
 BLOCK_BYTES = 4 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -65,7 +69,7 @@ def normal(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 @dataclass
 class Repeat:
-    bits: np.ndarray  # (steps, 256) whether the walk goes on
+    walk: np.ndarray  # (256,) for each byte, whether the walk goes on at each step, above the byte itself
     sample: np.ndarray  # (steps,) whether sampled
     keys: np.ndarray  # of the items, ascending
     items: np.ndarray  # item and
@@ -82,12 +86,23 @@ class Seeds:
     need: np.ndarray  # hits of a candidate, by item
 
 
+@dataclass
+class Parts:
+    """Pieces of up to 64 bytes of each item, as bit masks by class of byte; bits before a piece match everything."""
+
+    first: np.ndarray  # first piece of each item, and the end
+    start: np.ndarray  # in the item
+    size: np.ndarray
+    masks: np.ndarray  # (pieces * (CLASSES + 1),), the last class outside of the text
+
+
 @dataclass
 class Index:
-    ids: list
+    ids: list[list]  # by text
     texts: list[bytes]
     lengths: np.ndarray
     seeds: list[Seeds]
+    parts: Parts
 
 
 def spread(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,20 +114,34 @@ def spread(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, n
     return out, at, doc
 
 
-def keys_of(data: np.ndarray, starts: np.ndarray, bits: np.ndarray, sample: np.ndarray) -> np.ndarray:
+def packed(bits: np.ndarray) -> np.ndarray:
+    """A walk's decisions (steps, 256) as one number for each byte."""
+    out = np.arange(256, dtype=np.uint32)
+    for t, go in enumerate(bits):
+        out |= go.astype(np.uint32) << np.uint32(8 + t)
+    return out
+
+
+def keys_of(data: np.ndarray, starts: np.ndarray, walk: np.ndarray, sample: np.ndarray) -> np.ndarray:
     """The key of one walk from each start; starts are taken in blocks that fit the cache."""
     out = np.empty(len(starts), np.uint64)
-    last = int(np.flatnonzero(sample).max()) + 1
-    for i in range(0, len(starts), 1 << 14):
-        at = starts[i : i + (1 << 14)].copy()
-        key = np.zeros(len(at), np.uint64)
-        for go, sampled in zip(bits[:last], sample[:last], strict=True):
-            c = data.take(at)
-            if sampled:
+    size = 1 << 14
+    steps_ = walk[data]
+    v, go = np.empty(size, np.uint32), np.empty(size, np.uint32)
+    for i in range(0, len(starts), size):
+        at = starts[i : i + size].copy()
+        n = len(at)
+        a, b, key = v[:n], go[:n], np.zeros(n, np.uint64)
+        for t in range(int(np.flatnonzero(sample).max()) + 1):
+            steps_.take(at, out=a, mode="clip")
+            if sample[t]:
                 key *= MULTIPLIER
-                key += c + np.uint64(1)
-            at += go.take(c)
-        out[i : i + len(at)] = mix(key)
+                np.bitwise_and(a, np.uint32(255), out=b)
+                key += b
+            np.right_shift(a, np.uint32(8 + t), out=a)
+            a &= np.uint32(1)
+            at += a
+        out[i : i + n] = mix(key)
     return out
 
 
@@ -131,13 +160,13 @@ def allowed(lengths: np.ndarray) -> np.ndarray:
     return (LIMIT * lengths).astype(np.int64)
 
 
-def repeat_of(data: np.ndarray, starts: np.ndarray, item: np.ndarray, place: np.ndarray, bits: np.ndarray, sample: np.ndarray) -> Repeat:
-    keys = keys_of(data, starts, bits, sample)
+def repeat_of(data: np.ndarray, starts: np.ndarray, item: np.ndarray, place: np.ndarray, walk: np.ndarray, sample: np.ndarray) -> Repeat:
+    keys = keys_of(data, starts, walk, sample)
     order = np.argsort(keys, kind="stable")
     leading = max(20, len(keys).bit_length() + 3)
     known, shift = np.zeros(1 << leading, bool), np.uint64(64 - leading)
     known[keys >> shift] = True
-    return Repeat(bits, sample, keys[order], item[order].astype(np.int32), place[order].astype(np.int32), known, shift)
+    return Repeat(walk, sample, keys[order], item[order].astype(np.int32), place[order].astype(np.int32), known, shift)
 
 
 def pieces(texts: list[bytes], which: np.ndarray) -> list[Seeds]:
@@ -145,24 +174,24 @@ def pieces(texts: list[bytes], which: np.ndarray) -> list[Seeds]:
     data, offsets = joined(texts)
     lengths = np.diff(offsets)
     count = allowed(lengths) + 1
-    size = lengths // count
+    size = np.minimum(lengths // count, STEPS)
     out = []
     for q in np.unique(size[which]):
         some = which[size[which] == q]
         item = np.repeat(some, count[some])
         place = (np.arange(len(item)) - np.repeat(np.cumsum(count[some]) - count[some], count[some])) * q
-        go = np.ones((q, 256), np.uint8)
+        go = packed(np.ones((q, 256), np.uint8))
         wide, at, _ = spread(data, offsets, int(q))
         out.append(Seeds([repeat_of(wide, at[offsets[item] + place], item, place, go, np.ones(q, bool))], np.ones(len(texts), np.int64)))
     return out
 
 
-def walked(texts: list[bytes], which: np.ndarray, bits: np.ndarray, sample: np.ndarray) -> Repeat:
+def walked(texts: list[bytes], which: np.ndarray, walk: np.ndarray, sample: np.ndarray) -> Repeat:
     """A walk from every byte of the given items that has half a walk of bytes after it."""
     data, offsets = joined(texts)
     wide, at, item = spread(data, offsets, STEPS)
     chosen = np.isin(item, which) & (offsets[1:][item] - np.arange(len(data)) >= STEPS // 2)
-    return repeat_of(wide, at[chosen], item[chosen], (np.arange(len(data)) - offsets[item])[chosen], bits, sample)
+    return repeat_of(wide, at[chosen], item[chosen], (np.arange(len(data)) - offsets[item])[chosen], walk, sample)
 
 
 def ranked(texts: list[bytes], which: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -173,12 +202,13 @@ def ranked(texts: list[bytes], which: np.ndarray) -> list[tuple[np.ndarray, np.n
     wide, starts, doc = spread(data, offsets, STEPS)
     rank = []
     for bits, sample in zip(*walks_of(POOL), strict=True):
-        r = walked(some, np.arange(len(some)), bits, sample)
+        walk = packed(bits)
+        r = walked(some, np.arange(len(some)), walk, sample)
         same = np.unique(r.keys, return_counts=True)[1]
         chance = int((same * same).sum()) - len(r.keys)
         # a key and its item as one number, so that a place counts if its own item has its key
-        own = np.isin(mix(keys_of(wide, starts, bits, sample) + doc.astype(np.uint64)), mix(r.keys + r.items.astype(np.uint64))).sum()
-        rank.append((-own / (chance + len(r.keys) / 16), len(rank), bits, sample))
+        own = np.isin(mix(keys_of(wide, starts, walk, sample) + doc.astype(np.uint64)), mix(r.keys + r.items.astype(np.uint64))).sum()
+        rank.append((-own / (chance + len(r.keys) / 16), len(rank), walk, sample))
     return [x[2:] for x in sorted(rank, key=lambda x: x[:2])]
 
 
@@ -224,8 +254,8 @@ def seeds_of(texts: list[bytes]) -> list[Seeds]:
     if len(long):
         need = np.maximum(LEAST_HITS, np.ceil(SHARE * lengths).astype(np.int64))
         repeats = []
-        for bits, sample in ranked(texts, long)[:MOST_REPEATS]:
-            repeats.append(walked(texts, long, bits, sample))
+        for walk, sample in ranked(texts, long)[:MOST_REPEATS]:
+            repeats.append(walked(texts, long, walk, sample))
             seeds = Seeds(repeats, need)
             if min(recall(texts, long, [seeds], LIMIT, even) for even in (False, True)) >= RECALL:
                 return [seeds, *pieces(texts, short)]
@@ -233,8 +263,91 @@ def seeds_of(texts: list[bytes]) -> list[Seeds]:
     return pieces(texts, np.flatnonzero(lengths > 0))
 
 
+def parts_of(texts: list[bytes]) -> Parts:
+    lengths = np.array([len(t) for t in texts], np.int64)
+    count = -(-lengths // 64)
+    first = np.concatenate([[0], np.cumsum(count)])
+    masks = np.zeros((int(first[-1]), CLASSES + 1), np.uint64)
+    start, size = np.zeros(len(masks), np.int64), np.zeros(len(masks), np.int64)
+    for t, a, n in zip(texts, first, count, strict=False):
+        cuts = np.linspace(0, len(t), n + 1).astype(np.int64)
+        for i in range(n):
+            start[a + i], size[a + i] = cuts[i], cuts[i + 1] - cuts[i]
+            piece = np.frombuffer(t, np.uint8)[cuts[i] : cuts[i + 1]] % CLASSES
+            if len(piece) < 64:
+                masks[a + i] = np.uint64((1 << (64 - len(piece))) - 1)
+            for j, c in enumerate(piece):
+                masks[a + i, c] |= np.uint64(1) << np.uint64(64 - len(piece) + j)
+    return Parts(first, start, size, masks.reshape(-1))
+
+
 def build(ids: list, texts: list[bytes]) -> Index:
-    return Index(ids, texts, np.array([len(t) for t in texts], np.int64), seeds_of(texts))
+    by_text: dict[bytes, list] = {}
+    for i, t in zip(ids, texts, strict=True):
+        by_text.setdefault(t, []).append(i)
+    alone = list(by_text)
+    return Index(list(by_text.values()), alone, np.array([len(t) for t in alone], np.int64), seeds_of(alone), parts_of(alone))
+
+
+def least_distances(masks: np.ndarray, piece: np.ndarray, size: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Least edit distance of each piece to a substring of data[begin:end], bytes of one class taken as equal: Myers' bit
+    vectors, of all pieces at once."""
+    order = np.argsort(begin - end, kind="stable")  # longest first, so that those that go on are the first ones
+    begin, width, base = begin[order], np.maximum(0, (end - begin)[order]), piece[order] * (CLASSES + 1)
+    live = np.searchsorted(-width, -np.arange(width.max(initial=0)), "left")
+    at = begin + np.arange(len(live))[:, None]
+    text = np.where(at < begin + width, data.take(at, mode="clip") % CLASSES, np.uint8(CLASSES)) if len(data) else np.zeros(at.shape, np.uint8)
+    zeros = lambda: np.zeros(len(order), np.uint64)
+    one, top = np.uint64(1), np.uint64(63)
+    pv, mv, eq, xv, xh, ph = ~zeros() << (64 - size[order]).astype(np.uint64), zeros(), zeros(), zeros(), zeros(), zeros()
+    score = size[order].astype(np.uint64)
+    best = score.copy()
+    for j, n in enumerate(live):
+        if n < len(pv):
+            pv, mv, eq, xv, xh, ph = (x[:n] for x in (pv, mv, eq, xv, xh, ph))
+        masks.take(base[:n] + text[j, :n], out=eq, mode="clip")
+        np.bitwise_or(eq, mv, out=xv)
+        np.bitwise_and(eq, pv, out=xh)
+        xh += pv
+        xh ^= pv
+        xh |= eq
+        np.bitwise_or(xh, pv, out=ph)
+        np.invert(ph, out=ph)
+        ph |= mv
+        xh &= pv
+        s = score[:n]
+        np.right_shift(ph, top, out=eq)
+        s += eq
+        np.right_shift(xh, top, out=eq)
+        s -= eq
+        ph <<= one
+        xh <<= one
+        np.bitwise_or(xv, ph, out=eq)
+        np.invert(eq, out=eq)
+        np.bitwise_or(xh, eq, out=pv)
+        np.bitwise_and(ph, xv, out=mv)
+        np.minimum(best[:n], s, out=best[:n])
+    out = np.empty(len(order), np.int64)
+    out[order] = best.astype(np.int64)
+    return out
+
+
+def in_reach(x: Index, data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Whether each candidate's pieces allow a distance within the limit. A match's diagonals differ by its edits at most, so
+    each piece lies within as many bytes of the hits' diagonals."""
+    parts, limit = x.parts, allowed(x.lengths)[item]
+    total, open_ = np.zeros(len(item), np.int64), np.arange(len(item))
+    for i in range(int(np.diff(parts.first)[item].max(initial=0))):
+        here = open_[parts.first[item[open_]] + i < parts.first[item[open_] + 1]]
+        for k in range(0, len(here), BOUNDED_AT_ONCE):
+            some = here[k : k + BOUNDED_AT_ONCE]
+            piece = parts.first[item[some]] + i
+            base, at = offsets[doc[some]], parts.start[piece]
+            begin = np.maximum(base, base + low[some] + at - limit[some])
+            end = np.minimum(offsets[doc[some] + 1], base + high[some] + at + parts.size[piece] + limit[some])
+            total[some] += least_distances(parts.masks, piece, parts.size[piece], data, begin, end)
+        open_ = open_[total[open_] <= limit[open_]]
+    return total <= limit
 
 
 def grouped(key: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -257,7 +370,7 @@ def candidates(seeds: Seeds, lengths: np.ndarray, data: np.ndarray, offsets: np.
     bands = int((np.diff(offsets).max(initial=0) + lengths.max(initial=0)) // 2 + 3)
     tallies: list[list[tuple]] = [[], []]
     for r in seeds.repeats:
-        key = keys_of(wide, starts, r.bits, r.sample)
+        key = keys_of(wide, starts, r.walk, r.sample)
         hits = np.flatnonzero(r.table[key >> r.shift])
         first, count = np.searchsorted(r.keys, key[hits], "left"), np.searchsorted(r.keys, key[hits], "right")
         count -= first
@@ -363,8 +476,8 @@ def _find(spark: SparkSession, docs: DataFrame, key: str, text: str, items: Data
                 o = offsets[i : j + 1]
                 out += [(i + d, *rest) for d, *rest in matches(x, data[o[0] : o[-1]], o - o[0])]
             if out:
-                row, item, distance, start, end = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array([x.ids[k] for k in item]), pa.array(distance, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names)
+                row, item, distance, start, end = zip(*((d, i, *rest) for d, k, *rest in out for i in x.ids[k]), strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(item), pa.array(distance, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names)
 
     schema = f"key {id_type}, item {item_type}, distance long, start long, end long"
     return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(search, schema)
@@ -375,7 +488,8 @@ def matches(x: Index, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int,
     plain, at_doc, place = normal(data, offsets)
     best: dict[tuple[int, int], set[tuple[int, int, int]]] = {}
     for seeds in x.seeds:
-        for d, item, low, high in sorted(set(zip(*[c.tolist() for c in candidates(seeds, x.lengths, plain, at_doc)], strict=True))):
+        places = np.unique(np.stack(candidates(seeds, x.lengths, plain, at_doc)), axis=1)
+        for d, item, low, high in places[:, in_reach(x, plain, at_doc, *places)].T.tolist():
             t = x.texts[item]
             slack = max(1, int(LIMIT * len(t)))
             base, stop = int(at_doc[d]), int(at_doc[d + 1])
