@@ -27,10 +27,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def staged(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the cut of lineage that survives lost executors."""
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def staged(spark: SparkSession, df: DataFrame, label: str, arrow_rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: the cut of lineage that survives lost executors. arrow_rows bounds the
+    rows of a batch that goes to Python, for tables of long texts; the session's own setting comes back after."""
     path = f"{shared_dir(spark)}/spindrift/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(ARROW_ROWS)
+    try:
+        spark.conf.set(ARROW_ROWS, str(arrow_rows or before))
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

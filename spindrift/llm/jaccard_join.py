@@ -6,7 +6,9 @@ all sets follow; here frequent tokens come last, so prefixes are rare tokens.
 
 1. One pass over the text: sets' sizes, keys (equal sets, equal keys), bit signatures, and locally frequent tokens.
 2. Second pass: prefix tokens, shuffled by token in packed blocks. Tokens that one set alone has end here.
-3. Groups: each set is compared with the pivot of its size band in each of its rows; a group is a set and those linked to it.
+3. Groups: each set is compared with a pivot of its reach in each of its rows; a group is a set and those linked to it.
+   Pivots are the sets whose prefixes have the largest share of frequent tokens: a copy's edits make rare tokens, so of a
+   large group of near copies that is the text with the fewest edits, and the others link to it.
 4. The token-group matrix has the union of each group's prefix tokens and its range of sizes. Two groups that no links
    connect yet qualify if they have a row in common, their sizes allow the overlap and their centers' signatures, which
    bound overlap from above, leave their members within reach; only those are opened, and their members compared,
@@ -44,6 +46,8 @@ FLUSH, BUCKET = 1 << 19, 200_000
 BLOCK = 20_000
 #: Ids that are broadcast to filter the text; beyond it the text is shuffled.
 MAX_BROADCAST_IDS = 4_000_000
+#: Texts of a batch, and pairs of texts.
+ARROW_TEXTS, ARROW_PAIRS = 1024, 256
 
 
 def prefix_size(n: np.ndarray | int, percent: int = PERCENT):  # noqa: ANN201
@@ -88,11 +92,15 @@ class Join:
         self.spark: SparkSession = docs.sparkSession
         self.k, self.percent = k, percent
         self.docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-        passed = staged(self.spark, self.docs.mapInArrow(self._describe(), "id long, n long, set binary, bits binary, tokens binary, counts binary"), "sets")
+        passed = staged(self.spark, self.docs.mapInArrow(self._describe(), "id long, n long, set binary, bits binary, tokens binary, counts binary"), "sets", ARROW_TEXTS)
         #: (id, n, rep): each row's set size, and the least id with an equal set; null reps are empty sets
         described = passed.where("tokens is null")
-        classes = described.where("n > 0 and id is not null").groupBy("set").agg(F.min("id").alias("rep"))
-        self.members = staged(self.spark, described.join(classes, "set", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep"), F.when(F.col("id") == F.col("rep"), F.col("bits")).alias("bits")), "members")
+        full = described.where("n > 0 and id is not null")
+        # a table of its own, so that the join shuffles it anew and a set of very many copies can be split
+        classes = staged(self.spark, full.groupBy("set").agg(F.min("id").alias("rep")), "classes")
+        named = full.join(classes, "set").select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("bits")).alias("bits"))
+        rest = described.where("n = 0 or id is null").select("id", "n", F.lit(None).cast("long").alias("rep"), F.lit(None).cast("binary").alias("bits"))
+        self.members = staged(self.spark, named.unionByName(rest), "members")
         self.frequent = self._frequent(passed)
         self.sets = self.members.where("id = rep").select("id", "n", "bits").dropDuplicates(["id"])
 
@@ -156,15 +164,15 @@ class Join:
             size = 0
 
             def flush() -> pa.RecordBatch:
-                token, ids, n, late = (np.concatenate(x) for x in zip(*held, strict=True))
+                token, ids, n, late, weight = (np.concatenate(x) for x in zip(*held, strict=True))
                 bucket = (token >> np.uint64(64 - bits)).astype(np.int64)
                 salt = np.where(late, 1 + (mix(ids.view(np.uint64).copy()) % np.uint64(salts)).astype(np.int64), 0)
                 order = np.lexsort((token, salt, bucket))
-                token, ids, n, bucket, salt = (x[order] for x in (token, ids, n, bucket, salt))
+                token, ids, n, weight, bucket, salt = (x[order] for x in (token, ids, n, weight, bucket, salt))
                 cut = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (salt[1:] != salt[:-1])]))
                 ends = np.append(cut[1:], len(token))
                 blob = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())
-                return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(salt[cut]), blob(token), blob(ids), blob(n.astype(np.int32))], ["bucket", "salt", "token", "ids", "n"])
+                return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(salt[cut]), blob(token), blob(ids), blob(n.astype(np.int32)), blob(weight)], ["bucket", "salt", "token", "ids", "n", "weight"])
 
             for batch in batches:
                 data, offsets = text_bytes(batch.column(1))
@@ -182,7 +190,7 @@ class Join:
                             late = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
                         light = s[~late][:p]
                         s = np.concatenate([light, s[late][: p - len(light)]])
-                        held.append((s, np.full(p, doc, np.int64), np.full(p, n, np.int64), np.arange(p) >= len(light)))
+                        held.append((s, np.full(p, doc, np.int64), np.full(p, n, np.int64), np.arange(p) >= len(light), np.full(p, 1000 * (p - len(light)) // p, np.int16)))
                         size += p
                     if size >= FLUSH:
                         yield flush()
@@ -195,19 +203,20 @@ class Join:
         def meet(group: pd.DataFrame) -> pd.DataFrame:
             token = np.frombuffer(b"".join(group["token"]), np.uint64)
             ids, n = np.frombuffer(b"".join(group["ids"]), np.int64), np.frombuffer(b"".join(group["n"]), np.int32).astype(np.int64)
-            order = np.lexsort((ids, n, token))
-            token, ids, n = token[order], ids[order], n[order]
+            weight = np.frombuffer(b"".join(group["weight"]), np.int16)
+            order = np.lexsort((ids, -weight, token))
+            token, ids, n, weight = token[order], ids[order], n[order], weight[order]
             same = np.concatenate([[False], (token[1:] == token[:-1]) & (ids[1:] == ids[:-1])])  # copies met in one task are gone, rows may repeat
-            token, ids, n = token[~same], ids[~same], n[~same]
+            token, ids, n, weight = token[~same], ids[~same], n[~same], weight[~same]
             fresh = np.concatenate([[True], token[1:] != token[:-1]])
             run = np.cumsum(fresh) - 1
             shared = (np.bincount(run)[run] > 1) | bool(group["salt"].iloc[0])
-            token, ids, n = token[shared], ids[shared], n[shared]
-            pivot = pivots(token, n)
-            return pd.DataFrame({"token": token.view(np.int64), "id": ids, "n": n, "pivot": ids[pivot], "pivot_n": n[pivot], "often": bool(group["salt"].iloc[0])})
+            token, ids, n, weight = token[shared], ids[shared], n[shared], weight[shared]
+            pivot = pivots(token, n, percent)
+            return pd.DataFrame({"token": token.view(np.int64), "id": ids, "n": n, "pivot": ids[pivot], "pivot_n": n[pivot], "pivot_weight": weight[pivot], "often": bool(group["salt"].iloc[0])})
 
-        blocks = self.docs.mapInArrow(pack, "bucket long, salt long, token binary, ids binary, n binary")
-        return staged(self.spark, blocks.groupBy("bucket", "salt").applyInPandas(meet, "token long, id long, n long, pivot long, pivot_n long, often boolean"), "matrix")
+        blocks = self.docs.mapInArrow(pack, "bucket long, salt long, token binary, ids binary, n binary, weight binary")
+        return staged(self.spark, blocks.groupBy("bucket", "salt").applyInPandas(meet, "token long, id long, n long, pivot long, pivot_n long, pivot_weight int, often boolean"), "matrix", ARROW_TEXTS)
 
     def linked(self, pairs: DataFrame, label: str) -> DataFrame:
         """The (a, b) of pairs (ids of distinct sets) that link: sizes, then signatures, then the texts themselves."""
@@ -236,15 +245,15 @@ class Join:
                     yield pa.RecordBatch.from_arrays([c.slice(i, j - i) for c in batch.columns[:2]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         both = near.join(texts.withColumnRenamed("id", "a").withColumnRenamed("text", "text_a"), "a").join(texts.withColumnRenamed("id", "b").withColumnRenamed("text", "text_b"), "b")
-        return staged(self.spark, both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long"), f"{label}-links")
+        return staged(self.spark, both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long"), f"{label}-links", ARROW_PAIRS)
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Links found on the way (a, b), enough for the components, and the matrix rows with their sets' representatives."""
         rep = self.members.where("rep is not null").select("id", "rep").distinct()
         rows = self.matrix()
         # pivots of the salted blocks of a frequent token meet the first of their size band
-        heads = rows.where("often").select("token", "pivot", "pivot_n", F.floor(F.log("pivot_n") / F.log(F.lit(100 / self.percent))).alias("band")).distinct()
-        first = heads.groupBy("token", "band").agg(F.min(F.struct("pivot_n", "pivot")).alias("first")).select("token", "band", F.col("first.pivot").alias("first"))
+        heads = rows.where("often").select("token", "pivot", "pivot_weight", F.floor(F.log("pivot_n") / F.log(F.lit(100 / self.percent))).alias("band")).distinct()
+        first = heads.groupBy("token", "band").agg(F.min(F.struct(-F.col("pivot_weight"), "pivot")).alias("first")).select("token", "band", F.col("first.pivot").alias("first"))
         met = heads.join(first, ["token", "band"]).select(F.col("first").alias("x"), F.col("pivot").alias("y"))
         stars = rows.select(F.col("pivot").alias("x"), F.col("id").alias("y")).union(met).where("x <> y").distinct()
         named = lambda c, to: rep.select(F.col("id").alias(c), F.col("rep").alias(to))
@@ -327,14 +336,16 @@ def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def pivots(token: np.ndarray, n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """For rows sorted by token and size: the row of the pivot of each. A token's first row is one, and so is the
-    first row whose size is out of the last pivot's reach."""
+    """For rows sorted by token and by choice: the row of the pivot of each. A token's first row is one, and so is the first
+    row whose size is out of reach of those before, until none is left."""
     pivot = np.full(len(token), -1, np.int64)
-    while len(todo := np.flatnonzero(pivot < 0)):
+    todo = np.arange(len(token))
+    while len(todo):
         head = todo[np.concatenate([[True], token[todo][1:] != token[todo][:-1]])]
         mine = head[np.searchsorted(token[head], token[todo])]
-        reach = percent * n[todo] <= 100 * n[mine]
+        reach = 100 * np.minimum(n[mine], n[todo]) >= percent * np.maximum(n[mine], n[todo])
         pivot[todo[reach]] = mine[reach]
+        todo = todo[~reach]
     return pivot
 
 
