@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; a longer single text is a step of its own.
 STEP_BYTES = 1 << 19
+LONG_WORD = 512
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
 MIXERS = np.array([pow(0xD1342543DE82EF95, k + 1, 1 << 64) | 1 for k in range(8)], np.uint64)
@@ -115,11 +117,15 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each word, equal for equal words wherever they stand."""
+    """A 64-bit hash of the bytes of each word, equal for equal words wherever they stand. Words of LONG_WORD bytes or more,
+    of which there are few, take a digest: sums modulo 2**64 have known collisions among strings of a thousand bytes or so."""
     up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    out = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    for i in np.flatnonzero(end - start >= LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

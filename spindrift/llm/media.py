@@ -1,10 +1,10 @@
 """Media columns: texts as 8-bit WAV samples, short-time spectra and spectral-peak pair fingerprints.
 
 Each row's payload is stored as a mono 8-bit WAV file in a binary column of a Parquet table. Reading the
-table back, each file is opened with the wave module, framed, windowed and transformed, and the two
-strongest spectral peaks of each frame are paired with the strongest peaks of the next frames.
+table back, each file is opened with the wave module, framed, windowed and transformed, the two strongest
+spectral peaks of each frame are paired with each other and with the strongest peaks of the next frames.
 
-Defined cases: null and empty texts are 64 zero bytes; repeated rows give repeated rows with equal values;
+Defined cases: very long texts are files of their own size, framed in blocks; of peaks of equal power the lower bin comes first; null and empty texts are 64 zero bytes; repeated rows give repeated rows with equal values;
 a silent or constant frame has no peaks; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import staged, steps
+from spindrift.llm.common import staged, steps, text_bytes
 
 RATE, FRAME, HOP, REACH = 8000, 256, 128, 2
 UNIT = 64
@@ -72,13 +72,14 @@ def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fingerprint(samples: np.ndarray) -> np.ndarray:
     """Time-coded peak pairs: frame << 16 | first bin << 9 | second bin << 2 | frames between, ascending by frame."""
     at, time = peaks(samples)
-    codes = []
+    both = (at > 0).all(axis=1)
+    codes = [(time[both] << 16) | (at[both, 0] << 9) | (at[both, 1] << 2)]
     for dt in range(1, REACH + 1):
         for k in range(2):
             a, b = at[: len(at) - dt, k], at[dt:, 0]
             ok = (a > 0) & (b > 0)
             codes.append((time[: len(at) - dt][ok] << 16) | (a[ok] << 9) | (b[ok] << 2) | dt)
-    return np.sort(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
+    return np.sort(np.concatenate(codes))
 
 
 def store(spark: SparkSession, rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -86,8 +87,7 @@ def store(spark: SparkSession, rows: DataFrame, key: str = "doc_id", text: str =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.concatenate([[0], np.cumsum([len(x) if x is not None else 0 for x in batch.column(1).cast(pa.binary()).to_pylist()])]) if batch.num_rows else np.zeros(1, np.int64)
-            for i, j in steps(sizes, 8 << 20):
+            for i, j in steps(text_bytes(batch.column(1))[1], 8 << 20):
                 raw = [x or b"" for x in batch.column(1).slice(i, j - i).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(x) for x in raw], pa.int64()), pa.array([to_wav(payload_of(x)) for x in raw], pa.binary())], ["key", "n_bytes", "media"])
 
@@ -102,8 +102,7 @@ def features(media: DataFrame, key: str = "doc_id") -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.concatenate([[0], np.cumsum([len(x) for x in batch.column(2).to_pylist()])]) if batch.num_rows else np.zeros(1, np.int64)
-            for i, j in steps(sizes, 4 << 20):
+            for i, j in steps(text_bytes(batch.column(2))[1], 4 << 20):
                 part = batch.slice(i, j - i)
                 got: list[list] = [[] for _ in range(7)]
                 for stored in part.column(2).to_pylist():

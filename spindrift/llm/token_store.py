@@ -3,16 +3,18 @@
 Documents are encoded, each ended by an end id, and each id stream is cut where a hash of its last WINDOW ids has
 given low bits, so equal passages give equal chunks wherever they stand. The store has three Parquet tables:
 
-chunks    address (BLAKE2b-128 of the ids' bytes), n, ids (little-endian, 2 or 4 bytes each); each chunk once
+chunks    address (BLAKE2b-128 of the ids' bytes), ids (little-endian, 2 or 4 bytes each); each chunk once
 recipes   part, doc_id, start, n_tokens, addresses, leaf; in ascending doc_id order, part by part
-manifest  part, start, n_docs, n_tokens, root: the Merkle root of the part's leaves
+manifest  part, start, n_docs, n_tokens, width, root: bytes an id, and the Merkle root of the part's leaves
 
-A leaf hashes a document's id, token count and addresses, so roots and addresses together verify a reconstruction.
+A leaf hashes a document's id, token count and addresses, so roots and addresses together verify a reconstruction. Whatever is
+read goes through them: recipes whose leaves don't give the manifest's root, chunks that are missing or don't fit their
+address, and documents whose chunks don't have its token count are errors.
 
 Words (runs without ASCII white space, which this kind of vocabulary never spans) are encoded by the tokenizers
 library once a worker and kept by 64-bit hash, MEMO words at most.
 
-Defined cases: null and empty texts have the end id alone; a null id sorts first; rows with equal ids follow each
+Defined cases: null and empty texts have the end id alone; very long texts are many chunks of MOST ids at most; a null id sorts first; rows with equal ids follow each
 other in order of their addresses; an empty table gives empty tables; other columns are ignored.
 """
 
@@ -234,7 +236,7 @@ class Store:
         leaf = F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), F.lit(":").cast("binary"), F.col("n_tokens").cast("string").cast("binary"), F.lit(":").cast("binary"), F.aggregate("addresses", F.lit(b""), lambda a, x: F.concat(a, x))), 256))
         recipes = placed.join(F.broadcast(before.select("part", "before")) if n_parts <= 1_000_000 else before.select("part", "before"), "part").select("part", "doc_id", (F.col("before") + F.coalesce(F.sum("n_tokens").over(running), F.lit(0))).alias("start"), "n_tokens", "addresses", leaf.alias("leaf"))
         store._put(recipes.sortWithinPartitions("part", "start"), "recipes")
-        store._put(store.roots().join(before.select("part", "n_docs", F.col("total").alias("n_tokens"), F.col("before").alias("start")), "part"), "manifest")
+        store._put(store.roots().join(before.select("part", "n_docs", F.col("total").alias("n_tokens"), F.col("before").alias("start"), F.lit(4 if encoder(vocabulary).wide else 2).alias("width")), "part"), "manifest")
         return store
 
     def _put(self, df: DataFrame, name: str) -> None:
@@ -248,55 +250,78 @@ class Store:
 
         return self.table("recipes").select("part", "start", "leaf").groupBy("part").applyInPandas(root, "part int, root binary")
 
+    def verified(self) -> DataFrame:
+        """(doc_id, start, n_tokens, addresses) of the recipes; an error where a part's leaves don't give the manifest's root or its
+        documents, token counts and starts aren't the manifest's."""
+
+        def check(recipes: pa.Table, entry: pa.Table) -> pa.Table:
+            recipes = recipes.sort_by("start").combine_chunks()
+            ids, starts, n = (recipes.column(c).to_pylist() for c in ("doc_id", "start", "n_tokens"))
+            leaves = [hashlib.sha256(b"%s:%d:%s" % (b"" if i is None else str(i).encode(), k, b"".join(a))).digest() for i, k, a in zip(ids, n, recipes.column("addresses").to_pylist(), strict=True)]
+            found = [(len(ids), sum(n), starts[0] if ids else 0, merkle_root(leaves))]
+            if found != [tuple(r[c] for c in ("n_docs", "n_tokens", "start", "root")) for r in entry.to_pylist()] or starts != np.cumsum([found[0][2], *n])[:-1].tolist():
+                raise ValueError("recipes and manifest differ")
+            return recipes.select(["doc_id", "start", "n_tokens", "addresses"])
+
+        recipes = self.table("recipes").select("part", "doc_id", "start", "n_tokens", "addresses").groupBy("part")
+        return recipes.cogroup(self.table("manifest").groupBy("part")).applyInArrow(check, "doc_id long, start long, n_tokens long, addresses array<binary>")
+
+    def _width(self) -> int:
+        """Bytes an id."""
+        one = self.table("manifest").select("width").first()
+        return one["width"] if one else 2
+
     def checked_chunks(self) -> DataFrame:
-        """(address, n, crc) of each stored chunk, from its bytes; an error where bytes and address differ."""
-        wide_of = {2: np.uint16, 4: np.uint32}
-        width = self._width()
+        """(address, ids, n, crc) of each stored chunk, from its bytes; an error where bytes and address differ."""
+        kind = f"<u{self._width()}"
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                names, n, crc = batch.column(0).to_pylist(), [], []
-                for name, raw in zip(names, batch.column(1).to_pylist(), strict=True):
+                n, crc = [], []
+                for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     if address(raw) != name:
                         raise ValueError(f"chunk {name.hex()} is damaged")
-                    ids = np.frombuffer(raw, wide_of[width]).astype("<u4")
+                    ids = np.frombuffer(raw, kind).astype("<u4")
                     n.append(len(ids))
                     crc.append(zlib.crc32(ids.tobytes()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["address", "n", "crc"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["address", "ids", "n", "crc"])
 
-        return self.table("chunks").mapInArrow(check, "address binary, n long, crc long")
+        return self.table("chunks").select("address", "ids").mapInArrow(check, "address binary, ids binary, n long, crc long")
 
-    def _width(self) -> int:
-        """Bytes an id, from one recipe and its chunks."""
-        one = self.table("recipes").limit(1)
-        got = one.select("n_tokens", F.explode("addresses").alias("address")).join(self.table("chunks"), "address").groupBy("n_tokens").agg(F.sum(F.octet_length("ids")).alias("bytes")).first()
-        return int(got["bytes"] // got["n_tokens"]) if got else 2
+    def _parts(self, *columns: str) -> DataFrame:
+        """(doc_id, start, n_tokens, parts): each verified recipe with its chunks' columns; missing chunks have nulls."""
+        uses = self.verified().select("doc_id", "start", "n_tokens", F.posexplode("addresses").alias("at", "address"))
+        found = uses.join(self.checked_chunks().select("address", *columns), "address", "left")
+        return found.groupBy("doc_id", "start", "n_tokens").agg(F.collect_list(F.struct("at", *columns)).alias("parts"))
 
     def facts(self) -> DataFrame:
-        """(doc_id, start, n_tokens, ids_crc32) of each document, from the stored chunks and recipes."""
+        """(doc_id, start, n_tokens, ids_crc32) of each document, from the stored chunks and verified recipes."""
 
         def join_crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                crcs = [joined_crc([(p["crc"], 4 * p["n"]) for p in sorted(parts, key=lambda p: p["at"])]) for parts in batch.column(2).to_pylist()]
-                n = [sum(p["n"] for p in parts) for parts in batch.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                crcs = []
+                for doc, n, parts in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                    if n != sum(p["n"] or 0 for p in parts):
+                        raise ValueError(f"chunks of document {doc} are missing")
+                    crcs.append(joined_crc([(p["crc"], 4 * p["n"]) for p in sorted(parts, key=lambda p: p["at"])]))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-        uses = self.table("recipes").select("doc_id", "start", F.posexplode("addresses").alias("at", "address"))
-        found = uses.join(self.checked_chunks(), "address").groupBy("doc_id", "start").agg(F.collect_list(F.struct("at", "n", "crc")).alias("parts"))
-        return found.mapInArrow(join_crcs, "doc_id long, start long, n_tokens long, ids_crc32 long")
+        return self._parts("n", "crc").mapInArrow(join_crcs, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
     def read(self) -> DataFrame:
-        """(doc_id, start, ids array<long>): every document put together again from its recipe."""
-        kind = {2: "<u2", 4: "<u4"}[self._width()]
+        """(doc_id, start, ids array<long>): every document put together again from its verified recipe."""
+        kind = f"<u{self._width()}"
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids = [np.frombuffer(b"".join(p["ids"] for p in sorted(parts, key=lambda p: p["at"])), kind).astype(np.int64) for parts in batch.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "start", "ids"])
-
-        uses = self.table("recipes").select("doc_id", "start", F.posexplode("addresses").alias("at", "address"))
-        found = uses.join(self.table("chunks"), "address").groupBy("doc_id", "start").agg(F.collect_list(F.struct("at", "ids")).alias("parts"))
-        return found.mapInArrow(build, "doc_id long, start long, ids array<long>")
+                ids = []
+                for doc, n, parts in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                    ids.append(np.frombuffer(b"".join(p["ids"] or b"" for p in sorted(parts, key=lambda p: p["at"])), kind).astype(np.int64))
+                    if n != len(ids[-1]):
+                        raise ValueError(f"chunks of document {doc} are missing")
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "start", "ids"])
+
+        return self._parts("ids").mapInArrow(build, "doc_id long, start long, ids array<long>")
 
     def verify(self) -> DataFrame:
         """(part, ok): whether each part's recipes still give the manifest's root."""

@@ -51,14 +51,30 @@ def test_equal_chunks_are_stored_once(spark, documents):
     assert chunks.count() < store.table("recipes").select(F.explode("addresses")).count() / 1.9
 
 
-def test_damage_is_found(spark, odd):
+@pytest.mark.parametrize(
+    ("name", "change", "error"),
+    [
+        ("chunks", lambda df: df.withColumn("ids", F.concat("ids", F.lit(b"\x05\x00"))), "damaged"),
+        ("chunks", lambda df: df.limit(0), "missing"),
+        ("recipes", lambda df: df.withColumn("addresses", F.reverse("addresses")), "differ"),
+        ("recipes", lambda df: df.where("start > 0"), "differ"),
+        ("recipes", lambda df: df.withColumn("doc_id", F.col("doc_id") + 1), "differ"),
+        ("manifest", lambda df: df.withColumn("root", F.unhex(F.sha2("root", 256))), "differ"),
+    ],
+)
+def test_damage_is_found(spark, odd, name, change, error):
     store = Store.write(odd, P.path("word_bpe_49k.json"))
-    bad = store.table("chunks").withColumn("ids", F.concat("ids", F.lit(b"\x05\x00")))
     broken = Store(spark, store.path + "-bad")
-    broken._put(bad, "chunks")
-    broken._put(store.table("recipes"), "recipes")
-    with pytest.raises(Exception, match="damaged"):
-        broken.checked_chunks().collect()
+    for table in ("chunks", "recipes", "manifest"):
+        broken._put(change(store.table(table)) if table == name else store.table(table), table)
+    for read in (broken.facts, broken.read):
+        with pytest.raises(Exception, match=error):
+            read().collect()
+
+
+def test_store_of_empty_table(spark, empty):
+    store = Store.write(empty, P.path("word_bpe_49k.json"))
+    assert store.facts().count() == store.read().count() == store.verify().count() == 0
 
 
 def test_crc_of_joined_parts():
@@ -97,6 +113,29 @@ def test_fingerprint_of_a_tone():
     assert len(media.fingerprint(np.full(500, 128, np.uint8))) == 0
 
 
+def test_fingerprint_equals_plain_transform():
+    """Peaks and pairs by the definition of the discrete Fourier transform, short payloads included."""
+    rng = np.random.default_rng(0)
+    for size in (64, 256, 320, 704):
+        samples = rng.integers(97, 123, size).astype(np.uint8)
+        n = 1 + max(0, -(-(size - media.FRAME) // media.HOP))
+        tops = []
+        for f in range(n):
+            frame = [float(samples[i]) - 128 if i < size else 0.0 for i in range(f * media.HOP, f * media.HOP + media.FRAME)]
+            x = np.array(frame) * media.WINDOW
+            power = [abs(np.sum(x * np.exp(-2j * np.pi * k * np.arange(media.FRAME) / media.FRAME))) ** 2 for k in range(media.FRAME // 2 + 1)]
+            maxima = [k for k in range(1, media.FRAME // 2) if power[k] > power[k - 1] and power[k] >= power[k + 1] and power[k] > 1]
+            tops.append([*sorted(maxima, key=lambda k: (-power[k], k))[:2], 0, 0][:2])
+        want = [(f << 16) | (a << 9) | (b << 2) for f, (a, b) in enumerate(tops) if a and b]
+        want += [(f << 16) | (tops[f][k] << 9) | (tops[f + d][0] << 2) | d for d in (1, 2) for f in range(n - d) for k in (0, 1) if tops[f][k] and tops[f + d][0]]
+        assert media.fingerprint(samples).tolist() == sorted(want)
+        assert want
+
+
+def test_media_of_empty_table(spark, empty):
+    assert media.features(media.store(spark, empty)).count() == 0
+
+
 # --- quality
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
@@ -227,10 +266,52 @@ def test_mixing_meets_limit_and_budget(spark):
         assert times[r["source"]] * t - most - 1 <= r["t"] <= times[r["source"]] * t + 1
 
 
-def test_mixing_to_entropy():
+def test_mixing_to_entropy(spark):
     shares = [0.6, 0.3, 0.1]
     entropy = lambda a: -sum(w * np.log(w) for w in mixing.weights_at(shares, a))
     assert entropy(mixing.bisect_alpha(shares, entropy=1.0)) == pytest.approx(1.0, abs=1e-6)
+    df = spark.createDataFrame([(s,) for s in shares], "s double")
+    assert entropy(mixing.entropy_alpha(df, 1.0)) == pytest.approx(1.0, abs=1e-6)
+    assert mixing.entropy_alpha(df, 2.0) == 0.0
+    assert mixing.entropy_alpha(df, 0.1) == 1.0
+
+
+def test_blocks_are_permuted_one_to_one(spark):
+    got = spark.range(mixing.BLOCKS).select(*[mixing.permuted(F.col("id"), F.lit(p), F.lit(s), 7).alias(f"{p}{s}") for p in range(3) for s in ("=a", "=b")]).toPandas()
+    orders = [got[c].tolist() for c in got]
+    assert all(sorted(o) == list(range(mixing.BLOCKS)) for o in orders)
+    assert len({tuple(o) for o in orders}) == len(orders)
+    assert all(np.mean(np.diff(o) == 1) < 0.01 for o in orders)
+
+
+def test_mixing_equals_plain_passes(spark):
+    """Whole passes have every row; the partial one is the longest prefix, by block and place, within its budget."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source", "text")
+    rows = mixing.mix_sources(docs, max_repeats=2.7).collect()
+    tokens = {r["doc_id"]: (r["source"], len((r["text"] or "").split())) for r in docs.collect()}
+    totals = {}
+    for s, n in tokens.values():
+        totals[s] = totals.get(s, 0) + n
+    names = sorted(totals)
+    shares = [totals[s] / sum(totals.values()) for s in names]
+    for s, times in zip(names, mixing.repeats_at(shares, mixing.bisect_alpha(shares, 2.7)), strict=True):
+        own = [r for r in rows if r["source"] == s]
+        whole, docs_of = int(times + 1e-9), {d for d, (x, _) in tokens.items() if x == s}
+        for p in range(whole):
+            assert sorted(r["doc_id"] for r in own if r["__mix_pass"] == p) == sorted(docs_of)
+        last = [r["doc_id"] for r in own if r["__mix_pass"] == whole]
+        budget = max(0.0, times - whole) * totals[s]
+        assert {r["__mix_pass"] for r in own} <= set(range(whole + 1))
+        place = {r["doc_id"]: (r["__mix_block"], r["__mix_place"]) for r in own if r["__mix_pass"] == whole}
+        used = sum(tokens[d][1] for d in last)
+        assert used <= budget + 1
+        if last and set(last) < docs_of:
+            # the next document in the order of the pass wouldn't fit
+            order = spark.createDataFrame([(d,) for d in sorted(docs_of)], "d long").select("d", mixing.permuted(mixing.block_of(F.col("d"), 7), F.lit(whole), F.lit(f"={s}"), 7).alias("b"), mixing.place(F.col("d"), F.lit(whole), 7).alias("p")).collect()
+            order = [r["d"] for r in sorted(order, key=lambda r: (r["b"], r["p"]))]
+            assert set(order[: len(last)]) == set(last)
+            assert used + tokens[order[len(last)]][1] > budget - 1
+            assert all(place[d] <= place[order[len(last) - 1]] for d in last)
 
 
 def test_mixing_defined_cases(odd, empty):
@@ -291,6 +372,35 @@ def test_short_items_lose_nothing():
     assert all((i, i) in found for i in range(len(texts)))
 
 
+def test_bound_is_below_the_distance():
+    """The sum of the pieces' least distances never exceeds that of the item, and is it for one piece."""
+    rng = random.Random(8)
+    for _ in range(60):
+        item, text = (bytes(rng.choices(b"abcd ", k=rng.randint(1, n))) for n in (200, 260))
+        parts = decontam.parts_of([item])
+        n = int(parts.first[1])
+        data, zero = np.frombuffer(text, np.uint8), np.zeros(n, np.int64)
+        got = decontam.least_distances(parts.masks, np.arange(n), parts.size, data, zero, zero + len(text))
+        row = [0] * (len(text) + 1)
+        for i, x in enumerate(item, 1):
+            new = [i]
+            for j, y in enumerate(text, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        assert got.sum() <= min(row)
+        if n == 1:
+            assert got.sum() == min(row)
+
+
+def test_decontamination_defined_cases(spark, odd):
+    text = "the quick brown fox jumps over the lazy dog and runs far away from here today"
+    bench = spark.createDataFrame([(1, text), (2, text), (3, None), (4, "")], "item_id long, text string").withColumn("key", F.lit("own"))
+    found = [(r["doc_id"], r["item_id"], r["distance"]) for r in decontam.find(odd, bench).collect()]
+    assert sorted(found) == [(1, 1, 0), (1, 2, 0), (2, 1, 0), (2, 2, 0)]
+    long = spark.createDataFrame([(5, "some words before it " * 9000 + text)] * 2, "doc_id long, text string")
+    assert [r["doc_id"] for r in decontam.find(long, bench.where("item_id = 1")).collect()] == [5, 5]
+
+
 def test_best_place_equals_table():
     rng = random.Random(3)
     for _ in range(60):
