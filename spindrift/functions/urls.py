@@ -16,6 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 SCHEME = r"[a-zA-Z][a-zA-Z0-9+.\-]*"
+PORT = r"(?=[0-9]{1,9}$)0*(?:[0-9]{1,4}|[1-5][0-9]{4}|6[0-4][0-9]{3}|65[0-4][0-9]{2}|655[0-2][0-9]|6553[0-5])"
+#: URLs of a lowered scheme and a location without port, user or brackets, followed by a slash or nothing: their first
+#: pieces between slashes are their scheme and location.
+PLAIN = r"^[a-z][a-z0-9+.\-]*+://[^/?#\x00-\x20:\[\]@]++(?:/|$)"
+#: What follows the last @: brackets both ways or not at all, and after the last colon nothing or a port.
+LOCATION = rf"^(?:[\s\S]*@)?(?=[^@]*$)(?:(?![^@]*[\[\]])|(?=[^@]*\[)(?=[^@]*\]))(?:(?![^@]*:[^:\]]*$)|(?=[^@]*:(?:{PORT})?$))"
 
 # Query parameters that tracking adds.
 TRACKING = [
@@ -26,9 +32,8 @@ TRACKING = [
 
 
 def cleaned(url: Column) -> Column:
-    """url without blanks before it and tabs and line breaks in it; most URLs have none and pass after one look."""
-    some = F.coalesce(url, F.lit(""))
-    return F.when(some.rlike(r"[\x00-\x20]"), F.regexp_replace(F.regexp_replace(some, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")).otherwise(some)
+    """url without blanks before it and tabs and line breaks in it. One node, since other expressions contain it often."""
+    return F.regexp_replace(F.coalesce(url, F.lit("")), r"^[\x00-\x20]+|[\t\r\n]", "")
 
 
 def netloc(url: Column) -> Column:
@@ -45,9 +50,7 @@ def port_text(url: Column) -> Column:
 
 def valid(url: Column) -> Column:
     """Whether the URL can be split: a port of digits up to 65535 and closed brackets."""
-    p, h = port_text(url), hostport(url)
-    good_port = (p == "") | (p.rlike(r"^[0-9]{1,9}$") & (F.coalesce(p.try_cast("int"), F.lit(0)) <= 65535))
-    return F.when(~netloc(url).rlike(r"[:\[\]]"), True).otherwise(good_port & (h.contains("[") == h.contains("]")))
+    return netloc(url).rlike(LOCATION)
 
 
 def _if_valid(url: Column, value: Column) -> Column:
@@ -95,23 +98,38 @@ def path_depth(url: Column) -> Column:
 
 
 def base_url(url: Column) -> Column:
-    return F.concat(scheme(url), F.lit("://"), netloc(url))
+    return F.when(url.rlike(PLAIN), F.substring_index(url, "/", 3)).otherwise(F.concat(scheme(url), F.lit("://"), netloc(url)))
+
+
+def location(url: Column) -> Column:
+    """netloc(), without a search in plain URLs."""
+    return F.when(url.rlike(PLAIN), F.split_part(url, F.lit("/"), F.lit(3))).otherwise(netloc(url))
 
 
 def same_domain(a: Column, b: Column) -> Column:
     """Equal, case-sensitive network locations, port included; false where either is empty."""
-    return (netloc(a) == netloc(b)) & (netloc(a) != "")
+    return (location(a) == location(b)) & (location(a) != "")
+
+
+def has_dots(link: Column) -> Column:
+    """Whether a path has a segment of one or two dots."""
+    return link.contains("/.") & link.rlike(r"/\.\.?(/|$)")
+
+
+def on_own_site(link: Column, source: Column) -> Column:
+    """Whether a link is a path on its plain source's site, so that its target needs no search; see PLAIN."""
+    return F.coalesce(link.startswith("/") & ~link.startswith("//") & ~link.contains("/.") & source.rlike(PLAIN), F.lit(False))
 
 
 def resolve_plain(link: Column, source: Column) -> Column:
     """Links that need no merging: empty and fragment links have no target, // takes https, / takes the source's base and
-    whatever starts with http stays. Other links are null here; see resolve()."""
-    base = base_url(source)
+    whatever starts with http stays. Other links are null here; see merge_reference()."""
     return (
-        F.when(F.coalesce(link, F.lit("")) == "", F.lit(None).cast("string"))
+        F.when(on_own_site(link, source), F.concat(F.substring_index(source, "/", 3), link))
+        .when(F.coalesce(link, F.lit("")) == "", F.lit(None).cast("string"))
         .when(link.startswith("#"), F.lit(None).cast("string"))
         .when(link.startswith("//"), F.concat(F.lit("https:"), link))
-        .when(link.startswith("/") & ~link.rlike(r"(^|/)\.\.?(/|$)"), F.concat(base, link))
+        .when(link.startswith("/") & ~has_dots(link), F.concat(base_url(source), link))
         .when(link.startswith("http"), link)
     )
 
@@ -125,7 +143,7 @@ def merge_reference(links: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
 
 def is_relative(link: Column) -> Column:
     """Whether a link needs merging with its source."""
-    return (F.coalesce(link, F.lit("")) != "") & ~link.startswith("#") & ~link.startswith("//") & ~link.startswith("http") & (~link.startswith("/") | link.rlike(r"(^|/)\.\.?(/|$)"))
+    return (F.coalesce(link, F.lit("")) != "") & ~link.startswith("#") & ~link.startswith("//") & ~link.startswith("http") & (~link.startswith("/") | has_dots(link))
 
 
 def fragment_class(f: Column) -> Column:

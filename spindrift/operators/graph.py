@@ -7,19 +7,34 @@ import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from spindrift.functions import urls as U
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """df written to the folder that all executors share (spark.checkpoint.dir) and read back: the cut of lineage in loops."""
+    """df written to the folder that all executors share (spark.checkpoint.dir) and read back: the cut of lineage in loops,
+    and of plans that would repeat df. A folder of the driver's own serves where everything runs in one process."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='spindrift-')}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='spindrift-')}"
     path = f"{root.rstrip('/')}/spindrift/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: str) -> DataFrame:
+    """df with ordinal, its rows' places in that order from 0: ranges are sorted on their own and begin where those before end."""
+    ranges = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    ranges = staged(ranges, "ranges")
+    sizes = ranges.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))  # a row a range
+    return ranges.join(F.broadcast(before), "part").select((F.col("before") + F.col("at")).alias("ordinal"), *df.columns)
+
+
 def resolved(links: DataFrame) -> DataFrame:
     """links(src, link, ...) with dst; only links that need merging with their source go through Python."""
     s, x = F.col("src"), F.col("link")
@@ -29,7 +44,10 @@ def resolved(links: DataFrame) -> DataFrame:
 
 def edges(links: DataFrame) -> DataFrame:
     """Distinct internal (src, dst): targets on the source's own network location, crawled or not, self-links included."""
-    return resolved(links).where(U.same_domain(F.col("src"), F.col("dst"))).select("src", "dst").distinct()
+    own = U.on_own_site(F.col("link"), F.col("src"))
+    # before anything is resolved, since pages repeat their links; a table, since both kinds of links are taken from it
+    once = staged(links.select("src", "link").where("link is not null").distinct(), "links")
+    return resolved(once).where(F.when(own, True).otherwise(U.same_domain(F.col("src"), F.col("dst")))).select("src", "dst").distinct()
 
 
 def degrees(site: DataFrame, e: DataFrame) -> DataFrame:
@@ -51,6 +69,7 @@ def network_metrics(site: DataFrame, e: DataFrame) -> DataFrame:
 
 def centrality(d: DataFrame, n: int = 20) -> DataFrame:
     """The n pages of each measure with the highest value, ties by first occurrence; betweenness prefers crawl depth 3."""
+    d = staged(d, "degrees")  # read once a measure
     measures = {"degree": (F.col("in_degree") + F.col("out_degree")).cast("double"), "in_degree": F.col("in_degree").cast("double"), "out_degree": F.col("out_degree").cast("double"), "betweenness": 1 / (1 + F.abs(F.col("depth") - 3.0))}
     parts = [d.select(F.lit(k).alias("measure"), "url", v.alias("value"), "ordinal").orderBy(F.desc("value"), "ordinal").limit(n) for k, v in measures.items()]
     out = parts[0]
@@ -60,11 +79,14 @@ def centrality(d: DataFrame, n: int = 20) -> DataFrame:
 
 
 def clustering(site: DataFrame, e: DataFrame) -> DataFrame:
-    """Local directed clustering of each page: links among its out-neighbours over k (k - 1)."""
+    """Local directed clustering of each page: links among its out-neighbours over k (k - 1). A link a -> b counts for the
+    pages that link to both; they are looked up at whichever of the two has fewer links to it, so hubs aren't multiplied out."""
     e = e.select("src", "dst")
     k = e.groupBy(F.col("src").alias("url")).agg(F.count("*").alias("k")).where("k >= 2")
-    u = e.join(k.select(F.col("url").alias("src")), "src", "left_semi")
-    pairs = u.select(F.col("src").alias("u"), F.col("dst").alias("a")).join(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), "a").where("a <> b")
+    linked = e.groupBy("dst").agg(F.count("*").alias("n"))
+    both = e.where("src <> dst").join(linked.select(F.col("dst").alias("src"), F.col("n").alias("na")), "src").join(linked.withColumnRenamed("n", "nb"), "dst")
+    via = both.select(F.when(F.col("na") <= F.col("nb"), F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(F.col("na") <= F.col("nb"), F.col("dst")).otherwise(F.col("src")).alias("b"))
+    pairs = via.join(e.select(F.col("src").alias("u"), F.col("dst").alias("a")), "a")
     closed = pairs.join(e.select(F.col("src").alias("u"), F.col("dst").alias("b")), ["u", "b"], "left_semi").groupBy(F.col("u").alias("url")).agg(F.count("*").alias("links"))
     return site.select("ordinal", "url").join(k, "url", "left").join(closed, "url", "left").select("ordinal", "url", F.coalesce(F.col("links") / (F.col("k") * (F.col("k") - 1)), F.lit(0.0)).alias("coefficient"))
 
@@ -99,8 +121,6 @@ def hits(d: DataFrame, e: DataFrame) -> DataFrame:
 
 def communities(pages: DataFrame, n: int = 20) -> DataFrame:
     """First path segments (root if none) with the most pages."""
-    from pyspark.sql.window import Window as W
-
     seg = F.coalesce(F.get(U.segments(U.path(F.col("url"))), F.lit(0)), F.lit("root"))
     counts = pages.groupBy(seg.alias("community")).agg(F.count("*").alias("pages"))
     return counts.withColumn("percentage", F.col("pages") * 100.0 / F.sum("pages").over(W.partitionBy())).orderBy(F.desc("pages"), "community").limit(n)
@@ -185,14 +205,17 @@ def page_importance(d: DataFrame, n: int = 30) -> DataFrame:
 
 def reach_components(site: DataFrame, e: DataFrame) -> DataFrame:
     """(url, component): the first crawled page, in input order, that reaches a page over parents both ways and links forward.
-    Uncrawled parents are members, uncrawled link targets aren't. Labels spread until no one changes; each round is a written table."""
+    Uncrawled parents are members, uncrawled link targets aren't. Labels spread along the ways and jump to the label of the
+    page they name, which reaches whatever that page reaches, until no one changes; each round is a written table."""
     pairs = parent_pairs(site)
-    nodes = site.select("url", F.col("ordinal").alias("label")).unionByName(pairs.select(F.col("parent").alias("url"), F.lit(None).cast("long").alias("label"))).groupBy("url").agg(F.min("label").alias("label"))
+    nodes = site.select("url", F.col("ordinal").alias("own")).unionByName(pairs.select(F.col("parent").alias("url"), F.lit(None).cast("long").alias("own"))).groupBy("url").agg(F.min("own").alias("own"))
     ways = staged(pairs.select(F.col("parent").alias("a"), F.col("child").alias("b")).union(pairs.select("child", "parent")).union(e.join(site.select(F.col("url").alias("dst")), "dst", "left_semi").select("src", "dst")).where("a <> b").distinct(), "ways")
-    now = staged(nodes, "labels")
+    now = staged(nodes.select("url", "own", F.col("own").alias("label")), "labels")
     while True:
-        near = ways.join(now.withColumnRenamed("url", "a"), "a").groupBy(F.col("b").alias("url")).agg(F.min("label").alias("near"))
-        new = staged(now.join(near, "url", "left").select("url", F.col("label").alias("old"), F.least("label", "near").alias("label")), "labels")
+        near = ways.join(now.select(F.col("url").alias("a"), "label"), "a").groupBy(F.col("b").alias("url")).agg(F.min("label").alias("near"))
+        spread = now.join(near, "url", "left").select("url", "own", F.col("label").alias("old"), F.least("label", "near").alias("via"))
+        jump = now.where("own is not null and label < own").select(F.col("own").alias("via"), F.col("label").alias("far"))
+        new = staged(spread.join(jump, "via", "left").select("url", "own", "old", F.least("via", "far").alias("label")), "labels")
         if new.where("not (old <=> label)").isEmpty():
             return new.select("url", F.col("label").alias("component"))
         now = new.drop("old")

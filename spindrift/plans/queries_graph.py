@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +13,14 @@ from spindrift.plans.views import oracle, view
 
 
 class Site:
-    """The shop's pages, links, edges and degrees over one folder."""
+    """The shop's pages, links, edges and degrees over one folder; edges are resolved once and written."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.pages, self.links = view(spark, sf_dir, "site"), view(spark, sf_dir, "site_links")
-        self.edges = graph.edges(self.links)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return graph.staged(graph.edges(self.links), "edges")
 
     @property
     def degrees(self) -> DataFrame:
