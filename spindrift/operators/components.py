@@ -6,6 +6,7 @@ from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from spindrift.functions import urls as U
 
@@ -76,9 +77,22 @@ def extensions(crawl: DataFrame) -> DataFrame:
     return counted(crawl, U.extension_of_path(U.path(u())), "extension").withColumn("category", extension_category(F.col("extension")))
 
 
+def parameter_counts(crawl: DataFrame) -> DataFrame:
+    """(key, value, n, first): each value's count and first place."""
+    p = crawl.select("ordinal", F.explode(U.parameters(U.query(u()))).alias("p"))
+    return p.groupBy("p.key", "p.value").agg(F.count("*").alias("n"), F.min(F.struct("ordinal", F.col("p.at").alias("at"))).alias("first"))
+
+
 def parameters(crawl: DataFrame, n: int = 30) -> DataFrame:
-    p = crawl.select(F.explode(U.parameters(U.query(u()))).alias("p")).select("p.key", "p.value")
-    return p.groupBy("key").agg(F.count("*").alias("count"), F.countDistinct("value").alias("unique_values"), F.max("value").alias("greatest_value")).orderBy(F.desc("count"), "key").limit(n)
+    """Each key's uses and values, and its most common value, of equal counts the first."""
+    rank = F.struct("n", -F.col("first.ordinal"), -F.col("first.at"))
+    return parameter_counts(crawl).groupBy("key").agg(F.sum("n").alias("count"), F.count("*").alias("unique_values"), F.max_by("value", rank).alias("most_common_value"), F.max("n").alias("most_common_count")).orderBy(F.desc("count"), "key").limit(n)
+
+
+def parameter_samples(crawl: DataFrame, n: int = 10) -> DataFrame:
+    """The first n values of each key, in order of their first use."""
+    rank = F.row_number().over(W.partitionBy("key").orderBy("first"))
+    return parameter_counts(crawl).select("key", "value", rank.alias("rank")).where(F.col("rank") <= n)
 
 
 def fragments(crawl: DataFrame) -> DataFrame:

@@ -121,6 +121,21 @@ def url_details(urls: DataFrame, classifications: DataFrame, metadata: DataFrame
     return urls.join(best, "id", "left").join(metadata.select(F.col("url_id").alias("id"), "title", "word_count"), "id", "left").withColumn("classifications", F.coalesce("classifications", F.lit(0)))
 
 
+def urls_where(urls: DataFrame, domain: str | None = None, status_code: int | None = None) -> DataFrame:
+    """The newest URLs first, of a domain and a status where these are given."""
+    found = urls
+    for column, value in (("domain", domain), ("status_code", status_code)):
+        found = found if value is None else found.where(F.col(column) == value)
+    return found.orderBy(F.desc("last_crawled"), "id")
+
+
+def url_classifications(urls: DataFrame, classifications: DataFrame) -> DataFrame:
+    """Every classification of each URL, the newest first."""
+    order = W.partitionBy("url_id").orderBy(F.desc("created_at"), F.desc("id"))
+    ranked = classifications.select("url_id", "category", "confidence", "model_version", "created_at", F.row_number().over(order).alias("rank"))
+    return urls.select(F.col("id").alias("url_id"), "url").join(ranked, "url_id")
+
+
 def database_statistics(urls: DataFrame, classifications: DataFrame, metadata: DataFrame, sessions: DataFrame) -> DataFrame:
     one = urls.agg(F.count("id").alias("total_urls"), F.countDistinct("domain").alias("unique_domains"))
     for df, name in ((classifications, "total_classifications"), (metadata, "total_metadata"), (sessions, "total_sessions")):

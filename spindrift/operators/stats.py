@@ -147,14 +147,14 @@ def normality(f: DataFrame, column: str, most: int = 5000, least: int = 8) -> Da
 
 
 def outliers(f: DataFrame) -> DataFrame:
-    """For each feature the values beyond 1.5 quartile ranges or 3 deviations, counted."""
+    """For each feature the fences, and the values beyond 1.5 quartile ranges or 3 deviations, counted."""
     v = F.col("value")
     long = unpivoted(f)
     ends = long.groupBy("feature").agg(F.percentile(v, 0.25).alias("q1"), F.percentile(v, 0.75).alias("q3"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
     iqr = F.col("q3") - F.col("q1")
     fence = (v < F.col("q1") - 1.5 * iqr) | (v > F.col("q3") + 1.5 * iqr)
     z = F.when(F.col("std") > 0, F.abs(v - F.col("mean")) / F.col("std")).otherwise(0.0)
-    return long.join(F.broadcast(ends), "feature").groupBy("feature").agg(F.count_if(fence).alias("iqr_outliers"), F.count_if(z > 3).alias("z_outliers"))  # ends: a row a feature
+    return long.join(F.broadcast(ends), "feature").groupBy("feature").agg(F.count_if(fence).alias("iqr_outliers"), F.count_if(z > 3).alias("z_outliers"), F.min(F.col("q1") - 1.5 * iqr).alias("low_fence"), F.max(F.col("q3") + 1.5 * iqr).alias("high_fence"))  # ends: a row a feature
 
 
 def depth_patterns(f: DataFrame) -> DataFrame:
@@ -194,6 +194,18 @@ def timeline(ticks: DataFrame, slots: int = 10) -> DataFrame:
     return ticks.crossJoin(F.broadcast(ends)).groupBy(F.coalesce(slot, F.lit(0)).alias("slot")).agg(F.count("*").alias("count"))  # ends: one row
 
 
+def timeline_span(ticks: DataFrame) -> DataFrame:
+    """First and last time in epoch seconds, the span between, and discoveries a second."""
+    t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    one = ticks.agg(F.min(t).alias("first"), F.max(t).alias("last"), F.count(t).alias("n"))
+    span = F.col("last") - F.col("first")
+    return one.select("first", "last", "n", span.alias("span"), F.coalesce(F.try_divide("n", span), F.lit(0.0)).alias("rate"))
+
+
+def status_codes(crawl: DataFrame) -> DataFrame:
+    return crawl.where("status_code > 0").groupBy("status_code").agg(F.count("*").alias("count"))
+
+
 def mime_types(crawl: DataFrame, n: int = 10) -> DataFrame:
     mime = F.trim(F.substring_index("content_type", ";", 1))
     return crawl.where("content_type is not null").groupBy(mime.alias("mime")).agg(F.count("*").alias("count")).orderBy(F.desc("count"), "mime").limit(n)

@@ -120,10 +120,20 @@ def st_normality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.normality(feature_rows(spark, sf_dir), "depth"), "w", "p")
 
 
-@query(w("""SELECT v.feature, COUNT(CASE WHEN value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1) THEN 1 END) AS iqr_outliers, COUNT(CASE WHEN std > 0 AND ABS(value - mean) / std > 3 THEN 1 END) AS z_outliers
+@query(w("""SELECT v.feature, COUNT(CASE WHEN value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1) THEN 1 END) AS iqr_outliers, COUNT(CASE WHEN std > 0 AND ABS(value - mean) / std > 3 THEN 1 END) AS z_outliers, ROUND(MIN(q1 - 1.5 * (q3 - q1)), 6) AS low_fence, ROUND(MAX(q3 + 1.5 * (q3 - q1)), 6) AS high_fence
   FROM vals v JOIN (SELECT feature, QUANTILE_CONT(value, 0.25) AS q1, QUANTILE_CONT(value, 0.75) AS q3, AVG(value) AS mean, STDDEV_POP(value) AS std FROM vals GROUP BY feature) e ON v.feature = e.feature GROUP BY v.feature""", FEATURES, LONG))
 def st_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.outliers(feature_rows(spark, sf_dir))
+    return rounded(stats.outliers(feature_rows(spark, sf_dir)), "low_fence", "high_fence")
+
+
+@query(w("SELECT status_code, COUNT(*) AS count FROM crawl WHERE status_code > 0 GROUP BY status_code", needs=("crawl",)))
+def st_status_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.status_codes(crawl(spark, sf_dir))
+
+
+@query(oracle("SELECT first, last, n, last - first AS span, ROUND(n / (last - first), 6) AS rate FROM (SELECT epoch_us(MIN(ts)) / 1e6 AS first, epoch_us(MAX(ts)) / 1e6 AS last, COUNT(*) AS n FROM ticks) t", "ticks"))
+def st_timeline_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.timeline_span(view(spark, sf_dir, "ticks")), "rate")
 
 
 @query(w("""SELECT depth, COUNT(*) AS count, ROUND(AVG(path_length), 6) AS avg_path_length, ROUND(AVG(link_count), 6) AS avg_links, SUM(has_fragment::INT)::BIGINT AS has_fragment, SUM((query_count > 0)::INT)::BIGINT AS has_query,
@@ -287,11 +297,19 @@ def uc_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.extensions(crawl(spark, sf_dir))
 
 
-@query(w("SELECT key, COUNT(*) AS count, COUNT(DISTINCT value) AS unique_values, MAX(value) AS greatest_value FROM params GROUP BY key ORDER BY 2 DESC, 1 LIMIT 30", PARAMS))
+PARAM_COUNTS = "(SELECT key, value, COUNT(*) AS n, MIN(ordinal * 100000 + pos) AS place FROM params GROUP BY key, value) c"
+
+
+@query(w(f"SELECT key, SUM(n)::BIGINT AS count, COUNT(*) AS unique_values, arg_max(value, (n, -place)) AS most_common_value, MAX(n) AS most_common_count FROM {PARAM_COUNTS} GROUP BY key ORDER BY 2 DESC, 1 LIMIT 30", PARAMS))
 def uc_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.parameters(crawl(spark, sf_dir))
 
 
+@query(w(f"SELECT key, value, rank::INT AS rank FROM (SELECT key, value, ROW_NUMBER() OVER (PARTITION BY key ORDER BY place) AS rank FROM {PARAM_COUNTS}) x WHERE rank <= 10", PARAMS))
+def uc_parameter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.parameter_samples(crawl(spark, sf_dir))
+
+
 @query(w("""SELECT encoding, count FROM (SELECT SUM(len(regexp_extract_all(url, '%[0-9A-Fa-f]{2}')))::BIGINT AS percent, SUM(len(regexp_extract_all(url, '[A-Za-z0-9+/]{20,}={0,2}')))::BIGINT AS base64_candidate, SUM((lower(url) LIKE '%xn--%')::INT)::BIGINT AS punycode FROM crawl) x
   UNPIVOT (count FOR encoding IN (percent, base64_candidate, punycode))""", needs=("crawl",)))
 def uc_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:

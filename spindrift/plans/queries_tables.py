@@ -76,6 +76,16 @@ def ds_url_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.url_details(view(spark, sf_dir, "urls"), view(spark, sf_dir, "classifications"), view(spark, sf_dir, "page_metadata")).select("id", "url", "status_code", "classifications", "best_category", "best_confidence", "title")
 
 
+@query(oracle("SELECT id, url, domain, status_code, content_type FROM urls WHERE domain = 'www.example.com' AND status_code = 200 ORDER BY last_crawled DESC, id LIMIT 100", "urls"))
+def ds_urls_where(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasets.urls_where(view(spark, sf_dir, "urls"), "www.example.com", 200).select("id", "url", "domain", "status_code", "content_type").limit(100)
+
+
+@query(oracle("SELECT u.id AS url_id, u.url, c.category, c.confidence, c.model_version, c.created_at, (ROW_NUMBER() OVER (PARTITION BY c.url_id ORDER BY c.created_at DESC, c.id DESC))::INT AS rank FROM urls u JOIN classifications c ON c.url_id = u.id", "urls", "classifications"))
+def ds_url_classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasets.url_classifications(view(spark, sf_dir, "urls"), view(spark, sf_dir, "classifications"))
+
+
 @query(oracle("SELECT domain, COUNT(id) AS url_count FROM urls WHERE domain IS NOT NULL GROUP BY domain ORDER BY url_count DESC, domain LIMIT 50", "urls"))
 def ds_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "urls").where("domain is not null").groupBy("domain").agg(F.count("id").alias("url_count")).orderBy(F.desc("url_count"), "domain").limit(50)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote, urlsplit
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 RECORD = (
     "url STRING, url_normalized STRING, depth DOUBLE, parent_url STRING, fragments ARRAY<STRING>, discovered_at DOUBLE, queued_at DOUBLE, crawled_at DOUBLE, "
@@ -17,8 +20,12 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop):
         return spark.createDataFrame([], "ordinal long, line string")
-    # within a file the id rises line by line; files and their splits are ordered by the metadata
-    return spark.read.text(path).select(F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("id")).alias("at"), F.trim("value").alias("line")).select(F.col("at.id").alias("ordinal"), "line")
+    # within a block the id rises line by line; blocks are ordered by file and start, and sizes is a row a block
+    block = ["file", "start"]
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), F.trim("value").alias("line"))
+    sizes = rows.groupBy(*block).agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    before = sizes.select(*block, (F.sum("n").over(W.orderBy(*block)) - F.col("n") - F.col("least")).alias("shift"))
+    return rows.join(before, block).select((F.col("id") + F.col("shift")).alias("ordinal"), "line")
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -66,11 +73,22 @@ def write_snapshot(spark: SparkSession, path: str, snapshot_id: str, ts: str, me
     df.coalesce(1).write.mode("append").json(path)
 
 
+def jdbc_options(url: str) -> dict[str, str]:
+    """A database URL as JDBC's url, user and password: the driver after + goes, and so do the slashes before a file of sqlite."""
+    kind, _, rest = url.removeprefix("jdbc:").partition(":")
+    if kind not in URL_PREFIXES:
+        raise ValueError(f"URL must start with one of {', '.join(URL_PREFIXES)}")
+    if kind == "sqlite":
+        return {"url": f"jdbc:sqlite:{rest.removeprefix('///')}"}
+    parts = urlsplit(rest)
+    where = parts._replace(netloc=parts.netloc.rpartition("@")[2]).geturl()
+    login = {"user": parts.username, "password": parts.password}
+    return {"url": f"jdbc:postgresql:{where}", **{k: unquote(v) for k, v in login.items() if v}}
+
+
 def read_table(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
     """A relational table over JDBC; give partitionColumn, lowerBound, upperBound and numPartitions for parallel reads."""
-    if not url.removeprefix("jdbc:").split(":")[0] in URL_PREFIXES:
-        raise ValueError(f"URL must start with one of {', '.join(URL_PREFIXES)}")
-    return spark.read.format("jdbc").options(url=url if url.startswith("jdbc:") else f"jdbc:{url}", dbtable=table, **options).load()
+    return spark.read.format("jdbc").options(**jdbc_options(url), dbtable=table, **options).load()
 
 
 def create_tables(spark: SparkSession) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 from spindrift.sources import crawl as S
 
 
@@ -46,3 +48,26 @@ def test_tables_are_created_once(spark):
     assert {"urls", "categories"} <= {t.name for t in spark.catalog.listTables()}
     for name in S.TABLES:
         spark.sql(f"DROP TABLE {name}")
+
+
+def test_jdbc_urls():
+    assert S.jdbc_options("postgresql+psycopg2://me:p%40w@db:5432/urls") == {"url": "jdbc:postgresql://db:5432/urls", "user": "me", "password": "p@w"}
+    assert S.jdbc_options("jdbc:postgresql://db/urls") == {"url": "jdbc:postgresql://db/urls"}
+    assert S.jdbc_options("sqlite:////tmp/a.db") == {"url": "jdbc:sqlite:/tmp/a.db"}
+    with pytest.raises(ValueError, match="start with"):
+        S.jdbc_options("mysql://db/urls")
+
+
+def test_ordinals_follow_files_and_lines(spark, tmp_path):
+    for name, n in (("b", 3), ("a", 400), ("c", 50)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f'"https://{name}.com/{i}"\n' for i in range(n)))
+    rows = S.read_jsonl(spark, str(tmp_path)).orderBy("ordinal").collect()
+    assert [r["ordinal"] for r in rows] == list(range(453))
+    assert [r["url"] for r in rows] == [f"https://{name}.com/{i}" for name, n in (("a", 400), ("b", 3), ("c", 50)) for i in range(n)]
+
+
+def test_strict_and_lenient_readers(spark, tmp_path):
+    (tmp_path / "x.json").write_text('{"url":"https://a.com","depth":1}\n{broken\n')
+    assert [r["url"] for r in S.read_lenient(spark, str(tmp_path)).collect() if r["url"]] == ["https://a.com"]
+    with pytest.raises(Exception, match="(?i)malformed"):
+        S.read_strict(spark, str(tmp_path)).collect()
