@@ -17,8 +17,8 @@ all sets follow; here frequent tokens come last, so prefixes are rare tokens.
 
 A frequent token's row is split over salted blocks, each with pivots of its own, which are compared in turn.
 
-Defined cases: null or wordless texts have the empty set, linked with nothing; copies have one class; rows with
-the same key are one document; rows with a null key have a null component; an empty table gives an empty table;
+Defined cases: null or wordless texts have the empty set, linked with nothing; copies have one class; a very long text
+is one row's set; rows with the same key are one document, of which the largest set is compared; rows with a null key have a null component; an empty table gives an empty table;
 other columns are ignored.
 """
 
@@ -102,7 +102,7 @@ class Join:
         rest = described.where("n = 0 or id is null").select("id", "n", F.lit(None).cast("long").alias("rep"), F.lit(None).cast("binary").alias("bits"))
         self.members = staged(self.spark, named.unionByName(rest), "members")
         self.frequent = self._frequent(passed)
-        self.sets = self.members.where("id = rep").select("id", "n", "bits").dropDuplicates(["id"])
+        self.sets = self.members.where("id = rep").groupBy("id").agg(F.max(F.struct("n", "bits")).alias("s")).select("id", "s.*")
 
     def _describe(self):  # noqa: ANN202
         k = self.k
