@@ -126,11 +126,15 @@ def train(vector: np.ndarray, context: np.ndarray, klass: np.ndarray, rate: floa
         p["out"] -= step * (h.T @ z)
         p["out_bias"] -= step * z.sum(axis=0)
         p["bias"] -= step * back.sum(axis=0)
-        for k in range(len(OFFSETS)):
-            e = p["embed"][c[:, k]]
-            # embeddings take the whole rate: each row is in few examples of a batch
-            np.subtract.at(p["embed"], c[:, k], np.float32(rate) * back * p["gate"][k] / 16)
-            p["gate"][k] -= step * (back * e).sum(axis=0)
+        flat = c.ravel()
+        e = p["embed"][flat].reshape(len(y), len(OFFSETS), WIDTH)
+        # embeddings take the whole rate: each row is in few examples of a batch; the parts of a row are summed, then taken off
+        parts = (back[:, None, :] * (p["gate"] * np.float32(rate / 16))).reshape(-1, WIDTH)
+        order = np.argsort(flat, kind="stable")
+        rows = flat[order]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        p["embed"][rows[first]] -= np.add.reduceat(parts[order], first, axis=0)
+        p["gate"] -= step * (back[:, None, :] * e).sum(axis=0)
     return vector
 
 
