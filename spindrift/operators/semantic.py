@@ -81,6 +81,12 @@ def keyword_hits(t: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     return t.select(F.explode("tokens").alias("token")).select(F.explode(hits).alias("name")).groupBy("name").agg(F.count("*").alias("hits"))
 
 
+def crud(hits: DataFrame) -> DataFrame:
+    """(name, hits) of the four basic actions, 0 where there is none."""
+    names = hits.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, ("create", "read", "update", "delete")))).alias("name"))
+    return names.join(hits, "name", "left").select("name", F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
 def with_share(counts: DataFrame, column: str) -> DataFrame:
     return counts.withColumn("percentage", F.col(column) * 100.0 / F.sum(column).over(W.partitionBy()))  # a row a group
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
+from pyspark.sql.window import Window as W
 
 from spindrift.functions import urls as U
 
@@ -146,15 +147,26 @@ def normality(f: DataFrame, column: str, most: int = 5000, least: int = 8) -> Da
     return first.coalesce(1).mapInPandas(test, "n long, w double, p double, is_normal boolean")
 
 
-def outliers(f: DataFrame) -> DataFrame:
-    """For each feature the fences, and the values beyond 1.5 quartile ranges or 3 deviations, counted."""
+def fenced(long: DataFrame) -> DataFrame:
+    """Unpivoted features with the fences at 1.5 quartile ranges of each, whether the value is beyond them, and its z-score."""
     v = F.col("value")
-    long = unpivoted(f)
     ends = long.groupBy("feature").agg(F.percentile(v, 0.25).alias("q1"), F.percentile(v, 0.75).alias("q3"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
     iqr = F.col("q3") - F.col("q1")
-    fence = (v < F.col("q1") - 1.5 * iqr) | (v > F.col("q3") + 1.5 * iqr)
-    z = F.when(F.col("std") > 0, F.abs(v - F.col("mean")) / F.col("std")).otherwise(0.0)
-    return long.join(F.broadcast(ends), "feature").groupBy("feature").agg(F.count_if(fence).alias("iqr_outliers"), F.count_if(z > 3).alias("z_outliers"), F.min(F.col("q1") - 1.5 * iqr).alias("low_fence"), F.max(F.col("q3") + 1.5 * iqr).alias("high_fence"))  # ends: a row a feature
+    z = F.when(F.col("std") > 0, (v - F.col("mean")) / F.col("std")).otherwise(0.0)
+    both = long.join(F.broadcast(ends), "feature").withColumns({"low_fence": F.col("q1") - 1.5 * iqr, "high_fence": F.col("q3") + 1.5 * iqr, "z_score": z})  # ends: a row a feature
+    return both.withColumn("outside", (v < F.col("low_fence")) | (v > F.col("high_fence")))
+
+
+def outliers(f: DataFrame) -> DataFrame:
+    """For each feature the fences, and the values beyond 1.5 quartile ranges or 3 deviations, counted."""
+    return fenced(unpivoted(f)).groupBy("feature").agg(F.count_if("outside").alias("iqr_outliers"), F.count_if(F.abs("z_score") > 3).alias("z_outliers"), F.min("low_fence").alias("low_fence"), F.max("high_fence").alias("high_fence"))
+
+
+def outlier_examples(f: DataFrame, n: int = 10) -> DataFrame:
+    """The first values in input order beyond each feature's fences."""
+    long = f.unpivot(["ordinal", "url"], FEATURES, "feature", "value").withColumn("value", F.col("value").cast("double"))
+    rank = F.row_number().over(W.partitionBy("feature").orderBy("ordinal"))
+    return fenced(long).where("outside").withColumn("rank", rank).where(F.col("rank") <= n).select("feature", "ordinal", "url", "value", "z_score")
 
 
 def depth_patterns(f: DataFrame) -> DataFrame:
@@ -168,6 +180,12 @@ def link_hubs(f: DataFrame) -> DataFrame:
     return f.crossJoin(F.broadcast(p)).agg(F.count_if(F.col("link_count") == 0).alias("dead_ends"), F.count_if(F.col("link_count") >= F.col("p95")).alias("hubs"), F.max("p95").alias("p95"))  # p: one row
 
 
+def hub_examples(f: DataFrame, n: int = 10) -> DataFrame:
+    """The first pages in input order with at least the 95th percentile of links."""
+    p = f.agg(F.percentile("link_count", 0.95).alias("p95"))
+    return f.crossJoin(F.broadcast(p)).where(F.col("link_count") >= F.col("p95")).select("ordinal", "url", "link_count").orderBy("ordinal").limit(n)  # p: one row
+
+
 def grade(score: Column) -> Column:
     return F.when(score >= 90, "A").when(score >= 80, "B").when(score >= 70, "C").when(score >= 60, "D").otherwise("F")
 
@@ -228,8 +246,6 @@ def depth_level(d: Column) -> Column:
 
 def upper_median(df: DataFrame, value: Column) -> DataFrame:
     """Average, the upper of the middle values, least and greatest of a distribution; ranks run over its distinct values."""
-    from pyspark.sql.window import Window as W
-
     counts = df.groupBy(value.alias("v")).agg(F.count("*").alias("n"))  # distinct depths are few
     upto = counts.withColumn("upto", F.sum("n").over(W.orderBy("v"))).withColumn("total", F.sum("n").over(W.partitionBy()))
     return upto.agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("avg_depth"), F.min(F.when(F.col("upto") > F.floor(F.col("total") / 2), F.col("v"))).alias("median_depth"), F.min("v").alias("min_depth"), F.max("v").alias("max_depth"))

@@ -126,6 +126,21 @@ def st_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.outliers(feature_rows(spark, sf_dir)), "low_fence", "high_fence")
 
 
+ENDS = "(SELECT feature, QUANTILE_CONT(value, 0.25) AS q1, QUANTILE_CONT(value, 0.75) AS q3, AVG(value) AS mean, STDDEV_POP(value) AS std FROM vals GROUP BY feature)"
+
+
+@query(w(f"""SELECT feature, ordinal, url, value, ROUND(z, 6) AS z_score FROM (
+  SELECT v.feature, v.ordinal, f.url, value, CASE WHEN std > 0 THEN (value - mean) / std ELSE 0 END AS z, ROW_NUMBER() OVER (PARTITION BY v.feature ORDER BY v.ordinal) AS r
+  FROM vals v JOIN {ENDS} e ON v.feature = e.feature JOIN feats f ON f.ordinal = v.ordinal WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) x WHERE r <= 10""", FEATURES, LONG))
+def st_outlier_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.outlier_examples(feature_rows(spark, sf_dir)), "z_score")
+
+
+@query(w("SELECT ordinal, url, link_count FROM feats WHERE link_count >= (SELECT QUANTILE_CONT(link_count, 0.95) FROM feats) ORDER BY ordinal LIMIT 10", FEATURES))
+def st_hub_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.hub_examples(feature_rows(spark, sf_dir))
+
+
 @query(w("SELECT status_code, COUNT(*) AS count FROM crawl WHERE status_code > 0 GROUP BY status_code", needs=("crawl",)))
 def st_status_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.status_codes(crawl(spark, sf_dir))
@@ -202,6 +217,11 @@ def sp_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(semantic.with_share(semantic.keyword_hits(semantic.tokenized(crawl(spark, sf_dir)), semantic.ACTIONS), "hits"), "percentage")
 
 
+@query(f"SELECT n.name, COALESCE(h.hits, 0) AS hits FROM (VALUES ('create'), ('read'), ('update'), ('delete')) n(name) LEFT JOIN ({hits_sql(semantic.ACTIONS)}) h ON h.name = n.name")
+def sp_crud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantic.crud(semantic.keyword_hits(semantic.tokenized(crawl(spark, sf_dir)), semantic.ACTIONS))
+
+
 def gram_sql(n: int, top: int) -> str:
     more = "".join(f" JOIN tokens t{i} ON t{i}.ordinal = t0.ordinal AND t{i}.pos = t0.pos + {i}" for i in range(1, n))
     return w(f"SELECT concat_ws(' ', {', '.join(f't{i}.token' for i in range(n))}) AS gram, COUNT(*) AS count FROM tokens t0{more} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {top}", needs=("tokens",))
@@ -448,6 +468,16 @@ def nz_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.merged_links(crawl(spark, sf_dir)).withColumn("links", F.array_join("links", " "))
 
 
+@query(w("""SELECT r.canonical AS url, sha256(r.canonical) AS url_hash, b.ordinal, b.title, b.status_code, b.content_type, b.depth, r.merged_count, r.discovered_at, COALESCE(l.links, '') AS links, COALESCE(r.fragments, '') AS fragments
+  FROM (SELECT canonical, arg_max(ordinal, rank) AS best, COUNT(*) AS merged_count, MIN(discovered_at) AS discovered_at, array_to_string(list_sort(list(DISTINCT NULLIF(fragment, ''))), ' ') AS fragments FROM ranked GROUP BY canonical) r
+  JOIN crawl b ON b.ordinal = r.best
+  LEFT JOIN (SELECT canonical, array_to_string(list_sort(list(DISTINCT link)), ' ') AS links FROM (SELECT canonical, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM ranked) u GROUP BY canonical) l ON l.canonical = r.canonical""", RANKED))
+def nz_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = normalize.merged_records(crawl(spark, sf_dir))
+    lists = {c: F.coalesce(F.array_join(c, " "), F.lit("")) for c in ("links", "fragments")}
+    return m.withColumns(lists).select("url", "url_hash", "ordinal", "title", "status_code", "content_type", "depth", "merged_count", "discovered_at", "links", "fragments")
+
+
 @query(w(f"SELECT total, unique_urls, total - unique_urls AS removed, ROUND((total - unique_urls) * 100.0 / total, 6)::DOUBLE AS reduction_pct FROM (SELECT COUNT(*) AS total, COUNT(DISTINCT {CANON}) AS unique_urls FROM parts) x"))
 def nz_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(normalize.reduction(normalize.merged(crawl(spark, sf_dir))), "reduction_pct")

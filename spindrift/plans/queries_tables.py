@@ -154,6 +154,35 @@ def mt_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tracking.compare(tracking.points(snapshots(spark, sf_dir)), "run_000001", "run_000002"), "baseline", "current", "delta", "percent_change")
 
 
+VERDICT = f"""CASE WHEN metric IN ({RISES}) THEN CASE WHEN b - a > 1 THEN 'improvement' WHEN b - a < -1 THEN 'regression' ELSE 'none' END
+  WHEN metric IN ({FALLS}) THEN CASE WHEN b - a < -1 THEN 'improvement' WHEN b - a > 1 THEN 'regression' ELSE 'none' END ELSE 'none' END"""
+LATEST = "(SELECT snapshot_id, ROW_NUMBER() OVER (ORDER BY snapshot_id DESC) AS k FROM (SELECT DISTINCT snapshot_id FROM points) d)"
+
+
+@query(over_points(f"""SELECT x.metric, ROUND(a, 6) AS baseline, ROUND(b, 6) AS current, ROUND(b - a, 6) AS delta, ROUND(COALESCE((b - a) * 100 / NULLIF(a, 0), 0), 6) AS percent_change, {VERDICT.replace("metric", "x.metric")} AS verdict, t.trend
+  FROM (SELECT metric, MAX(CASE WHEN k = 2 THEN value END) AS a, MAX(CASE WHEN k = 1 THEN value END) AS b FROM points JOIN {LATEST} l USING (snapshot_id) WHERE k <= 2 GROUP BY metric) x
+  LEFT JOIN (SELECT metric, CASE WHEN n < 2 THEN 'unknown' WHEN l > f * 1.05 THEN CASE WHEN good THEN 'improving' ELSE 'worsening' END WHEN l < f * 0.95 THEN CASE WHEN good THEN 'worsening' ELSE 'improving' END ELSE 'stable' END AS trend
+    FROM (SELECT metric, n, f, l, CASE WHEN metric IN ({RISES}) THEN l - f > 1 WHEN metric IN ({FALLS}) THEN l - f < -1 ELSE FALSE END AS good FROM (SELECT metric, COUNT(*) AS n, arg_min(value, snapshot_id) AS f, arg_max(value, snapshot_id) AS l
+      FROM points JOIN {LATEST} l USING (snapshot_id) WHERE k <= 5 AND metric IN ('data_quality_score', 'duplication_rate', 'urls_per_second', 'error_rate', 'storage_efficiency') GROUP BY metric) y) z) t ON t.metric = x.metric"""))
+def mt_last_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(tracking.last_two(tracking.points(snapshots(spark, sf_dir))), "baseline", "current", "delta", "percent_change")
+
+
+TAKEN = {"total_urls": "n", "avg_depth": "d", "max_depth_reached": "m", "avg_links_per_page": "l", "depth_efficiency": "100 - LEAST(m * 10, 100)"}
+
+
+@query(oracle("SELECT metric, ROUND(value, 6) AS value FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS metric, ({TAKEN.get(k, '0')})::DOUBLE AS value FROM s" for k in tracking.KEY_METRICS) + """) x""", "crawl").replace(
+    "\nSELECT metric", """,
+s AS (SELECT COUNT(*) AS n, AVG(COALESCE(depth, 0)) AS d, MAX(COALESCE(depth, 0)) AS m, AVG(len(regexp_extract_all(html, 'href="([^"]*)"', 1))) AS l FROM crawl)
+SELECT metric"""))
+def mt_key_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crawl = view(spark, sf_dir, "crawl")
+    links = F.size(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))
+    depth = F.coalesce("depth", F.lit(0))
+    statistical = crawl.agg(F.count("*").alias("total_urls"), F.avg(depth).alias("depth_mean"), F.max(depth).alias("depth_max"), F.avg(links).alias("outbound_links_mean"))
+    return rounded(tracking.key_metrics({"statistical": statistical, "pathway": crawl.agg(F.max(depth).alias("max_depth"))}), "value")
+
+
 @query(over_points(f"""SELECT metric, points, ROUND(a, 6) AS first_value, ROUND(b, 6) AS last_value, CASE WHEN points < 2 THEN 'unknown'
   WHEN b > a * 1.05 THEN CASE WHEN good THEN 'improving' ELSE 'worsening' END WHEN b < a * 0.95 THEN CASE WHEN good THEN 'worsening' ELSE 'improving' END ELSE 'stable' END AS trend
   FROM (SELECT metric, points, a, b, CASE WHEN metric IN ({RISES}) THEN b - a > 1 WHEN metric IN ({FALLS}) THEN b - a < -1 ELSE FALSE END AS good
@@ -181,6 +210,19 @@ def dv_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rule_errors(view(spark, sf_dir, "crawl"))
 
 
+BROKEN = {"url": "COALESCE(url, '') = ''", "depth": "NOT COALESCE(depth >= 0, FALSE)", "response_time_ms": "response_time_ms < 0", "status_code": "status_code IS NULL", "content_type": "content_type IS NULL"}
+
+
+@query(oracle(" UNION ALL ".join(f"SELECT ordinal, '{rule}' AS rule FROM crawl WHERE {broken}" for rule, broken in BROKEN.items()), "crawl"))
+def dv_record_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.record_errors(view(spark, sf_dir, "crawl"))
+
+
+@query(oracle(f"SELECT ordinal, url, status_code, content_type FROM crawl WHERE NOT ({' OR '.join(f'COALESCE({b}, FALSE)' for b in BROKEN.values())})", "crawl"))
+def dv_valid_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.valid_records(view(spark, sf_dir, "crawl")).select("ordinal", "url", "status_code", "content_type")
+
+
 @query(oracle("""SELECT records, status_codes, content_types, missing_titles, ROUND(avg_response_ms, 6) AS avg_response_ms, unique_urls, duplicates, ROUND(duplicates * 100.0 / records, 6)::DOUBLE AS duplicate_pct,
   duplicates * 100.0 / records <= 60 AS valid, avg_response_ms > 1000 AS slow FROM
   (SELECT COUNT(*) AS records, COUNT(DISTINCT COALESCE(CAST(status_code AS VARCHAR), 'null')) AS status_codes, COUNT(DISTINCT COALESCE(content_type, 'null')) AS content_types,

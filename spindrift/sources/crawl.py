@@ -46,6 +46,12 @@ def check_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return one.withColumn("valid", F.col("valid_urls") > 0)
 
 
+def jsonl_errors(spark: SparkSession, path: str) -> DataFrame:
+    """(line_number, message) of each malformed line; blank lines are none."""
+    bad = _lines(spark, path).where("line <> ''").where(F.try_parse_json("line").isNull())
+    return bad.select((F.col("ordinal") + 1).alias("line_number"), F.format_string("Line %d: Invalid JSON", F.col("ordinal") + 1).alias("message"))
+
+
 def read_strict(spark: SparkSession, path: str) -> DataFrame:
     """Records by schema; the first malformed line fails the job."""
     return spark.read.schema(RECORD).option("mode", "FAILFAST").json(path)
