@@ -59,8 +59,9 @@ def ds_table_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(oracle("SELECT 'urls' AS dataset, COUNT(*) AS n FROM urls UNION ALL SELECT 'patterns', COUNT(*) FROM patterns UNION ALL SELECT 'crawl_sessions', COUNT(*) FROM crawl_sessions", "urls", "patterns", "crawl_sessions"))
 def ds_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = [view(spark, sf_dir, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("dataset"), "n") for n in ("urls", "patterns", "crawl_sessions")]
-    return one[0].union(one[1]).union(one[2])
+    names = ["urls", "patterns", "crawl_sessions"]
+    sets = datasets.Datasets(spark, {n: lambda n=n: view(spark, sf_dir, n) for n in names})
+    return spark.createDataFrame([(n, sets.count(n)) for n in names], "dataset string, n long")
 
 
 @query(oracle("""SELECT (SELECT COUNT(id) FROM urls) AS total_urls, (SELECT COUNT(DISTINCT domain) FROM urls) AS unique_domains, (SELECT COUNT(id) FROM classifications) AS total_classifications,
