@@ -1,16 +1,20 @@
 """LM scoring by masked pseudo-likelihood: a small bidirectional window network predicts each token from both sides.
 
-Tokens are words (A-Z lowered), hashed to BUCKETS buckets whose counts are taken over the whole corpus. The network sees
-the REACH tokens on each side of a masked position: their embeddings, each scaled by its offset's gate, are summed through a
-tanh layer, and a softmax predicts the token's class; a token's probability within its class is its share of the class's
-corpus count. A document's score is the sum of the log-probabilities of all its tokens.
+Tokens are words (A-Z lowered), hashed to BUCKETS buckets whose counts are taken over the whole corpus. The most frequent buckets have a
+row each, the others share rows by hash; rows are dealt to classes of equal size by frequency. The network sees
+the REACH tokens on each side of a masked position: their rows' embeddings, each scaled by its offset's gate, are summed through a
+tanh layer; one softmax predicts the token's class, a second one, trained for each class, the row within it. Both see the context and begin
+at the corpus shares. Only buckets that share a row are told apart by their corpus shares alone. A document's score is the sum of the
+log-probabilities of all its tokens.
 
 Each round of training masks one in MASK positions of the documents, by hash, other ones each round, and one of each document at
-least, so examples grow with the corpus. In a round each
-partition of examples makes one pass of mini-batch steps from the round's parameters, and the results are averaged by
+least, so examples grow with the corpus. They are dealt to shards by a hash of the document's key and text, as many shards as the
+corpus' tokens ask for, and sorted there, so a model doesn't depend on how the files were dealt to partitions. In a round each
+shard makes one pass of mini-batch steps from the round's parameters, and the results are averaged by
 examples in a tree of grouped jobs, so the driver gets a few parameter sets at most.
 
-Defined cases: null, empty and wordless texts have no tokens, sum 0 and a null mean; repeated rows have equal scores; with no
+Defined cases: null, empty and wordless texts have no tokens, sum 0 and a null mean; repeated rows have equal scores, as have ties of a key; a very long
+text is one row of examples, a sixth of its size or so; rows with a null key are dealt by their place in the input; with no
 training examples the network is its initial one; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -27,13 +31,15 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.common import LOWER, documents, mix, staged, steps, text_bytes, word_hashes, words
 
-BUCKETS, CLASSES, INPUTS = 1 << 16, 128, 1 << 12
+BUCKETS, CLASSES, INPUTS = 1 << 16, 64, 1 << 12
+SLOTS = INPUTS // CLASSES
 REACH, WIDTH = 3, 24
 OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
-MASK, ROUNDS, BATCH, RATE, SEED = 16, 3, 64, 2.0, 3
+MASK, ROUNDS, BATCH, RATE, SEED = 16, 3, 512, 2.0, 3
+TOKENS_A_SHARD = 1 << 22
 #: Partitions whose parameters one group averages.
 FAN_IN = 16
-SHAPES = {"embed": (INPUTS + 1, WIDTH), "gate": (len(OFFSETS), WIDTH), "bias": (WIDTH,), "out": (WIDTH, CLASSES), "out_bias": (CLASSES,)}
+SHAPES = {"embed": (INPUTS + 1, WIDTH), "gate": (len(OFFSETS), WIDTH), "bias": (WIDTH,), "out": (WIDTH, CLASSES), "out_bias": (CLASSES,), "inner": (CLASSES, WIDTH, SLOTS), "inner_bias": (CLASSES, SLOTS)}
 POSITIONS_AT_ONCE = 1 << 14
 
 
@@ -47,33 +53,31 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 @dataclass
 class Vocabulary:
-    """Class of each bucket, log-share of the bucket in its class, and input row of each bucket (rare ones share rows)."""
+    """Row of each bucket, log-share of the bucket in its row, and log of each row's share of the corpus. A row's class is
+    row // SLOTS, its slot there row % SLOTS."""
 
-    klass: np.ndarray
-    share: np.ndarray
     row: np.ndarray
+    share: np.ndarray
+    prior: np.ndarray
 
     @staticmethod
     def of(counts: np.ndarray) -> Vocabulary:
-        """The most frequent half of the classes are single buckets, the rest hold equal parts of the remaining count."""
+        """The most frequent buckets have half of the rows, one each; the others share the rest by hash."""
         n = counts + 1.0
         order = np.argsort(-n, kind="stable")
-        klass = np.zeros(BUCKETS, np.int64)
-        singles = CLASSES // 2
-        klass[order[:singles]] = np.arange(singles)
-        rest = order[singles:]
-        upto = np.cumsum(n[rest])
-        klass[rest] = singles + np.minimum((upto - n[rest]) * (CLASSES - singles) // upto[-1], CLASSES - singles - 1).astype(int)
-        total = np.bincount(klass, weights=n, minlength=CLASSES)
         row = np.zeros(BUCKETS, np.int64)
         row[order] = np.where(np.arange(BUCKETS) < INPUTS // 2, np.arange(BUCKETS), INPUTS // 2 + order % (INPUTS - INPUTS // 2))
-        return Vocabulary(klass, np.log(n / total[klass]), row)
+        total = np.bincount(row, weights=n, minlength=INPUTS)
+        return Vocabulary(row, np.log(n / total[row]), np.log(total / total.sum()))
 
 
-def initial() -> np.ndarray:
-    """All parameters as one vector: small random embeddings and output weights, open gates."""
+def initial(prior: np.ndarray | None = None) -> np.ndarray:
+    """All parameters as one vector: small random embeddings and output weights, open gates, biases that give the corpus shares."""
     rng = np.random.default_rng(SEED)
-    parts = {"embed": rng.normal(0, 0.3, SHAPES["embed"]), "gate": np.ones(SHAPES["gate"]), "bias": np.zeros(SHAPES["bias"]), "out": rng.normal(0, 0.1, SHAPES["out"]), "out_bias": np.zeros(SHAPES["out_bias"])}
+    parts = {"embed": rng.normal(0, 0.3, SHAPES["embed"]), "gate": np.ones(SHAPES["gate"]), "bias": np.zeros(SHAPES["bias"]), "out": rng.normal(0, 0.1, SHAPES["out"]), "inner": rng.normal(0, 0.1, SHAPES["inner"])}
+    prior = np.zeros(SHAPES["inner_bias"]) if prior is None else prior.reshape(SHAPES["inner_bias"])
+    parts["out_bias"] = np.log(np.exp(prior).sum(axis=1))
+    parts["inner_bias"] = prior - parts["out_bias"][:, None]
     return np.concatenate([parts[k].ravel() for k in SHAPES]).astype(np.float32)
 
 
@@ -104,25 +108,53 @@ def hidden(p: dict[str, np.ndarray], context: np.ndarray) -> np.ndarray:
     return np.tanh(total)
 
 
-def log_probabilities(p: dict[str, np.ndarray], context: np.ndarray, klass: np.ndarray) -> np.ndarray:
-    z = hidden(p, context) @ p["out"] + p["out_bias"]
-    z -= z.max(axis=1, keepdims=True)
-    return z[np.arange(len(z)), klass] - np.log(np.exp(z).sum(axis=1))
+def softmax(z: np.ndarray) -> np.ndarray:
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
 
+def by_class(row: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of the rows by class, and (class, first, last) of each run in it."""
+    klass = row // SLOTS
+    order = np.argsort(klass, kind="stable")
+    upto = np.concatenate([[0], np.cumsum(np.bincount(klass, minlength=CLASSES))])
+    return order, [(c, upto[c], upto[c + 1]) for c in range(CLASSES) if upto[c] < upto[c + 1]]
 
-def train(vector: np.ndarray, context: np.ndarray, klass: np.ndarray, rate: float) -> np.ndarray:
+
+def log_probabilities(p: dict[str, np.ndarray], context: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Of each row, given its context: of its class, and of it within the class."""
+    order, runs = by_class(row)
+    h, row = hidden(p, context)[order], row[order]
+    found = np.log(softmax(h @ p["out"] + p["out_bias"])[np.arange(len(row)), row // SLOTS])
+    for c, i, j in runs:
+        found[i:j] += np.log(softmax(h[i:j] @ p["inner"][c] + p["inner_bias"][c])[np.arange(j - i), row[i:j] % SLOTS])
+    out = np.zeros(len(row), np.float32)
+    out[order] = found
+    return out
+
+
+def train(vector: np.ndarray, context: np.ndarray, row: np.ndarray, rate: float) -> np.ndarray:
     """One pass of mini-batch gradient steps over the examples."""
     vector = vector.copy()
     p = unpacked(vector)
-    for i in range(0, len(klass), BATCH):
-        c, y = context[i : i + BATCH], klass[i : i + BATCH]
+    for i in range(0, len(row), BATCH):
+        order, runs = by_class(row[i : i + BATCH])
+        c, y = context[i : i + BATCH][order], row[i : i + BATCH][order]
         h = hidden(p, c)
-        z = h @ p["out"] + p["out_bias"]
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(len(y)), y] -= 1
+        z = softmax(h @ p["out"] + p["out_bias"])
+        z[np.arange(len(y)), y // SLOTS] -= 1
         step = np.float32(rate / len(y))
-        back = (z @ p["out"].T) * (1 - h * h)
+        back = z @ p["out"].T
+        for k, a, b in runs:
+            inner = p["inner"][k]
+            d = softmax(h[a:b] @ inner + p["inner_bias"][k])
+            d[np.arange(b - a), y[a:b] % SLOTS] -= 1
+            back[a:b] += d @ inner.T
+            d *= np.float32(rate / max(b - a, 16))  # a mean over many examples, a fixed rate for each of a few
+            inner -= h[a:b].T @ d
+            p["inner_bias"][k] -= d.sum(axis=0)
+        back *= 1 - h * h
         p["out"] -= step * (h.T @ z)
         p["out_bias"] -= step * z.sum(axis=0)
         p["bias"] -= step * back.sum(axis=0)
@@ -174,39 +206,48 @@ def masked_at(bucket: np.ndarray, doc: np.ndarray, n: int, round_: int) -> np.nd
 
 
 def examples(docs: DataFrame, vocabulary: Vocabulary, round_: int) -> DataFrame:
-    """(context, klass) blobs of the positions of all rows that a round masks, a row a step of texts."""
+    """docs(spot, text): (spot, context, row) blobs of the positions of each text that a round masks."""
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = sent.value
         for batch in batches:
-            data, offsets = text_bytes(batch.column(0))
+            data, offsets = text_bytes(batch.column(1))
             for i, j in steps(offsets):
                 o = offsets[i : j + 1]
                 bucket, doc = tokens(data[o[0] : o[-1]], o - o[0])
                 masked = masked_at(bucket, doc, j - i, round_)
-                c = contexts(v.row[bucket], doc, masked).astype(np.int16)
-                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()), pa.array([v.klass[bucket[masked]].astype(np.int16).tobytes()], pa.binary())], ["context", "klass"])
+                row = v.row[bucket]
+                upto = np.searchsorted(doc[masked], np.arange(j - i + 1))
+                blobs = []
+                for values in (contexts(row, doc, masked), row[masked]):
+                    flat = values.astype(np.int16).ravel()
+                    ends = pa.array(upto * (2 * (values.shape[1] if values.ndim > 1 else 1)), pa.int32())
+                    blobs.append(pa.Array.from_buffers(pa.binary(), j - i, [None, ends.buffers()[1], pa.py_buffer(flat.tobytes())]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *blobs], ["spot", "context", "row"])
 
-    return docs.select("text").mapInArrow(each, "context binary, klass binary")
+    return docs.select("spot", "text").mapInArrow(each, "spot long, context binary, row binary").where("length(row) > 0")
 
 
-def fit(docs: DataFrame) -> tuple[Vocabulary, np.ndarray]:
-    """docs(text): counts and network of the whole corpus."""
+def fit(docs: DataFrame, key: str | None = None) -> tuple[Vocabulary, np.ndarray]:
+    """docs(text, and key if named): counts and network of the whole corpus. Without a key, rows of equal texts are one shard's."""
     spark = docs.sparkSession
-    vocabulary = Vocabulary.of(count_tokens(docs))
-    vector = initial()
+    counts = count_tokens(docs)
+    vocabulary = Vocabulary.of(counts)
+    vector = initial(vocabulary.prior)
+    n_shards = max(1, -(-int(counts.sum()) // TOKENS_A_SHARD))
+    own = [F.coalesce(F.col(key).cast("string"), F.monotonically_increasing_id().cast("string"))] if key else []
+    rows = docs.select(F.xxhash64(*own, F.col("text").cast("string")).alias("spot"), F.col("text").cast("string").alias("text"))
     for round_ in range(ROUNDS):
-        data = staged(spark, examples(docs, vocabulary, round_), "masked")
+        data = examples(rows, vocabulary, round_).repartition(n_shards, "spot").sortWithinPartitions("spot", "row", "context")
         sent, rate = spark.sparkContext.broadcast(vector), RATE / (1 + round_)
 
         def each(batches: Iterator[pa.RecordBatch], sent=sent, rate=rate) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             now, n = sent.value, 0
             for batch in batches:
-                for c, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    klass = np.frombuffer(y, np.int16).astype(np.int64)
-                    now = train(now, np.frombuffer(c, np.int16).astype(np.int64).reshape(-1, len(OFFSETS)), klass, rate)
-                    n += len(klass)
+                c, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.int16).astype(np.int64) for i in (1, 2))
+                now = train(now, c.reshape(-1, len(OFFSETS)), y, rate)
+                n += len(y)
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([now.tobytes()], pa.binary())], ["n", "vector"])
 
@@ -232,11 +273,11 @@ def token_scores(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary,
     """Log-probability and text of each token."""
     p = unpacked(vector)
     bucket, doc = tokens(data, offsets)
-    row, klass = vocabulary.row[bucket], vocabulary.klass[bucket]
+    row = vocabulary.row[bucket]
     out = np.zeros(len(bucket))
     for i in range(0, len(bucket), POSITIONS_AT_ONCE):
         at = np.arange(i, min(i + POSITIONS_AT_ONCE, len(bucket)))
-        out[at] = log_probabilities(p, contexts(row, doc, at), klass[at])
+        out[at] = log_probabilities(p, contexts(row, doc, at), row[at])
     return out + vocabulary.share[bucket], doc
 
 
@@ -262,4 +303,4 @@ def score(docs: DataFrame, model: tuple[Vocabulary, np.ndarray], key: str = "doc
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return score(docs, fit(docs.select("text")))
+    return score(docs, fit(docs, "doc_id"))

@@ -433,7 +433,7 @@ def test_lm_learns_both_sides(spark):
 
 def test_lm_scores_equal_plain_softmax():
     vocabulary = lm_score.Vocabulary.of(np.arange(lm_score.BUCKETS, dtype=float))
-    vector = lm_score.initial()
+    vector = lm_score.initial(vocabulary.prior)
     raw = b"One two three two one four"
     data, offsets = np.frombuffer(raw, np.uint8), np.array([0, 13, len(raw)])
     got, doc = lm_score.token_scores(data, offsets, vocabulary, vector)
@@ -444,11 +444,65 @@ def test_lm_scores_equal_plain_softmax():
         for k, o in enumerate(lm_score.OFFSETS):
             inside = 0 <= t + o < len(bucket) and doc[t + o] == doc[t]
             h = h + p["embed"][vocabulary.row[bucket[t + o]] if inside else lm_score.INPUTS] * p["gate"][k]
+        c, slot = divmod(vocabulary.row[bucket[t]], lm_score.SLOTS)
         z = np.exp(np.tanh(h) @ p["out"] + p["out_bias"])
-        want = np.log(z / z.sum())[vocabulary.klass[bucket[t]]] + vocabulary.share[bucket[t]]
+        y = np.exp(np.tanh(h) @ p["inner"][c] + p["inner_bias"][c])
+        want = np.log(z / z.sum())[c] + np.log(y / y.sum())[slot] + vocabulary.share[bucket[t]]
         assert got[t] == pytest.approx(want, abs=1e-4)
 
 
+def chains(n, seed, words=400):
+    """Texts of more words than classes, each followed by one of two of its own."""
+    rng = np.random.default_rng(seed)
+    texts = []
+    for _ in range(n):
+        w = [int(rng.integers(words))]
+        while len(w) < 60:
+            w.append((w[-1] * 7 + int(rng.integers(2))) % words)
+        texts.append(" ".join(f"w{x}" for x in w))
+    return texts
+
+
+def test_lm_tells_words_of_a_class_apart_by_context():
+    """Of words dealt to shared classes, the held-out text gains over corpus shares, and a swap of words of a class costs."""
+    texts, held = chains(3000, 1), chains(50, 2)
+
+    def read(rows):
+        raw = [t.encode() for t in rows]
+        return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+    bucket, doc = lm_score.tokens(*read(texts))
+    v = lm_score.Vocabulary.of(np.bincount(bucket, minlength=lm_score.BUCKETS).astype(float))
+    row, vector = v.row[bucket], lm_score.initial(v.prior)
+    for r in range(lm_score.ROUNDS):
+        at = lm_score.masked_at(bucket, doc, len(texts), r)
+        vector = lm_score.train(vector, lm_score.contexts(row, doc, at), row[at], lm_score.RATE / (1 + r))
+    held_bucket, _ = lm_score.tokens(*read(held))
+    unigram = (v.prior[v.row[held_bucket]] + v.share[held_bucket]).mean()
+    assert lm_score.token_scores(*read(held), v, vector)[0].mean() > unigram + 0.3
+    # within the class alone
+    p, at = lm_score.unpacked(vector), np.arange(len(held_bucket))
+    _, of = lm_score.tokens(*read(held))
+    h = lm_score.hidden(p, lm_score.contexts(v.row[held_bucket], of, at))
+    c, slot = v.row[held_bucket] // lm_score.SLOTS, v.row[held_bucket] % lm_score.SLOTS
+    inner = np.array([np.log(lm_score.softmax((x @ p["inner"][k] + p["inner_bias"][k])[None])[0, j]) for x, k, j in zip(h, c, slot, strict=True)])
+    alone = np.array([np.log(lm_score.softmax(v.prior.reshape(lm_score.CLASSES, -1)[k][None])[0, j]) for k, j in zip(c, slot, strict=True)])
+    assert inner.mean() > alone.mean() + 0.1
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "TOKENS_A_SHARD", 4000)
+    df = spark.createDataFrame(list(enumerate([*chains(200, 3), "", None])), "doc_id long, text string")
+    found = []
+    for parts in (1, 5):
+        dealt = df.repartition(parts, "text")
+        found.append({r["doc_id"]: (r["n_tokens"], r["log_prob"]) for r in lm_score.score(dealt, lm_score.fit(dealt, "doc_id")).collect()})
+    assert found[0].keys() == found[1].keys()
+    for i, (n, total) in found[0].items():
+        assert found[1][i][0] == n
+        assert found[1][i][1] == pytest.approx(total, abs=1e-3 * max(n, 1))
+
+
 def test_rounds_mask_other_positions_of_every_text():
     rng = np.random.default_rng(6)
     doc = np.repeat(np.arange(40), rng.integers(0, 80, 40))
