@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from spindrift.llm.common import documents, mix, shared_dir, staged, steps, text_bytes, word_hashes, words
-from spindrift.llm.suffix_dedup import inside, ragged
+from spindrift.llm.suffix_dedup import ragged
 
 END_ID = 1
 WINDOW, CUT_BITS, MOST = 16, 9, 8192
@@ -62,13 +62,44 @@ class Encoder:
         return self.tokenizer.encode(f"a {MARK} b", add_special_tokens=False).ids[1:2] == [mark]
 
     def forget(self) -> None:
-        self.known, self.at, self.n, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        # sorted hashes with each word's place and count in ids: most words in the first level, the latest in the second
+        self.levels = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in range(2)]
+        self.ids, self.size = np.zeros(1 << 16, np.uint32), 0
+
+    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and count in ids of each remembered hash; count -1 of the others."""
+        at, n = np.zeros(len(value), np.int64), np.full(len(value), -1, np.int64)
+        for known, start, count in self.levels:
+            if len(known):
+                slot = np.minimum(np.searchsorted(known, value), len(known) - 1)
+                hit = known[slot] == value
+                at[hit], n[hit] = start[slot[hit]], count[slot[hit]]
+        return at, n
+
+    def remember(self, value: np.ndarray, at: np.ndarray, n: np.ndarray, ids: np.ndarray) -> None:
+        """Add words whose ids come next; the latest words join the others when they are many."""
+
+        def joined(a: tuple, b: tuple) -> tuple:
+            both = [np.concatenate(x) for x in zip(a, b, strict=True)]
+            order = np.argsort(both[0], kind="stable")
+            return tuple(x[order] for x in both)
+
+        if self.size + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.size], np.zeros(max(self.size, len(ids)), np.uint32)])
+        self.ids[self.size : self.size + len(ids)] = ids
+        self.size += len(ids)
+        old, recent = self.levels[0], joined(self.levels[1], (value, at, n))
+        if len(recent[0]) > max(1 << 14, len(old[0]) // 8):
+            old, recent = joined(old, recent), tuple(x[:0] for x in recent)
+        self.levels = [old, recent]
 
     def look_up(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the words, and where in them each word starts and how many it has."""
         mark = MARK.encode()
-        many = [i for i, w in enumerate(found) if self.mark is not None and mark not in w]
-        alone = sorted(set(range(len(found))) - set(many))
+        many: list[int] = []
+        alone: list[int] = []
+        for i, w in enumerate(found):
+            (alone if self.mark is None or mark in w else many).append(i)
         text = lambda i: found[i].decode("utf-8", "replace")
         groups = [many[i : i + 256] for i in range(0, len(many), 256)]
         between = b" " + mark + b" "
@@ -96,19 +127,17 @@ class Encoder:
         start, end, doc = words(data, offsets)
         h = word_hashes(data, start, end) if len(start) else np.zeros(0, np.uint64)
         value, first, of = np.unique(h, return_index=True, return_inverse=True)
-        new = ~inside(self.known, value)
+        at, n = self.find(value)
+        new = n < 0
         if new.any():
-            if len(self.known) > MEMO:
+            if sum(len(known) for known, *_ in self.levels) > MEMO:
                 self.forget()
                 new[:] = True
-            ids, at, n = self.look_up([data[start[i] : end[i]].tobytes() for i in first[new]])
-            at = at + len(self.ids)
-            self.ids = np.concatenate([self.ids, ids])
-            known = np.concatenate([self.known, value[new]])
-            order = np.argsort(known, kind="stable")
-            self.known, self.at, self.n = known[order], np.concatenate([self.at, at])[order], np.concatenate([self.n, n])[order]
-        slot = np.searchsorted(self.known, value)[of]
-        take, owner = ragged(self.at[slot], self.at[slot] + self.n[slot])
+            raw, first = data.tobytes(), first[new]
+            ids, here, n[new] = self.look_up([raw[i:j] for i, j in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+            at[new] = here + self.size
+            self.remember(value[new], at[new], n[new], ids)
+        take, owner = ragged(at[of], at[of] + n[of])
         doc = doc[owner] if len(owner) else np.zeros(0, np.int64)
         count = np.bincount(doc, minlength=len(offsets) - 1) + 1
         out = np.full(count.sum(), end_id, np.uint32)
@@ -129,10 +158,11 @@ def encoder(vocabulary: str) -> Encoder:
 def cuts(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Ends of the chunks of the streams that start at starts[:-1] in ids."""
     n = len(ids)
-    power = np.uint64(0x5851F42D4C957F2D)
-    h = np.zeros(n, np.uint64)
-    for j in range(min(WINDOW, n)):  # the hash of the last WINDOW ids; those of an earlier document count as none
-        h[j:] += (ids[: n - j].astype(np.uint64) + np.uint64(1)) * np.uint64(pow(int(power), j, 1 << 64))
+    h = ids.astype(np.uint64) + np.uint64(1)
+    span = 1
+    while span < WINDOW:  # the hash of the last 2, 4, ... WINDOW ids; positions with fewer in their document aren't used
+        h[span:] += h[:-span] * np.uint64(pow(0x5851F42D4C957F2D, span, 1 << 64))
+        span *= 2
     own = np.arange(n) - np.repeat(starts[:-1], np.diff(starts)) >= WINDOW - 1
     at = np.flatnonzero(own & ((mix(h) & np.uint64((1 << CUT_BITS) - 1)) == 0)) + 1
     at = np.unique(np.concatenate([at, starts[1:]]))
@@ -167,12 +197,31 @@ def apply(m: tuple[int, ...], x: int) -> int:
     return out
 
 
+@functools.cache
+def zeros_tables(bit: int) -> np.ndarray:
+    """What 2**bit zero bytes do to a crc32, as four tables of its bytes."""
+    m = zeros_matrix(1 << bit)
+    return np.array([[apply(m, value << (8 * k)) for value in range(256)] for k in range(4)], np.uint32)
+
+
+def joined_crcs(crc: np.ndarray, n_bytes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The crc32 of each run of parts set end to end, from the parts' crc32 and length; runs begin at first, none is empty.
+    A part's crc counts as moved over the bytes that follow it in its run."""
+    upto = np.cumsum(n_bytes)
+    run = np.diff(np.concatenate([first, [len(crc)]]))
+    left = np.repeat(upto[first + run - 1], run) - upto
+    crc = crc.astype(np.uint32)
+    for bit in range(int(left.max(initial=0)).bit_length()):
+        some = np.flatnonzero(left >> bit & 1)
+        t, x = zeros_tables(bit), crc[some]
+        crc[some] = t[0][x & 255] ^ t[1][x >> 8 & 255] ^ t[2][x >> 16 & 255] ^ t[3][x >> 24]
+    return np.bitwise_xor.reduceat(crc, first).astype(np.int64)
+
+
 def joined_crc(parts: list[tuple[int, int]]) -> int:
     """The crc32 of parts set end to end, from each part's crc32 and length in bytes."""
-    crc = parts[0][0]
-    for c, n in parts[1:]:
-        crc = apply(zeros_matrix(n), crc) ^ c
-    return crc
+    crc, n = (np.array(x, np.int64) for x in zip(*parts, strict=True))
+    return int(joined_crcs(crc, n, np.zeros(1, np.int64))[0])
 
 
 def merkle_root(leaves: list[bytes]) -> bytes:
@@ -299,11 +348,17 @@ class Store:
 
         def join_crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                crcs = []
-                for doc, n, parts in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
-                    if n != sum(p["n"] or 0 for p in parts):
-                        raise ValueError(f"chunks of document {doc} are missing")
-                    crcs.append(joined_crc([(p["crc"], 4 * p["n"]) for p in sorted(parts, key=lambda p: p["at"])]))
+                if not len(batch):
+                    continue
+                parts = batch.column(3).flatten()
+                at, n, crc = (parts.field(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "n", "crc"))
+                doc = np.repeat(np.arange(len(batch)), batch.column(3).value_lengths().to_numpy(zero_copy_only=False))
+                order = np.lexsort([at, doc])
+                first = np.searchsorted(doc, np.arange(len(batch)))  # every document has a chunk
+                wrong = np.flatnonzero(np.add.reduceat(n, first) != batch.column(2).to_numpy())
+                if len(wrong):
+                    raise ValueError(f"chunks of document {batch.column(0)[int(wrong[0])].as_py()} are missing")
+                crcs = joined_crcs(crc[order], 4 * n[order], first)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
         return self._parts("n", "crc").mapInArrow(join_crcs, "doc_id long, start long, n_tokens long, ids_crc32 long")
