@@ -9,23 +9,25 @@ log-probabilities of all its tokens.
 
 Each round of training masks one in MASK positions of the documents, by hash, other ones each round, and one of each document at
 least, so examples grow with the corpus. They are dealt to shards by a hash of the document's key and text, as many shards as the
-corpus' tokens ask for, and sorted there, so a model doesn't depend on how the files were dealt to partitions. In a round each
+corpus' tokens ask for (a shard's examples are bounded by that), and sorted there, so a model doesn't depend on how the files were dealt to partitions. In a round each
 shard makes one pass of mini-batch steps from the round's parameters, and the results are averaged by
 examples in a tree of grouped jobs, so the driver gets a few parameter sets at most.
 
 Defined cases: null, empty and wordless texts have no tokens, sum 0 and a null mean; repeated rows have equal scores, as have ties of a key; a very long
-text is one row of examples, a sixth of its size or so; rows with a null key are dealt by their place in the input; with no
+text is one row of examples, a sixth of its size or so; rows without a key are dealt by their place in the input, rows that
+repeat key and text meet in one shard; with no
 training examples the network is its initial one; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -229,29 +231,33 @@ def examples(docs: DataFrame, vocabulary: Vocabulary, round_: int) -> DataFrame:
     return docs.select("spot", "text").mapInArrow(each, "spot long, context binary, row binary").where("length(row) > 0")
 
 
+def trainer(sent: Broadcast, rate: float) -> Callable[[pa.Table], pa.Table]:
+    """A shard's pass from the parameters sent: its number of examples and its parameters."""
+
+    def each(shard: pa.Table) -> pa.Table:
+        shard = shard.sort_by([("spot", "ascending"), ("row", "ascending"), ("context", "ascending")])
+        c, y = (np.frombuffer(b"".join(shard.column(k).to_pylist()), np.int16).astype(np.int64) for k in ("context", "row"))
+        now = train(sent.value, c.reshape(-1, len(OFFSETS)), y, rate)
+        return pa.table({"n": pa.array([len(y)], pa.int64()), "vector": pa.array([now.tobytes()], pa.binary()), "part": shard.column("shard").combine_chunks()[:1]})
+
+    return each
+
+
 def fit(docs: DataFrame, key: str | None = None) -> tuple[Vocabulary, np.ndarray]:
-    """docs(text, and key if named): counts and network of the whole corpus. Without a key, rows of equal texts are one shard's."""
+    """docs(text, and key if named): counts and network of the whole corpus."""
     spark = docs.sparkSession
     counts = count_tokens(docs)
     vocabulary = Vocabulary.of(counts)
     vector = initial(vocabulary.prior)
     n_shards = max(1, -(-int(counts.sum()) // TOKENS_A_SHARD))
-    own = [F.coalesce(F.col(key).cast("string"), F.monotonically_increasing_id().cast("string"))] if key else []
-    rows = docs.select(F.xxhash64(*own, F.col("text").cast("string")).alias("spot"), F.col("text").cast("string").alias("text"))
+    place = F.monotonically_increasing_id().cast("string")
+    own = F.coalesce(F.col(key).cast("string"), place) if key else place
+    rows = docs.select(F.xxhash64(own, F.col("text").cast("string")).alias("spot"), F.col("text").cast("string").alias("text"))
     for round_ in range(ROUNDS):
-        data = examples(rows, vocabulary, round_).repartition(n_shards, "spot").sortWithinPartitions("spot", "row", "context")
+        data = examples(rows, vocabulary, round_).withColumn("shard", F.pmod("spot", F.lit(n_shards)))
         sent, rate = spark.sparkContext.broadcast(vector), RATE / (1 + round_)
 
-        def each(batches: Iterator[pa.RecordBatch], sent=sent, rate=rate) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            now, n = sent.value, 0
-            for batch in batches:
-                c, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.int16).astype(np.int64) for i in (1, 2))
-                now = train(now, c.reshape(-1, len(OFFSETS)), y, rate)
-                n += len(y)
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([now.tobytes()], pa.binary())], ["n", "vector"])
-
-        trained = staged(spark, data.mapInArrow(each, "n long, vector binary").withColumn("part", F.spark_partition_id().cast("long")), "trained")
+        trained = staged(spark, data.groupBy("shard").applyInArrow(trainer(sent, rate), "n long, vector binary, part long"), "trained")
         while trained.count() > FAN_IN:
             trained = staged(spark, trained.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("part").applyInPandas(average, "n long, vector binary, part long"), "averaged")
         rest = trained.orderBy("part").toPandas()  # FAN_IN parameter sets at most
