@@ -3,9 +3,9 @@
 Texts are grouped by digest and content: equal texts are one row of the index however many documents have them, and a digest that
 two texts share leaves two rows. Each distinct text gets the list of the byte offsets of its code points once, in Elias-Fano form: low
 bits in fixed width, high bits in unary with the number of ones before each block. Documents join the index by digest (and by content,
-should texts share one), select the two offsets of their seeded cut from the list, and cut the text's bytes. Texts with
-more than COPIES documents are repeated in the index, each repetition for a share of the documents, so that no text's documents meet
-in one task.
+should texts share one), select the two offsets of their seeded cut from the list, and cut the text's bytes. Texts are
+shuffled once: the index stays where its texts were grouped, and keys and digests come to it. Texts with more than COPIES documents,
+which meet within tasks first, have several rows there, each for a share of their documents, so that none's documents meet in one task.
 
 Defined cases: null text is empty; an empty text, and one that holds a sentinel, stays plain; a null key has the seed of "1:"; texts of
 any length are cut whole; repeated rows each give their row, alike; cuts on one place leave an empty middle; an empty table gives an
@@ -22,11 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
+from pyspark.sql.window import Window as W
 
 from spindrift.llm.common import documents, staged, text_bytes
 
-#: Documents that one row of the index serves; rows of hot texts that may be broadcast; rows of a batch of texts; bits of a block of high bits.
-COPIES, SENT_ROWS, BATCH_ROWS, BLOCK = 4096, 100_000, 256, 512
+#: Documents that one row of the index serves, raised until no more than SENT_ROWS texts have more, whose digests are broadcast; documents of a
+#: partition of the index; rows of a batch of texts; bits of a block of high bits.
+COPIES, SENT_ROWS, PART_ROWS, BATCH_ROWS, BLOCK = 64, 500_000, 1 << 14, 256, 512
 
 
 @dataclass(frozen=True)
@@ -121,48 +124,55 @@ def digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def text_index(docs: DataFrame, form: Form, text: str = "text", digest=digest) -> DataFrame:  # noqa: ANN001
-    """(digest, text, copies, offsets, plain) of each distinct text. Equal texts meet within tasks before they are shuffled."""
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    groups = docs.select(digest(whole).alias("digest"), whole.alias("text")).groupBy("digest", "text").agg(F.count(F.lit(1)).alias("copies"))
-    holds = [F.col("text").contains(s) for s in (form.prefix, form.suffix, form.middle)]
-    rows = groups.withColumn("plain", (F.col("text") == "") | holds[0] | holds[1] | holds[2])
+@F.arrow_udf(BinaryType())
+def offset_lists(texts: pa.Array) -> pa.Array:
+    data, at = text_bytes(texts)
+    return pa.array([elias_fano(boundaries(data[a:b]), int(b - a)) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
 
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = text_bytes(batch.column(1))
-            packed = [elias_fano(boundaries(data[a:b]), int(b - a)) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary())], [*batch.schema.names, "offsets"])
 
-    return rows.mapInArrow(lists, "digest binary, text string, copies long, plain boolean, offsets binary")
+def text_index(rows: DataFrame, form: Form) -> DataFrame:
+    """(digest, text, copies, texts, plain, offsets) of each distinct text of rows(digest, text); texts is how many its digest has."""
+    groups = rows.groupBy("digest", "text").agg(F.count(F.lit(1)).alias("copies")).withColumn("texts", F.count(F.lit(1)).over(W.partitionBy("digest")))
+    holds = [F.col("text").contains(s) for s in (form.prefix, form.suffix, form.middle)]
+    return groups.select("*", ((F.col("text") == "") | holds[0] | holds[1] | holds[2]).alias("plain"), offset_lists("text").alias("offsets"))
 
 
 def transform(docs: DataFrame, form: Form | None = None, key: str = "doc_id", text: str = "text", digest=digest) -> DataFrame:  # noqa: ANN001
-    """(key, n, form, prefix_chars, middle_chars, output, restored) of each row; restored is rebuilt from output and form. Batches have
-    the session's number of rows (spark.sql.execution.arrow.maxRecordsPerBatch); set it low for long texts."""
+    """(key, n, form, prefix_chars, middle_chars, output, restored) of each row; restored is rebuilt from output and form.
+    The rows are written to the shared folder."""
     return _cuts(docs, form or Form(), key, text, digest, "output binary, restored binary", lambda output, back: (output, back))
 
 
-def digests(docs: DataFrame, form: Form | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def digests(docs: DataFrame, form: Form | None = None, key: str = "doc_id", text: str = "text", digest=digest) -> DataFrame:  # noqa: ANN001
     """The same with sha256 digests in place of the output and the restored text."""
     sha = lambda output, back: (hashlib.sha256(output).hexdigest(), hashlib.sha256(back).hexdigest())
-    found = _cuts(docs, form or Form(), key, text, digest, "output_sha256 string, restored_sha256 string", sha)
-    return staged(docs.sparkSession, found, "fim", arrow_rows=BATCH_ROWS)
+    return _cuts(docs, form or Form(), key, text, digest, "output_sha256 string, restored_sha256 string", sha)
 
 
 def _cuts(docs: DataFrame, form: Form, key: str, text: str, digest, columns: str, told) -> DataFrame:  # noqa: ANN001
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
-    index = staged(spark, text_index(docs, form, text, digest), "fim-index", arrow_rows=BATCH_ROWS)
-    shared = not index.groupBy("digest").count().where("count > 1").isEmpty()  # texts of one digest: the content decides
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(key).alias("key"), digest(whole).alias("digest"), *([whole.alias("text")] if shared else []), F.xxhash64(F.col(key), F.monotonically_increasing_id()).alias("deal"))
-    # the documents of a text with many copies are dealt over as many rows of the index
-    hot = index.where(F.col("copies") > COPIES).groupBy("digest").agg(F.ceil(F.max("copies") / COPIES).cast("int").alias("shares"))
-    hot = F.broadcast(hot) if hot.count() <= SENT_ROWS else hot
-    rows = rows.join(hot, "digest", "left").select(*rows.columns, F.pmod("deal", F.coalesce("shares", F.lit(1))).cast("int").alias("share"))
-    index = index.join(hot, "digest", "left").select("digest", "text", "offsets", "plain", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)).alias("share"))
-    joined = rows.join(index, ["digest", "share", *(["text"] if shared else [])]).select("key", "text", "offsets", "plain")
+    keys = staged(spark, docs.select(F.col(key).alias("key"), digest(whole).alias("digest"), F.xxhash64(F.col(key), F.monotonically_increasing_id()).alias("deal")), "fim-keys")
+    counts = staged(spark, keys.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > COPIES), "fim-counts")
+    copies = COPIES
+    while counts.where(F.col("copies") > copies).count() > SENT_ROWS:
+        copies *= 2
+    hot = F.broadcast(counts.where(F.col("copies") > copies).select("digest", F.ceil(F.col("copies") / copies).cast("int").alias("shares")))  # SENT_ROWS rows at most
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys.count() // PART_ROWS))
+
+    def joined(by_content: bool) -> DataFrame:
+        """(key, text, offsets, plain, texts) of each document."""
+        texts = docs.select(digest(whole).alias("digest"), whole.alias("text"))
+        left = docs.select(F.col(key).alias("key"), digest(whole).alias("digest"), F.xxhash64(F.col(key), F.monotonically_increasing_id()).alias("deal"), whole.alias("text")) if by_content else keys
+        on, kept = ["digest", "text"] if by_content else ["digest"], ["digest", "text", "offsets", "plain", "texts"]
+        # both sides go by digest once, and so meet where texts are grouped
+        index = text_index(texts.join(hot, "digest", "left_anti").repartition(n, "digest"), form)
+        cold = left.join(hot, "digest", "left_anti").repartition(n, "digest").join(index.select(*kept), on)
+        few = text_index(texts.join(hot, "digest", "left_semi"), form).join(hot, "digest")
+        few = few.select(*kept, F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+        warm = left.join(hot, "digest").withColumn("share", F.pmod("deal", "shares").cast("int")).drop("shares").join(few, [*on, "share"])
+        return cold.select("key", *kept[1:]).unionByName(warm.select("key", *kept[1:]))
 
     def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in columns.split(", ")]
@@ -173,9 +183,13 @@ def _cuts(docs: DataFrame, form: Form, key: str, text: str, digest, columns: str
                 *facts, output = cut(form, "" if k is None else str(k), t.as_py(), packed.as_py(), plain)
                 out.append((*facts, *told(output, restored(form, output, facts[1]))))
             n, name, i, j, *more = zip(*out, strict=True) if out else [()] * (4 + len(names))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(name, pa.string()), pa.array(i, pa.int64()), pa.array(j, pa.int64()), *[pa.array(x, t) for x, t in zip(more, kinds, strict=True)]], ["key", "n", "form", "prefix_chars", "middle_chars", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(name, pa.string()), pa.array(i, pa.int64()), pa.array(j, pa.int64()), *[pa.array(x, t) for x, t in zip(more, kinds, strict=True)], batch.column(4)], ["key", "n", "form", "prefix_chars", "middle_chars", *names, "texts"])
 
-    return joined.mapInArrow(cuts, f"key {kind}, n long, form string, prefix_chars long, middle_chars long, {columns}").withColumnRenamed("key", key)
+    schema = f"key {kind}, n long, form string, prefix_chars long, middle_chars long, {columns}, texts long"
+    found = staged(spark, joined(False).mapInArrow(cuts, schema), "fim", arrow_rows=BATCH_ROWS)
+    if not found.where("texts > 1").isEmpty():  # texts of one digest: the content decides
+        found = staged(spark, joined(True).mapInArrow(cuts, schema), "fim", arrow_rows=BATCH_ROWS)
+    return found.drop("texts").withColumnRenamed("key", key)
 
 
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
