@@ -6,6 +6,7 @@ No piece of such vocabularies has a space mark behind another character, so no j
 words whose agendas don't touch, and equal words have equal ids. The distinct words of an Arrow batch run side by side, each a row
 of a matrix of pair scores; words longer than LANE characters have a heap. A vocabulary with pieces across words makes each
 text one unit. Every distinct unit is checked against the library in its batch, and a document with a unit that differs is marked.
+Decoding sets the library's own texts of the pieces end to end; whatever isn't plain pieces between a begin and an end goes to the library.
 
 Defined cases: null text is empty, and empty text has the begin and end ids alone; characters without a piece are bytes where the
 vocabulary has them, else runs of them are one unknown id; texts of any length are encoded whole, in steps of STEP bytes or one
@@ -18,11 +19,13 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import itertools
 from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +34,7 @@ from spindrift.llm.common import documents, steps, text_bytes
 SPACE = "▁"
 MARK = tuple(SPACE.encode())
 #: Characters of a word that a row of the matrix holds at most; cells of a matrix; bytes of text in a step; words remembered between steps.
-LANE, CELLS, STEP, MEMO = 64, 1 << 20, 1 << 22, 1 << 18
+LANE, CELLS, STEP, MEMO = 64, 1 << 20, 1 << 22, 1 << 19
 WIDTHS = (4, 8, 12, 16, 24, 32, LANE)
 
 
@@ -67,7 +70,7 @@ class Vocabulary:
         for s, i in symbols.items():
             if len(s) == 1:
                 self.of_char[ord(s)] = i
-        self.char_of = {i: s for s, i in symbols.items() if i >= self.n_pieces}
+        self.rare = np.array([ord(s) for s, i in symbols.items() if i >= self.n_pieces], np.int64)  # by symbol, from n_pieces
         # pairs by the code of their two symbols; a piece has as many as it has cuts into two symbols
         pairs = [(symbols[p[:k]] << 32 | symbols[p[k:]], i) for p, i in normal.items() for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols]
         score = np.array([p.score for p in spec.pieces], np.float32)
@@ -86,7 +89,33 @@ class Vocabulary:
             self.codes[at], self.into[at] = code, i
             self.reach = max(self.reach, at - slot + 1)
         self.rank = rank
-        self.memo: dict[str, tuple[np.ndarray, bool]] = {}
+        self._surfaces()
+        self.forget()
+
+    def forget(self) -> None:
+        """The words seen so far, by number: their ids in one array, and whether the library gave the same."""
+        self.memo: dict[str, int] = {}
+        self.flat, self.ends, self.ok = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool)
+
+    def remember(self, words: list[str], flat: np.ndarray, size: np.ndarray, ok: np.ndarray) -> None:
+        self.memo.update(zip(words, range(len(self.memo), len(self.memo) + len(words)), strict=True))
+        self.flat, self.ok = np.concatenate([self.flat, flat]), np.concatenate([self.ok, ok])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
+
+    def _surfaces(self) -> None:
+        """The library's text of each piece behind another and, from n_pieces, at the start of a text. Pieces of single bytes are those bytes."""
+        n, some = self.n_pieces, self.library.encode("a")
+        later = [t.encode()[1:] for t in self.library.decode([[*some, i] for i in range(n)])] if self.library.decode(some) == "a" else [b""] * n
+        first = [t.encode() for t in self.library.decode([[i] for i in range(n)])]
+        self.is_byte, self.plain = np.zeros(n, bool), np.zeros(n, bool)
+        for value, i in enumerate(self.bytes.tolist() if self.bytes is not None else []):
+            later[i] = first[i] = bytes([value])
+            self.is_byte[i] = value > 127
+        for i in range(n):
+            self.plain[i] = bool(later[i]) and not self.library.is_unknown(i) and not self.library.is_control(i)
+        self.surface = np.frombuffer(b"".join(later + first), np.uint8)
+        self.surface_size = np.array([len(x) for x in later + first], np.int64)
+        self.surface_at = np.cumsum(self.surface_size) - self.surface_size
 
     def _keeps_words(self) -> bool:
         """Whether the library puts a space before a text and keeps every other one, so that a word can be checked alone."""
@@ -148,60 +177,69 @@ def lanes(v: Vocabulary, symbols: np.ndarray) -> np.ndarray:
     rank, piece = np.full((n, width), -1, np.int32), np.zeros((n, width), np.int32)
     r, c = np.nonzero(after >= 0)
     rank[r, c], piece[r, c] = v.join(symbols[r, c], symbols[r, c + 1])
-    rows = np.arange(n)
+    rows = np.arange(n)  # rank has a row for each of these
     while len(rows):
-        best = rank[rows].argmax(axis=1)
-        rows, best = rows[ok := rank[rows, best] >= 0], best[ok]
-        if not len(rows):
+        best = rank.argmax(axis=1)
+        here = np.flatnonzero(rank[np.arange(len(rows)), best] >= 0)
+        if 4 * len(here) < 3 * len(rows):
+            rank, rows, best, here = rank[here], rows[here], best[here], np.arange(len(here))
+        if not len(here):
             break
-        gone = after[rows, best]
-        then, left = after[rows, gone], before[rows, best]
-        symbols[rows, best], symbols[rows, gone] = piece[rows, best], -1
-        rank[rows, gone] = -1
-        after[rows, best] = then
+        at, best = rows[here], best[here]
+        gone = after[at, best]
+        then, left = after[at, gone], before[at, best]
+        symbols[at, best], symbols[at, gone] = piece[at, best], -1
+        rank[here, gone] = -1
+        after[at, best] = then
         some = then >= 0
-        before[rows[some], then[some]] = best[some]
-        rank[rows[~some], best[~some]] = -1
-        rank[rows[some], best[some]], piece[rows[some], best[some]] = v.join(symbols[rows[some], best[some]], symbols[rows[some], then[some]])
+        before[at[some], then[some]] = best[some]
+        rank[here[~some], best[~some]] = -1
+        rank[here[some], best[some]], piece[at[some], best[some]] = v.join(symbols[at[some], best[some]], symbols[at[some], then[some]])
         some = left >= 0
-        rank[rows[some], left[some]], piece[rows[some], left[some]] = v.join(symbols[rows[some], left[some]], symbols[rows[some], best[some]])
+        rank[here[some], left[some]], piece[at[some], left[some]] = v.join(symbols[at[some], left[some]], symbols[at[some], best[some]])
     return symbols
 
 
-def ids_of(v: Vocabulary, symbols: np.ndarray) -> np.ndarray:
-    """Ids of the symbols left: those without a piece as bytes, or each run of them as one unknown id."""
+def ids_of(v: Vocabulary, symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and their owners of the symbols left: symbols without a piece as bytes, or each run of them in a unit as one unknown id."""
     odd = symbols >= v.n_pieces
     if not odd.any():
-        return symbols.astype(np.int32)
+        return symbols.astype(np.int32), owner
     if v.bytes is None:
-        keep = ~(odd & np.concatenate([[False], odd[:-1]]))
-        return np.where(odd, v.unknown, symbols)[keep].astype(np.int32)
-    out = [v.bytes[list((v.char_of[s] if s in v.char_of else chr(s - v.n_known)).encode())] if s >= v.n_pieces else [s] for s in symbols.tolist()]
-    return np.concatenate(out).astype(np.int32)
-
-
-def merged(v: Vocabulary, units: list[str]) -> list[np.ndarray]:
-    """Ids of each normalised unit, by its agenda."""
-    out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(units)
+        again = np.concatenate([[False], odd[1:] & odd[:-1] & (owner[1:] == owner[:-1])])
+        return np.where(odd, v.unknown, symbols)[~again].astype(np.int32), owner[~again]
+    extra = symbols[odd]
+    rare = extra < v.n_known
+    extra[rare], extra[~rare] = v.rare[extra[rare] - v.n_pieces], extra[~rare] - v.n_known
+    size = np.ones(len(symbols), np.int64)
+    size[odd] = 1 + (extra > 0x7F) + (extra > 0x7FF) + (extra > 0xFFFF)
+    out = np.repeat(symbols, size)
+    out[np.repeat(odd, size)] = v.bytes[np.frombuffer("".join(map(chr, extra.tolist())).encode(), np.uint8)]
+    return out.astype(np.int32), np.repeat(owner, size)
+
+
+def merged(v: Vocabulary, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the normalised units, by their agendas, set end to end, and how many each has."""
     size = np.array([len(u) for u in units], np.int64)
-    low = 0
+    found, owners, low = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
     for width in WIDTHS:
         some = np.flatnonzero((size > low) & (size <= width))
         low = width
         for part in np.array_split(some, -(-len(some) * width // CELLS)) if len(some) else ():
-            chars = np.frombuffer("".join(units[i] for i in part).encode("utf-32-le"), "<u4")
+            chars = np.frombuffer("".join([units[i] for i in part]).encode("utf-32-le"), "<u4")
             grid = np.full((len(part), width), -1, np.int64)
             grid[np.arange(width) < size[part][:, None]] = v.of_char[chars]
             grid = lanes(v, grid)
-            left = (grid >= 0).sum(axis=1)
-            flat, at = grid[grid >= 0], np.concatenate([[0], np.cumsum(left)])
-            plain = np.maximum.reduceat(flat, at[:-1]) < v.n_pieces
-            ids = flat.astype(np.int32)
-            for k, i in enumerate(part):
-                out[i] = ids[at[k] : at[k + 1]] if plain[k] else ids_of(v, flat[at[k] : at[k + 1]])
+            ids, owner = ids_of(v, grid[grid >= 0], np.repeat(part, (grid >= 0).sum(axis=1)))
+            found.append(ids)
+            owners.append(owner)
     for i in np.flatnonzero(size > LANE):
-        out[i] = ids_of(v, np.array(agenda(v, v.of_char[np.frombuffer(units[i].encode("utf-32-le"), "<u4")].tolist()), np.int64))
-    return out
+        left = agenda(v, v.of_char[np.frombuffer(units[i].encode("utf-32-le"), "<u4")].tolist())
+        ids, owner = ids_of(v, np.array(left, np.int64), np.full(len(left), i))
+        found.append(ids)
+        owners.append(owner)
+    owner = np.concatenate(owners)
+    return np.concatenate(found)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(units))
 
 
 def library_ids(v: Vocabulary, texts: list[str]) -> list[list[int]]:
@@ -230,27 +268,33 @@ def by_words(v: Vocabulary, texts: list[str]) -> tuple[np.ndarray, np.ndarray, n
     words = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int64)), normal.buffers()[2] if len(data) else pa.py_buffer(b"")).dictionary_encode()
     distinct = words.dictionary.to_pylist()
     if len(v.memo) > MEMO:
-        v.memo.clear()
+        v.forget()
     new = [w for w in distinct if w not in v.memo]
-    for w, ids, other in zip(new, merged(v, new), library_words(v, new), strict=True):
-        v.memo[w] = ids, ids.tolist() == other
-    known = [v.memo[w] for w in distinct]
-    size, ok = np.array([len(ids) for ids, _ in known], np.int64), np.array([x for _, x in known], bool)
-    flat, at = np.concatenate([ids for ids, _ in known] or [np.zeros(0, np.int32)]), np.cumsum(size) - size
-    index = words.indices.to_numpy().astype(np.int64)
-    n = size[index]
+    flat, size = merged(v, new)
+    v.remember(new, flat, size, equal(flat, size, library_words(v, new)))
+    number = np.fromiter((v.memo[w] for w in distinct), np.int64, len(distinct))
+    index = number[words.indices.to_numpy()]
+    n = v.ends[index + 1] - v.ends[index]
     upto = np.concatenate([[0], np.cumsum(n)])
-    ids = flat[np.repeat(at[index] - upto[:-1], n) + np.arange(upto[-1])]
+    ids = v.flat[np.repeat(v.ends[index] - upto[:-1], n) + np.arange(upto[-1])]
     bounds = np.searchsorted(starts[:-1], offsets)  # words before each text
-    bad = np.concatenate([[0], np.cumsum(~ok[index])])
+    bad = np.concatenate([[0], np.cumsum(~v.ok[index])])
     return ids, upto[bounds], bad[bounds[1:]] == bad[bounds[:-1]]
 
 
+def equal(flat: np.ndarray, size: np.ndarray, theirs: list[list[int]]) -> np.ndarray:
+    """Whether each unit has the library's ids."""
+    other = np.fromiter(itertools.chain.from_iterable(theirs), np.int32)
+    ok = size == np.fromiter(map(len, theirs), np.int64, len(theirs))
+    if ok.all():
+        return np.bincount(np.repeat(np.arange(len(size)), size), flat != other, minlength=len(size)) == 0
+    return np.array([a.tolist() == b for a, b in zip(np.split(flat, np.cumsum(size)[:-1]), theirs, strict=True)], bool)
+
+
 def by_texts(v: Vocabulary, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same for vocabularies whose pieces cross words: a text is one unit."""
-    ours = merged(v, v.library.normalize(texts))
-    ok = [a.tolist() == b for a, b in zip(ours, library_ids(v, texts), strict=True)]
-    return np.concatenate([*ours, np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum([len(a) for a in ours])]).astype(np.int64), np.array(ok, bool)
+    flat, size = merged(v, v.library.normalize(texts))
+    return flat, np.concatenate([[0], np.cumsum(size)]).astype(np.int64), equal(flat, size, library_ids(v, texts))
 
 
 @functools.lru_cache(maxsize=2)
@@ -280,13 +324,46 @@ def encode_batches(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(whole)), pa.array(ok)], ["key", "ids", "agrees"])
 
 
+def texts_of(v: Vocabulary, ids: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The texts of lists of ids, by the library's texts of the pieces. Lists with other control or unknown ids than a begin and an end,
+    and those whose single bytes aren't whole characters, go to the library as they are."""
+    n = len(at) - 1
+    owner = np.repeat(np.arange(n), np.diff(at))
+    known = (ids >= 0) & (ids < v.n_pieces)
+    place = np.arange(len(ids))
+    ends = ((ids == v.begin) & (place == at[:-1][owner])) | ((ids == v.end) & (place == at[1:][owner] - 1))
+    inner = np.flatnonzero(~ends)
+    odd = np.bincount(owner[inner], ~(known[inner] & v.plain[np.where(known[inner], ids[inner], 0)]), minlength=n) > 0
+    inner = inner[~odd[owner[inner]]]
+    kind, mine = ids[inner].astype(np.int64), owner[inner]
+    some_bytes = np.bincount(mine, v.is_byte[kind], minlength=n) > 0
+    kind += v.n_pieces * np.concatenate([mine[:1] == mine[:1], mine[1:] != mine[:-1]])  # a text's first piece
+    size = v.surface_size[kind]
+    upto = np.concatenate([[0], np.cumsum(size)])
+    data = v.surface[np.repeat(v.surface_at[kind] - upto[:-1], size) + np.arange(upto[-1])]
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(mine, size, minlength=n))]).astype(np.int64)
+    for i in np.flatnonzero(some_bytes):
+        try:
+            data[bounds[i] : bounds[i + 1]].tobytes().decode()
+        except UnicodeDecodeError:
+            odd[i] = True
+    texts = pa.LargeStringArray.from_buffers(n, pa.py_buffer(bounds), pa.py_buffer(data))
+    if not odd.any():
+        return texts.cast(pa.string())
+    rest = np.flatnonzero(odd)
+    theirs = v.library.decode([ids[at[i] : at[i + 1]].tolist() for i in rest], num_threads=1)
+    return pc.replace_with_mask(texts.cast(pa.string()), pa.array(odd), pa.array(theirs, pa.string()))
+
+
 def decode_batches(batches: Iterator[pa.RecordBatch], model: bytes, at: int) -> Iterator[pa.RecordBatch]:
-    """Adds the library's text of the ids in column at."""
+    """Adds the text of the ids in column at."""
     v = vocabulary(model)
     for batch in batches:
-        lists = batch.column(at).fill_null([]) if batch.column(at).null_count else batch.column(at)
-        texts = v.library.decode(lists.to_pylist(), num_threads=1) if len(batch) else []
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+        lists = batch.column(at)
+        lists = lists.fill_null([]) if lists.null_count else lists
+        ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
+        texts = texts_of(v, lists.flatten().to_numpy(), ends) if len(batch) else pa.array([], pa.string())
+        yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "decoded"])
 
 
 def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -320,7 +397,8 @@ def digests(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "tex
         for batch in decode_batches(encode_batches(batches, sent.value), sent.value, 1):
             ids, at = batch.column(1).values.to_numpy().astype("<u4"), batch.column(1).offsets.to_numpy()
             ids_sha = [hashlib.sha256(ids[a:b]).hexdigest() for a, b in pairwise(at)]
-            decoded_sha = [hashlib.sha256(t.encode()).hexdigest() for t in batch.column(3).to_pylist()]
+            data, cut = text_bytes(batch.column(3))
+            decoded_sha = [hashlib.sha256(data[a:b]).hexdigest() for a, b in pairwise(cut)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at).astype(np.int64)), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string()), batch.column(2)], ["key", "n_tokens", "ids_sha256", "decoded_sha256", "agrees"])
 
     return rows.mapInArrow(digest, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolean").withColumnRenamed("key", key)
