@@ -1,11 +1,11 @@
 """Fill-in-middle transformation over an index of distinct texts.
 
 Texts are grouped by digest and content: equal texts are one row of the index however many documents have them, and a digest that
-two texts share leaves two rows. Each distinct text gets the list of the byte offsets of its code points once, in Elias-Fano form: low
-bits in fixed width, high bits in unary with the number of ones before each block. Documents join the index by digest (and by content,
-should texts share one), select the two offsets of their seeded cut from the list, and cut the text's bytes. Texts are
-shuffled once: the index stays where its texts were grouped, and keys and digests come to it. Texts with more than COPIES documents,
-which meet within tasks first, have several rows there, each for a share of their documents, so that none's documents meet in one task.
+two texts share leaves two rows. The index lies in buckets of digests. In its bucket each distinct text gets the list of the byte offsets
+of its code points once, in Elias-Fano form: low bits in fixed width, high bits in unary with the number of ones before each block.
+Documents come to the buckets as keys and digests, join their text there by digest (by content, should texts share one), select the
+two offsets of their seeded cut from the list, and cut the text's bytes. Texts are shuffled once. Texts with more than COPIES documents meet
+within tasks first, and have a row for each share of their documents, so that none's documents meet in one task.
 
 Defined cases: null text is empty; an empty text, and one that holds a sentinel, stays plain; a null key has the seed of "1:"; texts of
 any length are cut whole; repeated rows each give their row, alike; cuts on one place leave an empty middle; an empty table gives an
@@ -15,21 +15,18 @@ empty table; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
-from pyspark.sql.window import Window as W
 
-from spindrift.llm.common import documents, staged, text_bytes
+from spindrift.llm.common import documents, staged
 
 #: Documents that one row of the index serves, raised until no more than SENT_ROWS texts have more, whose digests are broadcast; documents of a
-#: partition of the index; rows of a batch of texts; bits of a block of high bits.
-COPIES, SENT_ROWS, PART_ROWS, BATCH_ROWS, BLOCK = 64, 500_000, 1 << 14, 256, 512
+#: bucket, and of a partition of buckets; bits of a block of high bits.
+COPIES, SENT_ROWS, BUCKET_ROWS, PART_ROWS, BLOCK = 64, 500_000, 1 << 10, 1 << 13, 512
 
 
 @dataclass(frozen=True)
@@ -124,17 +121,9 @@ def digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-@F.arrow_udf(BinaryType())
-def offset_lists(texts: pa.Array) -> pa.Array:
-    data, at = text_bytes(texts)
-    return pa.array([elias_fano(boundaries(data[a:b]), int(b - a)) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
-
-
-def text_index(rows: DataFrame, form: Form) -> DataFrame:
-    """(digest, text, copies, texts, plain, offsets) of each distinct text of rows(digest, text); texts is how many its digest has."""
-    groups = rows.groupBy("digest", "text").agg(F.count(F.lit(1)).alias("copies")).withColumn("texts", F.count(F.lit(1)).over(W.partitionBy("digest")))
-    holds = [F.col("text").contains(s) for s in (form.prefix, form.suffix, form.middle)]
-    return groups.select("*", ((F.col("text") == "") | holds[0] | holds[1] | holds[2]).alias("plain"), offset_lists("text").alias("offsets"))
+def text_index(rows: DataFrame) -> DataFrame:
+    """(bucket, digest, text, copies) of each distinct text of rows(bucket, digest, text), where they are if they go by bucket already."""
+    return rows.groupBy("bucket", "digest", "text").agg(F.count(F.lit(1)).alias("copies"))
 
 
 def transform(docs: DataFrame, form: Form | None = None, key: str = "doc_id", text: str = "text", digest=digest) -> DataFrame:  # noqa: ANN001
@@ -153,42 +142,57 @@ def _cuts(docs: DataFrame, form: Form, key: str, text: str, digest, columns: str
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    keys = staged(spark, docs.select(F.col(key).alias("key"), digest(whole).alias("digest"), F.xxhash64(F.col(key), F.monotonically_increasing_id()).alias("deal")), "fim-keys")
+    rows = lambda: docs.select(F.col(key).alias("key"), digest(whole).alias("digest"), F.xxhash64(F.col(key), F.monotonically_increasing_id()).alias("deal"), whole.alias("text"))
+    keys = staged(spark, rows().drop("text"), "fim-keys")
     counts = staged(spark, keys.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > COPIES), "fim-counts")
     copies = COPIES
     while counts.where(F.col("copies") > copies).count() > SENT_ROWS:
         copies *= 2
     hot = F.broadcast(counts.where(F.col("copies") > copies).select("digest", F.ceil(F.col("copies") / copies).cast("int").alias("shares")))  # SENT_ROWS rows at most
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys.count() // PART_ROWS))
+    total = keys.count()
+    n_buckets, n = -(-total // BUCKET_ROWS) or 1, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_ROWS))
+    bucket = lambda *by: F.pmod(F.xxhash64(*by), F.lit(n_buckets)).alias("bucket")
 
-    def joined(by_content: bool) -> DataFrame:
-        """(key, text, offsets, plain, texts) of each document."""
+    def parts(left: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+        """Index and keys, by bucket both: of the texts of few documents, and of the others in shares."""
         texts = docs.select(digest(whole).alias("digest"), whole.alias("text"))
-        left = docs.select(F.col(key).alias("key"), digest(whole).alias("digest"), F.xxhash64(F.col(key), F.monotonically_increasing_id()).alias("deal"), whole.alias("text")) if by_content else keys
-        on, kept = ["digest", "text"] if by_content else ["digest"], ["digest", "text", "offsets", "plain", "texts"]
-        # both sides go by digest once, and so meet where texts are grouped
-        index = text_index(texts.join(hot, "digest", "left_anti").repartition(n, "digest"), form)
-        cold = left.join(hot, "digest", "left_anti").repartition(n, "digest").join(index.select(*kept), on)
-        few = text_index(texts.join(hot, "digest", "left_semi"), form).join(hot, "digest")
-        few = few.select(*kept, F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
-        warm = left.join(hot, "digest").withColumn("share", F.pmod("deal", "shares").cast("int")).drop("shares").join(few, [*on, "share"])
-        return cold.select("key", *kept[1:]).unionByName(warm.select("key", *kept[1:]))
-
-    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in columns.split(", ")]
-        kinds = [pa.binary() if c.endswith("binary") else pa.string() for c in columns.split(", ")]
-        for batch in batches:
-            out: list[tuple] = []
-            for k, t, packed, plain in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                *facts, output = cut(form, "" if k is None else str(k), t.as_py(), packed.as_py(), plain)
-                out.append((*facts, *told(output, restored(form, output, facts[1]))))
-            n, name, i, j, *more = zip(*out, strict=True) if out else [()] * (4 + len(names))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(name, pa.string()), pa.array(i, pa.int64()), pa.array(j, pa.int64()), *[pa.array(x, t) for x, t in zip(more, kinds, strict=True)], batch.column(4)], ["key", "n", "form", "prefix_chars", "middle_chars", *names, "texts"])
-
-    schema = f"key {kind}, n long, form string, prefix_chars long, middle_chars long, {columns}, texts long"
-    found = staged(spark, joined(False).mapInArrow(cuts, schema), "fim", arrow_rows=BATCH_ROWS)
+        cold = text_index(texts.join(hot, "digest", "left_anti").select(bucket("digest"), "digest", "text").repartition(n, "bucket")), left.join(hot, "digest", "left_anti").select(bucket("digest"), *left.columns).repartition(n, "bucket")
+        shared = text_index(texts.join(hot, "digest", "left_semi").withColumn("bucket", F.lit(0).cast("long"))).join(hot, "digest").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+        dealt = left.join(hot, "digest").withColumn("share", F.pmod("deal", "shares").cast("int"))
+        return [cold, (shared.select(bucket("digest", "share"), "digest", "text", "copies"), dealt.select(bucket("digest", "share"), *left.columns))]
+
+    names = [c.split()[0] for c in columns.split(", ")]
+    kinds = [pa.binary() if c.endswith("binary") else pa.string() for c in columns.split(", ")]
+    marks = [s.encode() for s in (form.prefix, form.suffix, form.middle)]
+
+    def cuts(index: pa.Table, left: pa.Table) -> pa.Table:
+        places: dict[bytes, list[int]] = {}
+        for i, d in enumerate(index.column("digest").to_pylist()):
+            places.setdefault(d, []).append(i)
+        texts = index.column("text").cast(pa.large_binary()).combine_chunks()
+        lists: dict[int, tuple[bytes, bytes, bool]] = {}
+        by_content = "text" in left.column_names
+        own = left.column("text").cast(pa.large_binary()) if by_content else None
+        out: list[tuple] = []
+        for row, (k, d) in enumerate(zip(left.column("key").to_pylist(), left.column("digest").to_pylist(), strict=True)):
+            found = places[d]
+            at = next(i for i in found if texts[i] == own[row]) if by_content else found[0]
+            if at not in lists:
+                t = texts[at].as_py()
+                lists[at] = t, elias_fano(boundaries(np.frombuffer(t, np.uint8)), len(t)), not t or any(m in t for m in marks)
+            *facts, output = cut(form, "" if k is None else str(k), *lists[at])
+            out.append((*facts, *told(output, restored(form, output, facts[1])), 1 if by_content else len(found)))
+        n, name, i, j, *more, n_texts = zip(*out, strict=True) if out else [()] * (5 + len(names))
+        values = [left.column("key"), pa.array(n, pa.int64()), pa.array(name, pa.string()), pa.array(i, pa.int64()), pa.array(j, pa.int64()), *[pa.array(x, t) for x, t in zip(more, kinds, strict=True)], pa.array(n_texts, pa.int64())]
+        return pa.table(values, ["key", "n", "form", "prefix_chars", "middle_chars", *names, "texts"])
+
+    def joined(left: DataFrame) -> DataFrame:
+        a, b = (index.groupBy("bucket").cogroup(k.groupBy("bucket")).applyInArrow(cuts, f"key {kind}, n long, form string, prefix_chars long, middle_chars long, {columns}, texts long") for index, k in parts(left))
+        return staged(spark, a.unionByName(b), "fim")
+
+    found = joined(keys)
     if not found.where("texts > 1").isEmpty():  # texts of one digest: the content decides
-        found = staged(spark, joined(True).mapInArrow(cuts, schema), "fim", arrow_rows=BATCH_ROWS)
+        found = joined(rows())
     return found.drop("texts").withColumnRenamed("key", key)
 
 
