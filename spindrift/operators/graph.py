@@ -5,25 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from spindrift.functions import urls as U
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """df written to the folder that all executors share (spark.checkpoint.dir) and read back: the cut of lineage in loops,
-    and of plans that would repeat df. A folder of the driver's own serves where everything runs in one process."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir). A folder of the driver's own serves where everything
+    runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spindrift-')}"
-    path = f"{root.rstrip('/')}/spindrift/{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/spindrift/{label}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read back: the cut of lineage in loops, and of plans that would repeat df."""
+    path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def numbered(df: DataFrame, order: str) -> DataFrame:
@@ -92,16 +96,21 @@ def clustering(site: DataFrame, e: DataFrame) -> DataFrame:
 
 
 def link_patterns(site: DataFrame, links: DataFrame) -> DataFrame:
-    """Counts of self, fragment, external, sibling (same crawl depth) and cross-depth links; targets must be crawled for the last two."""
+    """Counts of self, fragment, external, sibling (same crawl depth) and cross-depth links; targets must be crawled for the last two.
+    A link that a page repeats is resolved once and counts as often as it is there."""
     x = F.col("link")
+    once = staged(links.where("link is not null").groupBy("src", "link").agg(F.count("*").alias("n")), "counted-links")
     depth = site.select(F.col("url").alias("src"), F.col("depth").alias("d1"))
     target = site.select(F.col("url").alias("dst"), F.col("depth").alias("d2"))
-    r = resolved(links).join(depth, "src").join(target, "dst", "left")
-    internal = U.same_domain(F.col("src"), F.col("dst")) & ~x.startswith("#")
-    own = x.startswith("#") | (F.col("dst") == F.col("src"))
+    # what a link is, before the joins: they carry flags in place of expressions over URLs
+    kinds = resolved(once).select("src", "dst", "n", x.startswith("#").alias("fragment"), U.same_domain(F.col("src"), F.col("dst")).alias("same"))
+    r = kinds.join(depth, "src").join(target, "dst", "left")
+    own = F.coalesce(F.col("fragment") | (F.col("dst") == F.col("src")), F.lit(False))
+    internal = F.col("same") & ~F.col("fragment") & ~own
+    total = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
     return r.agg(
-        F.count_if(own).alias("self_links"), F.count_if(x.startswith("#")).alias("fragment_links"), F.count_if(F.col("dst").isNotNull() & ~U.same_domain(F.col("src"), F.col("dst"))).alias("external_links"),
-        F.count_if(internal & ~F.coalesce(own, F.lit(False)) & (F.col("d1") == F.col("d2"))).alias("sibling_links"), F.count_if(internal & ~F.coalesce(own, F.lit(False)) & (F.col("d1") != F.col("d2"))).alias("cross_depth_links"),
+        total(own).alias("self_links"), total(F.col("fragment")).alias("fragment_links"), total(F.col("dst").isNotNull() & ~F.col("same")).alias("external_links"),
+        total(internal & (F.col("d1") == F.col("d2"))).alias("sibling_links"), total(internal & (F.col("d1") != F.col("d2"))).alias("cross_depth_links"),
     )
 
 
@@ -206,16 +215,22 @@ def page_importance(d: DataFrame, n: int = 30) -> DataFrame:
 def reach_components(site: DataFrame, e: DataFrame) -> DataFrame:
     """(url, component): the first crawled page, in input order, that reaches a page over parents both ways and links forward.
     Uncrawled parents are members, uncrawled link targets aren't. Labels spread along the ways and jump to the label of the
-    page they name, which reaches whatever that page reaches, until no one changes; each round is a written table."""
+    page they name, which reaches whatever that page reaches, until no one changes. Each round is one written table; only pages whose
+    label changed in the round before send theirs on."""
     pairs = parent_pairs(site)
     nodes = site.select("url", F.col("ordinal").alias("own")).unionByName(pairs.select(F.col("parent").alias("url"), F.lit(None).cast("long").alias("own"))).groupBy("url").agg(F.min("own").alias("own"))
-    ways = staged(pairs.select(F.col("parent").alias("a"), F.col("child").alias("b")).union(pairs.select("child", "parent")).union(e.join(site.select(F.col("url").alias("dst")), "dst", "left_semi").select("src", "dst")).where("a <> b").distinct(), "ways")
-    now = staged(nodes.select("url", "own", F.col("own").alias("label")), "labels")
+    # links forward start at crawled pages and end at crawled pages; URLs give way to numbers before the rounds begin
+    known = staged(nodes.select("url", "own", F.monotonically_increasing_id().alias("id")), "nodes")
+    ways = pairs.select(F.col("parent").alias("a"), F.col("child").alias("b")).union(pairs.select("child", "parent")).union(e.join(site.select(F.col("url").alias("dst")), "dst", "left_semi").select("src", "dst")).where("a <> b").distinct()
+    number = lambda c: known.select(F.col("url").alias(c), F.col("id").alias(f"{c}_id"))
+    ways = staged(ways.join(number("a"), "a").join(number("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), "ways")
+    now = staged(known.select("id", "own", F.col("own").alias("label"), F.lit(True).alias("fresh")), "labels")
     while True:
-        near = ways.join(now.select(F.col("url").alias("a"), "label"), "a").groupBy(F.col("b").alias("url")).agg(F.min("label").alias("near"))
-        spread = now.join(near, "url", "left").select("url", "own", F.col("label").alias("old"), F.least("label", "near").alias("via"))
+        told = now.where("fresh and label is not null").select(F.col("id").alias("a"), "label")
+        near = ways.join(told, "a").groupBy(F.col("b").alias("id")).agg(F.min("label").alias("near"))
+        spread = now.join(near, "id", "left").select("id", "own", F.col("label").alias("old"), F.least("label", "near").alias("via"))
         jump = now.where("own is not null and label < own").select(F.col("own").alias("via"), F.col("label").alias("far"))
-        new = staged(spread.join(jump, "via", "left").select("url", "own", "old", F.least("via", "far").alias("label")), "labels")
-        if new.where("not (old <=> label)").isEmpty():
-            return new.select("url", F.col("label").alias("component"))
-        now = new.drop("old")
+        new = spread.join(jump, "via", "left").select("id", "own", "old", F.least("via", "far").alias("label"))
+        now = staged(new.select("id", "own", "label", (~F.col("old").eqNullSafe(F.col("label"))).alias("fresh")), "labels")
+        if now.where("fresh").isEmpty():
+            return known.select("id", "url").join(now.select("id", F.col("label").alias("component")), "id").select("url", "component")

@@ -57,8 +57,10 @@ def tokens(path: Column) -> Column:
 
 
 def tokenized(crawl: DataFrame) -> DataFrame:
-    """(ordinal, url, tokens) with the path percent-decoded first."""
-    return crawl.select("ordinal", "url", tokens(U.decoded(U.path(F.col("url")))).alias("tokens"))
+    """(ordinal, url, tokens) with the path percent-decoded first. The path comes out of a generator, so that the plan computes it once
+    and doesn't repeat it in each of the tokens' functions."""
+    paths = crawl.select("ordinal", "url", F.explode(F.array(U.decoded(U.path(F.col("url"))))).alias("path"))
+    return paths.select("ordinal", "url", tokens(F.col("path")).alias("tokens"))
 
 
 def token_counts(t: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.operators import domains, graph
+from spindrift.operators import analyzers, domains, graph
 from spindrift.plans.registry import query, rounded
 from spindrift.plans.views import oracle, view
 
@@ -150,7 +150,19 @@ def pm_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.page_importance(Site(spark, sf_dir).full)
 
 
-@query()
+# Labels spread along parents both ways and forward links to crawled pages until none gets less; uncrawled parents are members.
+LABELS = """ways AS (SELECT DISTINCT a, b FROM (SELECT parent_url AS a, url AS b FROM site WHERE parent_url <> '' AND parent_url <> url UNION ALL SELECT url, parent_url FROM site WHERE parent_url <> '' AND parent_url <> url
+    UNION ALL SELECT e.src, e.dst FROM edges e JOIN site s ON s.url = e.dst) w WHERE a <> b),
+members AS (SELECT url, MIN(own) AS own FROM (SELECT url, ordinal AS own FROM site UNION ALL SELECT parent_url, NULL FROM site WHERE parent_url <> '' AND parent_url <> url) m GROUP BY url),
+labels(url, label) USING KEY (url) AS (SELECT url, own FROM members UNION
+  SELECT w.b, MIN(l.label) FROM labels l JOIN ways w ON w.a = l.url JOIN recurring.labels r ON r.url = w.b WHERE l.label < COALESCE(r.label, 9223372036854775807) GROUP BY w.b)"""
+
+
+def over_labels(sql: str, *more: str) -> str:
+    return f"{oracle('', 'site', 'edges', *more).rstrip().replace('WITH ', 'WITH RECURSIVE ', 1)},\n{LABELS}\n{sql}"
+
+
+@query(over_labels("SELECT label AS component, COUNT(*) AS pages FROM labels GROUP BY label"))
 def pm_connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Site(spark, sf_dir)
     return graph.reach_components(s.pages, s.edges).groupBy("component").agg(F.count("*").alias("pages"))
@@ -205,3 +217,46 @@ def sd_authority(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(over_targets("SELECT domain, GREATEST(100 - (external_ratio > 0.7)::INT * 20 - (internal_links::DOUBLE / urls < 1)::INT * 15 - (subdomains > 10)::INT * 10, 0)::INT AS health_score, urls, ((external_ratio > 0.7)::INT + (internal_links::DOUBLE / urls < 1)::INT + (subdomains > 10)::INT)::INT AS issues FROM facts"))
 def sd_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domains.health(site_facts(spark, sf_dir))
+
+
+# --- all analyzers side by side ------------------------------------------------------------------------------------
+HOST = "regexp_extract(link, '^[a-z]+://([^/?#]*)', 1)"
+FIRST = "COALESCE(NULLIF(split_part(url, '/', 4), ''), 'root')"
+#: How many rows each table of the analyzers has. URLs of the site have one scheme, host, structure and domain, no user, port, extension,
+#: parameter or fragment; encodings are three rows always.
+SECTIONS = {
+    "network": {
+        "metrics": "1", "centrality": "(SELECT 4 * LEAST(20, COUNT(*)) FROM site)", "clustering": "(SELECT COUNT(*) FROM site)", "hits": "(SELECT COUNT(*) FROM site)", "link_patterns": "1",
+        "linked_domains": f"(SELECT LEAST(20, COUNT(DISTINCT {HOST})) FROM site_links WHERE link LIKE 'http%')", "communities": f"(SELECT LEAST(20, COUNT(DISTINCT {FIRST})) FROM site)",
+        "bottlenecks": "(SELECT LEAST(20, COUNT(*)) FROM degrees WHERE in_degree = 1 AND out_degree > 5)",
+    },
+    "pathway": {
+        "architecture": "1", "entry_points": "(SELECT LEAST(20, COUNT(*)) FROM site WHERE depth <= 2)", "navigation_hubs": "(SELECT LEAST(20, COUNT(*)) FROM degrees WHERE out_degree > 20 OR in_degree > 10)",
+        "dead_ends": "(SELECT COUNT(*) FROM degrees WHERE out_degree = 0)", "pathways": "(SELECT LEAST(30, COUNT(DISTINCT url)) FROM site WHERE parent_url IS NOT NULL)", "breadcrumbs": "1",
+        "depth_flow": "(SELECT COUNT(DISTINCT depth) FROM site)", "importance": "(SELECT LEAST(30, COUNT(*)) FROM site)", "connectivity": "(SELECT COUNT(DISTINCT label) FROM labels)",
+    },
+    "subdomain": {
+        "facts": "1", "overview": "1", "segments": f"(SELECT LEAST(10, COUNT(DISTINCT {FIRST})) FROM site)", "subdomains": "1", "clusters": "1", "tlds": "1", "authority": "1", "hierarchy": "1", "health": "1",
+        "cross_domain": f"(SELECT LEAST(20, COUNT(DISTINCT {HOST})) FROM site_links WHERE link LIKE 'http%' AND {HOST} <> 'shop.example.com')",
+        "dependencies": f"(SELECT COUNT(DISTINCT {HOST}) FROM site_links WHERE link LIKE 'http%' AND {HOST} <> 'shop.example.com')",
+    },
+    "url_components": {
+        "schemes": "1", "credentials": "0", "hosts": "1", "ports": "0", "paths": "1", "segments": "(SELECT LEAST(30, COUNT(DISTINCT s)) FROM (SELECT unnest(string_split(regexp_extract(url, '://[^/]*/(.*)$', 1), '/')) AS s FROM site) x WHERE s <> '')",
+        "extensions": "0", "parameters": "0", "fragments": "0", "encodings": "3", "special_characters": "1", "structures": "1", "embedded": "0",
+    },
+}
+
+
+def log_sql() -> str:
+    rows = [f"SELECT '{name}' AS name, '{section}' AS section, ({n})::BIGINT AS rows, FALSE AS failed" for name, sections in SECTIONS.items() for section, n in sections.items()]
+    rows.append("SELECT 'broken', NULL, NULL, TRUE")
+    return over_labels("\nUNION ALL ".join(rows), "degrees")
+
+
+@query(log_sql())
+def mp_analyzers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of four analyzers over one crawl, and of one that fails beside them."""
+    broken = analyzers.Sections({"lost": lambda c: c.pages.select("no such column")})
+    crawl = analyzers.Crawl(view(spark, sf_dir, "site"), view(spark, sf_dir, "site_links"))
+    log = analyzers.run(crawl, graph.fresh_path(spark, "analyzers"), [*SECTIONS, "broken"], analyzers=analyzers.ANALYZERS | {"broken": broken})
+    return log.select("name", F.explode_outer("sections").alias("section", "rows"), F.col("error").isNotNull().alias("failed"))

@@ -32,4 +32,4 @@ def long(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("long") for n in names})
 
 
-from spindrift.plans import queries_crawl, queries_graph, queries_tables  # noqa: E402, F401
+from spindrift.plans import queries_crawl, queries_graph, queries_rules, queries_tables  # noqa: E402, F401

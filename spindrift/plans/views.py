@@ -80,7 +80,31 @@ SELECT user_id AS id, concat('s', user_id) AS session_id, COUNT(*) AS total_urls
   COUNT(CASE WHEN event_type = 'error' THEN 1 END) AS failed_urls, MIN(ts) AS started_at, MAX(ts) AS completed_at, CASE WHEN user_id % 3 = 0 THEN 'processing' ELSE 'completed' END AS status
 FROM events GROUP BY user_id"""
 
+# Hosts under the rules below: plain ones, under a wildcard, under its exception, without a rule, and addresses.
+HOSTED = """
+SELECT c_custkey AS ordinal, concat('https://', CASE c_custkey % 6 WHEN 0 THEN concat('shop', c_custkey % 9, '.n', c_nationkey) WHEN 1 THEN concat('www.Shop', c_custkey % 9, '.co.n', c_nationkey)
+    WHEN 2 THEN concat('a.b', c_custkey % 5, '.city', c_custkey % 4, '.gov.n', c_nationkey) WHEN 3 THEN concat('x', c_custkey % 3, '.www.gov.n', c_nationkey) WHEN 4 THEN concat('deep', c_custkey % 7, '.unknown', c_nationkey)
+    ELSE concat('10.0.', c_nationkey, '.', c_custkey % 200) END,
+  CASE WHEN c_custkey % 5 = 0 THEN ':8080' ELSE '' END, '/p/', c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '.tar.Gz' ELSE '' END, CASE WHEN c_custkey % 4 = 0 THEN '?x=1&y=&x=2&z=3' ELSE '' END) AS url FROM customer"""
+
+SUFFIX_RULES = """
+SELECT concat('n', n_nationkey) AS rule FROM nation UNION ALL SELECT concat('co.n', n_nationkey) FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT concat('*.gov.n', n_nationkey) FROM nation WHERE n_nationkey % 3 = 0
+UNION ALL SELECT concat('!www.gov.n', n_nationkey) FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT concat('// ', n_name) FROM nation UNION ALL SELECT '' FROM nation"""
+
+# Lines of a crawl's file, most of them with a fault.
+RECORD_LINES = """
+SELECT page_id AS ordinal, CASE page_id % 10
+  WHEN 1 THEN concat('{"url":"","depth":', page_id % 4, ',"status_code":200,"content_type":"text/html","links":[]}')
+  WHEN 2 THEN concat('{"url":"', url, '","status_code":"ok","content_type":null,"links":["/a"]}')
+  WHEN 3 THEN concat('{"url":"', url, '","depth":"two","status_code":null,"content_type":7,"links":null}')
+  WHEN 4 THEN concat('{"url":', page_id, ',"depth":1.5,"status_code":true,"content_type":"text/html","links":{},"title":["a"],"fragments":"f"}')
+  WHEN 5 THEN concat('{"url":"', url, '", broken')
+  WHEN 6 THEN concat('"', url, '"')
+  WHEN 7 THEN '{}'
+  ELSE concat('{"url":"', url, '","depth":', page_id % 4, ',"status_code":200,"content_type":"text/html","links":["/a","/b"],"discovered_at":"now","extra":1}') END AS line FROM pages"""
+
 VIEWS = {
+    "hosted": (HOSTED, ["customer"], []), "suffix_rules": (SUFFIX_RULES, ["nation"], []), "record_lines": (RECORD_LINES, ["pages"], []),
     "crawl": (CRAWL, ["pages"], []), "page": (PAGE, ["pages"], []), "urls": (URLS, [], ["page"]), "site": (SITE, ["nation", "customer", "supplier", "orders", "part"], []),
     "site_links": (SITE_LINKS, ["lineitem", "orders", "supplier", "customer"], []), "ticks": (TICKS, ["events"], []), "classifications": (CLASSIFICATIONS, ["labels"], []),
     "page_metadata": (PAGE_METADATA, [], ["page"]), "patterns": (PATTERNS, ["events"], []), "crawl_sessions": (CRAWL_SESSIONS, ["events"], []),
