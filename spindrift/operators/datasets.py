@@ -121,6 +121,16 @@ def url_details(urls: DataFrame, classifications: DataFrame, metadata: DataFrame
     return urls.join(best, "id", "left").join(metadata.select(F.col("url_id").alias("id"), "title", "word_count"), "id", "left").withColumn("classifications", F.coalesce("classifications", F.lit(0)))
 
 
+def url_records(urls: DataFrame, classifications: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Each URL with all its columns, the number of its classifications and all columns of its page metadata, null where it has none. The
+    classifications themselves, any number of them, are rows: see url_classifications."""
+    own = [c for c in ("id", "url", "domain", "path", "status_code", "content_type", "file_extension", "last_crawled", "created_at", "updated_at") if c in urls.columns]
+    page = [c for c in ("title", "description", "keywords", "language", "word_count", "has_images", "has_videos", "has_forms", "extracted_at") if c in metadata.columns]
+    counts = classifications.groupBy(F.col("url_id").alias("id")).agg(F.count("*").alias("classifications"))
+    joined = urls.select(*own).join(counts, "id", "left").join(metadata.select(F.col("url_id").alias("id"), *page), "id", "left")
+    return joined.withColumn("classifications", F.coalesce("classifications", F.lit(0)))
+
+
 def urls_where(urls: DataFrame, domain: str | None = None, status_code: int | None = None) -> DataFrame:
     """The newest URLs first, of a domain and a status where these are given."""
     found = urls
@@ -136,6 +146,18 @@ def url_classifications(urls: DataFrame, classifications: DataFrame) -> DataFram
     return urls.select(F.col("id").alias("url_id"), "url").join(ranked, "url_id")
 
 
+def table_statistics(spark: SparkSession, tables: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+    """(table, rows, columns, error) of each table; one that can't be read has its error, and the others their counts."""
+    rows = []
+    for name, frame in tables.items():
+        try:
+            df = frame()
+            rows.append((name, df.count(), len(df.columns), None))
+        except Exception as e:  # noqa: BLE001 - whatever a table raises is its row
+            rows.append((name, None, None, type(e).__name__))
+    return spark.createDataFrame(rows, "table string, rows long, columns int, error string")
+
+
 def database_statistics(urls: DataFrame, classifications: DataFrame, metadata: DataFrame, sessions: DataFrame) -> DataFrame:
     one = urls.agg(F.count("id").alias("total_urls"), F.countDistinct("domain").alias("unique_domains"))
     for df, name in ((classifications, "total_classifications"), (metadata, "total_metadata"), (sessions, "total_sessions")):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from spindrift.functions import urls as U
+from spindrift.operators.graph import placed
 
 # Keywords of subdomain purposes and of services, in the order in which they are tried.
 PURPOSES = {
@@ -123,6 +124,44 @@ def hierarchy(pages: DataFrame) -> DataFrame:
     return named(pages).where(F.size(parts) >= 2).groupBy(F.array_join(F.slice(parts, -2, 2), ".").alias("domain"), rest.alias("subdomain")).agg(F.countDistinct("url").alias("urls"))
 
 
+def hierarchy_urls(pages: DataFrame, size: int = 1000) -> DataFrame:
+    """(domain, subdomain, block, urls): the URLs of each place of the hierarchy in order, in numbered blocks of at most size."""
+    parts = F.split("full", r"\.")
+    rest = F.when(F.size(parts) > 2, F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 2, F.lit(1))), ".")).otherwise("root")
+    once = named(pages).where(F.size(parts) >= 2).select(F.array_join(F.slice(parts, -2, 2), ".").alias("domain"), rest.alias("subdomain"), "url").distinct()
+    numbered = placed(once, ["domain", "subdomain"], "url").withColumn("block", F.expr(f"place div {size}"))
+    return numbered.groupBy("domain", "subdomain", "block").agg(F.sort_array(F.collect_list("url")).alias("urls"))  # size URLs at most
+
+
+def cross_domain_totals(links: DataFrame) -> DataFrame:
+    """One row: external absolute links, their distinct targets, and how their TLDs relate; links between TLDs of one name are counted there too."""
+    x = link_targets(links).where(~F.col("internal"))
+    other = ~F.col("same_tld")
+    return x.agg(F.count("*").alias("total_cross_domain_links"), F.countDistinct("target").alias("unique_external_domains"), F.count_if("same_tld").alias("same_tld"), F.count_if(other).alias("different_tld"), F.count_if(other & F.col("same_name")).alias("same_org_different_tld"))
+
+
+def external_targets(links: DataFrame, n: int = 20) -> DataFrame:
+    """The n targets with most external links."""
+    return link_targets(links).where(~F.col("internal")).groupBy("target").agg(F.count("*").alias("links")).orderBy(F.desc("links"), "target").limit(n)
+
+
+def dependencies_by_source(links: DataFrame) -> DataFrame:
+    """(domain, target, category, links): what each domain depends on, by service category."""
+    x = link_targets(links).where(~F.col("internal")).groupBy("domain", "target").agg(F.count("*").alias("links"))
+    return x.select("domain", "target", first_match(F.lower("target"), SERVICES, F.lit("other")).alias("category"), "links")
+
+
+def critical_dependencies(links: DataFrame, n: int = 10) -> DataFrame:
+    return external_targets(links, n).withColumn("criticality", F.when(F.col("links") > 100, "high").when(F.col("links") > 20, "medium").otherwise("low"))
+
+
+def health_issues(f: DataFrame) -> DataFrame:
+    """(domain, issue) of each domain that has one."""
+    dense = F.coalesce(F.try_divide(F.col("internal_links").cast("double"), F.col("urls")), F.lit(0.0))
+    found = {"High external dependency ratio": F.col("external_ratio") > 0.7, "Low internal linking": dense < 1, "High subdomain complexity": F.col("subdomains") > 10}
+    return f.select("domain", F.explode(F.array_compact(F.array(*[F.when(test, issue) for issue, test in found.items()]))).alias("issue"))
+
+
 def health(f: DataFrame) -> DataFrame:
     dense = F.try_divide(F.col("internal_links").cast("double"), F.col("urls"))
     bad = [(F.col("external_ratio") > 0.7, 20), (dense < 1, 15), (F.col("subdomains") > 10, 10)]

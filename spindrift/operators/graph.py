@@ -39,6 +39,21 @@ def numbered(df: DataFrame, order: str) -> DataFrame:
     return ranges.join(F.broadcast(before), "part").select((F.col("before") + F.col("at")).alias("ordinal"), *df.columns)
 
 
+def placed(df: DataFrame, group: list[str], order: str) -> DataFrame:
+    """df with place, its rows' numbers from 0 in their group, in that order: ranges are sorted on their own, and a group's places in a range
+    begin where those before end, so that no task holds a group."""
+    keys = [F.col(c).asc_nulls_first() for c in (*group, order)]
+    ranges = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id())
+    ranges = staged(ranges.withColumn("part", F.shiftright("at", 33)), "placed")
+    starts = ranges.groupBy(*group, "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy(*group).orderBy("part")) - F.col("n")  # a row a group and range
+    starts = starts.select(*[F.col(c).alias(f"_{c}") for c in group], F.col("part").alias("_part"), (before - F.col("first")).alias("shift"))
+    same = F.col("part") == F.col("_part")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return ranges.join(starts, same).select(*df.columns, (F.col("at") + F.col("shift")).alias("place"))
+
+
 def resolved(links: DataFrame) -> DataFrame:
     """links(src, link, ...) with dst; only links that need merging with their source go through Python."""
     s, x = F.col("src"), F.col("link")

@@ -118,6 +118,14 @@ def parameter_values(crawl: DataFrame, names: int = 10, values: int = 10) -> Dat
     return counts.withColumn("rank", rank).where(F.col("rank") <= values)
 
 
+def top_parameters(crawl: DataFrame, n: int = 20) -> DataFrame:
+    """The n parameter names on most records, a name once a record, blank values left out; with the number of records that have a query."""
+    q = U.query(F.col("url"))
+    names = crawl.where(q != "").select(F.array_distinct(F.transform(U.parameters(q, keep_blank=False), lambda p: p["key"])).alias("names"))
+    counts = names.select(F.explode("names").alias("name")).groupBy("name").agg(F.count("*").alias("records")).orderBy(F.desc("records"), "name").limit(n)
+    return counts.crossJoin(F.broadcast(names.agg(F.count("*").alias("with_query"))))  # one row
+
+
 def url_quality(crawl: DataFrame) -> DataFrame:
     """Counts of length, depth, character and keyword properties, the score from three of them, and its grade."""
     u, n = F.col("url"), F.char_length("url")

@@ -174,6 +174,14 @@ def depth_patterns(f: DataFrame) -> DataFrame:
     return f.groupBy("depth").agg(F.count("*").alias("count"), F.avg("path_length").alias("avg_path_length"), F.avg("link_count").alias("avg_links"), F.sum(frag).alias("has_fragment"), F.sum(q).alias("has_query"), (F.avg(frag) * 100).alias("fragment_pct"), (F.avg(q) * 100).alias("query_pct"))
 
 
+def depth_samples(crawl: DataFrame, n: int = 5) -> DataFrame:
+    """(depth, place, url): the first n URLs of each crawl depth, or path depth where that is missing; records without a URL are left out."""
+    depth = F.coalesce(F.col("depth").cast("long"), U.path_depth(F.col("url")).cast("long"))
+    rows = crawl.where("coalesce(url, '') <> ''").select(depth.alias("depth"), "ordinal", "url")
+    # the filter on the number keeps n rows a depth and task before the shuffle
+    return rows.withColumn("place", F.row_number().over(W.partitionBy("depth").orderBy("ordinal"))).where(F.col("place") <= n).select("depth", "place", "url")
+
+
 def link_hubs(f: DataFrame) -> DataFrame:
     """Pages without links, and pages with at least the 95th percentile of links."""
     p = f.agg(F.percentile("link_count", 0.95).alias("p95"))
@@ -260,6 +268,11 @@ def temporal_clusters(ticks: DataFrame, width: str = "5 minutes", least: int = 1
     return ticks.groupBy(F.window("ts", width).alias("w")).agg(F.count("*").alias("count"), F.avg("depth").alias("avg_depth"), F.approx_count_distinct("parent_url").alias("parents") if ticks.isStreaming else F.countDistinct("parent_url").alias("parents")).where(F.col("count") >= least).select(F.col("w.start").alias("window_start"), "count", "avg_depth", "parents")
 
 
+def significant_clusters(ticks: DataFrame, width: str = "5 minutes", least: int = 10, n: int = 20) -> DataFrame:
+    """The n windows with most records of those with at least so many."""
+    return temporal_clusters(ticks, width, least).orderBy(F.desc("count"), "window_start").limit(n)
+
+
 def parent_child(pages: DataFrame) -> DataFrame:
     kids = pages.where("parent_url is not null and parent_url <> ''").groupBy("parent_url").agg(F.countDistinct("url").alias("children"))
     return kids.agg(F.count("*").alias("parents"), F.avg("children").alias("avg_children"), F.max("children").alias("max_children"))

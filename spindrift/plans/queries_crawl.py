@@ -157,6 +157,14 @@ def st_depth_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.depth_patterns(feature_rows(spark, sf_dir)), "avg_path_length", "avg_links", "fragment_pct", "query_pct")
 
 
+@query(w("""SELECT d AS depth, place::INT AS place, url FROM (SELECT d, url, ROW_NUMBER() OVER (PARTITION BY d ORDER BY ordinal) AS place FROM
+  (SELECT ordinal, url, CASE WHEN ordinal % 3 = 0 THEN len(list_filter(string_split(path, '/'), lambda x: x <> '')) ELSE depth END::BIGINT AS d FROM parts) x) y WHERE place <= 5"""))
+def gm_depth_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the records, without their crawl depth, fall back on the path's."""
+    return stats.depth_samples(crawl(spark, sf_dir).withColumn("depth", F.when(F.col("ordinal") % 3 > 0, F.col("depth"))))
+
+
+
 @query(w("SELECT COUNT(CASE WHEN link_count = 0 THEN 1 END) AS dead_ends, COUNT(CASE WHEN link_count >= p95 THEN 1 END) AS hubs, ROUND(MAX(p95), 6) AS p95 FROM feats, (SELECT QUANTILE_CONT(link_count, 0.95) AS p95 FROM feats) e", FEATURES))
 def st_link_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.link_hubs(feature_rows(spark, sf_dir)), "p95")
@@ -254,6 +262,12 @@ def sp_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic.parameter_values(crawl(spark, sf_dir))
 
 
+@query(w("""SELECT name, records, (SELECT COUNT(DISTINCT ordinal) FROM parts WHERE query <> '') AS with_query FROM (SELECT key AS name, COUNT(DISTINCT ordinal) AS records FROM params WHERE value <> '' GROUP BY key ORDER BY 2 DESC, 1 LIMIT 20) x""", PARAMS))
+def sp_top_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantic.top_parameters(crawl(spark, sf_dir))
+
+
+
 @query(w(f"""SELECT *, {GRADE.format("quality_score")} AS quality_grade FROM (SELECT *, ROUND(optimal_length * 30.0 / total + optimal_depth * 30.0 / total + keyword_rich * 40.0 / total, 6)::DOUBLE AS quality_score FROM (
   SELECT COUNT(*) AS total, COUNT(CASE WHEN length(url) > 100 THEN 1 END) AS too_long, COUNT(CASE WHEN length(url) < 20 THEN 1 END) AS too_short, COUNT(CASE WHEN length(url) BETWEEN 20 AND 100 THEN 1 END) AS optimal_length,
     COUNT(CASE WHEN regexp_matches(path, '[0-9]') THEN 1 END) AS has_numbers, COUNT(CASE WHEN path LIKE '%\\_%' ESCAPE '\\' THEN 1 END) AS has_underscores, COUNT(CASE WHEN regexp_matches(path, '[A-Z]') THEN 1 END) AS has_uppercase,
@@ -393,6 +407,16 @@ def sd_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domains.hierarchy(crawl(spark, sf_dir))
 
 
+@query(w(f"""SELECT domain, subdomain, place // 50 AS block, COUNT(*)::INT AS size, array_to_string(list(url ORDER BY url), ' ') AS urls FROM
+  (SELECT domain, subdomain, url, ROW_NUMBER() OVER (PARTITION BY domain, subdomain ORDER BY url) - 1 AS place FROM
+    (SELECT DISTINCT array_to_string(l[n - 1:n], '.') AS domain, CASE WHEN n > 2 THEN array_to_string(l[1:n - 2], '.') ELSE 'root' END AS subdomain, url
+     FROM (SELECT url, string_split({FULL}, '.') AS l, len(string_split({FULL}, '.')) AS n FROM named) x WHERE n >= 2) y) z GROUP BY 1, 2, 3""", LABELS))
+def sd_hierarchy_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = domains.hierarchy_urls(crawl(spark, sf_dir), 50)
+    return found.select("domain", "subdomain", "block", F.size("urls").alias("size"), F.array_join("urls", " ").alias("urls"))
+
+
+
 # --- patterns ------------------------------------------------------------------------------------------------------
 YEARS, MONTHS = "regexp_extract_all(path, '/([0-9]{4})(?:/|$)', 1)", "regexp_extract_all(path, '/([0-9]{2})(?:/|$)', 1)"
 

@@ -219,6 +219,26 @@ def sd_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domains.health(site_facts(spark, sf_dir))
 
 
+@query(over_targets("SELECT COUNT(*) AS total_cross_domain_links, COUNT(DISTINCT target) AS unique_external_domains, COUNT(CASE WHEN target LIKE '%.com' THEN 1 END) AS same_tld, COUNT(CASE WHEN target NOT LIKE '%.com' THEN 1 END) AS different_tld, COUNT(CASE WHEN target NOT LIKE '%.com' AND target LIKE '%example.%' THEN 1 END) AS same_org_different_tld FROM targets WHERE target <> 'shop.example.com'"))
+def sd_cross_domain_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return domains.cross_domain_totals(absolute_links(spark, sf_dir))
+
+
+@query(over_targets("SELECT domain, target, CASE WHEN regexp_matches(target, 'cloudflare|akamai|fastly|cloudfront') THEN 'cdn' WHEN regexp_matches(target, 'google-analytics|ga|analytics|mixpanel') THEN 'analytics' ELSE 'other' END AS category, COUNT(*) AS links FROM targets WHERE target <> 'shop.example.com' GROUP BY ALL"))
+def sd_dependencies_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return domains.dependencies_by_source(absolute_links(spark, sf_dir))
+
+
+@query(over_targets("SELECT target, COUNT(*) AS links, CASE WHEN COUNT(*) > 100 THEN 'high' WHEN COUNT(*) > 20 THEN 'medium' ELSE 'low' END AS criticality FROM targets WHERE target <> 'shop.example.com' GROUP BY target ORDER BY 2 DESC, 1 LIMIT 10"))
+def sd_critical_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return domains.critical_dependencies(absolute_links(spark, sf_dir))
+
+
+@query(over_targets("SELECT domain, issue FROM (SELECT domain, unnest([CASE WHEN external_ratio > 0.7 THEN 'High external dependency ratio' END, CASE WHEN internal_links::DOUBLE / urls < 1 THEN 'Low internal linking' END, CASE WHEN subdomains > 10 THEN 'High subdomain complexity' END]) AS issue FROM facts) x WHERE issue IS NOT NULL"))
+def sd_health_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return domains.health_issues(site_facts(spark, sf_dir))
+
+
 # --- all analyzers side by side ------------------------------------------------------------------------------------
 HOST = "regexp_extract(link, '^[a-z]+://([^/?#]*)', 1)"
 FIRST = "COALESCE(NULLIF(split_part(url, '/', 4), ''), 'root')"

@@ -1,13 +1,15 @@
-"""Queries with rules that are data: public suffixes, schemas of records."""
+"""Queries with rules that are data (public suffixes, schemas of records), of batches, and of the files of runs."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.operators import schema, suffixes
+from spindrift.operators import schema, snapshots, suffixes
+from spindrift.operators.graph import fresh_path
 from spindrift.plans.registry import query
 from spindrift.plans.views import oracle, view
+from spindrift.sources import ingest
 
 # --- public suffixes -------------------------------------------------------------------------------------------------
 #: The rules as DuckDB matches them: by the end of the text, a wildcard by a pattern, and of all that match the exception or else the longest.
@@ -70,3 +72,41 @@ def dv_schema_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = schema.error_rows(view(spark, sf_dir, "record_lines")).where("path <> '<line>'")
     kind = F.regexp_replace("message", "^(.*) (is|should|does) ", "")
     return found.groupBy("path", kind.alias("message_kind")).agg(F.count("*").alias("errors"), F.countDistinct("line_number").alias("lines"))
+
+
+# --- batches of records ----------------------------------------------------------------------------------------------
+@query(oracle("""SELECT url, split_part(url, '/', 3) AS domain, path, status_code, content_type, CASE WHEN contains(regexp_extract(path, '([^/]*)$', 1), '.') THEN regexp_extract(path, '[.]([^.]*)$', 1) END AS file_extension,
+  CAST(make_timestamp(CAST(discovered_at * 1000000 AS BIGINT)) AS TIMESTAMP) AS last_crawled
+  FROM (SELECT *, regexp_extract(url, '^[^/]*/[^/]*/[^/]*/?(.*)$', 1) AS path, ROW_NUMBER() OVER (PARTITION BY url ORDER BY ordinal % 3, ordinal) AS r FROM crawl) x WHERE r = 1""", "crawl"))
+def ds_ingest_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The crawl in three batches, the last first and one of them twice."""
+    store = ingest.UrlStore(spark, fresh_path(spark, "urls"), 8)
+    records = view(spark, sf_dir, "crawl").withColumn("crawled_at", F.col("discovered_at"))
+    for part in (2, 0, 0, 1):
+        store.insert(records.where(F.col("ordinal") % 3 == part), f"batch {part}")
+    return store.read().withColumn("last_crawled", F.col("last_crawled").cast("timestamp_ntz"))
+
+
+# --- snapshots of runs -----------------------------------------------------------------------------------------------
+FOUND = """
+found AS (SELECT pipeline, text::JSON AS j FROM result_files WHERE json_valid(text) AND file = CASE pipeline WHEN 'basic' THEN 'analysis_results.json' WHEN 'enhanced' THEN 'enhanced_analysis_results.json' WHEN 'mlx' THEN 'enhanced_results.json' END),
+lists AS (SELECT pipeline, CASE pipeline WHEN 'basic' THEN 0 WHEN 'enhanced' THEN 1 ELSE 2 END AS position, COALESCE(j ->> '$.metadata.total_urls', j ->> '$.metadata.raw_urls', '0')::BIGINT AS total_urls,
+  CASE json_type(j -> '$.insights.key_findings') WHEN 'ARRAY' THEN (j -> '$.insights.key_findings')::VARCHAR[] WHEN 'VARCHAR' THEN [j ->> '$.insights.key_findings'] ELSE [] END AS findings,
+  CASE json_type(j -> '$.insights.alerts') WHEN 'ARRAY' THEN (j -> '$.insights.alerts')::VARCHAR[] WHEN 'VARCHAR' THEN [j ->> '$.insights.alerts'] ELSE [] END AS alerts, (j ->> '$.insights.scores.overall')::DOUBLE AS overall FROM found)"""
+
+
+def over_found(sql: str) -> str:
+    return f"{oracle('', 'result_files').rstrip()},{FOUND}\n{sql}"
+
+
+@query(over_found("SELECT pipeline, total_urls, array_to_string(findings, '|') AS findings, len(alerts)::INT AS alerts, ROUND(overall, 6) AS overall FROM lists"))
+def sa_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = snapshots.extract(view(spark, sf_dir, "result_files"))
+    return found.select("pipeline", "total_urls", F.array_join("key_findings", "|").alias("findings"), F.size("alerts").alias("alerts"), F.round(F.try_element_at("scores", F.lit("overall")), 6).alias("overall"))
+
+
+@query(over_found("""SELECT (SELECT SUM(total_urls) FROM lists)::BIGINT AS urls, (SELECT SUM(len(alerts)) FROM lists)::BIGINT AS alerts, (SELECT string_agg(pipeline, ', ' ORDER BY position) FROM lists) AS pipelines,
+  (SELECT array_to_string((list(f ORDER BY position, i))[1:6], '|') FROM (SELECT position, unnest(findings[1:2]) AS f, generate_subscripts(findings[1:2], 1) AS i FROM lists) x) AS highlights"""))
+def sa_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = snapshots.summary(snapshots.extract(view(spark, sf_dir, "result_files")))
+    return one.select("urls", "alerts", F.array_join("pipelines", ", ").alias("pipelines"), F.array_join("highlights", "|").alias("highlights"))

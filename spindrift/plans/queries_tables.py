@@ -108,6 +108,29 @@ def ds_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.ingested(view(spark, sf_dir, "crawl"))
 
 
+FULL_URLS = "SELECT u.*, last_crawled - INTERVAL '1' DAY AS created_at, last_crawled + INTERVAL '1' HOUR AS updated_at FROM urls u"
+FULL_METADATA = "SELECT m.*, {} AS keywords FROM page_metadata m WHERE id % 3 > 0"
+RECORD = "id, url, domain, path, status_code, content_type, file_extension, last_crawled, created_at, updated_at, classifications, title, description, keywords, language, word_count, has_images, has_videos, has_forms, extracted_at"
+
+
+@query(oracle(f"""SELECT {RECORD} FROM ({FULL_URLS}) u LEFT JOIN (SELECT url_id, COUNT(*) AS n FROM classifications GROUP BY 1) c ON c.url_id = u.id
+  LEFT JOIN (SELECT * EXCLUDE (id) FROM ({FULL_METADATA.format("concat(title, ';', id)")}) m) m ON m.url_id = u.id""".replace(", classifications,", ", COALESCE(c.n, 0) AS classifications,"), "urls", "classifications", "page_metadata"))
+def ds_url_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    for name in ("urls", "page_metadata"):
+        view(spark, sf_dir, name).createOrReplaceTempView(name)
+    found = datasets.url_records(spark.sql(FULL_URLS), view(spark, sf_dir, "classifications"), spark.sql(FULL_METADATA.format("array(title, cast(id as string))")))
+    return found.withColumns({"keywords": F.array_join("keywords", ";"), **{c: F.col(c).cast("timestamp_ntz") for c in ("last_crawled", "created_at", "updated_at", "extracted_at")}}).select(*RECORD.split(", "))
+
+
+@query(oracle("""SELECT * FROM (SELECT 'urls' AS "table", COUNT(*) AS rows, 8 AS columns, FALSE AS failed FROM urls UNION ALL SELECT 'classifications', COUNT(*), 6, FALSE FROM classifications UNION ALL SELECT 'page_metadata', COUNT(*), 10, FALSE FROM page_metadata
+  UNION ALL SELECT 'patterns', COUNT(*), 6, FALSE FROM patterns UNION ALL SELECT 'lost', NULL, NULL, TRUE) x""", "urls", "classifications", "page_metadata", "patterns"))
+def ds_table_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each table; one that isn't there leaves the others theirs."""
+    frames = {name: lambda name=name: view(spark, sf_dir, name) for name in ("urls", "classifications", "page_metadata", "patterns")}
+    found = datasets.table_statistics(spark, frames | {"lost": lambda: spark.read.parquet(f"{sf_dir}/no such table.parquet")})
+    return found.select("table", "rows", "columns", F.col("error").isNotNull().alias("failed"))
+
+
 CLUSTERS = """SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, COUNT(*) AS count, ROUND(AVG(depth), 6) AS avg_depth, COUNT(DISTINCT parent_url) AS parents FROM ticks GROUP BY 1 HAVING COUNT(*) >= {}"""
 
 
@@ -116,6 +139,12 @@ def mp_temporal_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.temporal_clusters(view(spark, sf_dir, "ticks"), least=2), "avg_depth").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+@query(oracle(CLUSTERS.format(10) + " ORDER BY 2 DESC, 1 LIMIT 20", "ticks"))
+def mp_significant_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.significant_clusters(view(spark, sf_dir, "ticks")), "avg_depth")
+
+
+
 @query(oracle("""SELECT COUNT(*) AS parents, ROUND(AVG(children), 6) AS avg_children, MAX(children) AS max_children FROM (SELECT parent_url, COUNT(DISTINCT url) AS children FROM ticks WHERE parent_url <> '' GROUP BY parent_url) k""", "ticks"))
 def mp_parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.parent_child(view(spark, sf_dir, "ticks")), "avg_children")

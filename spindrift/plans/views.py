@@ -103,7 +103,15 @@ SELECT page_id AS ordinal, CASE page_id % 10
   WHEN 7 THEN '{}'
   ELSE concat('{"url":"', url, '","depth":', page_id % 4, ',"status_code":200,"content_type":"text/html","links":["/a","/b"],"discovered_at":"now","extra":1}') END AS line FROM pages"""
 
+# Result files of runs, each of another shape: lists, a single text, a missing part, a file of another name, and one that isn't JSON.
+RESULT_FILES = """
+SELECT 'basic' AS pipeline, 'analysis_results.json' AS file, concat('{"metadata":{"total_urls":', COUNT(*), '},"insights":{"key_findings":["', MIN(url), '","', MAX(url), '","third"],"alerts":["one","two"],"scores":{"overall":', COUNT(*) % 97, '.5,"name":"x"}}}') AS text FROM pages
+UNION ALL SELECT 'enhanced', 'enhanced_analysis_results.json', concat('{"metadata":{"raw_urls":', COUNT(*), '},"insights":{"key_findings":"', MIN(c_name), '","scores":[1,2]},"network":{"nodes":', COUNT(*), '}}') FROM customer
+UNION ALL SELECT 'mlx', 'enhanced_results.json', concat('{"metadata":{},"insights":{"alerts":["', MIN(n_name), '"],"key_findings":["', MIN(n_name), '","', MAX(n_name), '"]}}') FROM nation
+UNION ALL SELECT 'mlx', 'results.json', '{"metadata":{"total_urls":1000000}}' FROM region WHERE r_regionkey = 0 UNION ALL SELECT 'basic', 'broken.json', '{' FROM region WHERE r_regionkey = 0"""
+
 VIEWS = {
+    "result_files": (RESULT_FILES, ["pages", "customer", "nation", "region"], []),
     "hosted": (HOSTED, ["customer"], []), "suffix_rules": (SUFFIX_RULES, ["nation"], []), "record_lines": (RECORD_LINES, ["pages"], []),
     "crawl": (CRAWL, ["pages"], []), "page": (PAGE, ["pages"], []), "urls": (URLS, [], ["page"]), "site": (SITE, ["nation", "customer", "supplier", "orders", "part"], []),
     "site_links": (SITE_LINKS, ["lineitem", "orders", "supplier", "customer"], []), "ticks": (TICKS, ["events"], []), "classifications": (CLASSIFICATIONS, ["labels"], []),

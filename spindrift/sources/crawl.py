@@ -62,10 +62,10 @@ def read_lenient(spark: SparkSession, path: str) -> DataFrame:
 
 
 def normalize_file(spark: SparkSession, source: str, target: str, remove_fragments: bool = True) -> None:
-    """JSONL in, one merged record a canonical URL out."""
-    from spindrift.operators.normalize import merged
+    """JSONL in, one merged record a canonical URL out, with every known field: merged links and fragments, hash and number of records."""
+    from spindrift.operators.normalize import merged_records
 
-    merged(read_jsonl(spark, source), remove_fragments).orderBy("first_ordinal").write.json(target)
+    merged_records(read_jsonl(spark, source), remove_fragments).orderBy("ordinal").drop("ordinal").write.json(target)
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
@@ -97,6 +97,25 @@ def read_table(spark: SparkSession, url: str, table: str, **options: str) -> Dat
     return spark.read.format("jdbc").options(**jdbc_options(url), dbtable=table, **options).load()
 
 
+def read_table_evenly(spark: SparkSession, options: dict[str, str], table: str, column: str, partitions: int = 8, sample: float | None = None) -> DataFrame:
+    """A relational table over JDBC in even ranges of a column: bounds between them are quantiles of the column, which one narrow scan of it gives
+    (of a sampled share of it, where sample is given), and each range is a predicate that the database evaluates. Nulls go with the first
+    range. A column of few values gives fewer ranges, and a table without rows one."""
+    narrow = spark.read.format("jdbc").options(**options).option("query", f"SELECT {column} FROM {table} WHERE {column} IS NOT NULL").load()
+    narrow = narrow.sample(sample, seed=1) if sample else narrow
+    name = narrow.columns[0]
+    steps = [k / partitions for k in range(1, partitions)]
+    cuts = narrow.agg(F.percentile_approx(name, F.array(*map(F.lit, steps))).alias("cuts")).first()["cuts"] if steps else []
+    shown = lambda v: str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
+    bounds = [shown(v) for v in dict.fromkeys(cuts or [])]
+    if not bounds:
+        return spark.read.format("jdbc").options(**options, dbtable=table).load()
+    between = [f"{column} >= {a} AND {column} < {b}" for a, b in zip(bounds, bounds[1:], strict=False)]
+    predicates = [f"{column} < {bounds[0]} OR {column} IS NULL", *between, f"{column} >= {bounds[-1]}"]
+    own = {k: v for k, v in options.items() if k != "url"}
+    return spark.read.jdbc(options["url"], table, predicates=predicates, properties=own)
+
+
 def create_tables(spark: SparkSession) -> None:
     """The relational tables, if they aren't there, as Parquet tables of the catalog."""
     for name, columns in TABLES.items():
