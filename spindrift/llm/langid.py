@@ -3,12 +3,13 @@
 A document is the TF-IDF vector of its hashed byte 1- to 3-grams (letters lowered, other characters
 ignored), length-normalised. Document frequencies come from every training row. Per language a bounded
 sample of training vectors is clustered by spherical k-means into several centroids. A document takes the
-language of its nearest centroid by cosine; one farther from it than the language's radius is rejected. Radii go by length: few
-letters are far from any centroid, so each class of lengths has the radius of pieces of that length of the language's sample.
+language of its nearest centroid by cosine; one farther from it than the language's radius is rejected. Radii go by length, as
+distinct n-grams: few are far from any centroid, so each class of lengths has its own radius, between what letter soup of
+that length reaches and what the language's sample does at that length, each half of it against centroids of the other half.
 
 Defined cases: null text, or text without a letter, is language "und" with score 0, rejected; null languages
 are not learned; repeated rows count each time; with no training rows every document is "und"; ties go to the
-alphabetically first language; an empty table gives an empty table; other columns are ignored.
+alphabetically first language; texts of any length are read whole, in steps; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,12 +31,15 @@ ORDERS = ((1, 256), (2, 1024), (3, 2816))
 DIM = sum(n for _, n in ORDERS)
 #: Training vectors a language that centroids are fitted on (those of least hash), and centroids a language.
 SAMPLE, CENTROIDS, ROUNDS = 500, 4, 12
-#: A document is rejected beyond this share of the cosine that all but a hundredth of its language's pieces of its length reach.
-RADIUS = 0.5
+#: Ids of the sample that are broadcast at most.
+SENT_IDS = 1_000_000
+#: A document is rejected below this share of the median cosine that its language's pieces of its length have to centroids fitted without them,
+#: and below what letter soup of its length reaches (all but a hundredth of it, and a tenth more), unless that is over KEPT of what all but a hundredth of the pieces reach, as is the radius of texts of SHORT distinct n-grams and fewer.
+RADIUS, KEPT, SHORT = 0.4, 0.9, 32
 #: Texts a language needs for that; centroids of fewer are the texts themselves, whose own cosines say nothing of others, and take LOOSE of the cosine.
 LEAST_TEXTS, LOOSE = 20, 0.05
-#: Classes of lengths (powers of two of letters), bytes of a sample's text that pieces are taken from, and pieces a class needs.
-LENGTHS, PIECES_FROM, LEAST_PIECES = 10, 4096, 3
+#: Classes of lengths (powers of two of distinct n-grams), bytes of a sample's text that pieces are taken from, pieces a class needs, and soups of a length.
+LENGTHS, PIECES_FROM, LEAST_PIECES, SOUPS = 12, 4096, 3, 200
 #: ASCII letters lowered, bytes of other characters as they are, all else 0.
 LETTER = np.zeros(256, np.uint8)
 LETTER[65:91] = np.arange(97, 123)
@@ -84,34 +88,63 @@ def vectors(data: np.ndarray, offsets: np.ndarray, idf: np.ndarray) -> np.ndarra
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
 
-def length_class(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The power of two of each text's letters."""
-    upto = np.concatenate([[0], np.cumsum(LETTER[data] != 0)])
-    return np.clip(np.log2(np.maximum(upto[offsets[1:]] - upto[offsets[:-1]], 1)).astype(np.int64), 0, LENGTHS - 1)
+def length_class(v: np.ndarray) -> np.ndarray:
+    """The power of two of each text's distinct n-grams: a text that repeats itself is as short as what it repeats."""
+    return np.clip(np.log2(np.maximum(np.count_nonzero(v, axis=1), 1)).astype(np.int64), 0, LENGTHS - 1)
 
 
-def radii(texts: list[bytes], idf: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Radius of each class of lengths: of pieces of so many letters from the start and the middle of the texts."""
+def soups(n: int, count: int) -> list[bytes]:
+    """Random letters in words of random lengths, n letters each; the same ones every time."""
+    rng = np.random.default_rng(n)
+    out = []
+    for _ in range(count):
+        letters = rng.integers(97, 123, n).astype(np.uint8)
+        cut = np.cumsum(rng.integers(2, 10, n))
+        out.append(b" ".join(p.tobytes() for p in np.split(letters, cut[cut < n])))
+    return out
+
+
+def joined(parts: list[bytes], idf: np.ndarray) -> np.ndarray:
+    return vectors(np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0] + [len(p) for p in parts]), idf)
+
+
+def radii(texts: list[bytes], v: np.ndarray, idf: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Radius of each class of lengths: between what letter soup and what pieces of the texts, from the start and the middle, reach at that
+    length. Each half of the texts meets centroids of the other half; medians don't mind a sample's junk."""
+    halves = [cluster(v[h::2], min(CENTROIDS, len(v[h::2]))) for h in (0, 1)]
+    letters = [np.flatnonzero(LETTER[np.frombuffer(t, np.uint8)]) for t in texts]
+    own, own_class, soup, soup_class = [], [], [], []
+    for k in range(LENGTHS):
+        for h in (0, 1):
+            parts = [t[at[i] : at[i + 2**k - 1] + 1] for t, at in list(zip(texts, letters, strict=True))[1 - h :: 2] for i in {0, len(at) // 2} if i + 2**k <= len(at)]
+            if parts:
+                p = joined(parts, idf)
+                own.append((p @ halves[h].T).max(axis=1))
+                own_class.append(length_class(p))
+        p = joined(soups(2**k, SOUPS), idf)
+        soup.append((p @ c.T).max(axis=1))
+        soup_class.append(length_class(p))
+    own, own_class, soup, soup_class = (np.concatenate(x) if x else np.zeros(0) for x in (own, own_class, soup, soup_class))
     out = np.zeros(LENGTHS)
     for k in range(LENGTHS):
-        parts = []
-        for t in texts:
-            at = np.flatnonzero(LETTER[np.frombuffer(t, np.uint8)])
-            parts += [t[at[i] : at[i + 2**k - 1] + 1] for i in {0, len(at) // 2} if i + 2**k <= len(at)]
-        if len(parts) < LEAST_PIECES and k:
-            out[k] = out[k - 1]  # no text is so long: the looser radius of shorter ones
-        elif parts:
-            near = (vectors(np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0] + [len(p) for p in parts]), idf) @ c.T).max(axis=1)
-            out[k] = np.quantile(near, 0.01) * RADIUS
+        mine, other = own[own_class == k], soup[soup_class == k]
+        if len(mine) < LEAST_PIECES:
+            out[k] = out[k - 1] if k else 0.0  # no text is so long: the looser radius of shorter ones
+            continue
+        low = KEPT * np.quantile(mine, 0.01)
+        out[k] = max(RADIUS * np.median(mine), min(1.1 * np.quantile(other, 0.99), low) if len(other) else 0.0)
+        if 2**k <= SHORT:
+            out[k] = min(out[k], low)
     return out
 
 
 def nearest_of(m: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Nearest centroid of each text, the cosine to it, and whether that is beyond the radius."""
-    cosine = vectors(data, offsets, m.idf) @ m.centroids.T
+    v = vectors(data, offsets, m.idf)
+    cosine = v @ m.centroids.T
     best = cosine.argmax(axis=1)
     score = np.clip(cosine[np.arange(len(best)), best].astype(float), 0, 1)
-    return best, score, score < m.radius[best, length_class(data, offsets)]
+    return best, score, score < m.radius[best, length_class(v)]
 
 
 def document_frequencies(train: DataFrame) -> np.ndarray:
@@ -157,7 +190,8 @@ def fit(docs: DataFrame, train: Column) -> Model | None:
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 0.1).astype(np.float32)
     order = W.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id")), "doc_id")
     ids = rows.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE).select("doc_id").distinct()
-    sample = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "doc_id", "text")
+    ids = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+    sample = rows.join(ids, "doc_id", "left_semi").select("lang", "doc_id", "text")
 
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,7 +208,7 @@ def fit(docs: DataFrame, train: Column) -> Model | None:
         if len(v) < LEAST_TEXTS:
             radius = np.full(LENGTHS, np.quantile((v @ c.T).max(axis=1), 0.01) * LOOSE)
         else:
-            radius = radii(group["head"].tolist(), idf, c)
+            radius = radii(group["head"].tolist(), v, idf, c)
         return pd.DataFrame({"lang": group["lang"].iloc[0], "c": [x.tobytes() for x in c.astype(np.float32)], "radius": [radius.tolist()] * len(c)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
