@@ -194,6 +194,31 @@ def test_foreign_scripts_and_junk_are_rejected(spark):
     assert len(kept) >= 0.98 * len(clean)
 
 
+SENTENCES = [
+    "a kutya gyorsan fut a nagy erdo mellett es mindenki latja hogy szep az ido ma reggel a hegyek felett", "dzisiaj rano poszedlem do sklepu i kupilem chleb oraz mleko dla calej mojej rodziny ktora czekala w domu",
+    "tanaan aamulla kavelin metsassa ja naein monta lintua jotka lauloivat kauniisti puiden oksilla koko paivan", "gallia est omnis divisa in partes tres quarum unam incolunt belgae aliam aquitani tertiam qui ipsorum lingua celtae",
+]
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_rejection_holds_at_each_size(spark, size):
+    """At most a twentieth of each kind of junk is accepted, over 60 seeds a kind and length, no other language, and at most a fiftieth of pieces of held-out documents is rejected."""
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
+    held = crc32_text(F.col("doc_id")) % 4 == 2
+    model = langid.fit(docs, ~held)
+    texts: dict[str, list[str]] = {"foreign": SENTENCES}
+    for n in (15, 60, 200):
+        rngs = [random.Random(1000 * n + seed) for seed in range(60)]
+        texts[f"letters {n}"] = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(n)) for r in rngs]
+        texts[f"base64 {4 * n}"] = ["".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(4 * n)) for r in rngs]
+    kept = [r["text"].split() for r in docs.where(held & F.col("text").isNotNull()).orderBy("doc_id").limit(600).collect()]
+    texts |= {f"clean {n}": [" ".join(w[:n]) for w in kept if len(w) >= n] for n in (3, 10, 40, 400)}
+    rows = [(k, t) for k, some in texts.items() for t in some]
+    found = langid.predict(spark.createDataFrame(rows, "kind string, text string"), model, "kind").groupBy("kind").agg(F.avg(F.col("rejected").cast("int")).alias("share"))
+    shares = {r["kind"]: r["share"] for r in found.collect()}
+    assert all(v <= 0.02 if k.startswith("clean") else v >= 0.95 for k, v in shares.items()), shares
+
+
 # --- chat
 def cheapest(roles):
     """Least cost over all repairs, by exhaustive search."""
