@@ -349,6 +349,50 @@ def pivots(token: np.ndarray, n: np.ndarray, percent: int = PERCENT) -> np.ndarr
     return pivot
 
 
+ROW = "__row"
+
+
+def ids_repeat(docs: DataFrame, key: str = "doc_id") -> bool:
+    return not docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty()
+
+
+def with_rows(docs: DataFrame, key: str) -> DataFrame:
+    """docs, written, with ROW: a number of its own for each row with a key."""
+    return staged(docs.sparkSession, docs.withColumn(ROW, F.when(F.col(key).isNotNull(), F.monotonically_increasing_id())), "rows")
+
+
+def ranked(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(component, rank) of each row with a key: rank orders rows by key, text and all their values, alike however rows are dealt."""
+    own = [c for c in rows.columns if c != ROW]
+    facts = rows.where(F.col(ROW).isNotNull()).select(F.col(ROW).alias("id"), F.struct(F.col(key).cast("long").alias("key"), F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256).alias("digest"), F.xxhash64(*[F.col(f"`{c}`") for c in own]).alias("h"), F.col(ROW).alias("row")).alias("rank"))
+    return Join(rows, ROW, text).components().where("id is not null").select("id", "component").join(facts, "id").select("component", "rank")
+
+
+def document_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, n, component) of each row of docs: the least id of the documents that links reach. Rows that share an id are documents of their own."""
+    if not ids_repeat(docs, key):
+        return Join(docs, key, text).components().select("id", "n", "component")
+    rows = with_rows(docs, key)
+    found = staged(docs.sparkSession, Join(rows, ROW, text).components().select("id", "n", "component"), "components")
+    keys = rows.where(F.col(ROW).isNotNull()).select(F.col(ROW).alias("id"), F.col(key).cast("long").alias("key"))
+    least = found.join(keys, "id").groupBy("component").agg(F.min("key").alias("least"))
+    return found.join(keys, "id", "left").join(least, "component", "left").select(F.col("key").alias("id"), "n", F.col("least").alias("component"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs' rows without those that links reach from another row that stays: that of the least id. Where ids repeat, rows of one id with texts
+    that aren't linked all stay, and of rows with equal id and text one does: the least by all their values. Rows without an id stay."""
+    spark = docs.sparkSession
+    if not ids_repeat(docs, key):
+        found = staged(spark, Join(docs, key, text).components(), "components")
+        return filter_by_ids(docs, staged(spark, found.where("component <> id").select("id").distinct(), "dropped"), key, "left_anti")
+    rows = with_rows(docs, key)
+    first = ranked(rows, key, text).groupBy("component").agg(F.min("rank").alias("rank"))
+    kept = staged(spark, first.groupBy("rank.key", "rank.digest").agg(F.min(F.struct("rank.h", "rank.row")).alias("best")).select(F.col("best.row").alias("id")), "kept")
+    dropped = staged(spark, rows.where(F.col(ROW).isNotNull()).select(F.col(ROW).alias("id")).join(kept, "id", "left_anti"), "dropped")
+    return filter_by_ids(rows, dropped, ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = Join(documents(spark, sf_dir)).components()
+    found = document_components(documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
