@@ -1,7 +1,8 @@
 """The corpus pipeline: stages over documents, each an operator of the llm subpackage.
 
 Each stage takes what its predecessor kept and returns rows with the columns of documents; the last returns the facts of
-the token store. Rows that repeat a doc_id are one document to the join, of which one row stays.
+the token store. Rows that share a doc_id are documents of their own to the join; of rows alike in id and text one stays.
+An empty table passes through every stage and has no facts.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spindrift.llm import decontam, langid, mixing
 from spindrift.llm.common import crc32_text, documents, staged, table
-from spindrift.llm.jaccard_join import Join, filter_by_ids
+from spindrift.llm.jaccard_join import filter_by_ids, one_of_each
 from spindrift.llm.token_store import Store
 
 
@@ -22,13 +23,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones, that of the least doc_id; documents with a null doc_id stay."""
-    found = staged(spark, Join(docs).components(), "components")
-    kept = filter_by_ids(docs, staged(spark, found.where("component <> id").select("id").distinct(), "dropped"), "doc_id", "left_anti")
-    repeated = not found.where("id is not null").groupBy("id").count().where("count > 1").isEmpty()
-    if not repeated:
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """One document of each group of linked ones, that of the least doc_id. Rows that share a doc_id stay where their texts aren't
+    linked, and documents with a null doc_id, without words or without text stay; texts of any length are compared whole."""
+    return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
