@@ -143,3 +143,44 @@ def test_signatures_bound_differences():
 @pytest.mark.parametrize("run", [suffix_dedup.remove_repeats, lambda d: Join(d).components()])
 def test_empty_tables(empty, run):
     assert run(empty).count() == 0
+
+
+REPEATED = [
+    (1, "one two three four five six seven eight nine ten eleven twelve", "a"), (1, "an entirely different text of the same id with enough words to have shingles", "b"), (1, "one two three four five six seven eight nine ten eleven twelve", "c"),
+    (2, "One two three four five six seven eight nine ten eleven twelve", "d"), (3, "an entirely different text of the same id with enough words to have shingles", "e"), (3, "short", "f"), (3, "short", "f"), (3, "", "g"), (3, None, "h"), (3, "", "g"),
+    (None, "one two three four five six seven eight nine ten eleven twelve", "i"), (None, "one two three four five six seven eight nine ten eleven twelve", "i"),
+]
+
+
+def test_rows_that_share_an_id(spark):
+    """Unlinked texts of one id all stay, of linked and of equal ones the least does, however rows are dealt."""
+    from spindrift.llm.jaccard_join import document_components, one_of_each
+
+    df = spark.createDataFrame(REPEATED, "doc_id long, text string, source string")
+    kept, found = [], []
+    for n in (1, 3, 8):
+        kept.append(sorted(map(repr, (tuple(r) for r in one_of_each(df.repartition(n)).collect()))))
+        found.append(sorted(map(repr, (tuple(r) for r in document_components(df.repartition(n)).collect()))))
+    assert kept[0] == kept[1] == kept[2] and found[0] == found[1] == found[2]
+    got = [tuple(r) for r in one_of_each(df).collect()]
+    assert sorted((i, t) for i, t, _ in got if i) == sorted([(1, REPEATED[0][1]), (1, REPEATED[1][1]), (3, "short"), *[(3, t) for i, t, _ in got if i == 3 and not t]], key=lambda x: (x[0], x[1] or ""))
+    assert sum(i is None for i, _, _ in got) == 2 and sum(i == 3 and not t for i, t, _ in got) == 1
+    parts = sorted(((r["id"], r["n"], r["component"]) for r in document_components(df).collect() if r["id"]), key=repr)
+    assert parts == sorted([(1, 8, 1), (1, 10, 1), (1, 8, 1), (2, 8, 1), (3, 10, 1), (3, 1, 3), (3, 1, 3), (3, 0, 3), (3, 0, 3), (3, 0, 3)], key=repr)
+
+
+def test_unique_ids_take_the_plain_way(spark, documents):
+    from spindrift.llm.jaccard_join import ids_repeat, one_of_each
+
+    assert not ids_repeat(documents) and ids_repeat(documents.union(documents))
+    twice = one_of_each(documents.unionByName(documents))
+    assert sorted(r["doc_id"] for r in twice.select("doc_id").collect()) == sorted(r["doc_id"] for r in one_of_each(documents).select("doc_id").collect())
+
+
+def test_the_pipeline_takes_an_empty_table(spark, empty):
+    import corpus_pipeline
+
+    docs = empty
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "/root/testdata/sf0.001")
+    assert docs.count() == 0
