@@ -58,7 +58,7 @@ def report(snapshots: DataFrame, generated: str) -> DataFrame:
         F.array(F.lit("# Unified Analysis Summary"), F.lit(""), F.lit(f"_Generated: {generated}_"), F.lit(""), F.lit("## Overview"), F.lit(""), F.format_string("- Total URLs analyzed: **%d**", "urls"), F.format_string("- Pipelines executed: **%s**", F.array_join("pipelines", ", ")), F.format_string("- Alerts detected: **%d**", "alerts"), F.lit("")),
         F.when(F.size("highlights") > 0, F.concat(F.array(F.lit("## Highlights"), F.lit("")), bullets(F.col("highlights")), F.array(F.lit("")))).otherwise(none),
     )
-    scores = F.array_join(F.transform(F.array_sort(F.map_entries("scores")), lambda e: F.concat(e["key"], F.lit(": "), F.format_number(e["value"], "0.0"))), ", ")
+    scores = F.array_join(F.transform(F.array_sort(F.map_entries("scores")), lambda e: F.concat(e["key"], F.lit(": "), F.format_string("%.1f", e["value"]))), ", ")
     ascii_only = F.transform("alerts", lambda a: F.coalesce(F.nullif(F.trim(F.regexp_replace(a, r"[^\x00-\x7F]", "")), F.lit("")), F.trim(a)))
     part = F.concat(
         F.array(F.concat(F.lit("## "), F.initcap("pipeline"), F.lit(" Analysis")), F.lit(""), F.concat(F.lit("- Results path: `"), F.col("file"), F.lit("`")), F.format_string("- URLs processed: %d", "total_urls"), F.concat(F.lit("- Generated: "), F.col("timestamp"))),
