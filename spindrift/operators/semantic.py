@@ -151,6 +151,23 @@ def predicted_content(crawl: DataFrame) -> DataFrame:
     return with_share(crawl.groupBy(content_type(F.col("url")).alias("content_type")).agg(F.count("*").alias("count")), "count")
 
 
+def seo_messages(crawl: DataFrame) -> DataFrame:
+    """(kind, position, message) of the findings as texts: strengths, issues and recommendations in their order."""
+    t = tokenized(crawl)
+    top = t.select("ordinal", F.posexplode("tokens").alias("at", "token")).groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("ordinal", "at")).alias("first"))
+    best = top.agg(F.min_by(F.struct("token", "n"), F.struct(-F.col("n"), F.col("first"))).alias("best"))
+    one = crawl.agg(F.count("*").alias("urls"), F.coalesce(F.avg(F.char_length("url")), F.lit(0.0)).alias("avg_length"), F.countDistinct(template(U.path(F.col("url")))).alias("templates")).crossJoin(F.broadcast(best))  # one row each
+    long = F.col("avg_length") > 100
+    diverse = F.coalesce(F.try_divide(F.col("templates").cast("double"), F.col("urls")), F.lit(0.0)) >= 0.1
+    said = {
+        "strengths": [(F.col("best").isNotNull(), F.format_string("Top keyword: '%s' appears %d times", F.col("best.token"), F.col("best.n"))), (diverse, F.lit("Good URL diversity"))],
+        "issues": [(long, F.lit("URLs are too long on average. Recommend shortening.")), (F.col("best.n") > F.col("urls") * 0.5, F.lit("Possible keyword stuffing detected")), (~diverse, F.lit("Low URL diversity - too many similar URLs"))],
+        "recommendations": [(long, F.lit("Keep URLs under 100 characters for better SEO"))],
+    }
+    rows = [F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("position"), message.alias("message"))) for kind, some in said.items() for k, (test, message) in enumerate(some)]
+    return one.select(F.inline(F.array_compact(F.array(*rows))))
+
+
 def seo_insights(crawl: DataFrame) -> DataFrame:
     """(kind, flag): which findings about length, keyword stuffing and diversity hold."""
     t = tokenized(crawl)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from spindrift.operators import graph, normalize, quality
+
 # Metrics that shall rise and metrics that shall fall.
 RISE = ["data_quality_score", "extraction_success_rate", "storage_efficiency", "depth_efficiency", "largest_component_percent", "pages_with_title", "pages_with_links", "urls_per_second"]
 FALL = ["error_rate", "duplication_rate", "isolated_components", "avg_response_time_ms"]
@@ -78,6 +80,21 @@ def last_two(p: DataFrame, last: int = 5) -> DataFrame:
     return now.join(trend, "metric", "left").select("metric", "baseline", "current", d.alias("delta"), F.coalesce(F.try_divide(d * 100, F.col("baseline")), F.lit(0.0)).alias("percent_change"), F.when(better(F.col("metric"), d), "improvement").when(worse(F.col("metric"), d), "regression").otherwise("none").alias("verdict"), "trend")
 
 
+def network_result(site: DataFrame, e: DataFrame) -> DataFrame:
+    """One row of what the key metrics take of the link graph: density, pages without any link, and the largest component's share of all pages."""
+    linked = graph.degrees(site, e).agg(F.count_if((F.col("in_degree") == 0) & (F.col("out_degree") == 0)).alias("isolated_pages"))
+    sizes = graph.reach_components(site, e).groupBy("component").agg(F.count("*").alias("n"))
+    largest = sizes.agg(F.coalesce(F.max("n") * 100.0 / F.sum("n"), F.lit(0.0)).alias("largest_component_percentage"))
+    return graph.network_metrics(site, e).select("density").crossJoin(F.broadcast(linked)).crossJoin(F.broadcast(largest))  # one row each
+
+
+def quality_result(crawl: DataFrame) -> DataFrame:
+    """One row of what the key metrics take of the records: the quick grade's score, and what repeated URLs add and leave, in percent."""
+    graded = quality.quick_grade(crawl).select(F.col("score").alias("overall_quality_score"))
+    again = normalize.reduction(normalize.merged(crawl)).select(F.col("reduction_pct").alias("inflation_rate_percent"), (100 - F.col("reduction_pct")).alias("efficiency_score"))
+    return graded.crossJoin(F.broadcast(again))  # one row each
+
+
 def key_metrics(results: dict[str, DataFrame]) -> DataFrame:
     """(metric, value) of KEY_METRICS from analyzers' results, a row each; what no result has is 0."""
     got = next(iter(results.values())).sparkSession.range(1).select()

@@ -291,6 +291,19 @@ def sp_seo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic.seo_insights(crawl(spark, sf_dir))
 
 
+SAID = {
+    ("strengths", 0): ("token IS NOT NULL", "format('Top keyword: ''{}'' appears {} times', token, k)"), ("strengths", 1): ("t::DOUBLE / n >= 0.1", "'Good URL diversity'"),
+    ("issues", 0): ("l > 100", "'URLs are too long on average. Recommend shortening.'"), ("issues", 1): ("k > n * 0.5", "'Possible keyword stuffing detected'"),
+    ("issues", 2): ("t::DOUBLE / n < 0.1", "'Low URL diversity - too many similar URLs'"), ("recommendations", 0): ("l > 100", "'Keep URLs under 100 characters for better SEO'"),
+}
+
+
+@query(w(" UNION ALL ".join(f"SELECT '{kind}' AS kind, {at} AS position, {message} AS message FROM measured WHERE {test}" for (kind, at), (test, message) in SAID.items()), f"""measured AS (SELECT * FROM (SELECT COUNT(*) AS n, AVG(length(url)) AS l, COUNT(DISTINCT {TEMPLATE}) AS t FROM parts) a
+  LEFT JOIN (SELECT token, COUNT(*) AS k FROM tokens GROUP BY token ORDER BY 2 DESC, MIN((ordinal, pos)) LIMIT 1) b ON TRUE)""", needs=("tokens",)))
+def sp_seo_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantic.seo_messages(crawl(spark, sf_dir))
+
+
 # --- components ----------------------------------------------------------------------------------------------------
 @query(w("SELECT scheme, COUNT(*) AS count, scheme = 'https' AS secure FROM parts GROUP BY scheme"))
 def uc_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:

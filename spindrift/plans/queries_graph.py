@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.operators import analyzers, domains, graph
+from spindrift.operators import analyzers, domains, graph, tracking
 from spindrift.plans.registry import query, rounded
 from spindrift.plans.views import oracle, view
 
@@ -239,6 +239,23 @@ def sd_health_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domains.health_issues(site_facts(spark, sf_dir))
 
 
+MEASURED = {
+    "total_urls": "(SELECT COUNT(*) FROM site)", "avg_depth": "(SELECT AVG(depth) FROM site)", "max_depth_reached": "(SELECT MAX(depth) FROM site)", "depth_efficiency": "(SELECT 100 - LEAST(MAX(depth) * 10, 100) FROM site)", "graph_density": "(SELECT (SELECT COUNT(*) FROM edges)::DOUBLE / (COUNT(*) * (COUNT(*) - 1)) FROM site)",
+    "isolated_components": "(SELECT COUNT(*) FROM degrees WHERE in_degree = 0 AND out_degree = 0)", "largest_component_percent": "(SELECT MAX(n) * 100.0 / SUM(n) FROM (SELECT COUNT(*) AS n FROM labels GROUP BY label) x)",
+    "data_quality_score": "(SELECT COUNT(CASE WHEN depth > 0 THEN 1 END) * 40.0 / COUNT(*) FROM site)", "storage_efficiency": "100",
+}
+
+
+@query(over_labels(" UNION ALL ".join(f"SELECT '{k}' AS metric, ROUND(({MEASURED.get(k, '0')})::DOUBLE, 6) AS value" for k in tracking.KEY_METRICS), "degrees"))
+def mt_site_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key metrics of the site, of all four results; its pages have titles below the first level, and no links of their own."""
+    s = Site(spark, sf_dir)
+    crawl = s.pages.select("*", F.when(F.col("depth") > 0, "t").alias("title"), F.lit(None).cast("int").alias("status_code"), F.lit(None).cast("string").alias("content_type"), F.lit(None).cast("double").alias("discovered_at"), F.array().cast("array<string>").alias("links"))
+    statistical = crawl.agg(F.count("*").alias("total_urls"), F.avg("depth").alias("depth_mean"), F.max("depth").alias("depth_max"))
+    results = {"statistical": statistical, "pathway": crawl.agg(F.max("depth").alias("max_depth")), "network": tracking.network_result(s.pages, s.edges), "data_quality": tracking.quality_result(crawl)}
+    return rounded(tracking.key_metrics(results), "value")
+
+
 # --- all analyzers side by side ------------------------------------------------------------------------------------
 HOST = "regexp_extract(link, '^[a-z]+://([^/?#]*)', 1)"
 FIRST = "COALESCE(NULLIF(split_part(url, '/', 4), ''), 'root')"

@@ -173,7 +173,7 @@ def over_points(sql: str) -> str:
     return f"WITH snaps AS ({SNAPSHOTS}), points AS ({POINTS})\n{sql}"
 
 
-RISES, FALLS = (", ".join(f"'{m}'" for m in some) for some in (tracking.RISE, tracking.FALL))
+RISES, FALLS, TRACKED = (", ".join(f"'{m}'" for m in some) for some in (tracking.RISE, tracking.FALL, tracking.TRACKED))
 
 
 @query(over_points(f"""SELECT metric, ROUND(a, 6) AS baseline, ROUND(b, 6) AS current, ROUND(b - a, 6) AS delta, ROUND(COALESCE((b - a) * 100 / NULLIF(a, 0), 0), 6) AS percent_change,
@@ -193,7 +193,7 @@ LATEST = "(SELECT snapshot_id, ROW_NUMBER() OVER (ORDER BY snapshot_id DESC) AS
   FROM (SELECT metric, MAX(CASE WHEN k = 2 THEN value END) AS a, MAX(CASE WHEN k = 1 THEN value END) AS b FROM points JOIN {LATEST} l USING (snapshot_id) WHERE k <= 2 GROUP BY metric) x
   LEFT JOIN (SELECT metric, CASE WHEN n < 2 THEN 'unknown' WHEN l > f * 1.05 THEN CASE WHEN good THEN 'improving' ELSE 'worsening' END WHEN l < f * 0.95 THEN CASE WHEN good THEN 'worsening' ELSE 'improving' END ELSE 'stable' END AS trend
     FROM (SELECT metric, n, f, l, CASE WHEN metric IN ({RISES}) THEN l - f > 1 WHEN metric IN ({FALLS}) THEN l - f < -1 ELSE FALSE END AS good FROM (SELECT metric, COUNT(*) AS n, arg_min(value, snapshot_id) AS f, arg_max(value, snapshot_id) AS l
-      FROM points JOIN {LATEST} l USING (snapshot_id) WHERE k <= 5 AND metric IN ('data_quality_score', 'duplication_rate', 'urls_per_second', 'error_rate', 'storage_efficiency') GROUP BY metric) y) z) t ON t.metric = x.metric"""))
+      FROM points JOIN {LATEST} l USING (snapshot_id) WHERE k <= 5 AND metric IN ({TRACKED}) GROUP BY metric) y) z) t ON t.metric = x.metric"""))
 def mt_last_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tracking.last_two(tracking.points(snapshots(spark, sf_dir))), "baseline", "current", "delta", "percent_change")
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spindrift.operators.graph import numbered
+from spindrift.operators.semantic import STOP_WORDS
 
 SPLIT = "^(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:[?]([^#]*))?(?:#(.*))?$"
 
@@ -160,7 +161,7 @@ TOKENS = """
 SELECT ordinal, url, generate_subscripts(tokens, 1) AS pos, unnest(tokens) AS token FROM (
   SELECT ordinal, url, list_filter(flatten(list_transform(list_filter(regexp_split_to_array(lower(path), '[-/_.]'), lambda t: t <> '' AND length(t) > 1 AND NOT regexp_full_match(t, '[0-9]+') AND NOT list_contains(stop, t)),
     lambda t: CASE WHEN regexp_matches(t, '[a-z]') THEN regexp_extract_all(t, '([a-z]+)', 1) ELSE [t] END)), lambda t: NOT list_contains(stop, t)) AS tokens
-  FROM parts, (SELECT ['a','an','and','are','as','at','be','by','for','from','has','he','in','is','it','its','of','on','that','the','to','was','will','with','www','com','org','net','html','htm','php','aspx','jsp','default','index','home','main','page','pages','site','sites','web'] AS stop) s) t"""
+  FROM parts, (SELECT [{stop}] AS stop) s) t""".replace("{stop}", ",".join(f"'{t}'" for t in STOP_WORDS))
 
 NEEDS = {"parts": (PARTS, ["crawl"]), "links": (LINKS, ["crawl"]), "edges": (EDGES, ["site_links"]), "degrees": (DEGREES, ["site", "edges"]), "children": (CHILDREN, ["site"]), "tokens": (TOKENS, ["parts"])}
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
@@ -97,6 +98,18 @@ def read_table(spark: SparkSession, url: str, table: str, **options: str) -> Dat
     return spark.read.format("jdbc").options(**jdbc_options(url), dbtable=table, **options).load()
 
 
+def probe(spark: SparkSession, options: dict[str, str], query: str = "SELECT 1 AS one", retries: int = 3, pause: float = 0.5) -> bool:
+    """Whether a database answers a query over JDBC, asked at most so many times."""
+    for attempt in range(max(1, retries)):
+        try:
+            spark.read.format("jdbc").options(**options).option("query", query).load().first()
+            return True
+        except Exception:  # noqa: BLE001 - whatever the driver raises is no answer
+            if attempt + 1 < retries:
+                time.sleep(pause)
+    return False
+
+
 def read_table_evenly(spark: SparkSession, options: dict[str, str], table: str, column: str, partitions: int = 8, sample: float | None = None) -> DataFrame:
     """A relational table over JDBC in even ranges of a column: bounds between them are quantiles of the column, which one narrow scan of it gives
     (of a sampled share of it, where sample is given), and each range is a predicate that the database evaluates. Nulls go with the first

@@ -10,7 +10,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.operators import analyzers, domains, graph, schema, snapshots, suffixes
+from spindrift.operators import analyzers, datasets, domains, graph, schema, snapshots, suffixes
 from spindrift.sources import crawl as sources
 from spindrift.sources import ingest, report
 
@@ -277,3 +277,39 @@ def test_normalized_file_keeps_fields(spark, tmp_path):
     sources.normalize_file(spark, str(tmp_path / "c.jsonl"), str(tmp_path / "out"))
     one = [json.loads(x) for p in (tmp_path / "out").glob("*.json") for x in p.read_text().splitlines()]
     assert len(one) == 1 and one[0]["links"] == ["/a", "/b"] and one[0]["fragments"] == ["s"] and one[0]["merged_count"] == 2 and one[0]["title"] == "T"
+
+
+def test_probe(spark, tmp_path):
+    options = {"url": f"jdbc:derby:{tmp_path}/probe;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    assert sources.probe(spark, options, "SELECT 1 AS one FROM SYSIBM.SYSDUMMY1")
+    assert not sources.probe(spark, options | {"url": "jdbc:none:x"}, retries=2, pause=0.0)
+
+
+def test_status_of_a_run(spark):
+    log = spark.createDataFrame([("b", 1, 1.0, None, {}), ("a", None, 0.0, "Error: no", {})], analyzers.LOG)
+    lines = [r["line"] for r in analyzers.status_lines(log, "c.jsonl", 12345, 1.5).orderBy("line_number").collect()]
+    assert lines == ["Analysis Summary", "Input File: c.jsonl", "Total URLs Analyzed: 12,345", "Total Execution Time: 1.50s", "", "Completed Analyses:", "- a: ERROR", "- b: OK"]
+
+
+def test_registry_pages_and_counts(spark):
+    spark.range(25).withColumn("kind", F.when(F.col("id") % 2 == 0, "even").otherwise("odd")).createOrReplaceTempView("numbers")
+    own = {"numbers": lambda: spark.range(3), "letters": lambda: spark.range(5)}
+    plain, merged = datasets.Datasets(spark, {}), datasets.Datasets(spark, own)
+    assert {x["key"]: x["is_custom"] for x in merged.names()} | {"letters": True, "numbers": True} == {x["key"]: x["is_custom"] for x in merged.names()}
+    assert merged.count("numbers") == 3 and plain.count("numbers") == 25  # a predefined name wins
+    found = plain.query("numbers", 10, 20, {"kind": "even"})
+    assert (found["total"], found["has_more"], found["data"].count()) == (13, False, 0)
+    found = plain.query("numbers", 10, 0, {"kind": "even", "no such": 1, "bad name;": 2})
+    assert (found["total"], found["has_more"], found["data"].count()) == (13, True, 10)
+    assert plain.page("numbers", -5, -5).count() == 25 and datasets.valid_limit(10**9) == 10000
+    spark.range(1).createOrReplaceTempView("later")
+    assert "later" not in {x["key"] for x in plain.names()} and "later" in {x["key"] for x in plain.names(refresh=True)}
+    with pytest.raises(ValueError, match="no dataset"):
+        plain.frame("absent")
+    [spark.catalog.dropTempView(n) for n in ("numbers", "later")]
+
+
+def test_pages_and_truncated_texts(spark):
+    assert [datasets.page_count(n, 10) for n in (0, 1, 10, 11)] == [0, 1, 1, 2]
+    texts = spark.createDataFrame([("abc",), ("abcd",), ("",), (None,)], "t string")
+    assert [r[0] for r in texts.select(datasets.truncated(F.col("t"), 3)).collect()] == ["abc", "abc...", "", None]
