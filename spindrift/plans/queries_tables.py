@@ -139,9 +139,9 @@ def mp_temporal_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.temporal_clusters(view(spark, sf_dir, "ticks"), least=2), "avg_depth").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query(oracle(CLUSTERS.format(10) + " ORDER BY 2 DESC, 1 LIMIT 20", "ticks"))
+@query(oracle(CLUSTERS.replace("5 minutes", "6 hours").format(10) + " ORDER BY 2 DESC, 1 LIMIT 20", "ticks"))
 def mp_significant_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.significant_clusters(view(spark, sf_dir, "ticks")), "avg_depth")
+    return rounded(stats.significant_clusters(view(spark, sf_dir, "ticks"), "6 hours"), "avg_depth")
 
 
 
