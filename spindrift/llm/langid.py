@@ -35,7 +35,7 @@ SAMPLE, CENTROIDS, ROUNDS = 500, 4, 12
 SENT_IDS = 1_000_000
 #: A document is rejected below this share of the median cosine that its language's pieces of its length have to centroids fitted without them,
 #: and below what letter soup of its length reaches (all but a hundredth of it, and a tenth more), unless that is over KEPT of what all but a hundredth of the pieces reach, as is the radius of texts of SHORT distinct n-grams and fewer.
-RADIUS, KEPT, SHORT = 0.4, 0.9, 32
+RADIUS, KEPT, SHORT = 0.28, 0.9, 32
 #: Texts a language needs for that; centroids of fewer are the texts themselves, whose own cosines say nothing of others, and take LOOSE of the cosine.
 LEAST_TEXTS, LOOSE = 20, 0.05
 #: Classes of lengths (powers of two of distinct n-grams), bytes of a sample's text that pieces are taken from, pieces a class needs, and soups of a length.
