@@ -39,7 +39,7 @@ from spindrift.llm.suffix_dedup import ragged
 
 END_ID = 1
 WINDOW, CUT_BITS, MOST = 16, 9, 8192
-MEMO = 1 << 20
+MEMO = 1 << 22
 #: A character that is one token; words are encoded many at a time with it in between.
 MARK = "|"
 RECIPES_A_PART = 100_000
