@@ -64,9 +64,11 @@ def read_lenient(spark: SparkSession, path: str) -> DataFrame:
 
 def normalize_file(spark: SparkSession, source: str, target: str, remove_fragments: bool = True) -> None:
     """JSONL in, one merged record a canonical URL out, with every known field: merged links and fragments, hash and number of records."""
-    from spindrift.operators.normalize import merged_records
+    from spindrift.operators.normalize import merged, merged_records
 
-    merged_records(read_jsonl(spark, source), remove_fragments).orderBy("ordinal").drop("ordinal").write.json(target)
+    crawl = read_jsonl(spark, source)
+    first = merged(crawl, remove_fragments).select("url_hash", "first_ordinal", "records")
+    merged_records(crawl, remove_fragments).drop("ordinal").join(first, "url_hash").orderBy("first_ordinal").write.json(target)
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
