@@ -30,6 +30,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a partition where tables grow beyond what spark.sql.shuffle.partitions was set for.
+PART_ROWS = 1 << 19
+
+
+def spread(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """df by the given columns, in as many partitions as so many rows need, so that a task holds no more of a larger table."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_ROWS)), *by)
+
+
 def numbered(df: DataFrame, order: str) -> DataFrame:
     """df with ordinal, its rows' places in that order from 0: ranges are sorted on their own and begin where those before end."""
     ranges = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
@@ -61,12 +70,16 @@ def resolved(links: DataFrame) -> DataFrame:
     return plain.unionByName(links.where(U.is_relative(x)).withColumn("dst", U.merge_reference(x, s)))
 
 
+def internal(links: DataFrame) -> DataFrame:
+    """(src, dst) of the internal links of a written table, as often as they are there."""
+    own = U.on_own_site(F.col("link"), F.col("src"))
+    return resolved(links.select("src", "link").where("link is not null")).where(F.when(own, True).otherwise(U.same_domain(F.col("src"), F.col("dst")))).select("src", "dst")
+
+
 def edges(links: DataFrame) -> DataFrame:
     """Distinct internal (src, dst): targets on the source's own network location, crawled or not, self-links included."""
-    own = U.on_own_site(F.col("link"), F.col("src"))
-    # before anything is resolved, since pages repeat their links; a table, since both kinds of links are taken from it
-    once = staged(links.select("src", "link").where("link is not null").distinct(), "links")
-    return resolved(once).where(F.when(own, True).otherwise(U.same_domain(F.col("src"), F.col("dst")))).select("src", "dst").distinct()
+    once = staged(links.select("src", "link").where("link is not null"), "links")  # both kinds of links are taken from it, and their number
+    return spread(internal(once), once.count(), "src", "dst").distinct()
 
 
 def degrees(site: DataFrame, e: DataFrame) -> DataFrame:
