@@ -110,17 +110,33 @@ def centrality(d: DataFrame, n: int = 20) -> DataFrame:
     return out
 
 
+def by_number(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(url, id) of all that is linked or links, and the edges by id: (u, v)."""
+    rows = e.count()
+    both = e.select(F.explode(F.array("src", "dst")).alias("url"))
+    ids = staged(spread(both.groupBy("url").agg(F.count("*").alias("n")), rows, "url").select("url", F.monotonically_increasing_id().alias("id")), "ids")
+    u = spread(e, rows, "src").join(spread(ids.select(F.col("url").alias("src"), F.col("id").alias("u")), rows, "src"), "src").select("u", "dst")
+    return ids, staged(spread(u, rows, "dst").join(spread(ids.select(F.col("url").alias("dst"), F.col("id").alias("v")), rows, "dst"), "dst").select("u", "v"), "numbers")
+
+
 def clustering(site: DataFrame, e: DataFrame) -> DataFrame:
-    """Local directed clustering of each page: links among its out-neighbours over k (k - 1). A link a -> b counts for the
-    pages that link to both; they are looked up at whichever of the two has fewer links to it, so hubs aren't multiplied out."""
-    e = e.select("src", "dst")
-    k = e.groupBy(F.col("src").alias("url")).agg(F.count("*").alias("k")).where("k >= 2")
-    linked = e.groupBy("dst").agg(F.count("*").alias("n"))
-    both = e.where("src <> dst").join(linked.select(F.col("dst").alias("src"), F.col("n").alias("na")), "src").join(linked.withColumnRenamed("n", "nb"), "dst")
-    via = both.select(F.when(F.col("na") <= F.col("nb"), F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(F.col("na") <= F.col("nb"), F.col("dst")).otherwise(F.col("src")).alias("b"))
-    pairs = via.join(e.select(F.col("src").alias("u"), F.col("dst").alias("a")), "a")
-    closed = pairs.join(e.select(F.col("src").alias("u"), F.col("dst").alias("b")), ["u", "b"], "left_semi").groupBy(F.col("u").alias("url")).agg(F.count("*").alias("links"))
-    return site.select("ordinal", "url").join(k, "url", "left").join(closed, "url", "left").select("ordinal", "url", F.coalesce(F.col("links") / (F.col("k") * (F.col("k") - 1)), F.lit(0.0)).alias("coefficient"))
+    """Local directed clustering of each page: links among its out-neighbours over k (k - 1). For each link u -> a the targets of that
+    of the two with fewer are looked up among the other's, so hubs aren't multiplied out. URLs are numbers there, and targets with one
+    link only, which close nothing, are left out first. A page that links to itself is a neighbour of its own, for which its other links count."""
+    ids, e = by_number(e.select("src", "dst"))
+    k = e.groupBy("u").agg(F.count("*").alias("k"), F.count_if(F.col("u") == F.col("v")).alias("own")).where("k >= 2")
+    near = staged(e.join(e.groupBy("v").agg(F.count("*").alias("n")).where("n >= 2"), "v", "left_semi").select("u", "v"), "near")
+    n = staged(near.groupBy("u").agg(F.count("*").alias("n")), "targets")
+    ways = e.where("u <> v").join(n.withColumnRenamed("n", "nu"), "u").join(n.select(F.col("u").alias("v"), F.col("n").alias("nv")), "v")
+    mine = F.col("nu") <= F.col("nv")
+    ways = staged(ways.select(F.when(mine, F.col("u")).otherwise(F.col("v")).alias("u"), F.when(mine, F.col("v")).otherwise(F.col("u")).alias("other"), mine.alias("mine"), F.least("nu", "nv").alias("n")), "ways")
+    rows = ways.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # of what follows
+    a, page = F.when(F.col("mine"), F.col("other")).otherwise(F.col("u")), F.when(F.col("mine"), F.col("u")).otherwise(F.col("other"))
+    asked = ways.drop("n").join(near, "u").where(F.col("v") != a).select(page.alias("page"), F.col("other").alias("u"), "v")
+    closed = spread(asked, rows, "u", "v").join(spread(near, rows, "u", "v"), ["u", "v"]).groupBy(F.col("page").alias("u")).agg(F.count("*").alias("closed"))
+    found = k.join(closed, "u", "left").select("u", ((F.coalesce("closed", F.lit(0)) + F.when(F.col("own") > 0, F.col("k") - 1).otherwise(0)) / (F.col("k") * (F.col("k") - 1))).alias("coefficient")).where("coefficient > 0")
+    found = found.join(ids.withColumnRenamed("id", "u"), "u").select("url", "coefficient")
+    return site.select("ordinal", "url").join(found, "url", "left").select("ordinal", "url", F.coalesce("coefficient", F.lit(0.0)).alias("coefficient"))
 
 
 def link_patterns(site: DataFrame, links: DataFrame) -> DataFrame:

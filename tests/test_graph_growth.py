@@ -16,6 +16,27 @@ def edges(spark, pairs):
     return spark.createDataFrame([(f"https://e.com/{a}", f"https://e.com/{b}") for a, b in pairs], "src string, dst string")
 
 
+def test_clustering_asks_along_the_fewer_targets(spark, monkeypatch):
+    """Many pages link to two of few hubs with many targets: what is looked up goes by the pages' two links, not by the links to hubs."""
+    asked, spread = [], graph.spread
+    monkeypatch.setattr(graph, "spread", lambda df, rows, *by: asked.append(rows) or spread(df, rows, *by))
+    pairs = [(f"p{i}", f"h{i % 2}") for i in range(100)] + [(f"p{i}", f"h{2 + i % 2}") for i in range(100)] + [(f"h{i}", f"t{j}") for i in range(4) for j in range(40)]
+    graph.clustering(pages(spark, [(f"https://e.com/p{i}", None) for i in range(100)]), edges(spark, pairs)).collect()
+    assert len(pairs) == max(asked[:-2]) and asked[-1] <= 2 * 200  # 100 ways from each hub over 40 targets would be 8,000
+
+
+def test_clustering_against_its_definition(spark):
+    rng = np.random.default_rng(8)
+    for n, m in ((6, 18), (14, 70)):
+        pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, n, (m, 2))})
+        out = {u: {b for a, b in pairs if a == u} for u in range(n)}
+        got = {r["url"]: r["coefficient"] for r in graph.clustering(pages(spark, [(f"https://e.com/{i}", None) for i in range(n)]), edges(spark, pairs)).collect()}
+        for u, near in out.items():
+            k = len(near)
+            want = sum(b in near for a in near for b in out[a] if a != b) / (k * (k - 1)) if k > 1 else 0.0
+            assert abs(got[f"https://e.com/{u}"] - want) < 1e-12
+
+
 def test_partitions_grow_with_the_links(spark, monkeypatch):
     monkeypatch.setattr(graph, "PART_ROWS", 10, raising=False)
     links = spark.range(200).select(F.concat(F.lit("https://e.com/"), F.col("id") % 150).alias("src"), F.concat(F.lit("/"), F.col("id") % 150 + 1).alias("link"))
