@@ -219,15 +219,22 @@ def dead_ends(site: DataFrame, e: DataFrame) -> DataFrame:
 
 
 def parent_chains(site: DataFrame, max_steps: int = 10) -> DataFrame:
-    """(ordinal, url, depth, chain): parents up to the root first, at most max_steps of them, cycles cut."""
-    last = parent_pairs(site).groupBy(F.col("child").alias("at")).agg(F.max_by("parent", "ordinal").alias("parent"))
-    now = site.select("ordinal", "url", "depth", F.array("url").alias("chain"), F.col("url").alias("at"))
-    for _ in range(max_steps):
-        step = now.join(last, "at", "left").withColumn("ok", F.col("parent").isNotNull() & ~F.array_contains("chain", F.coalesce("parent", F.lit(""))))
-        now = step.select("ordinal", "url", "depth", F.when(F.col("ok"), F.concat(F.array("parent"), F.col("chain"))).otherwise(F.col("chain")).alias("chain"), F.when(F.col("ok"), F.col("parent")).alias("at"))
-        if _ == max_steps // 2 and now.where("at is not null").isEmpty():
+    """(ordinal, url, depth, chain): parents up to the root first, at most max_steps of them, cycles cut. Levels are the pages with a parent, their
+    parents that have one, and so on; chains are made from the highest level down, once for each parent and not for each page below it."""
+    last = staged(parent_pairs(site).groupBy("child").agg(F.max_by("parent", "ordinal").alias("parent")), "parents")
+    levels = [last]
+    for _ in range(max_steps - 1):
+        above = staged(last.join(levels[-1].select(F.col("parent").alias("child")).distinct(), "child", "left_semi"), "parents")
+        if above.isEmpty():
             break
-    return now.drop("at")
+        levels.append(above)
+    chains = levels.pop().select("child", F.array("parent", "child").alias("chain"))
+    before = F.coalesce("before", F.array("parent"))
+    at = F.array_position(before, F.col("child"))  # 0, or where the way up comes back to the page; what is above that is cut
+    for level in reversed(levels):
+        above = chains.select(F.col("child").alias("parent"), F.col("chain").alias("before"))
+        chains = level.join(above, "parent", "left").select("child", F.concat(F.slice(before, (at + 1).cast("int"), F.size(before)), F.array("child")).alias("chain"))
+    return site.select("ordinal", "url", "depth").join(chains.withColumnRenamed("child", "url"), "url", "left").select("ordinal", "url", "depth", F.coalesce("chain", F.array("url")).alias("chain"))
 
 
 def simplified(url: Column) -> Column:

@@ -16,6 +16,23 @@ def edges(spark, pairs):
     return spark.createDataFrame([(f"https://e.com/{a}", f"https://e.com/{b}") for a, b in pairs], "src string, dst string")
 
 
+def test_chains_join_once_a_level_and_match_a_walk(spark):
+    rng = np.random.default_rng(3)
+    for n in (2, 9, 30):
+        parents = [(f"u{i}", None if rng.random() < 0.2 else f"u{rng.integers(0, n + 2)}") for i in range(n)]
+        parent = {u: p for u, p in parents if p and p != u}
+        for steps in (1, 3, 10):
+            got = {r["url"]: r["chain"] for r in graph.parent_chains(pages(spark, parents), steps).collect()}
+            for u, _ in parents:
+                chain, at = [u], u
+                while len(chain) <= steps and at in parent and parent[at] not in chain:
+                    at = parent[at]
+                    chain.insert(0, at)
+                assert got[u] == chain
+    plan = graph.parent_chains(pages(spark, [("a", None), ("b", "a"), ("c", "b")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2  # two levels; pages that have no parent left aren't joined again
+
+
 def test_clustering_asks_along_the_fewer_targets(spark, monkeypatch):
     """Many pages link to two of few hubs with many targets: what is looked up goes by the pages' two links, not by the links to hubs."""
     asked, spread = [], graph.spread
