@@ -141,15 +141,18 @@ def clustering(site: DataFrame, e: DataFrame) -> DataFrame:
 
 def link_patterns(site: DataFrame, links: DataFrame) -> DataFrame:
     """Counts of self, fragment, external, sibling (same crawl depth) and cross-depth links; targets must be crawled for the last two.
-    A link that a page repeats is resolved once and counts as often as it is there."""
+    A link that a page repeats counts as often as it is there."""
     x = F.col("link")
-    once = staged(links.where("link is not null").groupBy("src", "link").agg(F.count("*").alias("n")), "counted-links")
+    once = staged(links.select("src", "link").where("link is not null"), "links")
     depth = site.select(F.col("url").alias("src"), F.col("depth").alias("d1"))
     target = site.select(F.col("url").alias("dst"), F.col("depth").alias("d2"))
     # what a link is, before the joins: they carry flags in place of expressions over URLs
-    kinds = resolved(once).select("src", "dst", "n", x.startswith("#").alias("fragment"), U.same_domain(F.col("src"), F.col("dst")).alias("same"))
-    r = kinds.join(depth, "src").join(target, "dst", "left")
-    own = F.coalesce(F.col("fragment") | (F.col("dst") == F.col("src")), F.lit(False))
+    kinds = resolved(once).select("src", "dst", x.startswith("#").alias("fragment"), U.same_domain(F.col("src"), F.col("dst")).alias("same"), (F.col("dst") == F.col("src")).alias("itself"))
+    rows = once.count()
+    r = spread(kinds, rows, "src").join(spread(depth, rows, "src"), "src").drop("src")
+    # how often each target is linked from each depth; what has none isn't looked up
+    r = spread(r, rows, "dst").groupBy("dst", "d1", "fragment", "same", "itself").agg(F.count("*").alias("n")).join(spread(target, rows, "dst"), "dst", "left")
+    own = F.coalesce(F.col("fragment") | F.col("itself"), F.lit(False))
     internal = F.col("same") & ~F.col("fragment") & ~own
     total = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
     return r.agg(

@@ -59,3 +59,10 @@ def test_partitions_grow_with_the_links(spark, monkeypatch):
     links = spark.range(200).select(F.concat(F.lit("https://e.com/"), F.col("id") % 150).alias("src"), F.concat(F.lit("/"), F.col("id") % 150 + 1).alias("link"))
     e = graph.edges(links)
     assert e.count() == 150 and e.rdd.getNumPartitions() == 20
+
+
+def test_link_patterns_of_repeated_links(spark):
+    site = pages(spark, [("https://e.com/a", None), ("https://e.com/b", None)]).withColumn("depth", F.col("ordinal").cast("int"))
+    rows = [("a", "/b"), ("a", "/b"), ("a", "#x"), ("a", "/a"), ("b", "https://f.com/"), ("b", "/none"), ("c", "/a"), ("a", None), ("b", "rel")]
+    links = spark.createDataFrame([(f"https://e.com/{a}", x) for a, x in rows], "src string, link string")
+    assert tuple(graph.link_patterns(site, links).first()) == (2, 1, 1, 0, 2)
