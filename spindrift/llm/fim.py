@@ -157,9 +157,11 @@ def _cuts(docs: DataFrame, form: Form, key: str, text: str, digest, columns: str
         """Index and keys, by bucket both: of the texts of few documents, and of the others in shares."""
         texts = docs.select(digest(whole).alias("digest"), whole.alias("text"))
         cold = text_index(texts.join(hot, "digest", "left_anti").select(bucket("digest"), "digest", "text").repartition(n, "bucket")), left.join(hot, "digest", "left_anti").select(bucket("digest"), *left.columns).repartition(n, "bucket")
-        shared = text_index(texts.join(hot, "digest", "left_semi").withColumn("bucket", F.lit(0).cast("long"))).join(hot, "digest").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+        shared = text_index(texts.join(hot, "digest", "left_semi").withColumn("bucket", F.lit(0).cast("long"))).join(hot, "digest")
+        # shares that meet in one bucket have one row there: a second one would look like another text of that digest
+        shares = F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("shares") - 1), lambda share: F.pmod(F.xxhash64("digest", share), F.lit(n_buckets))))
         dealt = left.join(hot, "digest").withColumn("share", F.pmod("deal", "shares").cast("int"))
-        return [cold, (shared.select(bucket("digest", "share"), "digest", "text", "copies"), dealt.select(bucket("digest", "share"), *left.columns))]
+        return [cold, (shared.select(F.explode(shares).alias("bucket"), "digest", "text", "copies"), dealt.select(bucket("digest", "share"), *left.columns))]
 
     names = [c.split()[0] for c in columns.split(", ")]
     kinds = [pa.binary() if c.endswith("binary") else pa.string() for c in columns.split(", ")]
