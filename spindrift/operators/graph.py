@@ -266,25 +266,52 @@ def page_importance(d: DataFrame, n: int = 30) -> DataFrame:
     return d.select("url", score.cast("long").alias("importance"), "ordinal").orderBy(F.desc("importance"), "ordinal").limit(n)
 
 
+def roots(pairs: DataFrame) -> DataFrame:
+    """(id, root) of all ids in pairs(a, b) of numbers, root being one of those that pairs connect both ways: a forest of a's least
+    neighbours is flattened, pairs between its trees are left, and so on until there are none."""
+    both = lambda p: p.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.*")
+    known = None
+    while True:
+        tree = staged(both(pairs).groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "id"), "trees")
+        while True:  # each id takes its root's root
+            up = tree.select(F.col("id").alias("root"), F.col("root").alias("top")).where("root <> top")
+            further = staged(tree.join(up, "root", "left").select("id", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")), "trees")
+            tree = further.drop("moved")
+            if further.where("moved").isEmpty():
+                break
+        known = tree if known is None else staged(known.join(tree.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("id", F.coalesce("top", "root").alias("root")), "roots")
+        number = lambda c: tree.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))
+        pairs = staged(pairs.join(number("a"), "a").join(number("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).where("a <> b").distinct(), "pairs")
+        if pairs.isEmpty():
+            return known
+
+
 def reach_components(site: DataFrame, e: DataFrame) -> DataFrame:
     """(url, component): the first crawled page, in input order, that reaches a page over parents both ways and links forward.
-    Uncrawled parents are members, uncrawled link targets aren't. Labels spread along the ways and jump to the label of the
-    page they name, which reaches whatever that page reaches, until no one changes. Each round is one written table; only pages whose
-    label changed in the round before send theirs on."""
+    Uncrawled parents are members, uncrawled link targets aren't. Pages that parents connect reach each other, so each such group is one
+    node; URLs give way to groups once, and links between groups are left. Labels spread along these and jump to the label of the
+    group they name, which reaches whatever that group reaches, until no one changes. Each round is one written table; only groups whose
+    label changed in the round before send theirs on. e may repeat links."""
     pairs = parent_pairs(site)
     nodes = site.select("url", F.col("ordinal").alias("own")).unionByName(pairs.select(F.col("parent").alias("url"), F.lit(None).cast("long").alias("own"))).groupBy("url").agg(F.min("own").alias("own"))
-    # links forward start at crawled pages and end at crawled pages; URLs give way to numbers before the rounds begin
     known = staged(nodes.select("url", "own", F.monotonically_increasing_id().alias("id")), "nodes")
-    ways = pairs.select(F.col("parent").alias("a"), F.col("child").alias("b")).union(pairs.select("child", "parent")).union(e.join(site.select(F.col("url").alias("dst")), "dst", "left_semi").select("src", "dst")).where("a <> b").distinct()
     number = lambda c: known.select(F.col("url").alias(c), F.col("id").alias(f"{c}_id"))
-    ways = staged(ways.join(number("a"), "a").join(number("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), "ways")
-    now = staged(known.select("id", "own", F.col("own").alias("label"), F.lit(True).alias("fresh")), "labels")
+    by_id = staged(pairs.select(F.col("parent").alias("a"), F.col("child").alias("b")).join(number("a"), "a").join(number("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), "parents")
+    known = staged(known.join(roots(by_id), "id", "left").select("url", "own", F.coalesce("root", "id").alias("id")), "members")
+    # links forward start at crawled pages or members and end at crawled pages
+    rows = e.count()
+    group = lambda c, some: spread(some.select(F.col("url").alias(c), F.col("id").alias(f"{c}_id")), rows, c)
+    ways = spread(e.select("src", "dst"), rows, "src").join(group("src", known), "src").select(F.col("src_id").alias("a"), "dst")
+    ways = spread(ways, rows, "dst").join(group("dst", known.where("own is not null")), "dst").select("a", F.col("dst_id").alias("b")).where("a <> b")
+    ways = staged(ways.distinct(), "ways")
+    own = known.groupBy("id").agg(F.min("own").alias("own"))
+    now = staged(own.select("id", "own", F.col("own").alias("label"), F.lit(True).alias("fresh")), "labels")
     while True:
         told = now.where("fresh and label is not null").select(F.col("id").alias("a"), "label")
         near = ways.join(told, "a").groupBy(F.col("b").alias("id")).agg(F.min("label").alias("near"))
-        spread = now.join(near, "id", "left").select("id", "own", F.col("label").alias("old"), F.least("label", "near").alias("via"))
+        spreading = now.join(near, "id", "left").select("id", "own", F.col("label").alias("old"), F.least("label", "near").alias("via"))
         jump = now.where("own is not null and label < own").select(F.col("own").alias("via"), F.col("label").alias("far"))
-        new = spread.join(jump, "via", "left").select("id", "own", "old", F.least("via", "far").alias("label"))
+        new = spreading.join(jump, "via", "left").select("id", "own", "old", F.least("via", "far").alias("label"))
         now = staged(new.select("id", "own", "label", (~F.col("old").eqNullSafe(F.col("label"))).alias("fresh")), "labels")
         if now.where("fresh").isEmpty():
-            return known.select("id", "url").join(now.select("id", F.col("label").alias("component")), "id").select("url", "component")
+            return known.select("url", "id").join(now.select("id", F.col("label").alias("component")), "id").select("url", "component")

@@ -66,3 +66,28 @@ def test_link_patterns_of_repeated_links(spark):
     rows = [("a", "/b"), ("a", "/b"), ("a", "#x"), ("a", "/a"), ("b", "https://f.com/"), ("b", "/none"), ("c", "/a"), ("a", None), ("b", "rel")]
     links = spark.createDataFrame([(f"https://e.com/{a}", x) for a, x in rows], "src string, link string")
     assert tuple(graph.link_patterns(site, links).first()) == (2, 1, 1, 0, 2)
+
+
+def test_links_inside_a_group_of_parents_are_no_ways(spark, monkeypatch):
+    """Pages that parents connect are one node of the rounds, and links among them none of their ways."""
+    sizes, staged = {}, graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df, label: sizes.setdefault(label, []).append(out := staged(df, label)) or out)
+    site = pages(spark, [("https://e.com/n0", None)] + [(f"https://e.com/n{i}", f"https://e.com/n{i // 2}") for i in range(1, 40)] + [("https://e.com/p", None), ("https://e.com/q", None)])
+    links = [(f"n{i}", f"n{j}") for i in range(10) for j in range(10)] + [(f"n{i}", "p") for i in range(40)] + [("p", "n3"), ("q", "n1"), ("q", "missing")]
+    got = {r["url"][14:]: r["component"] for r in graph.reach_components(site, edges(spark, links * 2)).collect()}
+    assert got == {**{f"n{i}": 0 for i in range(40)}, "p": 0, "q": 41}
+    assert sizes["ways"][0].count() == 3 and sizes["labels"][0].count() == 3
+
+
+def test_groups_of_parents_against_search(spark):
+    rng = np.random.default_rng(6)
+    for n, m in ((5, 3), (30, 24), (60, 80)):
+        pairs = [(int(a), int(b)) for a, b in rng.integers(0, n, (m, 2)) if a != b]
+        got = {r["id"]: r["root"] for r in graph.roots(spark.createDataFrame(pairs, "a long, b long")).collect()}
+        group = {x: {x} for p in pairs for x in p}
+        for a, b in pairs:
+            if group[a] is not group[b]:
+                group[a] |= group[b]
+                for x in group[b]:
+                    group[x] = group[a]
+        assert all((got[a] == got[b]) == (group[a] is group[b]) for a in group for b in group) and set(got) == set(group)
