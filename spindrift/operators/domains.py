@@ -51,21 +51,30 @@ def named(pages: DataFrame) -> DataFrame:
     return pages.select("*", loc.alias("netloc"), domain.alias("domain"), sub.alias("subdomain"), F.concat_ws(".", sub, domain).alias("full"), x["suffix"].alias("suffix"), x["domain"].alias("name"))
 
 
+def total(test: Column | None = None) -> Column:
+    """The number of links of link_targets() that pass."""
+    return F.coalesce(F.sum("n" if test is None else F.when(test, F.col("n"))), F.lit(0))
+
+
 def link_targets(links: DataFrame) -> DataFrame:
-    """Absolute links: (source domain, target network location, internal, suffix and name of both sides)."""
-    absolute = links.where(F.col("link").startswith("http"))
-    a, b = U.labels(U.netloc(F.col("src"))), U.labels(U.netloc(F.col("link")))
+    """Absolute links: (source domain, target network location, internal, suffix and name of both sides), a row and their number for each
+    pair of locations."""
+    absolute = links.where(F.col("link").startswith("http")).groupBy(U.location(F.col("src")).alias("from"), U.location(F.col("link")).alias("to")).agg(F.count("*").alias("n"))
+    a, b = U.labels(F.col("from")), U.labels(F.col("to"))
     whole = lambda x: F.when(x["suffix"] != "", F.concat_ws(".", x["domain"], x["suffix"])).otherwise(x["domain"])
     return absolute.select(
-        whole(a).alias("domain"), F.lower(U.netloc(F.col("link"))).alias("target"), whole(b).alias("target_domain"), (F.lower(U.netloc(F.col("src"))) == F.lower(U.netloc(F.col("link")))).alias("internal"),
-        (a["suffix"] == b["suffix"]).alias("same_tld"), (a["domain"] == b["domain"]).alias("same_name"),
+        whole(a).alias("domain"), F.lower("to").alias("target"), whole(b).alias("target_domain"), (F.lower("from") == F.lower("to")).alias("internal"),
+        (a["suffix"] == b["suffix"]).alias("same_tld"), (a["domain"] == b["domain"]).alias("same_name"), "n",
     )
 
 
 def facts(pages: DataFrame, links: DataFrame) -> DataFrame:
     """Per domain: pages, subdomains, average depth, internal and external absolute links."""
-    d = named(pages).groupBy("domain").agg(F.countDistinct("url").alias("urls"), F.countDistinct("subdomain").alias("subdomains"), F.avg("depth").alias("avg_depth"))
-    n = link_targets(links).groupBy("domain").agg(F.count_if(F.col("internal")).alias("internal_links"), F.count_if(~F.col("internal")).alias("external_links"))
+    # by URL, then by subdomain: each is counted where it is a row
+    once = named(pages).groupBy("domain", "subdomain", "url").agg(F.sum("depth").alias("depths"), F.count("depth").alias("n"))
+    subs = once.groupBy("domain", "subdomain").agg(F.count("url").alias("urls"), F.sum("depths").alias("depths"), F.sum("n").alias("n"))
+    d = subs.groupBy("domain").agg(F.sum("urls").alias("urls"), F.count("subdomain").alias("subdomains"), F.try_divide(F.sum("depths").cast("double"), F.sum("n")).alias("avg_depth"))
+    n = link_targets(links).groupBy("domain").agg(total(F.col("internal")).alias("internal_links"), total(~F.col("internal")).alias("external_links"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     out = d.join(n, "domain", "left").select("domain", "urls", "subdomains", "avg_depth", zero("internal_links"), zero("external_links"))
     return out.withColumn("external_ratio", F.coalesce(F.try_divide(F.col("external_links").cast("double"), F.col("internal_links") + F.col("external_links")), F.lit(0.0)))
@@ -93,7 +102,7 @@ def cross_domain(links: DataFrame, n: int = 20) -> DataFrame:
     """Pairs of source and target domain of external absolute links, with how their TLDs relate."""
     x = link_targets(links).where(~F.col("internal"))
     kind = F.when(F.col("same_tld"), "same_tld").when(F.col("same_name"), "same_org_different_tld").otherwise("different_tld")
-    return x.groupBy("domain", "target", kind.alias("relation")).agg(F.count("*").alias("links")).orderBy(F.desc("links"), "domain", "target").limit(n)
+    return x.groupBy("domain", "target", kind.alias("relation")).agg(total().alias("links")).orderBy(F.desc("links"), "domain", "target").limit(n)
 
 
 def clusters(f: DataFrame) -> DataFrame:
@@ -103,7 +112,7 @@ def clusters(f: DataFrame) -> DataFrame:
 
 def external_dependencies(links: DataFrame) -> DataFrame:
     """Targets of external links: service category, total links and criticality."""
-    x = link_targets(links).where(~F.col("internal")).groupBy("target").agg(F.count("*").alias("links"))
+    x = link_targets(links).where(~F.col("internal")).groupBy("target").agg(total().alias("links"))
     return x.select("target", first_match(F.lower("target"), SERVICES, F.lit("other")).alias("category"), "links", F.when(F.col("links") > 100, "high").when(F.col("links") > 20, "medium").otherwise("low").alias("criticality"))
 
 
@@ -137,17 +146,17 @@ def cross_domain_totals(links: DataFrame) -> DataFrame:
     """One row: external absolute links, their distinct targets, and how their TLDs relate; links between TLDs of one name are counted there too."""
     x = link_targets(links).where(~F.col("internal"))
     other = ~F.col("same_tld")
-    return x.agg(F.count("*").alias("total_cross_domain_links"), F.countDistinct("target").alias("unique_external_domains"), F.count_if("same_tld").alias("same_tld"), F.count_if(other).alias("different_tld"), F.count_if(other & F.col("same_name")).alias("same_org_different_tld"))
+    return x.agg(total().alias("total_cross_domain_links"), F.countDistinct("target").alias("unique_external_domains"), total(F.col("same_tld")).alias("same_tld"), total(other).alias("different_tld"), total(other & F.col("same_name")).alias("same_org_different_tld"))
 
 
 def external_targets(links: DataFrame, n: int = 20) -> DataFrame:
     """The n targets with most external links."""
-    return link_targets(links).where(~F.col("internal")).groupBy("target").agg(F.count("*").alias("links")).orderBy(F.desc("links"), "target").limit(n)
+    return link_targets(links).where(~F.col("internal")).groupBy("target").agg(total().alias("links")).orderBy(F.desc("links"), "target").limit(n)
 
 
 def dependencies_by_source(links: DataFrame) -> DataFrame:
     """(domain, target, category, links): what each domain depends on, by service category."""
-    x = link_targets(links).where(~F.col("internal")).groupBy("domain", "target").agg(F.count("*").alias("links"))
+    x = link_targets(links).where(~F.col("internal")).groupBy("domain", "target").agg(total().alias("links"))
     return x.select("domain", "target", first_match(F.lower("target"), SERVICES, F.lit("other")).alias("category"), "links")
 
 

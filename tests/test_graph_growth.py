@@ -91,3 +91,15 @@ def test_groups_of_parents_against_search(spark):
                 for x in group[b]:
                     group[x] = group[a]
         assert all((got[a] == got[b]) == (group[a] is group[b]) for a in group for b in group) and set(got) == set(group)
+
+
+def test_facts_by_location(spark):
+    from spindrift.operators import domains
+
+    site = spark.createDataFrame([("https://a.e.com/1", 1), ("https://a.e.com/1", 3), ("https://b.e.com/2", None), (None, 5), ("https://f.org/", 2)], "url string, depth int")
+    rows = [("https://a.e.com/1", "https://a.e.com/x"), ("https://a.e.com/1", "https://A.e.com/y"), ("https://a.e.com/1", "http://u@c.e.com:80/"), ("https://b.e.com/2", "/z"), ("https://b.e.com/2", None), ("https://f.org/", "https://f.net")]
+    links = spark.createDataFrame(rows, "src string, link string")
+    got = {r["domain"]: tuple(r)[1:] for r in domains.facts(site, links).collect()}
+    assert got == {"e.com": (2, 2, 2.0, 2, 1, 1 / 3), "f.org": (1, 1, 2.0, 0, 1, 1.0), "": (0, 1, 5.0, 0, 0, 0.0)}
+    assert domains.link_targets(links.union(links)).count() == 4  # a row a pair of locations
+    assert tuple(domains.cross_domain_totals(links).first())[0] == 2 and tuple(domains.cross_domain_totals(links.limit(0)).first()) == (0,) * 5
