@@ -114,7 +114,7 @@ UNION ALL SELECT 'mlx', 'results.json', '{"metadata":{"total_urls":1000000}}' FR
 VIEWS = {
     "result_files": (RESULT_FILES, ["pages", "customer", "nation", "region"], []),
     "hosted": (HOSTED, ["customer"], []), "suffix_rules": (SUFFIX_RULES, ["nation"], []), "record_lines": (RECORD_LINES, ["pages"], []),
-    "crawl": (CRAWL, ["pages"], []), "page": (PAGE, ["pages"], []), "urls": (URLS, [], ["page"]), "site": (SITE, ["nation", "customer", "supplier", "orders", "part"], []),
+    "crawl": (CRAWL, ["pages"], []), "page": (PAGE, ["pages"], []), "urls": (URLS, [], ["page"]), "site": (SITE, ["nation", "customer", "supplier", "orders", "part"], []), "nodes": (NODES, ["nation", "customer", "supplier", "orders", "part"], []),
     "site_links": (SITE_LINKS, ["lineitem", "orders", "supplier", "customer"], []), "ticks": (TICKS, ["events"], []), "classifications": (CLASSIFICATIONS, ["labels"], []),
     "page_metadata": (PAGE_METADATA, [], ["page"]), "patterns": (PATTERNS, ["events"], []), "crawl_sessions": (CRAWL_SESSIONS, ["events"], []),
 }
