@@ -103,3 +103,67 @@ def test_facts_by_location(spark):
     assert got == {"e.com": (2, 2, 2.0, 2, 1, 1 / 3), "f.org": (1, 1, 2.0, 0, 1, 1.0), "": (0, 1, 5.0, 0, 0, 0.0)}
     assert domains.link_targets(links.union(links)).count() == 4  # a row a pair of locations
     assert tuple(domains.cross_domain_totals(links).first())[0] == 2 and tuple(domains.cross_domain_totals(links.limit(0)).first()) == (0,) * 5
+
+
+def test_links_are_resolved_once_and_without_python_where_none_need_it(spark, monkeypatch):
+    written, staged = [], graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df, label: written.append(label) or staged(df, label))
+    rows = [("a", "/b"), ("a", "/b"), ("a", "#x"), ("a", ""), ("a", None), ("a", "/a"), ("b", "https://f.com/"), ("b", "https://e.com/c"), ("c", "//e.com/d"), ("c", "//f.com/d")]
+    plain = graph.edges(spark.createDataFrame([(f"https://e.com/{a}", x) for a, x in rows], "src string, link string"))
+    want = {("a", "b"), ("a", "a"), ("b", "c"), ("c", "d")}
+    ends = lambda df: sorted((r["src"][14:], r["dst"][14:]) for r in df.collect())
+    assert ends(plain) == sorted(want) and written == ["links"]
+    assert "Python" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    rows += [("x/y", "../z"), ("x/y", "w"), ("x/y", "/q/../r"), ("x/y", "mailto:m@e.com"), ("x/y", "w")]
+    some = graph.edges(spark.createDataFrame([(f"https://e.com/{a}", x) for a, x in rows], "src string, link string"))
+    assert ends(some) == sorted(want | {("x/y", "z"), ("x/y", "x/w"), ("x/y", "r")})
+
+
+def test_all_ends_are_counted_in_one_aggregation(spark):
+    rng = np.random.default_rng(4)
+    parents = [(f"https://e.com/{i}", None if i % 4 == 0 else f"https://e.com/{rng.integers(0, 14)}") for i in range(12)]
+    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 16, (60, 2))})
+    d = graph.full_degrees(pages(spark, parents), edges(spark, pairs))
+    for r in d.collect():
+        i = r["ordinal"]
+        assert r["out_degree"] == sum(a == i for a, _ in pairs) and r["in_degree"] == sum(b == i for _, b in pairs)
+        assert r["children"] == sum(p == r["url"] and u != p for u, p in parents)
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("Aggregate ") == 1
+    hubs = graph.navigation_hubs(graph.degrees(pages(spark, parents), edges(spark, pairs)))
+    assert "BroadcastHashJoin" not in hubs._jdf.queryExecution().executedPlan().toString()  # the pages, which seem small
+
+
+def test_hits_against_their_definition(spark, monkeypatch):
+    """Of crawled pages 0 to 7, uncrawled ones link and are linked too; links are joined once, and each maximum reads what is written."""
+    written, staged = [], graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df, label: written.append(label) or staged(df, label))
+    rng = np.random.default_rng(5)
+    for m in (0, 3, 40):
+        pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 12, (m, 2))})
+        site, e = pages(spark, [(f"https://e.com/{i}", None) for i in range(8)]), edges(spark, pairs) if pairs else edges(spark, [(0, 0)]).limit(0)
+        n = [sum(b == i for _, b in pairs) for i in range(8)]
+        h = [sum(n[b] for a, b in pairs if a == i and b < 8) for i in range(12)]
+        out = graph.hits(graph.degrees(site, e), e)
+        got = {r["ordinal"]: (r["authority"], r["hub"]) for r in out.collect()}
+        assert got == {i: (n[i] / max(n) if any(n) else 0.0, h[i] / max(h) if any(h) else 0.0) for i in range(8)}
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 1
+    assert written == ["degrees", "hubs"] * 3
+
+
+def test_the_best_pages_are_found_before_they_are_numbered(spark, monkeypatch):
+    from spindrift.plans import registry, views
+
+    df = spark.createDataFrame([(f"u{i}",) for i in (5, 3, 11, 1, 20, 7)], "url string")
+    want = {r["url"]: r["ordinal"] for r in graph.numbered(df, "url").collect()}
+    found = df.where("url in ('u1', 'u20', 'u7')").select("url", F.col("url").alias("ordinal"))
+    got = graph.ordinals(found.unionByName(found), df, "url")
+    assert sorted((r["url"], r["ordinal"]) for r in got.collect()) == sorted((u, want[u]) for u in ("u1", "u20", "u7") * 2)
+    assert got.schema["ordinal"].dataType.typeName() == "long"
+
+    def refused(*_):
+        raise AssertionError("all pages are numbered")
+
+    monkeypatch.setattr(views, "numbered", refused)
+    for name in ("nw_centrality", "nw_bottlenecks", "pm_navigation_hubs", "pm_importance", "pm_entry_points"):
+        assert "ordinal" in registry.QUERIES[name](spark, "/root/testdata/sf0.001").columns
