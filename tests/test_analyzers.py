@@ -35,6 +35,17 @@ def test_tiers(spark, tmp_path):
     assert analyzers.run_tiers(records(spark), str(tmp_path), []).count() == 0
 
 
+def test_embedded_ids_have_six_digits(spark, tmp_path):
+    """Order pages as in `site`: numbers of six digits are ids, shorter ones aren't, so the section's rows in the log depend on the tables."""
+    for keys, rows in (([99998, 99999], 0), ([99999, 100000, 100001], 1)):
+        pages = spark.createDataFrame([(i, f"https://shop.example.com/order/{k}") for i, k in enumerate(keys)], "ordinal long, url string")
+        path = f"{tmp_path}/{rows}"
+        log = analyzers.run(pages, path, ["url_components"]).first()
+        assert log["error"] is None and log["sections"]["embedded"] == rows
+        found = [tuple(r) for r in spark.read.schema("kind string, count long, unique_values long").parquet(f"{path}/url_components/embedded").collect()]
+        assert found == [("id", 2, 2)][:rows]
+
+
 def test_errors_by_line(spark, tmp_path):
     (tmp_path / "c.jsonl").write_text('{"url": "a"}\n\n{broken\n"b"\nnope\n')
     got = sources.jsonl_errors(spark, str(tmp_path / "c.jsonl")).orderBy("line_number").collect()
