@@ -133,13 +133,47 @@ def degrees(site: DataFrame, e: DataFrame) -> DataFrame:
     return with_ends(site, ends(e))
 
 
+#: Classes of URLs: so few that all pairs of them may go to all executors.
+CLASSES = 256
+
+
+def url_class(url: Column) -> Column:
+    """A number below CLASSES, the same for URLs whose paths have the same first segment on one site."""
+    return F.pmod(F.xxhash64(F.substring_index(url, "/", 4)), F.lit(CLASSES)).cast("int")
+
+
+def class_pairs(e: DataFrame) -> DataFrame:
+    """(x, y): the classes that links go from and to, each pair once."""
+    return staged(e.select(url_class(F.col("src")).alias("x"), url_class(F.col("dst")).alias("y")).distinct(), "classes")
+
+
+def between(e: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The links from a class x to a class y of the pairs, with what else these have."""
+    pairs = F.broadcast(pairs)  # CLASSES times CLASSES rows at most
+    return e.join(pairs, (url_class(e["src"]) == pairs["x"]) & (url_class(e["dst"]) == pairs["y"])).drop("x", "y")
+
+
+def mutual(e: DataFrame) -> DataFrame:
+    """One row: how many links there is one back for, links of a page to itself included. Only links between classes with links both ways
+    are looked at, and the two of a pair of pages meet in one group."""
+    pairs = class_pairs(e)
+    both = between(e.select("src", "dst"), pairs.join(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"], "left_semi"))
+    way = F.when(F.col("src") < F.col("dst"), 1).when(F.col("src") > F.col("dst"), -1).otherwise(0)
+    met = spread(both.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), way.alias("way")), e.count(), "a", "b").groupBy("a", "b")
+    n = met.agg(F.count("*").alias("n"), (F.min("way") == -F.max("way")).alias("both"))
+    return n.agg(F.coalesce(F.sum(F.when(F.col("both"), F.col("n"))), F.lit(0)).alias("mutual"))
+
+
+def density(edges: Column, nodes: Column) -> Column:
+    return F.coalesce(F.try_divide(edges.cast("double"), nodes * (nodes - 1)), F.lit(0.0))
+
+
 def network_metrics(site: DataFrame, e: DataFrame) -> DataFrame:
     d = degrees(site, e)
     one = d.agg(F.count("*").alias("nodes"), F.avg("out_degree").alias("avg_out_degree"), F.max("out_degree").alias("max_out_degree"), F.avg("in_degree").alias("avg_in_degree"), F.max("in_degree").alias("max_in_degree"))
-    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    n_edges = e.agg(F.count("*").alias("edges")).crossJoin(F.broadcast(e.join(back, ["src", "dst"], "left_semi").agg(F.count("*").alias("mutual"))))  # one row each
+    n_edges = e.agg(F.count("*").alias("edges")).crossJoin(F.broadcast(mutual(e)))  # one row each
     both = one.crossJoin(F.broadcast(n_edges))
-    return both.select("*", F.coalesce(F.try_divide(F.col("edges").cast("double"), F.col("nodes") * (F.col("nodes") - 1)), F.lit(0.0)).alias("density"), F.coalesce(F.try_divide(F.col("mutual").cast("double"), F.col("edges")), F.lit(0.0)).alias("reciprocity"))
+    return both.select("*", density(F.col("edges"), F.col("nodes")).alias("density"), F.coalesce(F.try_divide(F.col("mutual").cast("double"), F.col("edges")), F.lit(0.0)).alias("reciprocity"))
 
 
 def centrality(d: DataFrame, n: int = 20) -> DataFrame:
@@ -153,32 +187,51 @@ def centrality(d: DataFrame, n: int = 20) -> DataFrame:
     return out
 
 
-def by_number(e: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(url, id) of all that is linked or links, and the edges by id: (u, v)."""
-    rows = e.count()
+def by_number(e: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(url, id) of all that is linked or links, and the edges by id: (u, v, ...), of so many rows at most."""
+    more = [c for c in e.columns if c not in ("src", "dst")]
     both = e.select(F.explode(F.array("src", "dst")).alias("url"))
     ids = staged(spread(both.groupBy("url").agg(F.count("*").alias("n")), rows, "url").select("url", F.monotonically_increasing_id().alias("id")), "ids")
-    u = spread(e, rows, "src").join(spread(ids.select(F.col("url").alias("src"), F.col("id").alias("u")), rows, "src"), "src").select("u", "dst")
-    return ids, staged(spread(u, rows, "dst").join(spread(ids.select(F.col("url").alias("dst"), F.col("id").alias("v")), rows, "dst"), "dst").select("u", "v"), "numbers")
+    number = lambda c, name: spread(ids.select(F.col("url").alias(c), F.col("id").alias(name)), rows, c).hint("shuffle_hash")
+    u = spread(e, rows, "src").join(number("src", "u"), "src").select("u", "dst", *more)
+    return ids, staged(spread(u, rows, "dst").join(number("dst", "v"), "dst").select("u", "v", *more), "numbers")
 
 
-def clustering(site: DataFrame, e: DataFrame) -> DataFrame:
-    """Local directed clustering of each page: links among its out-neighbours over k (k - 1). For each link u -> a the targets of that
-    of the two with fewer are looked up among the other's, so hubs aren't multiplied out. URLs are numbers there, and targets with one
-    link only, which close nothing, are left out first. A page that links to itself is a neighbour of its own, for which its other links count."""
-    ids, e = by_number(e.select("src", "dst"))
-    k = e.groupBy("u").agg(F.count("*").alias("k"), F.count_if(F.col("u") == F.col("v")).alias("own")).where("k >= 2")
-    near = staged(e.join(e.groupBy("v").agg(F.count("*").alias("n")).where("n >= 2"), "v", "left_semi").select("u", "v"), "near")
+def closing(pairs: DataFrame) -> DataFrame:
+    """The pairs of classes whose links may be part of a closed way u -> a -> b with u -> b, which is one of classes too: as its first
+    link (way), or as one of the two that have the same end (near)."""
+    after, across = pairs.select(F.col("x").alias("y"), F.col("y").alias("z")), pairs.select("x", F.col("y").alias("z"))
+    part = lambda a, b, first: F.struct(F.col(a).alias("x"), F.col(b).alias("y"), F.lit(first).alias("way"), F.lit(not first).alias("near"))
+    found = pairs.join(after, "y").join(across, ["x", "z"]).select(F.explode(F.array(part("x", "y", True), part("y", "z", False), part("x", "z", False))).alias("p"))
+    return staged(found.select("p.*").groupBy("x", "y").agg(F.max("way").alias("way"), F.max("near").alias("near")), "closing")
+
+
+def closed_ways(e: DataFrame) -> DataFrame:
+    """(url, closed): the links among a page's targets, of pages with any. For each link u -> a the targets of that of the two with fewer
+    are looked up among the other's, so hubs aren't multiplied out. Links that can't be part of it by their classes are left out first; URLs
+    are numbers then, and targets with one link only, which close nothing, are left out too."""
+    rows = e.count()
+    ids, e = by_number(between(e, closing(class_pairs(e))), rows)
+    ends = e.where("near").select("u", "v")
+    near = staged(ends.join(ends.groupBy("v").agg(F.count("*").alias("n")).where("n >= 2"), "v", "left_semi").select("u", "v"), "near")
     n = staged(near.groupBy("u").agg(F.count("*").alias("n")), "targets")
-    ways = e.where("u <> v").join(n.withColumnRenamed("n", "nu"), "u").join(n.select(F.col("u").alias("v"), F.col("n").alias("nv")), "v")
+    ways = e.where("way and u <> v").join(n.withColumnRenamed("n", "nu"), "u").join(n.select(F.col("u").alias("v"), F.col("n").alias("nv")), "v")
     mine = F.col("nu") <= F.col("nv")
     ways = staged(ways.select(F.when(mine, F.col("u")).otherwise(F.col("v")).alias("u"), F.when(mine, F.col("v")).otherwise(F.col("u")).alias("other"), mine.alias("mine"), F.least("nu", "nv").alias("n")), "ways")
     rows = ways.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # of what follows
     a, page = F.when(F.col("mine"), F.col("other")).otherwise(F.col("u")), F.when(F.col("mine"), F.col("u")).otherwise(F.col("other"))
     asked = ways.drop("n").join(near, "u").where(F.col("v") != a).select(page.alias("page"), F.col("other").alias("u"), "v")
-    closed = spread(asked, rows, "u", "v").join(spread(near, rows, "u", "v"), ["u", "v"]).groupBy(F.col("page").alias("u")).agg(F.count("*").alias("closed"))
-    found = k.join(closed, "u", "left").select("u", ((F.coalesce("closed", F.lit(0)) + F.when(F.col("own") > 0, F.col("k") - 1).otherwise(0)) / (F.col("k") * (F.col("k") - 1))).alias("coefficient")).where("coefficient > 0")
-    found = found.join(ids.withColumnRenamed("id", "u"), "u").select("url", "coefficient")
+    closed = spread(asked, rows, "u", "v").join(spread(near, rows, "u", "v"), ["u", "v"]).groupBy(F.col("page").alias("id")).agg(F.count("*").alias("closed"))
+    return closed.join(ids, "id").select("url", "closed")
+
+
+def clustering(site: DataFrame, e: DataFrame) -> DataFrame:
+    """Local directed clustering of each page: links among its out-neighbours over k (k - 1). A page that links to itself is a neighbour of
+    its own, for which its other links count."""
+    e = e.select("src", "dst")
+    k = e.groupBy(F.col("src").alias("url")).agg(F.count("*").alias("k"), F.count_if(F.col("src") == F.col("dst")).alias("own")).where("k >= 2")
+    closed = F.coalesce("closed", F.lit(0)) + F.when(F.col("own") > 0, F.col("k") - 1).otherwise(0)
+    found = k.join(closed_ways(e), "url", "left").select("url", (closed / (F.col("k") * (F.col("k") - 1))).alias("coefficient")).where("coefficient > 0")
     return site.select("ordinal", "url").join(found, "url", "left").select("ordinal", "url", F.coalesce("coefficient", F.lit(0.0)).alias("coefficient"))
 
 

@@ -167,3 +167,24 @@ def test_the_best_pages_are_found_before_they_are_numbered(spark, monkeypatch):
     monkeypatch.setattr(views, "numbered", refused)
     for name in ("nw_centrality", "nw_bottlenecks", "pm_navigation_hubs", "pm_importance", "pm_entry_points"):
         assert "ordinal" in registry.QUERIES[name](spark, "/root/testdata/sf0.001").columns
+
+
+def test_links_that_close_nothing_by_their_classes_arent_numbered(spark, monkeypatch):
+    """Shops in which orders link to parts, parts to suppliers and customers to orders and back: no way of three closes, so no link is
+    numbered. With links from orders to suppliers, ways close, and what they need is numbered."""
+    sizes, staged = {}, graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df, label: sizes.setdefault(label, []).append(out := staged(df, label)) or out)
+    rng = np.random.default_rng(2)
+    pairs = {(f"o/{i}", f"p/{rng.integers(0, 9)}") for i in range(60)} | {(f"p/{i}", f"s/{rng.integers(0, 5)}") for i in range(9) for _ in range(4)} | {(f"c/{i % 7}", f"o/{i}") for i in range(60)}
+    pairs |= {(b, a) for a, b in pairs if a.startswith("c")}
+    site = pages(spark, [(f"https://e.com/{u}", None) for u in sorted({u for p in pairs for u in p})])
+    assert graph.clustering(site, edges(spark, sorted(pairs))).where("coefficient > 0").count() == 0
+    assert sizes["numbers"][0].count() == 0
+    pairs |= {(f"o/{i}", f"s/{rng.integers(0, 5)}") for i in range(60)}
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+    got = {r["url"][14:]: r["coefficient"] for r in graph.clustering(site, edges(spark, sorted(pairs))).collect()}
+    want = {u: sum(b in out[u] for a in out[u] for b in out.get(a, ()) if a != b) / (len(out[u]) * (len(out[u]) - 1)) if len(out.get(u, ())) > 1 else 0.0 for u in got}
+    assert got == want and any(want.values())
+    assert 0 < sizes["numbers"][1].count() == sum(not a.startswith("c") and not b.startswith("c") for a, b in pairs)
