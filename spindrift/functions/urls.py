@@ -20,6 +20,8 @@ PORT = r"(?=[0-9]{1,9}$)0*(?:[0-9]{1,4}|[1-5][0-9]{4}|6[0-4][0-9]{3}|65[0-4][0-9
 #: URLs of a lowered scheme and a location without port, user or brackets, followed by a slash or nothing: their first
 #: pieces between slashes are their scheme and location.
 PLAIN = r"^[a-z][a-z0-9+.\-]*+://[^/?#\x00-\x20:\[\]@]++(?:/|$)"
+#: URLs that are their own canonical form: lowered scheme and location, and a path without parameters, query, fragment or a slash at its end.
+CANONICAL = r"^[a-z][a-z0-9+.\-]*+://[a-z0-9.\-]++(?:/[^?#;\x00-\x20]*+(?<!/))?\z"
 #: What follows the last @: brackets both ways or not at all, and after the last colon nothing or a port.
 LOCATION = rf"^(?:[\s\S]*@)?(?=[^@]*$)(?:(?![^@]*[\[\]])|(?=[^@]*\[)(?=[^@]*\]))(?:(?![^@]*:[^:\]]*$)|(?=[^@]*:(?:{PORT})?$))"
 
@@ -121,11 +123,11 @@ def on_own_site(link: Column, source: Column) -> Column:
     return F.coalesce(link.startswith("/") & ~link.startswith("//") & ~link.contains("/.") & source.rlike(PLAIN), F.lit(False))
 
 
-def resolve_plain(link: Column, source: Column) -> Column:
+def resolve_plain(link: Column, source: Column, own: Column | None = None) -> Column:
     """Links that need no merging: empty and fragment links have no target, // takes https, / takes the source's base and
-    whatever starts with http stays. Other links are null here; see merge_reference()."""
+    whatever starts with http stays. Other links are null here; see merge_reference(). own is on_own_site(), where it is known."""
     return (
-        F.when(on_own_site(link, source), F.concat(F.substring_index(source, "/", 3), link))
+        F.when(on_own_site(link, source) if own is None else own, F.concat(F.substring_index(source, "/", 3), link))
         .when(F.coalesce(link, F.lit("")) == "", F.lit(None).cast("string"))
         .when(link.startswith("#"), F.lit(None).cast("string"))
         .when(link.startswith("//"), F.concat(F.lit("https:"), link))
@@ -205,6 +207,10 @@ def normalized_url(url: Column, remove_fragment: bool = True, remove_tracking: b
 
 def canonical_url(url: Column, remove_fragment: bool = True, remove_query: bool = False) -> Column:
     """Lowered scheme (https if none) and location, path without trailing slashes; the deduplication key."""
+    return F.when(url.rlike(CANONICAL), url).otherwise(_canonical_url(url, remove_fragment, remove_query))
+
+
+def _canonical_url(url: Column, remove_fragment: bool, remove_query: bool) -> Column:
     p = F.when(path(url) == "/", "/").otherwise(F.regexp_replace(path(url), r"/+$", ""))
     s = F.when(scheme(url) == "", "https").otherwise(scheme(url))
     q = F.lit("") if remove_query else F.when(query(url) != "", F.concat(F.lit("?"), query(url))).otherwise("")

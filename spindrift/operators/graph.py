@@ -84,8 +84,9 @@ def resolved_once(links: DataFrame) -> DataFrame:
     """(src, link, dst, own) of links that may have a target, written, so that none is resolved twice: dst is the target and own whether it is known to
     be internal. Where a link needs merging with its source it is kept, and dst is null."""
     s, x = F.col("src"), F.col("link")
-    some = links.where((x != "") & ~x.startswith("#"))
-    return staged(some.select("src", F.when(U.is_relative(x), x).alias("link"), U.resolve_plain(x, s).alias("dst"), U.on_own_site(x, s).alias("own")), "links")
+    some = links.where((x != "") & ~x.startswith("#")).select("src", "link", U.on_own_site(x, s).alias("own"))
+    own = F.col("own")
+    return staged(some.select("src", F.when(~own & U.is_relative(x), x).alias("link"), U.resolve_plain(x, s, own).alias("dst"), "own"), "links")
 
 
 def internal(once: DataFrame) -> DataFrame:
@@ -392,14 +393,19 @@ def reach_components(site: DataFrame, e: DataFrame) -> DataFrame:
     group they name, which reaches whatever that group reaches, until no one changes. Each round is one written table; only groups whose
     label changed in the round before send theirs on. e may repeat links."""
     pairs = parent_pairs(site)
-    nodes = site.select("url", F.col("ordinal").alias("own")).unionByName(pairs.select(F.col("parent").alias("url"), F.lit(None).cast("long").alias("own"))).groupBy("url").agg(F.min("own").alias("own"))
-    known = staged(nodes.select("url", "own", F.monotonically_increasing_id().alias("id")), "nodes")
-    number = lambda c: known.select(F.col("url").alias(c), F.col("id").alias(f"{c}_id"))
-    by_id = staged(pairs.select(F.col("parent").alias("a"), F.col("child").alias("b")).join(number("a"), "a").join(number("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), "parents")
+    nodes = site.select("url", F.col("ordinal").alias("own"), "depth").unionByName(pairs.select(F.col("parent").alias("url"), F.lit(None).cast("long").alias("own"), F.lit(None).cast(site.schema["depth"].dataType).alias("depth")))
+    nodes = nodes.groupBy("url").agg(F.min("own").alias("own"), F.min("depth").alias("depth"))
+    # parents have lesser numbers than their children, as far as depths say so: roots() has few rounds then
+    level = F.least(F.greatest(F.coalesce("depth", F.lit(0)).cast("long"), F.lit(0)), F.lit(1023))
+    known = staged(nodes.select("url", "own", (F.shiftleft(level, 53) + F.monotonically_increasing_id()).alias("id")), "nodes")
+    size = known.count()
+    number = lambda c: spread(known.select(F.col("url").alias(c), F.col("id").alias(f"{c}_id")), size, c).hint("shuffle_hash")
+    by_id = spread(pairs.select(F.col("parent").alias("a"), F.col("child").alias("b")), size, "a").join(number("a"), "a").select("a_id", "b")
+    by_id = staged(spread(by_id, size, "b").join(number("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), "parents")
     known = staged(known.join(roots(by_id), "id", "left").select("url", "own", F.coalesce("root", "id").alias("id")), "members")
     # links forward start at crawled pages or members and end at crawled pages
-    rows = e.count()
-    group = lambda c, some: spread(some.select(F.col("url").alias(c), F.col("id").alias(f"{c}_id")), rows, c)
+    rows = max(e.count(), size)
+    group = lambda c, some: spread(some.select(F.col("url").alias(c), F.col("id").alias(f"{c}_id")), rows, c).hint("shuffle_hash")
     ways = spread(e.select("src", "dst"), rows, "src").join(group("src", known), "src").select(F.col("src_id").alias("a"), "dst")
     ways = spread(ways, rows, "dst").join(group("dst", known.where("own is not null")), "dst").select("a", F.col("dst_id").alias("b")).where("a <> b")
     ways = staged(ways.distinct(), "ways")

@@ -82,10 +82,12 @@ def last_two(p: DataFrame, last: int = 5) -> DataFrame:
 
 def network_result(site: DataFrame, e: DataFrame) -> DataFrame:
     """One row of what the key metrics take of the link graph: density, pages without any link, and the largest component's share of all pages."""
-    linked = graph.degrees(site, e).agg(F.count_if((F.col("in_degree") == 0) & (F.col("out_degree") == 0)).alias("isolated_pages"))
+    linked = graph.degrees(site, e).agg(F.count("*").alias("nodes"), F.count_if((F.col("in_degree") == 0) & (F.col("out_degree") == 0)).alias("isolated_pages"))
+    links = e.agg(F.count("*").alias("edges"))
     sizes = graph.reach_components(site, e).groupBy("component").agg(F.count("*").alias("n"))
     largest = sizes.agg(F.coalesce(F.max("n") * 100.0 / F.sum("n"), F.lit(0.0)).alias("largest_component_percentage"))
-    return graph.network_metrics(site, e).select("density").crossJoin(F.broadcast(linked)).crossJoin(F.broadcast(largest))  # one row each
+    both = linked.crossJoin(F.broadcast(links)).select(graph.density(F.col("edges"), F.col("nodes")).alias("density"), "isolated_pages")
+    return both.crossJoin(F.broadcast(largest))  # one row each
 
 
 def quality_result(crawl: DataFrame) -> DataFrame:

@@ -188,3 +188,40 @@ def test_links_that_close_nothing_by_their_classes_arent_numbered(spark, monkeyp
     want = {u: sum(b in out[u] for a in out[u] for b in out.get(a, ()) if a != b) / (len(out[u]) * (len(out[u]) - 1)) if len(out.get(u, ())) > 1 else 0.0 for u in got}
     assert got == want and any(want.values())
     assert 0 < sizes["numbers"][1].count() == sum(not a.startswith("c") and not b.startswith("c") for a, b in pairs)
+
+
+def test_parents_are_flattened_in_few_rounds(spark, monkeypatch):
+    """Pages of a tree have numbers by depth, so that their least neighbours are their parents: one forest, flattened by halves, and no pairs left."""
+    written, staged = [], graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df, label: written.append(label) or staged(df, label))
+    rng = np.random.default_rng(9)
+    up = {i: i // 5 for i in range(1, 300)}
+    depth = {0: 0}
+    for i, p in up.items():
+        depth[i] = depth[p] + 1
+    names = rng.permutation(300)
+    rows = [(int(names[i]), f"https://e.com/{names[i]}", f"https://e.com/{names[up[i]]}" if i else None, depth[i]) for i in range(300)]
+    site = spark.createDataFrame(rows, "ordinal long, url string, parent_url string, depth int").repartition(7, "url")
+    got = graph.reach_components(site, edges(spark, [(0, 1)])).collect()
+    assert len(got) == 300 and {r["component"] for r in got} == {0}
+    assert written.count("pairs") == 1 and written.count("trees") <= 1 + 3  # four levels: two rounds and one that finds none
+
+
+def test_site_metrics_dont_look_for_links_back(spark, monkeypatch):
+    from spindrift.operators import tracking
+
+    def refused(*_):
+        raise AssertionError("links back are looked for")
+
+    monkeypatch.setattr(graph, "network_metrics", refused)
+    site = pages(spark, [("https://e.com/0", None), ("https://e.com/1", "https://e.com/0"), ("https://e.com/2", None), ("https://e.com/3", None)])
+    got = tracking.network_result(site, edges(spark, [(0, 1), (1, 0), (3, 3)])).first().asDict()
+    assert got == {"density": 3 / 12, "isolated_pages": 1, "largest_component_percentage": 50.0}
+
+
+def test_links_back_are_those_of_a_join(spark):
+    rng = np.random.default_rng(7)
+    for n, m in ((3, 0), (4, 9), (12, 60)):
+        pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, n, (m, 2))})
+        e = edges(spark, pairs) if pairs else edges(spark, [(0, 0)]).limit(0)
+        assert graph.mutual(e).first()["mutual"] == sum((b, a) in set(pairs) for a, b in pairs)

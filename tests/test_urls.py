@@ -65,3 +65,14 @@ def test_resolving(spark):
 
 def test_fragment_classes(spark):
     assert column(spark, ["top", "/route", "!x", "1a", "é"], U.fragment_class) == ["anchor", "route", "route", "other", "other"]
+
+
+def test_canonical_urls_are_themselves(spark):
+    """Plain URLs skip the search for parts, with the result of that search."""
+    rows = ["https://a.com", "https://a.com/", "https://a.com/b", "https://a.com/b/", "https://a.com//", "https://a.com/b\n", "https://a.com/b\n\n", "https://a.com\n", " https://a.com/b", "https://a.com/b ", "https://a.com/b;p", "https://a.com/b?q", "https://a.com/b?", "https://a.com/b#",
+            "HTTPS://a.com/b", "https://A.com/b", "https://a.com:80/b", "https://u@a.com/b", "https://[::1]/b", "https://[a/b", "a+b.c-d://x-y.z/B%20C", "//a.com/b", "a.com/b", "https:///b", "", None, "https://a.com/é", "https://a.com/b\u0085", "https://é.com/b", "https://a.com/b/c"]
+    df = spark.createDataFrame([(r,) for r in rows], "url string")
+    got = df.select(*[f(F.col("url"), remove_fragment=a, remove_query=b).alias(f"{f.__name__}{a}{b}") for f in (U.canonical_url, U._canonical_url) for a in (True, False) for b in (True, False)]).collect()
+    assert all(r[i] == r[i + 4] for r in got for i in range(4))
+    searched = df.where(F.col("url").rlike(U.CANONICAL)).select("url").collect()
+    assert [r["url"] for r in searched] == ["https://a.com", "https://a.com/b", "a+b.c-d://x-y.z/B%20C", "https://a.com/é", "https://a.com/b\u0085", "https://a.com/b/c"]
