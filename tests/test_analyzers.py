@@ -85,3 +85,30 @@ def test_key_metrics(spark):
     got = {r["metric"]: r["value"] for r in tracking.key_metrics({"statistical": one(total_urls=7, depth_mean=1.5), "network": one(density=0.25), "pathway": one(max_depth=12)}).collect()}
     assert list(got) == tracking.KEY_METRICS
     assert (got["total_urls"], got["avg_depth"], got["graph_density"], got["depth_efficiency"], got["error_rate"]) == (7.0, 1.5, 0.25, 0.0, 0.0)
+
+
+def test_analyzers_share_what_they_look_for(spark, tmp_path, monkeypatch):
+    """Links are resolved once, and so are the parts of URLs, those of records and of pages; no Python where nothing needs it."""
+    from spindrift.operators import graph
+
+    written, staged = [], graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df, label: written.append(label) or staged(df, label))
+    rows = [(i, f"https://e.com/a/{i}", "https://e.com/a/0" if i else None, min(i, 1)) for i in range(4)]
+    site = spark.createDataFrame(rows, "ordinal long, url string, parent_url string, depth int")
+    links = spark.createDataFrame([(f"https://e.com/a/{i}", x) for i in range(4) for x in ("/a/0", "/a/1", "#x", "https://f.com/")], "src string, link string")
+    log = analyzers.run(analyzers.Crawl(site, links), str(tmp_path), ["network", "pathway", "subdomain", "url_components"]).collect()
+    assert all(r["error"] is None for r in log), [r["error"] for r in log]
+    assert all(written.count(x) == 1 for x in ("links", "parsed", "named", "locations", "edges", "classes"))
+    got = spark.read.parquet(f"{tmp_path}/network/link_patterns").first().asDict()
+    assert got == {"self_links": 6, "fragment_links": 4, "external_links": 4, "sibling_links": 2, "cross_depth_links": 4}
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/pathway/dead_ends").collect()] == []
+
+
+def test_orphans_by_degrees_and_by_links(spark):
+    from spindrift.operators import graph
+
+    rows = [(0, "https://e.com/0", None, 0), (1, "https://e.com/1", "https://e.com/0", 1), (2, "https://e.com/2", "", 1), (3, "https://e.com/3", "https://e.com/3", 2), (4, "https://e.com/4", None, None)]
+    site = spark.createDataFrame(rows, "ordinal long, url string, parent_url string, depth int")
+    e = spark.createDataFrame([("https://e.com/1", "https://e.com/4"), ("https://e.com/0", "https://e.com/9")], "src string, dst string")
+    by_links = graph.architecture(site, e).first()
+    assert by_links["orphans"] == 3 and graph.architecture(graph.full_degrees(site, e), e).first() == by_links

@@ -76,3 +76,18 @@ def test_canonical_urls_are_themselves(spark):
     assert all(r[i] == r[i + 4] for r in got for i in range(4))
     searched = df.where(F.col("url").rlike(U.CANONICAL)).select("url").collect()
     assert [r["url"] for r in searched] == ["https://a.com", "https://a.com/b", "a+b.c-d://x-y.z/B%20C", "https://a.com/é", "https://a.com/b\u0085", "https://a.com/b/c"]
+
+
+def test_parts_found_once(spark):
+    """parsed() has what each function finds, and simple URLs don't go through them."""
+    from spindrift.operators import graph
+
+    rows = ["https://a.com", "https://a.com/", "https://a.com/b/c.html", "https://a.com//b//", "https://a.com\n", "https://a.com/b\n", " https://a.com/b", "https://a.com/b c", "https://a.com/b;p", "https://a.com/b?q=1&r", "https://a.com/b#f%20g", "HTTPS://a.com/b",
+            "https://A.com/b", "https://a.com:80/b", "https://u:p@a.com/b", "https://[::1]:8080/b", "https://[a/b", "a+b.c-d://x-y.z/B%20C", "//a.com/b", "a.com/b", "https:///b", "mailto:a@b.c", "", None, "https://a.com/é", "https://é.com/b", "https://a.com/b\u0085"]
+    df = spark.createDataFrame(list(enumerate(rows)), "n int, url string")
+    own = df.select("n", *[f(F.col("url")).alias(name) for name, f in U.PARTS.items()]).orderBy("n").collect()
+    once = U.parsed(df)
+    assert once.select("n", *[U.part(once, name).alias(name) for name in U.PARTS]).orderBy("n").collect() == own
+    assert df.where(F.col("url").rlike(U.SIMPLE)).count() == 7
+    for a, b in zip(df.select(F.regexp_replace(U.path(F.col("url")), r"^/+|/+$", "").alias("p")).collect(), df.select(graph.simplified(F.col("url")).alias("p")).collect(), strict=True):
+        assert b["p"] == ("/".join(a["p"].split("/")[-2:]) or "root")
